@@ -29,6 +29,26 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").cast("long").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenreel.llm import toxicity
+
+    scratch = Scratch(spark, "op7")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(scratch, docs, _table(spark, sf_dir, "labels"))
+    out = toxicity.score(scratch, docs, model)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lumenreel.llm.packing import pack
+
+    docs = _table(spark, sf_dir, "documents")
+    return pack(Scratch(spark, "op9"), docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenreel.llm.sharding import kd_shards, number_rows
 
@@ -41,6 +61,8 @@ def op10_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op5_mixing": op5_mixing,
+    "op7_toxicity": op7_toxicity,
+    "op9_packing": op9_packing,
     "op10_kdtree": op10_kdtree,
 }
 
