@@ -9,6 +9,7 @@ partitions need nothing from each other but the lengths of the queues before the
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -25,19 +26,25 @@ SEQUENCE = 1024
 WINDOW = 64
 #: Queues: the largest sources have one each, all others share the last.
 QUEUES = 1024
-#: Words whose ids a task remembers.
-MEMO = 1_000_000
+#: Texts with other characters than these take the tokenizers' own path: for these the two agree.
+_PLAIN = r"^[\n\r\t\x20-\x7e\x{a1}-\x{24f}\x{2010}-\x{2026}]*$"
+#: The split of byte-level BPE, a fixed value of that format.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: A space between white space: there a text can't be cut into words that are tokenized alone.
-_LOOSE = r"\s \s|\s $|[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+def _bytes_of_letters() -> dict[str, int]:
+    """Byte-level BPE writes each byte as a letter: printable Latin-1 as it is, the others from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
-class WordIds:
-    """Ids of whole texts, by way of the ids of their space-led words; equal to encoding the text.
 
-    The pre-tokenizer never joins across the start of a space-led word, so a text's ids are those of
-    its words in turn. Texts in which white space meets otherwise, and those that hold the string of an
-    added token, are encoded as they are.
+class TextIds:
+    """Ids of whole texts as the tokenizers file gives them.
+
+    Where the file is byte-level BPE whose merges stand in order of their ids, plain texts are encoded
+    from the same file's vocabulary as ranks, which gives the same ids several times faster; a text with
+    unusual characters or the string of an added token goes through tokenizers itself.
     """
 
     def __init__(self, path: str):
@@ -46,47 +53,33 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-
-    def _look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        memo = self.memo
-        new = [w for w in words if w not in memo]
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = words
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            memo.update(zip(some, (np.array(e.ids, self.dtype).tobytes() for e in self.encode(some, add_special_tokens=False))))
-        ids = [memo[w] for w in words]
-        return np.frombuffer(b"".join(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.dtype).itemsize
-
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and how many each has."""
-        odd = pc.match_substring_regex(texts, _LOOSE)
+        self.fast = self._ranked(json.loads(self.tokenizer.to_str()))
+
+    def _ranked(self, spec: dict):
+        import tiktoken
+
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        if model.get("type") != "BPE" or not plain or model.get("byte_fallback") or model.get("ignore_merges"):
+            return None
+        letters, added = _bytes_of_letters(), set(self.added)
+        ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if merged != sorted(merged) or len(ranks) != len(merged) + 256:
+            return None
+        return tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        plain = pc.match_substring_regex(texts, _PLAIN)
         for s in self.added:
-            odd = pc.or_(odd, pc.match_substring(texts, s))
-        odd = odd.to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(texts, " ")
-        offsets = lists.offsets.to_numpy()
-        words = lists.flatten()
-        led = np.ones(len(words), bool)
-        led[offsets[:-1] - offsets[0]] = False
-        words = pc.binary_join_element_wise(pa.array(np.where(led, " ", "")), words, "")
-        coded = words.dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        flat, lengths = self._look_up(coded.dictionary.to_pylist())
-        starts = np.cumsum(lengths) - lengths
-        n = lengths[codes]
-        ids = flat[ragged(starts[codes], n)]
-        per_text = np.add.reduceat(np.r_[n, 0], offsets[:-1] - offsets[0]) if len(texts) else np.zeros(0, np.int64)
-        if odd.any():
-            at = np.r_[0, np.cumsum(per_text)]
-            parts = [ids[at[i] : at[i + 1]] for i in range(len(texts))]
-            for i in np.flatnonzero(odd):
-                parts[i] = np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, self.dtype)
-            ids, per_text = np.concatenate(parts), np.array([len(p) for p in parts])
-        return ids, per_text
+            plain = pc.and_not(plain, pc.match_substring(texts, s))
+        out = []
+        for text, ok in zip(texts.to_pylist(), plain.to_pylist()):
+            if ok and self.fast:
+                out.append(np.array(self.fast.encode_ordinary(text), self.dtype))
+            else:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype))
+        return out
 
 
 class Rounds:
@@ -175,21 +168,20 @@ def pack(scratch: Scratch, docs: DataFrame, tokenizer: str, proportions: dict[st
     """
 
     def encode(batches):
-        words = WordIds(tokenizer)
+        encoder = TextIds(tokenizer)
         block = TaskContext.get().partitionId()
+        end = np.array([end_id], encoder.dtype)
         served: dict = {}
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                flat, n = words(part.column("text").cast(pa.string()))
-                ends = np.cumsum(n)
-                out, cum = [], []
-                end = np.array([end_id], words.dtype).tobytes()
-                for src, e, k in zip(part.column("src").to_pylist(), ends.tolist(), n.tolist()):
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                ids = encoder(part.column("text").cast(pa.string()))
+                n, cum = [len(x) + 1 for x in ids], []
+                for src, k in zip(part.column("src").to_pylist(), n):
                     cum.append(served.get(src, 0))
-                    served[src] = cum[-1] + k + 1
-                    out.append(flat[e - k : e].tobytes() + end)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block)), part.column("src"), part.column("doc_id"), pa.array(n + 1), pa.array(cum, pa.int64()), pa.array(out, pa.binary())], names=["block", "src", "doc_id", "n", "cum", "ids"])
+                    served[src] = cum[-1] + k
+                out = pa.array([np.append(x, end).tobytes() for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block)), part.column("src"), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cum, pa.int64()), out], names=["block", "src", "doc_id", "n", "cum", "ids"])
 
     src = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")).alias("src")
     rows = docs.select(src, F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -211,7 +203,7 @@ def pack(scratch: Scratch, docs: DataFrame, tokenizer: str, proportions: dict[st
         asked = {"n" if s is None else f"s{s}": p for s, p in proportions.items()}
         share = np.array([max(asked.get(s, 0.0), 1e-9) for s in own] + [max(sum(p for s, p in asked.items() if s not in set(own)), 1e-9)] * (len(lengths) - len(own)))
     rounds = Rounds(lengths, share, window * sequence)
-    id_type = WordIds(tokenizer).dtype
+    id_type = TextIds(tokenizer).dtype
 
     def cut(batches):
         for b in batches:
