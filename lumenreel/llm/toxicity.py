@@ -183,7 +183,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_
     ids = ids.where(F.crc32(F.col("__id").cast("string").cast("binary")) % folds != held)
     ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(ids), "__id").select("y", "text").repartition(FIT_TASKS, F.xxhash64("text"))
+    return rows.join(F.broadcast(ids), "__id").select("y", "text").repartition(FIT_TASKS)
 
 
 def _slices(b: pa.RecordBatch, rows: int = 500):
@@ -212,7 +212,7 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, **options) -> Toxi
         yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()]), pa.array([size.tobytes()])], names=["seen", "size"])
 
     seen, size = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
-    for r in rows.mapInArrow(count, "seen binary, size binary").toLocalIterator():
+    for r in rows.mapInArrow(count, "seen binary, size binary").collect():
         seen += np.frombuffer(r["seen"], np.int32).reshape(2, -1)
         size += np.frombuffer(r["size"], np.int64)
     neg, pos, n_neg, n_pos = seen[0], seen[1], int(size[0]), int(size[1])
@@ -230,7 +230,7 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, **options) -> Toxi
                 yield pa.RecordBatch.from_arrays([pa.array([part.column("y").to_numpy().astype(np.int8).tobytes()]), pa.array([r.astype(np.int32).tobytes()]), pa.array([c.astype(np.int32).tobytes()])], names=["y", "r", "c"])
 
     ys, rs, cs, n = [], [], [], 0
-    for x in rows.mapInArrow(sparse, "y binary, r binary, c binary").toLocalIterator():
+    for x in rows.mapInArrow(sparse, "y binary, r binary, c binary").collect():
         ys.append(np.frombuffer(x["y"], np.int8))
         rs.append(np.frombuffer(x["r"], np.int32).astype(np.int64) + n)
         cs.append(np.frombuffer(x["c"], np.int32).astype(np.int64))
