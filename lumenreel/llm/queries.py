@@ -21,6 +21,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenreel.llm.lm import score_texts
+
+    return score_texts(Scratch(spark, "op4"), _table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenreel.llm.mixing import mix
 
@@ -60,6 +66,7 @@ def op10_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_maxent": op4_maxent,
     "op5_mixing": op5_mixing,
     "op7_toxicity": op7_toxicity,
     "op9_packing": op9_packing,
