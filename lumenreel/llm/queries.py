@@ -46,6 +46,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenreel.llm.ann import nearest
+
+    return nearest(Scratch(spark, "op8"), _table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_maxent": op4_maxent,
     "op5_mixing": op5_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_hnsw": op8_hnsw,
     "op9_packing": op9_packing,
     "op10_kdtree": op10_kdtree,
 }
