@@ -21,6 +21,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenreel.llm.lines import line_classes
+
+    out = line_classes(Scratch(spark, "op3"), _table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "line_no", "line_class", "kept")
+
+
 def op4_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenreel.llm.lm import score_texts
 
@@ -72,6 +79,7 @@ def op10_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_lines": op3_lines,
     "op4_maxent": op4_maxent,
     "op5_mixing": op5_mixing,
     "op7_toxicity": op7_toxicity,
