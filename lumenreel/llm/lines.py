@@ -21,7 +21,7 @@ RUN = 16
 #: Bits of the filter that says which lines have candidates: a fixed size, whatever the input.
 FILTER_BITS = 24
 #: Lines whose signatures are held at once; hashes a task remembers.
-SLICE, SEEN = 20_000, 2_000_000
+SLICE, SEEN = 20_000, 500_000
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -64,11 +64,60 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-def jaccard(a: str, b: str) -> float:
-    """Exact similarity of the sets of character shingles; a shorter line is its own shingle."""
-    s, t = ({x[i : i + SHINGLE] for i in range(max(1, len(x) - SHINGLE + 1))} for x in (a, b))
-    both = len(s & t)
-    return both / (len(s) + len(t) - both)
+#: Bits of a character in a packed shingle: seven fill 63 bits, so equal numbers are equal shingles.
+PACKED = 9
+
+
+def packed(lines: list[str]) -> list[list]:
+    """The shingles of each line in order, as exact numbers where all its characters are below 512, else
+    as strings; a line shorter than a shingle is its own."""
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    x = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(lengths)
+    h = np.zeros(max(0, len(x) - SHINGLE + 1), np.uint64)
+    for j in range(SHINGLE):
+        h <<= np.uint64(PACKED)
+        h |= x[j : j + len(h)]
+    wide = np.r_[0, np.cumsum(x >> np.uint64(PACKED) > 0)]
+    out = []
+    for line, a, b in zip(lines, (ends - lengths).tolist(), ends.tolist()):
+        if b - a < SHINGLE:
+            out.append([line])
+        elif wide[b] > wide[a]:
+            out.append(_cut(line))
+        else:
+            out.append(h[a : b - SHINGLE + 1])
+    return out
+
+
+def _cut(line: str) -> list[str]:
+    return [line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))]
+
+
+def _set(part) -> set:
+    return set(part.tolist() if isinstance(part, np.ndarray) else part)
+
+
+def similar(x, of_y: set) -> bool:
+    """Whether the exact Jaccard similarity of two lines' shingle sets reaches SIMILAR; x in order.
+
+    |x & y| must reach s/(1+s) (|x| + |y|), so x may miss at most |x|/(1+s) - |y| s/(1+s) of its shingles
+    in y. x is looked through part by part, and given up once it has missed more.
+    """
+    n = len(x)
+    if n < SIMILAR * len(of_y):
+        return False
+    share = SIMILAR / (1 + SIMILAR)
+    may_miss = n * (1 - share) - len(of_y) * share + 1e-9
+    step = -(-n // 3)
+    seen: set = set()
+    missed = 0
+    for at in range(0, n, step):
+        seen |= _set(x[at : at + step])
+        missed = len(seen - of_y)
+        if missed > may_miss:
+            return False
+    return len(seen) - missed >= SIMILAR * (len(of_y) + missed) - 1e-9
 
 
 def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -86,7 +135,7 @@ def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Arra
     return row[ok], number[ok], codes[ok], lines, hashes
 
 
-def _parts(b: pa.RecordBatch, rows: int = 1000):
+def _parts(b: pa.RecordBatch, rows: int = 100):
     for at in range(0, b.num_rows, rows):
         yield b.slice(at, rows)
 
@@ -115,12 +164,12 @@ def _sketch(batches):
 
 
 def _pairs(batches):
-    """Candidates of rows (key, h) sorted by both. Up to RUN lines of a bucket: all pairs. A larger bucket,
+    """Candidates of rows (key, h) sorted by key. Up to RUN lines of a bucket: all pairs. A larger bucket,
     where nearly all are copies of one line: each line with the bucket's first, and all pairs within
     consecutive runs, so pairs grow with the rows and memory with neither; each line has twelve buckets."""
     held: pa.Table | None = None
     lead: tuple | None = None
-    for t in chunks(batches, 500_000):
+    for t in chunks(batches, 200_000):
         t = t if held is None else pa.concat_tables([held, t])
         held = None
         key, h = unsigned(t.column("key")), unsigned(t.column("h"))
@@ -134,14 +183,23 @@ def _pairs(batches):
             yield from _emit(key, h, lead)
             if not open_:
                 same = lead and lead[0] == key[-1]
-                lead = lead if same else (key[-1], h[cut])
+                lead = lead if same else (key[-1], h[cut:].min())
     if held is not None and held.num_rows:
         yield from _emit(unsigned(held.column("key")), unsigned(held.column("h")), lead)
 
 
 def _emit(key: np.ndarray, h: np.ndarray, lead: tuple | None):
-    fresh = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])]
+    edge = np.r_[True, key[1:] != key[:-1], True]
+    several = ~(edge[1:] & edge[:-1])  # most buckets hold one line
+    if lead and len(key) and key[0] == lead[0]:
+        several[0] = True
+    key, h = key[several], h[several]
+    order = np.lexsort((h, key))
+    key, h = key[order], h[order]
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])][: len(key)]
     key, h = key[fresh], h[fresh]
+    if not len(key):
+        return
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
     group = np.repeat(np.arange(len(start)), size)
@@ -190,7 +248,7 @@ def line_classes(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _uid(doc_id, text).alias("uid"), body.alias("text"))
     lines = scratch.write(rows.mapInArrow(_sketch, "doc_id long, uid long, line_no int, h long, bands array<long>"), "lines")
-    dealt = lines.where("bands is not null").select(F.explode("bands").alias("key"), "h").repartition("key").sortWithinPartitions("key", "h")
+    dealt = lines.where("bands is not null").select(F.explode("bands").alias("key"), "h").repartition("key").sortWithinPartitions("key")
     pairs = scratch.write(dealt.mapInArrow(_pairs, "a long, b long"), "found")
     pairs = scratch.write(pairs.distinct(), "pairs")
 
@@ -228,9 +286,21 @@ def line_classes(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text
     whole = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
 
     def verify(batches):
-        for b in batches:
-            near = np.array([jaccard(x, y) >= SIMILAR for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())], bool)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(near)), b.column("b").filter(pa.array(near))], names=["a", "b"])
+        last, its = None, set()
+        for batch in batches:
+            for b in _parts(batch, 500):
+                near = np.zeros(b.num_rows, bool)
+                ys = b.column("y").dictionary_encode()
+                of_ys = packed(ys.dictionary.to_pylist())
+                for i, (x, k) in enumerate(zip(packed(b.column("x").to_pylist()), ys.indices.to_pylist())):
+                    if k != last or not i:  # rows come sorted by b
+                        last, its = k, _set(of_ys[k])
+                    if isinstance(x, np.ndarray) == isinstance(of_ys[k], np.ndarray):
+                        near[i] = similar(x, its)
+                    else:  # only one line has wide characters
+                        s, t = b.column("x")[i].as_py(), b.column("y")[i].as_py()
+                        near[i] = similar(_cut(s), set(_cut(t)))
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(near)), b.column("b").filter(pa.array(near))], names=["a", "b"])
 
     comp = scratch.write(components(scratch, whole.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")), "components")
     first = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "uid", "line_no")
