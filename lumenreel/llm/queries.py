@@ -21,6 +21,20 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings from labels: 0 low quality, 1 good but toxic, 2 good and clean. Every document comes back;
+    `selected` says whether P(grade >= 1) reaches one half."""
+    from lumenreel.llm import quality
+
+    scratch = Scratch(spark, "op2")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    ratings = _table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+    out = quality.grade_texts(scratch, docs, quality.fit(scratch, docs, ratings, 3))
+    tail = F.col("tails")
+    return out.select("doc_id", "expected_grade", tail[0].alias("p_grade_1"), tail[1].alias("p_grade_2"), (tail[0] >= 0.5).alias("selected"))
+
+
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenreel.llm.lines import line_classes
 
@@ -79,6 +93,7 @@ def op10_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_ordinal": op2_ordinal,
     "op3_lines": op3_lines,
     "op4_maxent": op4_maxent,
     "op5_mixing": op5_mixing,
