@@ -56,6 +56,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").cast("long").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
 
 
+def op6_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds images: each row of embeddings is drawn as a file, every eighth also as an edited copy."""
+    from lumenreel.llm.media import image_copies, pictures
+
+    return image_copies(Scratch(spark, "op6"), pictures(_table(spark, sf_dir, "embeddings")))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenreel.llm import toxicity
 
@@ -97,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lines": op3_lines,
     "op4_maxent": op4_maxent,
     "op5_mixing": op5_mixing,
+    "op6_images": op6_images,
     "op7_toxicity": op7_toxicity,
     "op8_hnsw": op8_hnsw,
     "op9_packing": op9_packing,
