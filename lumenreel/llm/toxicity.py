@@ -211,10 +211,17 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, **options) -> Toxi
                     size[k] += int((y == k).sum())
         yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()]), pa.array([size.tobytes()])], names=["seen", "size"])
 
-    seen, size = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
-    for r in rows.mapInArrow(count, "seen binary, size binary").collect():
-        seen += np.frombuffer(r["seen"], np.int32).reshape(2, -1)
-        size += np.frombuffer(r["size"], np.int64)
+    def add(batches):
+        seen, size = np.zeros(2 * BUCKETS, np.int32), np.zeros(2, np.int64)
+        for b in batches:
+            for s, n in zip(b.column("seen").to_pylist(), b.column("size").to_pylist()):
+                seen += np.frombuffer(s, np.int32)
+                size += np.frombuffer(n, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()]), pa.array([size.tobytes()])], names=["seen", "size"])
+
+    schema = "seen binary, size binary"  # one row of fixed size for each of the few tasks meets in one
+    total = rows.mapInArrow(count, schema).repartition(1).mapInArrow(add, schema).first()
+    seen, size = np.frombuffer(total["seen"], np.int32).reshape(2, -1), np.frombuffer(total["size"], np.int64)
     neg, pos, n_neg, n_pos = seen[0], seen[1], int(size[0]), int(size[1])
     columns = np.full(BUCKETS, -1, np.int32)
     if not n_pos or not n_neg:
@@ -230,10 +237,10 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, **options) -> Toxi
                 yield pa.RecordBatch.from_arrays([pa.array([part.column("y").to_numpy().astype(np.int8).tobytes()]), pa.array([r.astype(np.int32).tobytes()]), pa.array([c.astype(np.int32).tobytes()])], names=["y", "r", "c"])
 
     ys, rs, cs, n = [], [], [], 0
-    for x in rows.mapInArrow(sparse, "y binary, r binary, c binary").collect():
+    for x in rows.mapInArrow(sparse, "y binary, r binary, c binary").toLocalIterator(prefetchPartitions=True):
         ys.append(np.frombuffer(x["y"], np.int8))
-        rs.append(np.frombuffer(x["r"], np.int32).astype(np.int64) + n)
-        cs.append(np.frombuffer(x["c"], np.int32).astype(np.int64))
+        rs.append(np.frombuffer(x["r"], np.int32) + np.int32(n))
+        cs.append(np.frombuffer(x["c"], np.int32))
         n += len(ys[-1])
     ratio = log_ratios(pos[chosen], neg[chosen], n_pos, n_neg)
     w, bias = fit_linear(np.concatenate(rs), np.concatenate(cs), np.concatenate(ys).astype(float), ratio)
