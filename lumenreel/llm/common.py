@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,6 +17,11 @@ BATCH_BYTES = 16 << 20
 
 _fallback: dict[str, str] = {}
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:
+    _libc = None
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
@@ -64,6 +70,13 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")
 
 
+def release() -> None:
+    """Give freed memory of this worker back, so that what a reused worker held does not add up."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def lower_words(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z only (bytes.lower and bytes.split are ASCII)."""
     return text.lower().split()

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch, bound_batches, chunks, ragged, signed, unsigned
+from lumenreel.llm.common import Scratch, bound_batches, chunks, ragged, release, signed, unsigned
 from lumenreel.llm.graph import components
 
 #: Characters of a shingle, and the least Jaccard similarity of a link.
@@ -161,6 +161,7 @@ def _sketch(batches):
             bands = [keys.pop(c, None) for c in code.tolist()]
             doc = pa.array(row)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(doc), b.column("uid").take(doc), pa.array(number, pa.int32()), signed(hashes[code]), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "uid", "line_no", "h", "bands"])
+        release()
 
 
 def _pairs(batches):

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch, ragged
+from lumenreel.llm.common import Scratch, ragged, release
 
 SEQUENCE = 1024
 #: Sequences of a window: the span over which proportions hold.
@@ -182,6 +182,7 @@ def pack(scratch: Scratch, docs: DataFrame, tokenizer: str, proportions: dict[st
                     served[src] = cum[-1] + k
                 out = pa.array([np.append(x, end).tobytes() for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block)), part.column("src"), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cum, pa.int64()), out], names=["block", "src", "doc_id", "n", "cum", "ids"])
+            release()
 
     src = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")).alias("src")
     rows = docs.select(src, F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

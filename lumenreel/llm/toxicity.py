@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch, bound_batches, ragged
+from lumenreel.llm.common import Scratch, bound_batches, ragged, release
 
 #: Lengths in bytes of the n-grams of a word, with a mark before and after it.
 GRAMS = (3, 4, 5, 6)
@@ -186,7 +186,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_
     return rows.join(F.broadcast(ids), "__id").select("y", "text").repartition(FIT_TASKS)
 
 
-def _slices(b: pa.RecordBatch, rows: int = 500):
+def _slices(b: pa.RecordBatch, rows: int = 150):
     for at in range(0, b.num_rows, rows):
         yield b.slice(at, rows)
 
@@ -209,6 +209,7 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, **options) -> Toxi
                 for k in (0, 1):
                     seen[k] += np.bincount(c[y[r] == k], minlength=BUCKETS).astype(np.int32)
                     size[k] += int((y == k).sum())
+            release()
         yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()]), pa.array([size.tobytes()])], names=["seen", "size"])
 
     def add(batches):
@@ -235,6 +236,7 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, **options) -> Toxi
             for part in _slices(b):
                 r, c = text_features(part.column("text"), columns)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column("y").to_numpy().astype(np.int8).tobytes()]), pa.array([r.astype(np.int32).tobytes()]), pa.array([c.astype(np.int32).tobytes()])], names=["y", "r", "c"])
+            release()
 
     ys, rs, cs, n = [], [], [], 0
     for x in rows.mapInArrow(sparse, "y binary, r binary, c binary").toLocalIterator(prefetchPartitions=True):
@@ -259,8 +261,9 @@ def score(scratch: Scratch, docs: DataFrame, model: Toxicity, text: str = "text"
 
     def scored(batches):
         for b in batches:
-            for part in _slices(b, 2000):
+            for part in _slices(b, 400):
                 texts = pa.array(["" if t is None else t for t in part.column(names.index(text)).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sent.value.scores(texts))], names=names)
+            release()
 
     return docs.mapInArrow(scored, schema)
