@@ -70,7 +70,7 @@ def frame_transcript_alignment(spark, sf_dir):
 def first_match_tolerance(spark, sf_dir):
     e = _events(spark, sf_dir)
     items = e.where("event_type = 'click'").select("video_id", "ts", F.col("event_id").alias("pos"), F.col("event_id").alias("found"))
-    return align.first_within(_frames(e), items, "found", 1800.0).select("video_id", "idx", "found")
+    return align.first_within(_frames(e), items, "found", 1800.0).select("video_id", "idx", F.coalesce("found", F.lit(-1)).alias("found"))
 
 
 def batch_evidence(spark, sf_dir):
@@ -267,7 +267,7 @@ SELECT f.video_id, f.idx, count(g.seg_idx)::INT AS n_segments, coalesce(string_a
 FROM f LEFT JOIN g ON f.video_id = g.video_id AND (abs((a + b) / 2 - f.ts) <= 3600 OR f.ts BETWEEN a AND b) GROUP BY 1, 2""",
     "first_match_tolerance": f"""
 WITH {_EVENTS}, f AS (SELECT video_id, event_id AS idx, ts FROM e WHERE event_type = 'view')
-SELECT f.video_id, f.idx, min(c.event_id) AS found FROM f LEFT JOIN e c ON c.video_id = f.video_id AND c.event_type = 'click' AND abs(c.ts - f.ts) <= 1800 GROUP BY 1, 2""",
+SELECT f.video_id, f.idx, coalesce(min(c.event_id), -1) AS found FROM f LEFT JOIN e c ON c.video_id = f.video_id AND c.event_type = 'click' AND abs(c.ts - f.ts) <= 1800 GROUP BY 1, 2""",
     "batch_evidence": f"""
 WITH {_EVENTS}, f AS (SELECT video_id, ts, ((row_number() OVER (PARTITION BY video_id ORDER BY event_id) - 1) // 4)::INT AS batch FROM e WHERE event_type = 'view'),
 b AS (SELECT video_id, batch, min(ts) AS start, max(ts) AS "end" FROM f GROUP BY 1, 2)
