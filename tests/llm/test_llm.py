@@ -83,7 +83,7 @@ def test_gray_order_index_finds_every_link():
 
 
 def test_large_nodes_are_dealt_to_their_children(monkeypatch):
-    monkeypatch.setattr(simhash, "LEAF", 24)
+    monkeypatch.setattr(simhash, "LEAF", 12)
     rng = np.random.default_rng(3)
     fp = np.unique(np.uint64(1 << 40) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (60, 2)).astype(np.uint64), axis=1))
     masks = np.array([m for top in simhash.children(0) for m in simhash.children(top)], np.uint64)
