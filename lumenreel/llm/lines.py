@@ -9,15 +9,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch, bound_batches, chunks, ragged, release, signed, unsigned
+from lumenreel.llm.common import Scratch, bound_batches, chunks, local_roots, ragged, release, signed, unsigned
 from lumenreel.llm.graph import components
 
 #: Characters of a shingle, and the least Jaccard similarity of a link.
 SHINGLE, SIMILAR = 7, 0.8
 #: 12 bands of 4: lines at 0.8 share a band with probability 0.998, at 0.85 with 0.9996.
 BANDS, ROWS = 12, 4
-#: Lines of one bucket compared pair by pair.
-RUN = 16
+#: Lines of one bucket paired with each other; larger buckets are compared in tiles of two blocks of lines.
+RUN, BLOCK = 16, 64
+#: Shingles of a tile coded at once, and columns of its incidence matrix held at once.
+CODED, COLUMNS = 2_000_000, 8192
 #: Bits of the filter that says which lines have candidates: a fixed size, whatever the input.
 FILTER_BITS = 24
 #: Lines whose signatures are held at once; hashes a task remembers.
@@ -31,10 +33,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """One-permutation MinHash: the least shingle hash in each of 48 bins, empty bins filled from the next
-    full one. Lines of fewer characters than a shingle have none: all bins stay empty."""
-    bins = BANDS * ROWS
+def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of each line, one line after another, and their numbers."""
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     x = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     ends = np.cumsum(lengths)
@@ -43,7 +43,14 @@ def signatures(lines: list[str]) -> np.ndarray:
     for j in range(SHINGLE):
         h *= np.uint64(0x100000001B3)
         h += x[j : j + len(h)]
-    h = _mix(h[ragged(ends - lengths, n)])
+    return _mix(h[ragged(ends - lengths, n)]), n
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """One-permutation MinHash: the least shingle hash in each of 48 bins, empty bins filled from the next
+    full one. Lines of fewer characters than a shingle have none: all bins stay empty."""
+    bins = BANDS * ROWS
+    h, n = _hashed(lines)
     owner = np.repeat(np.arange(len(lines)), n)
     sig = np.full(len(lines) * bins, _NONE)
     at = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64) + owner * bins
@@ -165,9 +172,8 @@ def _sketch(batches):
 
 
 def _pairs(batches):
-    """Candidates of rows (key, h) sorted by key. Up to RUN lines of a bucket: all pairs. A larger bucket,
-    where nearly all are copies of one line: each line with the bucket's first, and all pairs within
-    consecutive runs, so pairs grow with the rows and memory with neither; each line has twelve buckets."""
+    """Candidates (a, b) of rows (key, h) sorted by key. Up to RUN lines of a bucket: all pairs. A larger
+    bucket: each line with the bucket's lead, whose hash and the key stand beside the pair."""
     held: pa.Table | None = None
     lead: tuple | None = None
     for t in chunks(batches, 200_000):
@@ -177,23 +183,25 @@ def _pairs(batches):
         ends = np.flatnonzero(key[1:] != key[:-1])
         cut = int(ends[-1]) + 1 if len(ends) else 0
         open_ = len(key) - cut <= RUN and not (lead and lead[0] == key[-1])
+        after = None
         if open_:
             held = t.slice(cut)
             key, h = key[:cut], h[:cut]
+        else:
+            after = lead if lead and lead[0] == key[-1] else (key[-1], h[cut:].min())
         if len(key):
-            yield from _emit(key, h, lead)
-            if not open_:
-                same = lead and lead[0] == key[-1]
-                lead = lead if same else (key[-1], h[cut:].min())
+            yield from _emit(key, h, [x for x in (lead, after) if x])
+        lead = after or lead
     if held is not None and held.num_rows:
-        yield from _emit(unsigned(held.column("key")), unsigned(held.column("h")), lead)
+        yield from _emit(unsigned(held.column("key")), unsigned(held.column("h")), [lead] if lead else [])
 
 
-def _emit(key: np.ndarray, h: np.ndarray, lead: tuple | None):
+def _emit(key: np.ndarray, h: np.ndarray, leads: list[tuple]):
+    """leads: (key, lead) of buckets that reach beyond these rows."""
     edge = np.r_[True, key[1:] != key[:-1], True]
     several = ~(edge[1:] & edge[:-1])  # most buckets hold one line
-    if lead and len(key) and key[0] == lead[0]:
-        several[0] = True
+    for k, _ in leads:
+        several |= key == k
     key, h = key[several], h[several]
     order = np.lexsort((h, key))
     key, h = key[order], h[order]
@@ -203,29 +211,101 @@ def _emit(key: np.ndarray, h: np.ndarray, lead: tuple | None):
         return
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
+    first, large = h[start], size > RUN
+    for k, x in leads:
+        first[key[start] == k] = x
+        large[key[start] == k] = True
     group = np.repeat(np.arange(len(start)), size)
-    place = np.arange(len(key)) - start[group]
-    run = group * np.int64(1 << 32) + place // RUN
+    star = large[group]
     a, b = [], []
-    live = np.flatnonzero(size[group] > 1)
+    live = np.flatnonzero(~star & (size[group] > 1))
     for d in range(1, RUN):
         live = live[live + d < len(key)]
-        live = live[run[live + d] == run[live]]
+        live = live[group[live + d] == group[live]]
         if not len(live):
             break
         a.append(h[live])
         b.append(h[live + d])
-    far = np.flatnonzero(place >= RUN)
-    a.append(h[start[group[far]]])
-    b.append(h[far])
-    if lead and len(key) and key[0] == lead[0]:
-        b.append(h[: size[0]])
-        a.append(np.full(size[0], lead[1]))
-    x, y = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-    x, y = np.minimum(x, y), np.maximum(x, y)
-    both = np.unique(np.stack([x, y], 1)[x != y], axis=0)
-    if len(both):
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
+    if a:
+        x, y = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        none = pa.nulls(len(both), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), none, none], names=["a", "b", "key", "lead"])
+    far = np.flatnonzero(star & (h != first[group]))
+    if len(far):
+        x, y = first[group[far]].view(np.int64), h[far].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), signed(key[far]), pa.array(x)], names=["a", "b", "key", "lead"])
+
+
+def _tiles(stars: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, near, far, h): the lines of large buckets dealt to tiles, so that any two lines of a bucket which its
+    lead does not already join stand in one tile.
+
+    Lines linked to the lead are one component and need not meet each other. The others are cut into blocks
+    of about BLOCK lines; each block meets each block of the bucket. So a bucket of copies costs as much as
+    it has lines, and a tile holds about two blocks however large the bucket.
+    """
+    linked = links.withColumn("linked", F.lit(True))
+    lines = stars.join(linked, ["a", "b"], "left").select("key", F.when(F.col("a") == F.col("lead"), F.col("b")).otherwise(F.col("a")).alias("h"), F.col("linked").isNull().alias("out"))
+    leads = stars.select("key", F.col("lead").alias("h"), F.lit(False).alias("out")).distinct()
+    lines = lines.unionByName(leads)
+    blocks = lines.groupBy("key").agg(F.ceil(F.count_if(~F.col("out")) / BLOCK).alias("ins"), F.ceil(F.count_if("out") / BLOCK).alias("outs")).where("outs > 0")
+    at = lines.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("h"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))))
+    # blocks of the unlinked are numbered 0, 1, ... and those of the linked -1, -2, ...
+    meets = F.when(F.col("out"), F.sequence(-F.col("ins"), F.col("outs") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1))
+    own = F.when(F.col("out"), F.col("own")).otherwise(-F.col("own") - 1)
+    at = at.select("key", "h", own.alias("own"), F.explode(meets).alias("other"))
+    return at.select("key", F.least("own", "other").alias("near"), F.greatest("own", "other").alias("far"), "h")
+
+
+def tile_links(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all lines of a tile whose Jaccard similarity reaches SIMILAR, from the products of their
+    incidence with shingles; shingles are known by 64-bit hashes and taken in parts of bounded size."""
+    total = sum(map(len, lines))
+    parts = total // CODED + 1
+    own, shared = np.zeros(len(lines)), np.zeros((len(lines), len(lines)))
+    for part in range(parts):
+        held = []
+        for line in lines:
+            x = np.unique(_hashed([line])[0])
+            held.append(x[x % np.uint64(parts) == part] if parts > 1 else x)
+        n = np.fromiter(map(len, held), np.int64, len(held))
+        own += n
+        _, code, count = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        common = np.flatnonzero(count[code] > 1)
+        row, col = np.repeat(np.arange(len(lines)), n)[common], (np.cumsum(count > 1) - 1)[code[common]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        for low in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+            i, j = np.searchsorted(col, [low, low + COLUMNS])
+            m = np.zeros((len(lines), COLUMNS), np.float32)
+            m[row[i:j], col[i:j] - low] = 1
+            shared += m @ m.T
+    return np.nonzero(np.triu(shared >= SIMILAR * (own[:, None] + own - shared) - 1e-9, 1))
+
+
+def _joined(batches):
+    """A forest of stars of the links of each tile; rows (key, near, far, h, line) come sorted by tile."""
+    tile, hs, lines = None, [], []
+
+    def done():
+        i, j = tile_links(lines)
+        h = np.array(hs, np.int64)
+        if len(i):
+            node, root = local_roots(h[i], h[j])
+            yield pa.RecordBatch.from_arrays([pa.array(node[node != root]), pa.array(root[node != root])], names=["a", "b"])
+
+    for b in batches:
+        for *at, h, line in zip(*(b.column(c).to_pylist() for c in ("key", "near", "far", "h", "line"))):
+            if at != tile:
+                if len(hs) > 1:
+                    yield from done()
+                tile, hs, lines = at, [], []
+            hs.append(h)
+            lines.append(line)
+    if len(hs) > 1:
+        yield from done()
+    release()
 
 
 def _uid(doc_id: str, text: str):
@@ -242,7 +322,8 @@ def line_classes(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text
 
     Each task sketches a line once; only band keys and hashes are shuffled. The texts of lines that have
     candidates are read again behind a bit filter of fixed size, joined to the distinct candidate pairs
-    and compared whole. Null or empty text: no lines. Empty table: no rows. Rows alike in id and text are
+    and compared whole. A bucket of more than 16 lines is compared with its lead first, then all its lines that
+    the lead does not join are compared exactly in tiles, so no link of a bucket is lost. Null or empty text: no lines. Empty table: no rows. Rows alike in id and text are
     one document, whose lines are kept or not alike in each.
     """
     bound_batches(scratch.spark)
@@ -250,8 +331,8 @@ def line_classes(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _uid(doc_id, text).alias("uid"), body.alias("text"))
     lines = scratch.write(rows.mapInArrow(_sketch, "doc_id long, uid long, line_no int, h long, bands array<long>"), "lines")
     dealt = lines.where("bands is not null").select(F.explode("bands").alias("key"), "h").repartition("key").sortWithinPartitions("key")
-    pairs = scratch.write(dealt.mapInArrow(_pairs, "a long, b long"), "found")
-    pairs = scratch.write(pairs.distinct(), "pairs")
+    met = scratch.write(dealt.mapInArrow(_pairs, "a long, b long, key long, lead long"), "found")
+    pairs = scratch.write(met.select("a", "b").distinct(), "pairs")
 
     low = (1 << FILTER_BITS) - 1
     words = pairs.select(F.explode(F.array("a", "b")).alias("h")).select(F.shiftright(F.col("h").bitwiseAND(low), 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
@@ -303,7 +384,11 @@ def line_classes(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text
                         near[i] = similar(_cut(s), set(_cut(t)))
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(near)), b.column("b").filter(pa.array(near))], names=["a", "b"])
 
-    comp = scratch.write(components(scratch, whole.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")), "components")
+    links = scratch.write(whole.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
+    tiles = _tiles(met.where("key is not null").distinct(), links).join(texts.select("h", "line"), "h")
+    tiles = tiles.repartition("key", "near", "far").sortWithinPartitions("key", "near", "far").select("key", "near", "far", "h", "line")
+    links = links.unionByName(tiles.mapInArrow(_joined, "a long, b long"))
+    comp = scratch.write(components(scratch, links), "components")
     first = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "uid", "line_no")
     kinds = lines.groupBy("h").agg(F.count("*").alias("n"), F.min(first).alias("at"))
     kinds = scratch.write(kinds.join(comp, kinds["h"] == comp["node"], "left").select("h", "n", "at", F.coalesce("root", "h").alias("line_class")), "kinds")

@@ -130,6 +130,37 @@ def test_lines(spark, empty):
     assert lines.line_classes(Scratch(spark, "t"), empty).count() == 0
 
 
+def test_large_line_buckets_equal_brute_force(spark, monkeypatch):
+    """Families of lines share a long beginning, so buckets hold several families: a bucket's lead joins one of
+    them, and the tiles must find the links of all others."""
+    monkeypatch.setattr(lines, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    start = " ".join(word() for _ in range(22))
+    texts = []
+    for _ in range(9):
+        end = [word() for _ in range(9)]
+        for _ in range(25):
+            mine = list(end)
+            mine[rng.integers(9)] = word()
+            texts.append(start + " " + " ".join(mine))
+    texts = sorted(set(texts))
+    cut = [set(lines._cut(x)) for x in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(cut[i] & cut[j]) >= 0.8 * len(cut[i] | cut[j])]
+    node, root = local_roots(*(np.array(x) for x in zip(*near)))
+    want = {int(i): int(r) for i, r in zip(node, root)}
+    keys = lines.band_keys(lines.signatures(texts))
+    assert max(Counter(keys.ravel().tolist()).values()) > 2 * lines.RUN and 1 < len(set(want.values())) < len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["line_class"] for r in lines.line_classes(Scratch(spark, "t"), docs).collect()}
+    first = {}
+    for i in sorted(got):
+        first.setdefault(got[i], i)
+    assert {i: first[c] for i, c in got.items()} == {i: want.get(i, i) for i in got}
+    i, j = lines.tile_links(texts[:60])
+    assert sorted(zip(j.tolist(), i.tolist())) == sorted(p for p in near if p[0] < 60)
+
+
 def test_line_similarity_is_exact():
     for x, y in [("abcdefghij" * 9, "abcdefghij" * 8 + "zz"), (LONG[:500], LONG[3:500]), ("ж" * 9 + "abcdefgh", "ж" * 9 + "abcdefgx")]:
         s, t = set(lines._cut(x)), set(lines._cut(y))
