@@ -17,7 +17,7 @@ SHINGLE, SIMILAR = 7, 0.8
 #: 12 bands of 4: lines at 0.8 share a band with probability 0.998, at 0.85 with 0.9996.
 BANDS, ROWS = 12, 4
 #: Lines of one bucket paired with each other; larger buckets are compared in tiles of two blocks of lines.
-RUN, BLOCK = 16, 64
+RUN, BLOCK = 16, 128
 #: Shingles of a tile coded at once, and columns of its incidence matrix held at once.
 CODED, COLUMNS = 2_000_000, 8192
 #: Bits of the filter that says which lines have candidates: a fixed size, whatever the input.
@@ -173,7 +173,7 @@ def _sketch(batches):
 
 def _pairs(batches):
     """Candidates (a, b) of rows (key, h) sorted by key. Up to RUN lines of a bucket: all pairs. A larger
-    bucket: each line with the bucket's lead, whose hash and the key stand beside the pair."""
+    bucket: each line with the bucket's lead, with the key beside the pair."""
     held: pa.Table | None = None
     lead: tuple | None = None
     for t in chunks(batches, 200_000):
@@ -230,32 +230,32 @@ def _emit(key: np.ndarray, h: np.ndarray, leads: list[tuple]):
         x, y = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
         both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
         none = pa.nulls(len(both), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), none, none], names=["a", "b", "key", "lead"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), none], names=["a", "b", "key"])
     far = np.flatnonzero(star & (h != first[group]))
     if len(far):
         x, y = first[group[far]].view(np.int64), h[far].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), signed(key[far]), pa.array(x)], names=["a", "b", "key", "lead"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), signed(key[far])], names=["a", "b", "key"])
 
 
-def _tiles(stars: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, near, far, h): the lines of large buckets dealt to tiles, so that any two lines of a bucket which its
-    lead does not already join stand in one tile.
+def _tiles(stars: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, near, far, h, comp): the lines of large buckets dealt to tiles, so that any two lines of a bucket
+    that are not in one component yet stand in one tile.
 
-    Lines linked to the lead are one component and need not meet each other. The others are cut into blocks
-    of about BLOCK lines; each block meets each block of the bucket. So a bucket of copies costs as much as
-    it has lines, and a tile holds about two blocks however large the bucket.
+    The lines of a bucket's largest component need not meet each other. The others are cut into blocks of
+    about BLOCK lines; each block meets each block of the bucket. Buckets of one component have no tiles,
+    so a bucket of copies costs nothing here, and a tile holds about two blocks however large the bucket.
     """
-    linked = links.withColumn("linked", F.lit(True))
-    lines = stars.join(linked, ["a", "b"], "left").select("key", F.when(F.col("a") == F.col("lead"), F.col("b")).otherwise(F.col("a")).alias("h"), F.col("linked").isNull().alias("out"))
-    leads = stars.select("key", F.col("lead").alias("h"), F.lit(False).alias("out")).distinct()
-    lines = lines.unionByName(leads)
-    blocks = lines.groupBy("key").agg(F.ceil(F.count_if(~F.col("out")) / BLOCK).alias("ins"), F.ceil(F.count_if("out") / BLOCK).alias("outs")).where("outs > 0")
-    at = lines.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("h"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))))
-    # blocks of the unlinked are numbered 0, 1, ... and those of the linked -1, -2, ...
-    meets = F.when(F.col("out"), F.sequence(-F.col("ins"), F.col("outs") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1))
-    own = F.when(F.col("out"), F.col("own")).otherwise(-F.col("own") - 1)
-    at = at.select("key", "h", own.alias("own"), F.explode(meets).alias("other"))
-    return at.select("key", F.least("own", "other").alias("near"), F.greatest("own", "other").alias("far"), "h")
+    h = F.explode(F.array("a", "b")).alias("h")
+    lines = stars.select("key", h).distinct().join(comp.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("comp"))
+    main = lines.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"))
+    blocks = main.where("n > main.n").select("key", F.col("main.comp").alias("main"), F.ceil(F.col("main.n") / BLOCK).alias("ins"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("outs"))
+    out = F.col("comp") != F.col("main")
+    at = lines.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("h"), F.when(out, F.col("outs")).otherwise(F.col("ins"))))
+    # blocks of the others are numbered 0, 1, ... and those of the largest component -1, -2, ...
+    meets = F.when(out, F.sequence(-F.col("ins"), F.col("outs") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1))
+    own = F.when(out, F.col("own")).otherwise(-F.col("own") - 1)
+    at = at.select("key", "h", "comp", own.alias("own"), F.explode(meets).alias("other"))
+    return at.select("key", F.least("own", "other").alias("near"), F.greatest("own", "other").alias("far"), "h", "comp")
 
 
 def tile_links(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -265,45 +265,50 @@ def tile_links(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     parts = total // CODED + 1
     own, shared = np.zeros(len(lines)), np.zeros((len(lines), len(lines)))
     for part in range(parts):
-        held = []
-        for line in lines:
-            x = np.unique(_hashed([line])[0])
-            held.append(x[x % np.uint64(parts) == part] if parts > 1 else x)
-        n = np.fromiter(map(len, held), np.int64, len(held))
-        own += n
-        _, code, count = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-        common = np.flatnonzero(count[code] > 1)
-        row, col = np.repeat(np.arange(len(lines)), n)[common], (np.cumsum(count > 1) - 1)[code[common]]
-        order = np.argsort(col, kind="stable")
-        row, col = row[order], col[order]
-        for low in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        if parts == 1:
+            h, n = _hashed(lines)
+        else:
+            held = [np.unique(_hashed([x])[0]) for x in lines]
+            held = [x[x % np.uint64(parts) == part] for x in held]
+            h, n = np.concatenate(held), np.fromiter(map(len, held), np.int64, len(held))
+        _, code = np.unique(h, return_inverse=True)
+        kinds = int(code.max()) + 1 if len(code) else 1
+        cell = np.unique(code * len(lines) + np.repeat(np.arange(len(lines)), n))
+        col, row = cell // len(lines), cell % len(lines)
+        own += np.bincount(row, minlength=len(lines))
+        count = np.bincount(col, minlength=kinds)
+        common = count[col] > 1
+        row, col = row[common], (np.cumsum(count > 1) - 1)[col[common]]
+        wide = int(col[-1]) + 1 if len(col) else 0
+        for low in range(0, wide, COLUMNS):
             i, j = np.searchsorted(col, [low, low + COLUMNS])
-            m = np.zeros((len(lines), COLUMNS), np.float32)
+            m = np.zeros((len(lines), min(COLUMNS, wide - low)), np.float32)
             m[row[i:j], col[i:j] - low] = 1
             shared += m @ m.T
     return np.nonzero(np.triu(shared >= SIMILAR * (own[:, None] + own - shared) - 1e-9, 1))
 
 
 def _joined(batches):
-    """A forest of stars of the links of each tile; rows (key, near, far, h, line) come sorted by tile."""
-    tile, hs, lines = None, [], []
+    """Which components the links of a tile join, as a forest of stars; rows come sorted by tile."""
+    tile, comps, lines = None, [], []
 
     def done():
+        comp = np.array(comps, np.int64)
         i, j = tile_links(lines)
-        h = np.array(hs, np.int64)
+        i, j = i[comp[i] != comp[j]], j[comp[i] != comp[j]]
         if len(i):
-            node, root = local_roots(h[i], h[j])
+            node, root = local_roots(comp[i], comp[j])
             yield pa.RecordBatch.from_arrays([pa.array(node[node != root]), pa.array(root[node != root])], names=["a", "b"])
 
     for b in batches:
-        for *at, h, line in zip(*(b.column(c).to_pylist() for c in ("key", "near", "far", "h", "line"))):
+        for *at, comp, line in zip(*(b.column(c).to_pylist() for c in ("key", "near", "far", "comp", "line"))):
             if at != tile:
-                if len(hs) > 1:
+                if len(lines) > 1:
                     yield from done()
-                tile, hs, lines = at, [], []
-            hs.append(h)
+                tile, comps, lines = at, [], []
+            comps.append(comp)
             lines.append(line)
-    if len(hs) > 1:
+    if len(lines) > 1:
         yield from done()
     release()
 
@@ -322,8 +327,8 @@ def line_classes(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text
 
     Each task sketches a line once; only band keys and hashes are shuffled. The texts of lines that have
     candidates are read again behind a bit filter of fixed size, joined to the distinct candidate pairs
-    and compared whole. A bucket of more than 16 lines is compared with its lead first, then all its lines that
-    the lead does not join are compared exactly in tiles, so no link of a bucket is lost. Null or empty text: no lines. Empty table: no rows. Rows alike in id and text are
+    and compared whole. A bucket of more than 16 lines is compared with its lead first; all its lines that are
+    not in one component by then are compared exactly in tiles, so no link of a bucket is lost. Null or empty text: no lines. Empty table: no rows. Rows alike in id and text are
     one document, whose lines are kept or not alike in each.
     """
     bound_batches(scratch.spark)
@@ -331,7 +336,7 @@ def line_classes(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _uid(doc_id, text).alias("uid"), body.alias("text"))
     lines = scratch.write(rows.mapInArrow(_sketch, "doc_id long, uid long, line_no int, h long, bands array<long>"), "lines")
     dealt = lines.where("bands is not null").select(F.explode("bands").alias("key"), "h").repartition("key").sortWithinPartitions("key")
-    met = scratch.write(dealt.mapInArrow(_pairs, "a long, b long, key long, lead long"), "found")
+    met = scratch.write(dealt.mapInArrow(_pairs, "a long, b long, key long"), "found")
     pairs = scratch.write(met.select("a", "b").distinct(), "pairs")
 
     low = (1 << FILTER_BITS) - 1
@@ -385,10 +390,12 @@ def line_classes(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(near)), b.column("b").filter(pa.array(near))], names=["a", "b"])
 
     links = scratch.write(whole.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
-    tiles = _tiles(met.where("key is not null").distinct(), links).join(texts.select("h", "line"), "h")
-    tiles = tiles.repartition("key", "near", "far").sortWithinPartitions("key", "near", "far").select("key", "near", "far", "h", "line")
-    links = links.unionByName(tiles.mapInArrow(_joined, "a long, b long"))
     comp = scratch.write(components(scratch, links), "components")
+    tiles = _tiles(met.where("key is not null"), comp).join(texts.select("h", "line"), "h")
+    tiles = tiles.repartition("key", "near", "far").sortWithinPartitions("key", "near", "far").select("key", "near", "far", "comp", "line")
+    more = components(scratch, tiles.mapInArrow(_joined, "a long, b long")).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    comp = comp.join(more, comp["root"] == more["__node"], "full").select(F.coalesce("node", "__node").alias("node"), F.coalesce("__root", "root").alias("root"))
+    comp = scratch.write(comp, "joined")
     first = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "uid", "line_no")
     kinds = lines.groupBy("h").agg(F.count("*").alias("n"), F.min(first).alias("at"))
     kinds = scratch.write(kinds.join(comp, kinds["h"] == comp["node"], "left").select("h", "n", "at", F.coalesce("root", "h").alias("line_class")), "kinds")

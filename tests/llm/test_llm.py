@@ -159,6 +159,8 @@ def test_large_line_buckets_equal_brute_force(spark, monkeypatch):
     assert {i: first[c] for i, c in got.items()} == {i: want.get(i, i) for i in got}
     i, j = lines.tile_links(texts[:60])
     assert sorted(zip(j.tolist(), i.tolist())) == sorted(p for p in near if p[0] < 60)
+    monkeypatch.setattr(lines, "CODED", 2000)
+    assert [x.tolist() for x in lines.tile_links(texts[:60])] == [i.tolist(), j.tolist()]
 
 
 def test_line_similarity_is_exact():
