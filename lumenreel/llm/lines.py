@@ -127,6 +127,25 @@ def similar(x, of_y: set) -> bool:
     return len(seen) - missed >= SIMILAR * (len(of_y) + missed) - 1e-9
 
 
+#: Low bits of a shingle's hash that give way to its pair's number, and rows of a part.
+PAIR_BITS, PART = 9, 500
+
+
+def hopeful(xs: list[str], ys: list[str]) -> np.ndarray:
+    """Which pairs may reach SIMILAR: by hashes cut to 55 bits, with room for two collisions in a pair, so that the
+    exact comparison is spared for most others. At most 512 pairs."""
+    low = np.uint64((1 << PAIR_BITS) - 1)
+    cells = []
+    for lines in (xs, ys):
+        h, n = _hashed(lines)
+        z = np.sort((h & ~low) | np.repeat(np.arange(len(lines), dtype=np.uint64), n))
+        cells.append(z[np.r_[True, z[1:] != z[:-1]][: len(z)]])
+    both = np.sort(np.concatenate(cells))
+    shared = both[1:][both[1:] == both[:-1]]
+    common, a, b = (np.bincount((z & low).astype(np.int64), minlength=len(xs)) for z in (shared, *cells))
+    return common + 2 >= SIMILAR * (a + b - common - 2)
+
+
 def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     """(text, line number, code) of every line that isn't blank, the distinct lines and their hashes."""
     lists = pc.split_pattern(texts.cast(pa.string()), "\n")
@@ -375,7 +394,9 @@ def line_classes(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text
     def verify(batches):
         last, its = None, set()
         for batch in batches:
-            for b in _parts(batch, 500):
+            for b in _parts(batch, PART):
+                if pc.sum(pc.utf8_length(b.column("x"))).as_py() < CODED and pc.sum(pc.utf8_length(b.column("y"))).as_py() < CODED:
+                    b = b.filter(pa.array(hopeful(b.column("x").to_pylist(), b.column("y").to_pylist())))
                 near = np.zeros(b.num_rows, bool)
                 ys = b.column("y").dictionary_encode()
                 of_ys = packed(ys.dictionary.to_pylist())

@@ -167,6 +167,7 @@ def test_line_similarity_is_exact():
     for x, y in [("abcdefghij" * 9, "abcdefghij" * 8 + "zz"), (LONG[:500], LONG[3:500]), ("ж" * 9 + "abcdefgh", "ж" * 9 + "abcdefgx")]:
         s, t = set(lines._cut(x)), set(lines._cut(y))
         assert lines.similar(lines.packed([x])[0], lines._set(lines.packed([y])[0])) == (len(s & t) / len(s | t) >= 0.8)
+        assert lines.hopeful([x], [y])[0] >= (len(s & t) / len(s | t) >= 0.8)
 
 
 def test_lm(spark, odd, empty):
