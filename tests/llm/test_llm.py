@@ -353,3 +353,52 @@ def test_pipeline(spark, tmp_path):
     kept = pipeline.copies_out(spark, docs.union(docs.where("doc_id = 5")), str(tmp_path))
     assert sorted(r["doc_id"] for r in kept.collect()) == [*range(60), 101] and kept.columns == docs.columns
     assert pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def five_word_similarity(a, b):
+    x, y = (set(zip(*(t.split()[i:] for i in range(5)))) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_pipeline_finds_near_copies_at_080_to_095(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows, gone, far = [], set(), set()
+    for i in range(200):
+        base = words(1000 + i, 300)
+        rows.append((i, " ".join(base)))
+        for k, edits in enumerate((2, 4, 5, 6)):
+            copy = list(base)
+            for at in range(edits):
+                copy[20 + at * 45] = f"edit{i}x{k}x{at}"
+            s = five_word_similarity(rows[i * 5][1], " ".join(copy))
+            assert 0.8 <= s < 0.97
+            rows.append((1000 + 4 * i + k, " ".join(copy)))
+            gone.add(1000 + 4 * i + k)
+    for i in range(40):  # far below 0.8: must stay
+        copy = words(1000 + i, 300)
+        copy[::25] = [f"far{i}x{k}" for k in range(12)]
+        rows.append((5000 + i, " ".join(copy)))
+        far.add(5000 + i)
+    rows += [(8000 + i, " ".join(words(7, 300)[:280] + words(9000 + i, 20))) for i in range(60)]  # a large bucket
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in pipeline.copies_out(spark, docs, "").collect()}
+    assert not kept & gone and far <= kept and set(range(200)) <= kept
+    assert len([k for k in kept if k >= 8000]) == 1
+
+
+def test_large_buckets_of_near_copies_equal_brute_force(spark):
+    from lumenreel.llm import nearcopies
+
+    texts = []
+    for f in range(4):  # families alike in half of their text, chains of edits inside
+        base = words(1, 200) + words(50 + f, 60)
+        for i in range(30):
+            copy = list(base)
+            for at in range(i // 3 + 1):
+                copy[(i * 7 + at * 31) % 260] = f"z{f}x{i}x{at}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component"] for r in nearcopies.near_copies(Scratch(spark, "t"), docs).collect()}
+    sim = [(i, j) for i in range(len(texts)) for j in range(i) if five_word_similarity(texts[i], texts[j]) >= 0.8]
+    want = roots(sim, range(len(texts)))
+    assert {(i, j) for i in found for j in found if found[i] == found[j]} == {(i, j) for i in want for j in want if want[i] == want[j]}
