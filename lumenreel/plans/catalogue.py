@@ -102,7 +102,7 @@ def timestamp_labels(spark, sf_dir):
 
 def title_signal(spark, sf_dir):
     d = _read(spark, sf_dir, "documents", "doc_id", "text")
-    s = d.select("doc_id", T.title_signal(F.substring(F.split(F.coalesce("text", F.lit("")), "\n")[0], 1, 80)).alias("s"))
+    s = d.select("doc_id", T.title_signal(F.split(F.coalesce("text", F.lit("")), "\n")[0]).alias("s"))
     return s.select("doc_id", "s.normalized_text", "s.meaningful_text", "s.quality_score", "s.is_meaningful", "s.token_count", "s.meaningful_token_count")
 
 

@@ -135,3 +135,13 @@ def test_urls(spark):
     assert one(spark, T.source_input(F.col("t")), t="看 https://a.b/c.mp4。再") == "https://a.b/c.mp4"
     assert one(spark, T.page_video_url(F.col("t")), t="https://www.douyin.com/jingxuan?modal_id=7") == "https://www.douyin.com/video/7"
     assert one(spark, T.media_suffix(F.col("t"), F.lit("Video/WebM; q")), t="https://a.b/c") == ".webm"
+
+
+def test_title_signal_takes_the_whole_first_line(spark, tmp_path):
+    from lumenreel.plans import catalogue
+
+    line = " ".join(f"chapter{c}" for c in "abcdefghijklmnop")  # 143 characters
+    spark.createDataFrame([(1, line + "\nsecond line")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = catalogue.title_signal(spark, str(tmp_path)).first()
+    assert r["normalized_text"] == line and r["meaningful_text"] == line
+    assert r["token_count"] == r["meaningful_token_count"] == 16
