@@ -222,11 +222,14 @@ def simhash_components(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id"
         dealt = nodes.select("mask", "pattern", "fp", "rep").repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
         found = scratch.write(dealt.mapInArrow(_search, _FOUND), "found")
         more = found.where("kind = 0").select("a", "b")
-        # Rows with one doc_id and several fingerprints are one node already.
         edges = more if edges is None else edges.unionByName(more)
         nodes = found.where("kind = 1")
         if nodes.isEmpty():
             break
-    comp = components(scratch, edges)
+    # A class is known by its smallest id only: ids with several fingerprints join all their classes.
+    named = prints.where("doc_id is not null").select("doc_id", "fp")
+    several = named.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("doc_id")
+    same = named.join(several, "doc_id").join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
+    comp = components(scratch, edges.unionByName(same))
     named = scratch.write(classes.join(comp, classes["rep"] == comp["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "named")
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")

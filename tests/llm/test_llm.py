@@ -402,3 +402,18 @@ def test_large_buckets_of_near_copies_equal_brute_force(spark):
     sim = [(i, j) for i in range(len(texts)) for j in range(i) if five_word_similarity(texts[i], texts[j]) >= 0.8]
     want = roots(sim, range(len(texts)))
     assert {(i, j) for i in found for j in found if found[i] == found[j]} == {(i, j) for i in want for j in want if want[i] == want[j]}
+
+
+def test_rows_of_one_id_join_their_classes(spark):
+    a, b = " ".join(words(1)), " ".join(words(2))
+    docs = spark.createDataFrame([(5, a), (5, b), (3, a), (4, b), (9, " ".join(words(3)))], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.simhash_components(Scratch(spark, "t"), docs).collect()}
+    assert got == {(5, 3), (3, 3), (4, 3), (9, 9)}
+
+
+def test_pipeline_keeps_one_of_the_copies_without_an_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = (" ".join(words(k)) for k in (1, 2, 3))
+    docs = spark.createDataFrame([(None, a), (None, a), (None, b), (7, b), (None, c)], "doc_id long, text string")
+    kept = pipeline.copies_out(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, a), (7, b), (0, c)])
