@@ -190,9 +190,9 @@ def _sketch(batches):
         release()
 
 
-def _pairs(batches):
-    """Candidates (a, b) of rows (key, h) sorted by key. Up to RUN lines of a bucket: all pairs. A larger
-    bucket: each line with the bucket's lead, with the key beside the pair."""
+def bucket_rows(batches, run: int, emit):
+    """Rows (key, h) sorted by key, handed to `emit` in whole buckets or in parts of buckets over `run` rows: (key, h,
+    leads), where leads are the (key, lead) of buckets that reach beyond these rows."""
     held: pa.Table | None = None
     lead: tuple | None = None
     for t in chunks(batches, 200_000):
@@ -201,7 +201,7 @@ def _pairs(batches):
         key, h = unsigned(t.column("key")), unsigned(t.column("h"))
         ends = np.flatnonzero(key[1:] != key[:-1])
         cut = int(ends[-1]) + 1 if len(ends) else 0
-        open_ = len(key) - cut <= RUN and not (lead and lead[0] == key[-1])
+        open_ = len(key) - cut <= run and not (lead and lead[0] == key[-1])
         after = None
         if open_:
             held = t.slice(cut)
@@ -209,16 +209,17 @@ def _pairs(batches):
         else:
             after = lead if lead and lead[0] == key[-1] else (key[-1], h[cut:].min())
         if len(key):
-            yield from _emit(key, h, [x for x in (lead, after) if x])
+            yield from emit(key, h, [x for x in (lead, after) if x])
         lead = after or lead
     if held is not None and held.num_rows:
-        yield from _emit(unsigned(held.column("key")), unsigned(held.column("h")), [lead] if lead else [])
+        yield from emit(unsigned(held.column("key")), unsigned(held.column("h")), [lead] if lead else [])
 
 
-def _emit(key: np.ndarray, h: np.ndarray, leads: list[tuple]):
-    """leads: (key, lead) of buckets that reach beyond these rows."""
+def bucket_pairs(key: np.ndarray, h: np.ndarray, leads: list[tuple], run: int):
+    """(a, b) of all pairs in buckets of up to `run` different h, as they come, and (lead, h, key) of larger ones."""
+    none = np.zeros(0, np.uint64)
     edge = np.r_[True, key[1:] != key[:-1], True]
-    several = ~(edge[1:] & edge[:-1])  # most buckets hold one line
+    several = ~(edge[1:] & edge[:-1])  # most buckets hold one row
     for k, _ in leads:
         several |= key == k
     key, h = key[several], h[several]
@@ -227,33 +228,44 @@ def _emit(key: np.ndarray, h: np.ndarray, leads: list[tuple]):
     fresh = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])][: len(key)]
     key, h = key[fresh], h[fresh]
     if not len(key):
-        return
+        return (none, none), (none, none, none)
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
-    first, large = h[start], size > RUN
+    first, large = h[start], size > run
     for k, x in leads:
         first[key[start] == k] = x
         large[key[start] == k] = True
     group = np.repeat(np.arange(len(start)), size)
     star = large[group]
-    a, b = [], []
+    a, b = [none], [none]
     live = np.flatnonzero(~star & (size[group] > 1))
-    for d in range(1, RUN):
+    for d in range(1, run):
         live = live[live + d < len(key)]
         live = live[group[live + d] == group[live]]
         if not len(live):
             break
         a.append(h[live])
         b.append(h[live + d])
-    if a:
-        x, y = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+    far = np.flatnonzero(star & (h != first[group]))
+    return (np.concatenate(a), np.concatenate(b)), (first[group[far]], h[far], key[far])
+
+
+def _pairs(batches):
+    """Candidates (a, b) of rows (key, h) sorted by key. Up to RUN lines of a bucket: all pairs. A larger
+    bucket: each line with the bucket's lead, with the key beside the pair."""
+    return bucket_rows(batches, RUN, _emit)
+
+
+def _emit(key: np.ndarray, h: np.ndarray, leads: list[tuple]):
+    (a, b), (lead, far, of) = bucket_pairs(key, h, leads, RUN)
+    if len(a):
+        x, y = a.view(np.int64), b.view(np.int64)
         both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
         none = pa.nulls(len(both), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), none], names=["a", "b", "key"])
-    far = np.flatnonzero(star & (h != first[group]))
     if len(far):
-        x, y = first[group[far]].view(np.int64), h[far].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), signed(key[far])], names=["a", "b", "key"])
+        x, y = lead.view(np.int64), far.view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), signed(of)], names=["a", "b", "key"])
 
 
 def _tiles(stars: DataFrame, comp: DataFrame) -> DataFrame:

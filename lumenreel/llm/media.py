@@ -5,32 +5,36 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch, chunks
+from lumenreel.llm.common import Scratch, local_roots, release, signed
 from lumenreel.llm.graph import components
-
-#: Scales of the pyramid; corners kept of an image (its strongest), and the half-width of a patch.
-SCALES = (1.0, 0.79, 0.63, 0.5)
-CORNERS, HALF = 32, 9
-#: Binary tests of a descriptor; differing bits of a match; tables of 48 bits it is found by, and how many
-#: corner pairs must share a key before two images are compared whole.
-TESTS, NEAR, TABLES, SHARED = 256, 40, 8, 3
+from lumenreel.llm.lines import _tiles, bucket_pairs, bucket_rows
+
+#: Scales of the pyramid; a corner is the strongest of its neighbourhood (pixels to each side), so how many there
+#: are grows with the area and a crop keeps those inside it; half-width of a patch; least strength of a corner.
+SCALES = (1.0, 0.84, 0.71, 0.59, 0.5)
+APART, HALF, STRONG = 6, 9, 4.0
+#: Binary tests of a descriptor, and differing bits of a match.
+TESTS, NEAR = 256, 48
+#: Tables; each is keyed by 14 bits of a corner, 14 of one of its six nearest corners, and their geometry.
+TABLES, KEY_BITS, NEIGHBOURS, TURNS = 2, 14, 6, 12
+#: Keys that two images must share to be compared whole.
+SHARED = 2
 #: Matches that must agree on one similarity transform, within so many pixels.
-AGREE, SLACK = 7, 3.0
+AGREE, SLACK = 6, 3.0
 #: Corners in one cell of so many pixels count once: one corner is found at several scales.
 CELL = 6
-#: Entries of a bucket paired with each other; in larger buckets each with its next neighbours by image.
-RUN = 12
+#: Images of one bucket paired with each other; larger buckets are compared in tiles.
+RUN = 256
+#: Longer sides are scaled down to this, which bounds the corners of an image.
 SIDE_LIMIT = 512
 
-_rng = np.random.default_rng(2024)
-_POINTS = np.clip(_rng.normal(0, HALF / 2.2, (TESTS, 2, 2)), -HALF + 2, HALF - 2)
-
 
 def decode(data: bytes) -> np.ndarray | None:
     """Grey values of a PGM or PPM (binary, 8 bits) or PNG (8 bits, not interlaced); None if it is neither."""
@@ -80,13 +84,15 @@ def _png(data: bytes) -> np.ndarray | None:
         up = out[y - 1].astype(np.int64) if y else np.zeros(w * k, np.int64)
         if kind == 2:
             line = line + up
+        elif kind == 1:
+            line = line.reshape(w, k).cumsum(0).ravel()
         elif kind:
             line = line.tolist()
             for i in range(w * k):
                 a, b, c = (line[i - k] if i >= k else 0), int(up[i]), (int(up[i - k]) if i >= k else 0)
                 p = a + b - c
                 paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                line[i] = (line[i] + (a if kind == 1 else (a + b) // 2 if kind == 3 else paeth)) & 255
+                line[i] = (line[i] + ((a + b) // 2 if kind == 3 else paeth)) & 255
         out[y] = np.asarray(line) & 255
     return out.reshape(h, w, k)
 
@@ -115,19 +121,33 @@ def _blur(x: np.ndarray) -> np.ndarray:
     return sum(k[i] * p[i : i + x.shape[0]] for i in range(5))
 
 
-def describe(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y, angle, size) and 256 bits of an image's strongest corners at all scales.
+def _largest_near(r: np.ndarray) -> np.ndarray:
+    """The largest value within APART pixels to each side."""
+    p = np.pad(r, APART, constant_values=-np.inf)
+    across = p[:, : r.shape[1]].copy()
+    for i in range(1, 2 * APART + 1):
+        np.maximum(across, p[:, i : i + r.shape[1]], out=across)
+    out = across[: r.shape[0]].copy()
+    for i in range(1, 2 * APART + 1):
+        np.maximum(out, across[i : i + r.shape[0]], out=out)
+    return out
+
 
-    Corners are local maxima of the smaller eigenvalue of the gradient matrix; the angle is that of the
-    patch's intensity centroid, and the tests are turned by it, so a turned copy has the same bits.
+def describe(grey: np.ndarray, tests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y, angle, size) and a bit for each test of all corners of an image at all scales.
+
+    Corners are local maxima of the smaller eigenvalue of the gradient matrix, placed between pixels by
+    a parabola; the angle is that of the patch's intensity centroid, and the tests are turned by it, so a
+    turned copy has the same bits.
     """
     while max(grey.shape) > SIDE_LIMIT:
-        grey = _resize(grey, SIDE_LIMIT / max(grey.shape))
-    found = []
-    levels = []
+        grey = _resize(grey, max(SIDE_LIMIT / max(grey.shape), 0.5))
+    spots, bits = [np.zeros((0, 4), np.float32)], [np.zeros((0, len(tests)), bool)]
+    d = np.arange(-HALF + 1, HALF)
+    far = d[:, None] ** 2 + d[None] ** 2
+    window = (np.exp(-far / (HALF * HALF / 2)) * (far < HALF * HALF)).astype(np.float32)
     for scale in SCALES:
         x = _resize(grey, scale)
-        levels.append(x)
         if min(x.shape) <= 2 * HALF + 4:
             continue
         s = _blur(x)
@@ -135,36 +155,87 @@ def describe(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         gx[:, 1:-1], gy[1:-1] = s[:, 2:] - s[:, :-2], s[2:] - s[:-2]
         a, b, c = _blur(gx * gx), _blur(gx * gy), _blur(gy * gy)
         r = (a + c) / 2 - np.sqrt(((a - c) / 2) ** 2 + b * b)
-        inner = r[HALF:-HALF, HALF:-HALF]
-        best = np.ones(inner.shape, bool)
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                if dx or dy:
-                    other = r[HALF + dy : r.shape[0] - HALF + dy, HALF + dx : r.shape[1] - HALF + dx]
-                    best &= inner > other if (dy, dx) > (0, 0) else inner >= other
-        y, z = np.nonzero(best & (inner > 4.0))
-        found += [(float(inner[i, j]), len(levels) - 1, j + HALF, i + HALF) for i, j in zip(y.tolist(), z.tolist())]
-    found.sort(key=lambda f: (-f[0], f[1:]))
-    found = found[:CORNERS]
-    if not found:
-        return np.zeros((0, 4), np.float32), np.zeros((0, TESTS // 64), np.uint64)
-    spots, bits = np.zeros((len(found), 4), np.float32), np.zeros((len(found), TESTS), bool)
-    d = np.arange(-HALF + 1, HALF)
-    disc = (d[:, None] ** 2 + d[None] ** 2 < HALF * HALF).astype(np.float32)
-    level = np.array([f[1] for f in found])
-    for k in np.unique(level):
-        at = np.flatnonzero(level == k)
-        px, py = (np.array([found[i][q] for i in at]) for q in (2, 3))
-        s = _blur(levels[k])
-        patch = s[py[:, None, None] + d[:, None], px[:, None, None] + d[None]] * disc
+        inner = np.zeros(r.shape, bool)
+        inner[HALF + 1 : -HALF - 1, HALF + 1 : -HALF - 1] = True
+        iy, ix = np.nonzero((r >= _largest_near(r)) & (r > STRONG) & inner)
+        if not len(iy):
+            continue
+        place = []
+        for at, dy, dx in ((ix, 0, 1), (iy, 1, 0)):
+            low, mid, high = r[iy - dy, ix - dx], r[iy, ix], r[iy + dy, ix + dx]
+            bend = np.minimum(low - 2 * mid + high, -1e-6)
+            place.append(at + np.clip((low - high) / (2 * bend), -0.5, 0.5))
+        px, py = place
+        s = _blur(s)
+        patch = _sample(s, px[:, None, None] + d[None, None], py[:, None, None] + d[None, :, None]) * window
         angle = np.arctan2((patch * d[:, None]).sum((1, 2)), (patch * d[None]).sum((1, 2)))
         co, si = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-        tx, ty = _POINTS[..., 0][None] * co - _POINTS[..., 1][None] * si, _POINTS[..., 0][None] * si + _POINTS[..., 1][None] * co
+        tx, ty = tests[..., 0][None] * co - tests[..., 1][None] * si, tests[..., 0][None] * si + tests[..., 1][None] * co
         v = _sample(s, px[:, None, None] + tx, py[:, None, None] + ty)
-        bits[at] = v[..., 0] < v[..., 1]
-        fy, fx = grey.shape[0] / levels[k].shape[0], grey.shape[1] / levels[k].shape[1]
-        spots[at] = np.stack([(px + 0.5) * fx, (py + 0.5) * fy, angle, np.full(len(at), fx)], 1)
-    return spots, np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        bits.append(v[..., 0] < v[..., 1])
+        fx, fy = grey.shape[1] / x.shape[1], grey.shape[0] / x.shape[0]
+        spots.append(np.stack([(px + 0.5) * fx, (py + 0.5) * fy, angle, np.full(len(px), fx)], 1).astype(np.float32))
+    return np.concatenate(spots), np.concatenate(bits)
+
+
+@lru_cache(1)
+def chosen_tests(pool: int = 1500, pictures: int = 30) -> np.ndarray:
+    """Pairs of points whose test says much: of a fixed pool, those that are 1 about as often as 0 and that depend
+    least on those chosen before, seen on corners of smooth random fields. The same on every run."""
+    rng = np.random.default_rng(2024)
+    points = np.clip(rng.normal(0, HALF / 2.0, (pool, 2, 2)), -HALF + 2, HALF - 2)
+    f = np.fft.fftfreq(128)
+    k = np.hypot(f[:, None], f[None])
+    k[0, 0] = 1
+    seen = []
+    for _ in range(pictures):
+        z = np.fft.ifft2(np.fft.fft2(rng.normal(size=(128, 128))) / k**1.2).real
+        seen.append(describe(((z - z.min()) / np.ptp(z) * 255).astype(np.float32), points)[1])
+    bits = np.concatenate(seen).astype(np.float32)
+    mean = bits.mean(0)
+    bits = (bits - mean) / np.maximum(bits.std(0), 1e-6)
+    alike = np.abs(bits.T @ bits / len(bits))
+    order = np.argsort(np.abs(mean - 0.5), kind="stable")
+    limit = 0.2
+    while True:
+        chosen: list[int] = []
+        for i in order:
+            if not chosen or alike[i, chosen].max() < limit:
+                chosen.append(i)
+            if len(chosen) == TESTS:
+                return points[chosen]
+        limit += 0.05
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).reshape(len(bits), TESTS // 64)
+
+
+def table_keys(spots: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The distinct keys of an image: 14 bits of a corner and of a near corner of its scale, the direction between them,
+    the difference of their angles and their distance in steps. The corner with the smaller code comes first."""
+    out = [np.zeros(0, np.uint64)]
+    for size in np.unique(spots[:, 3]):
+        at = np.flatnonzero(spots[:, 3] == size)
+        p = spots[at, :2] / size
+        for low in range(0, len(at), 256):
+            gap = np.hypot(p[low : low + 256, None, 0] - p[None, :, 0], p[low : low + 256, None, 1] - p[None, :, 1])
+            gap[gap < CELL] = np.inf
+            near = np.argsort(gap, 1, kind="stable")[:, :NEIGHBOURS]
+            i, j = np.repeat(at[low : low + 256], near.shape[1]), at[near].ravel()
+            ok = np.isfinite(np.take_along_axis(gap, near, 1).ravel())
+            i, j = i[ok], j[ok]
+            for t in range(TABLES):
+                code = bits[:, 0] >> np.uint64(t * KEY_BITS) & np.uint64((1 << KEY_BITS) - 1)
+                swap = code[i] > code[j]
+                a, b = np.where(swap, j, i), np.where(swap, i, j)
+                way = np.arctan2(spots[b, 1] - spots[a, 1], spots[b, 0] - spots[a, 0]) - spots[a, 2]
+                far = np.log2(np.hypot(spots[b, 0] - spots[a, 0], spots[b, 1] - spots[a, 1]) / size)
+                key = code[a] << np.uint64(KEY_BITS) | code[b]
+                for v, steps in ((way / (2 * np.pi) * TURNS, TURNS), ((spots[b, 2] - spots[a, 2]) / (2 * np.pi) * TURNS, TURNS), (2 * far, 32)):
+                    key = key * np.uint64(steps) + np.mod(np.floor(v + t / TABLES), steps).astype(np.uint64)
+                out.append((key * np.uint64(TABLES) + np.uint64(t)) * np.uint64(0x9E3779B97F4A7C15))
+    return np.unique(np.concatenate(out))
 
 
 def consensus(p: np.ndarray, q: np.ndarray) -> int:
@@ -187,100 +258,158 @@ def consensus(p: np.ndarray, q: np.ndarray) -> int:
     return best
 
 
+def agree(one: tuple, other: tuple) -> bool:
+    """Whether two images, each (spots, packed bits), show the same: enough matches agree on one transform."""
+    i, j = np.nonzero(np.bitwise_count(one[1][:, None] ^ other[1][None]).sum(2) <= NEAR)
+    return consensus(one[0][i], other[0][j]) >= AGREE
+
+
+def _image(spots: bytes, bits: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(spots, np.float32).reshape(-1, 4), np.frombuffer(bits, np.uint64).reshape(-1, TESTS // 64)
+
+
+_MET = "a long, b long, key long, n long"
+
+
 def _meet(batches):
-    """Pairs of rows (key, image, corner) sorted by key and image. Up to RUN entries of a bucket are paired with
-    each other, more of them with their next RUN - 1 neighbours, so pairs stay linear in hot buckets."""
-    held = None
-    for t in chunks(batches, 100_000):
-        t = t if held is None else pa.concat_tables([held, t])
-        held = t.slice(max(0, t.num_rows - RUN + 1))
-        yield from _paired(t, t.num_rows - held.num_rows)
-    if held is not None:
-        yield from _paired(held, held.num_rows)
-
-
-def _paired(t: pa.Table, first: int):
-    """Pairs whose earlier row is one of the first."""
-    key, image, corner = (t.column(c).to_numpy() for c in ("key", "image", "corner"))
-    a, b, at = [], [], []
-    live = np.arange(first)
-    for d in range(1, RUN):
+    """Pairs (a, b, n) of rows (key, h) sorted by key: images of buckets of up to RUN, n keys shared at least. In larger
+    buckets each image with the bucket's lead, with the key beside the pair."""
+
+    def emit(key, h, leads):
+        (a, b), (lead, far, of) = bucket_pairs(key, h, leads, RUN)
+        x, y = (np.r_[p, q].view(np.int64) for p, q in ((a, lead), (b, far)))
+        if not len(x):
+            return
+        k = np.r_[np.zeros(len(a), np.uint64), of].view(np.int64)
+        rows, n = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), k], 1), axis=0, return_counts=True)
+        none = rows[:, 2] == 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(rows[:, 2], pa.int64(), mask=none), pa.array(n, pa.int64())], names=["a", "b", "key", "n"])
+
+    return bucket_rows(batches, RUN, emit)
+
+
+def shared_keys(images: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all images that share at least SHARED keys; each key's images are taken pair by pair in steps."""
+    keys = [table_keys(*x) for x in images]
+    key, who = np.concatenate(keys), np.repeat(np.arange(len(images)), [len(k) for k in keys])
+    order = np.argsort(key, kind="stable")
+    key, who = key[order], who[order]
+    count = np.zeros((len(images), len(images)), np.int32)
+    live = np.arange(len(key))
+    for d in range(1, len(images)):
         live = live[live + d < len(key)]
-        live = live[key[live] == key[live + d]]
-        i = live[image[live] != image[live + d]]
-        a.append(image[i]), b.append(image[i + d]), at.append(corner[i] * CORNERS + corner[i + d])
-    if sum(map(len, a)):
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, at)], names=["a", "b", "at"])
+        live = live[key[live + d] == key[live]]
+        if not len(live):
+            break
+        np.add.at(count, (who[live], who[live + d]), 1)
+    return np.nonzero(np.triu(count + count.T >= SHARED, 1))
+
+
+def _joined(batches):
+    """Which components the links of a tile join, as a forest of stars; rows come sorted by tile."""
+    tile, comps, images = None, [], []
+
+    def done():
+        a, b = [], []
+        for i, j in zip(*shared_keys(images)):
+            if comps[i] != comps[j] and agree(images[i], images[j]):
+                a.append(comps[i]), b.append(comps[j])
+        if a:
+            node, root = local_roots(np.array(a), np.array(b))
+            yield pa.RecordBatch.from_arrays([pa.array(node[node != root]), pa.array(root[node != root])], names=["a", "b"])
+
+    for batch in batches:
+        for *at, comp, spots, bits in zip(*(batch.column(c).to_pylist() for c in ("key", "near", "far", "comp", "spots", "bits"))):
+            if at != tile:
+                if len(images) > 1:
+                    yield from done()
+                tile, comps, images = at, [], []
+            comps.append(comp)
+            images.append(_image(spots, bits))
+    if len(images) > 1:
+        yield from done()
+    release()
+
+
+def _verify(batches):
+    for b in batches:
+        same = []
+        for sa, da, sb, db in zip(*(b.column(c).to_pylist() for c in ("spots_a", "bits_a", "spots_b", "bits_b"))):
+            same.append(agree(_image(sa, da), _image(sb, db)))
+        ok = pa.array(same, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
+    release()
 
 
 def image_copies(scratch: Scratch, images: DataFrame, image_id: str = "image_id", data: str = "data") -> DataFrame:
-    """(image_id, class_id, links, corners) of every image row.
+    """(image_id, class_id, class_size, corners) of every image row.
 
-    Equal bytes are one image. Corners of the others are joined through 8 tables of 48 of their bits each; two
-    images are linked if at least seven corner matches (40 of 256 bits differ at most) agree on one
-    similarity transform, as for crops, turns, scalings, and changes of brightness. class_id is the
-    smallest id that links reach; links counts the other different images linked directly.
+    Equal bytes are one image. Of the others, two are compared whole if they share two keys of the tables; they
+    are linked if at least six corner matches (48 of 256 bits differ at most) agree on one similarity transform,
+    as for crops, turns, scalings, noise and changes of brightness or contrast. Mirrored copies are not found.
+    class_id is the smallest id that links reach, class_size the number of different images there.
+
+    In buckets of more than 256 images each is compared with the bucket's lead first; all that are not in one
+    component by then meet in tiles, where every pair that shares two keys is compared. So no pair is left
+    out for a bucket's size. Descriptors are shuffled only for images that have candidates.
 
     Null, empty or undecodable data: no corners, a class with equal bytes only (null: by itself). Flat
-    images: likewise. Null ids: returned with a null class. Empty table: no rows. Repeated rows: alike.
+    images: likewise. Null ids: returned with a null class. Empty table: no rows. Repeated rows: alike. Other
+    columns are not read.
     """
     rows = images.select(F.col(image_id).cast("long").alias("image_id"), F.col(data).cast("binary").alias("data"))
     rows = rows.withColumn("h", F.xxhash64("data"))
-    names = ["image_id", "h", "n", "bits", "spots"]
+    names = ["image_id", "h", "n", "spots", "bits"]
+    tests = chosen_tests()
 
     def corners(batches):
-        last: dict[int, tuple] = {}  # copies that stand together are described once
+        last: dict[int, int] = {}  # of copies in a task the first holds the descriptors
         for b in batches:
-            n, bits, spots = [], [], []
-            for h, x in zip(b.column("h").to_pylist(), b.column("data").to_pylist()):
-                if h not in last:
+            n, spots, bits = [], [], []
+            for i, h, x in zip(*(b.column(c).to_pylist() for c in ("image_id", "h", "data"))):
+                again = h in last
+                if not again:
                     grey = decode(x) if x is not None else None
-                    last = last if len(last) < 1000 else {}
-                    last[h] = describe(grey) if grey is not None else (np.zeros((0, 4), np.float32), np.zeros((0, 4), np.uint64))
-                s, d = last[h]
-                n.append(None if x is None else len(s)), bits.append(d.tobytes()), spots.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("image_id"), b.column("h"), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(spots, pa.binary())], names=names)
-
-    rows = scratch.write(rows.mapInArrow(corners, "image_id long, h long, n int, bits binary, spots binary"), "corners")
-    kinds = rows.where("image_id is not null and n is not null").groupBy("h").agg(F.min("image_id").alias("image"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("spots").alias("spots"))
-    found = scratch.write(kinds, "kinds")
-    kinds = found.select("h", "image")
+                    s, d = describe(grey, tests) if grey is not None else (np.zeros((0, 4), np.float32), np.zeros((0, TESTS), bool))
+                    if i is not None:
+                        last = last if len(last) < 100_000 else {}
+                        last[h] = len(s)
+                n.append(None if x is None else last[h] if again else len(s))
+                some = not again and i is not None and len(s) > 0
+                spots.append(s.tobytes() if some else None), bits.append(_packed(d).tobytes() if some else None)
+            yield pa.RecordBatch.from_arrays([b.column("image_id"), b.column("h"), pa.array(n, pa.int32()), pa.array(spots, pa.binary()), pa.array(bits, pa.binary())], names=names)
+        release()
+
+    rows = scratch.write(rows.mapInArrow(corners, "image_id long, h long, n int, spots binary, bits binary"), "corners")
+    described = rows.where("bits is not null").select("h", "spots", "bits")
 
     def spread(batches):
         for b in batches:
+            h = b.column("h").to_numpy()
             for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                n = part.column("n").to_numpy()
-                words = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint32).reshape(-1, TABLES).astype(np.int64)
-                image = np.repeat(part.column("image").to_numpy(), n * TABLES)
-                corner = np.repeat(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), TABLES).astype(np.int32)
-                keys = words << 16 | np.roll(words, -3, axis=1) & 0xFFFF | np.arange(TABLES) << 48
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(image), pa.array(corner)], names=["key", "image", "corner"])
-
-    entries = found.mapInArrow(spread, "key long, image long, corner int").repartition("key").sortWithinPartitions("key", "image", "corner")
-    met = entries.mapInArrow(_meet, "a long, b long, at int")
-    several = scratch.write(met.groupBy("a", "b").agg(F.count_distinct("at").alias("n")).where(F.col("n") >= SHARED).select("a", "b"), "several")
-    side = lambda c: found.select(F.col("image").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("spots").alias(f"spots_{c}"))
-
-    def verify(batches):
-        for b in batches:
-            agree = []
-            for row in zip(*(b.column(c).to_pylist() for c in ("bits_a", "spots_a", "bits_b", "spots_b"))):
-                da, db = (np.frombuffer(x, np.uint64).reshape(-1, 4) for x in row[::2])
-                p, q = (np.frombuffer(x, np.float32).reshape(-1, 4) for x in row[1::2])
-                i, j = np.nonzero(np.bitwise_count(da[:, None] ^ db[None]).sum(2) <= NEAR)
-                agree.append(consensus(p[i], q[j]) >= AGREE)
-            ok = pa.array(agree, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
-
-    both = several.join(side("a"), "a").join(side("b"), "b").select("a", "b", "bits_a", "spots_a", "bits_b", "spots_b")
-    links = scratch.write(both.mapInArrow(verify, "a long, b long"), "links")
-    degree = links.select(F.explode(F.array("a", "b")).alias("image")).groupBy("image").agg(F.count("*").alias("links"))
-    comp = components(scratch, links)
-    named = kinds.join(comp, kinds["image"] == comp["node"], "left").join(degree, "image", "left").join(found.select("image", "n"), "image", "left")
-    named = scratch.write(named.select("h", F.coalesce("root", "image").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.col("n").alias("corners")), "named")
-    out = rows.select("image_id", F.when(F.col("n").isNotNull(), F.col("h")).alias("h")).join(named, "h", "left")
-    return out.select("image_id", F.when(F.col("image_id").isNotNull(), F.coalesce("class_id", "image_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("corners", F.lit(0)).alias("corners"))
+                keys = [table_keys(*_image(s.as_py(), d.as_py())) for s, d in zip(b.column("spots")[at : at + 500], b.column("bits")[at : at + 500])]
+                owner = np.repeat(h[at : at + 500], [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(owner)], names=["key", "h"])
+
+    entries = described.mapInArrow(spread, "key long, h long").repartition("key").sortWithinPartitions("key")
+    met = scratch.write(entries.mapInArrow(_meet, _MET), "met")
+    pairs = scratch.write(met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b"), "pairs")
+    large = met.where("key is not null")
+    wanted = pairs.unionByName(large.select("a", "b")).select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    shown = scratch.write(described.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "shown")
+    side = lambda c: shown.select(F.col("h").alias(c), F.col("spots").alias(f"spots_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "spots_a", "bits_a", "spots_b", "bits_b")
+    comp = scratch.write(components(scratch, both.mapInArrow(_verify, "a long, b long")), "components")
+    tiles = _tiles(large, comp).join(shown, "h").repartition("key", "near", "far").sortWithinPartitions("key", "near", "far")
+    more = components(scratch, tiles.select("key", "near", "far", "comp", "spots", "bits").mapInArrow(_joined, "a long, b long"))
+    more = more.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    comp = comp.join(more, comp["root"] == more["__node"], "full").select(F.coalesce("node", "__node").alias("h"), F.coalesce("__root", "root").alias("root"))
+    kinds = rows.where("image_id is not null and n is not null").groupBy("h").agg(F.min("image_id").alias("image"), F.max("n").alias("corners"))
+    kinds = scratch.write(kinds.join(comp, "h", "left").withColumn("root", F.coalesce("root", "h")), "kinds")
+    classes = kinds.groupBy("root").agg(F.min("image").alias("class_id"), F.count("*").alias("class_size"))
+    named = scratch.write(kinds.join(classes, "root").select("h", "class_id", "class_size"), "named")
+    known = rows.select("image_id", "n", F.when(F.col("n").isNotNull() & F.col("image_id").isNotNull(), F.col("h")).alias("h")).join(named, "h", "left")
+    return known.select("image_id", F.when(F.col("image_id").isNotNull(), F.coalesce("class_id", "image_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n", F.lit(0)).alias("corners"))
 
 
 def draw(vector: np.ndarray, side: int = 96) -> np.ndarray:
@@ -294,15 +423,37 @@ def draw(vector: np.ndarray, side: int = 96) -> np.ndarray:
     return np.clip(out, 0, 255).astype(np.uint8)
 
 
-def edited(picture: np.ndarray) -> np.ndarray:
-    """The picture cropped and brightened, in a frame."""
-    cut = picture[8:-6, 5:-9].astype(np.float32) * 0.85 + 30
-    return np.pad(np.clip(cut, 0, 255).astype(np.uint8), 4, constant_values=20)
+#: The edits of planted copies, one after another.
+EDITS = ("crop to half the area", "scale to 3/4", "quarter turn", "noise", "contrast", "frame")
+#: Ids of planted copies: far from their originals'.
+COPY_IDS = 1 << 40
+
+
+def edited(picture: np.ndarray, edit: str) -> np.ndarray:
+    h, w = picture.shape
+    x = picture.astype(np.float32)
+    if edit == "crop to half the area":
+        return picture[: round(h * 0.7072), w - round(w * 0.7072) :]
+    if edit == "scale to 3/4":
+        x = _resize(x, 0.75)
+    elif edit == "quarter turn":
+        return np.ascontiguousarray(np.rot90(picture))
+    elif edit == "noise":
+        x = x + np.random.default_rng(zlib.crc32(picture.tobytes())).normal(0, 8, x.shape)
+    elif edit == "contrast":
+        x = x * 0.6 + 50
+    else:
+        x = np.pad(x[8:-6, 5:-9] * 0.85 + 30, 4, constant_values=20)
+    return np.clip(np.round(x), 0, 255).astype(np.uint8)
+
+
+def pgm(picture: np.ndarray) -> bytes:
+    return b"P5 %d %d 255\n" % (picture.shape[1], picture.shape[0]) + picture.tobytes()
 
 
 def pictures(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 8) -> DataFrame:
-    """(image_id, data): each row's vector as a PGM file with the id 2 vec_id, and for each id divisible by
-    `every` an edited copy with the id 2 vec_id + 1. Null vectors give null data."""
+    """(image_id, data): each row's vector drawn as a PGM file, and for each id divisible by `every` an edited copy with
+    the id COPY_IDS + id; the edits take turns. Null vectors give null data, null ids no copy."""
 
     def render(batches):
         for b in batches:
@@ -311,10 +462,9 @@ def pictures(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
                 ids, data = [], []
                 for i, e in zip(part.column("id").to_pylist(), part.column("e").to_pylist()):
                     x = None if e is None else draw(np.array([0.0 if c is None else c for c in e], np.float32))
-                    for k, y in ((0, x), (1, edited(x) if x is not None and i is not None and i % every == 0 else None)):
-                        if k == 0 or y is not None:
-                            ids.append(None if i is None else 2 * i + k)
-                            data.append(None if y is None else b"P5 %d %d 255\n" % (y.shape[1], y.shape[0]) + y.tobytes())
+                    ids.append(i), data.append(None if x is None else pgm(x))
+                    if x is not None and i is not None and i % every == 0:
+                        ids.append(COPY_IDS + i), data.append(pgm(edited(x, EDITS[i // every % len(EDITS)])))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["image_id", "data"])
 
     return vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("e")).mapInArrow(render, "image_id long, data binary")
