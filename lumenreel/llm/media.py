@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch, local_roots, release, signed
+from lumenreel.llm.common import Scratch, chunks, local_roots, release, signed, unsigned
 from lumenreel.llm.graph import components
-from lumenreel.llm.lines import _tiles, bucket_pairs, bucket_rows
+from lumenreel.llm.lines import _tiles
 
 #: Scales of the pyramid; a corner is the strongest of its neighbourhood (pixels to each side), so how many there
 #: are grows with the area and a crop keeps those inside it; half-width of a patch; least strength of a corner.
@@ -22,16 +22,17 @@ SCALES = (1.0, 0.84, 0.71, 0.59, 0.5)
 APART, HALF, STRONG = 6, 9, 4.0
 #: Binary tests of a descriptor, and differing bits of a match.
 TESTS, NEAR = 256, 48
-#: Tables; each is keyed by 14 bits of a corner, 14 of one of its six nearest corners, and their geometry.
-TABLES, KEY_BITS, NEIGHBOURS, TURNS = 2, 14, 6, 12
-#: Keys that two images must share to be compared whole.
-SHARED = 2
+#: Tables; each is keyed by 12 bits of a corner, 12 of one of its six nearest corners, and their geometry: angles in
+#: steps of a turn, the distance in steps of an octave.
+TABLES, KEY_BITS, NEIGHBOURS, TURNS, OCTAVE = 2, 12, 6, 16, 4
+#: Of 64 further bits beside a key at most so many may differ; then two images are compared whole.
+REST = 6
 #: Matches that must agree on one similarity transform, within so many pixels.
 AGREE, SLACK = 6, 3.0
 #: Corners in one cell of so many pixels count once: one corner is found at several scales.
 CELL = 6
-#: Images of one bucket paired with each other; larger buckets are compared in tiles.
-RUN = 256
+#: Entries of one bucket compared with each other; larger buckets are compared in tiles.
+RUN = 4096
 #: Longer sides are scaled down to this, which bounds the corners of an image.
 SIDE_LIMIT = 512
 
@@ -211,10 +212,12 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).reshape(len(bits), TESTS // 64)
 
 
-def table_keys(spots: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The distinct keys of an image: 14 bits of a corner and of a near corner of its scale, the direction between them,
-    the difference of their angles and their distance in steps. The corner with the smaller code comes first."""
-    out = [np.zeros(0, np.uint64)]
+def table_entries(spots: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, rest) of an image. A key holds 12 bits of a corner and of a near corner of its scale, the direction
+    between them, the difference of their angles and their distance; rest, 32 further bits of each. The corner with
+    the smaller code comes first."""
+    keys, rests = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    half = np.uint64(0xFFFFFFFF)
     for size in np.unique(spots[:, 3]):
         at = np.flatnonzero(spots[:, 3] == size)
         p = spots[at, :2] / size
@@ -232,10 +235,15 @@ def table_keys(spots: np.ndarray, bits: np.ndarray) -> np.ndarray:
                 way = np.arctan2(spots[b, 1] - spots[a, 1], spots[b, 0] - spots[a, 0]) - spots[a, 2]
                 far = np.log2(np.hypot(spots[b, 0] - spots[a, 0], spots[b, 1] - spots[a, 1]) / size)
                 key = code[a] << np.uint64(KEY_BITS) | code[b]
-                for v, steps in ((way / (2 * np.pi) * TURNS, TURNS), ((spots[b, 2] - spots[a, 2]) / (2 * np.pi) * TURNS, TURNS), (2 * far, 32)):
+                for v, steps in ((way / (2 * np.pi) * TURNS, TURNS), ((spots[b, 2] - spots[a, 2]) / (2 * np.pi) * TURNS, TURNS), (OCTAVE * far, 64)):
                     key = key * np.uint64(steps) + np.mod(np.floor(v + t / TABLES), steps).astype(np.uint64)
-                out.append((key * np.uint64(TABLES) + np.uint64(t)) * np.uint64(0x9E3779B97F4A7C15))
-    return np.unique(np.concatenate(out))
+                keys.append((key * np.uint64(TABLES) + np.uint64(t)) * np.uint64(0x9E3779B97F4A7C15))
+                rests.append((bits[a, 1] & half) << np.uint64(32) | bits[b, 1] & half)
+    key, rest = np.concatenate(keys), np.concatenate(rests)
+    order = np.lexsort((rest, key))
+    key, rest = key[order], rest[order]
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (rest[1:] != rest[:-1])][: len(key)]
+    return key[fresh], rest[fresh]
 
 
 def consensus(p: np.ndarray, q: np.ndarray) -> int:
@@ -268,41 +276,69 @@ def _image(spots: bytes, bits: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(spots, np.float32).reshape(-1, 4), np.frombuffer(bits, np.uint64).reshape(-1, TESTS // 64)
 
 
-_MET = "a long, b long, key long, n long"
+_MET = "a long, b long, key long, near boolean"
 
 
 def _meet(batches):
-    """Pairs (a, b, n) of rows (key, h) sorted by key: images of buckets of up to RUN, n keys shared at least. In larger
-    buckets each image with the bucket's lead, with the key beside the pair."""
-
-    def emit(key, h, leads):
-        (a, b), (lead, far, of) = bucket_pairs(key, h, leads, RUN)
-        x, y = (np.r_[p, q].view(np.int64) for p, q in ((a, lead), (b, far)))
-        if not len(x):
-            return
-        k = np.r_[np.zeros(len(a), np.uint64), of].view(np.int64)
-        rows, n = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), k], 1), axis=0, return_counts=True)
-        none = rows[:, 2] == 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(rows[:, 2], pa.int64(), mask=none), pa.array(n, pa.int64())], names=["a", "b", "key", "n"])
-
-    return bucket_rows(batches, RUN, emit)
-
-
-def shared_keys(images: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of all images that share at least SHARED keys; each key's images are taken pair by pair in steps."""
-    keys = [table_keys(*x) for x in images]
-    key, who = np.concatenate(keys), np.repeat(np.arange(len(images)), [len(k) for k in keys])
-    order = np.argsort(key, kind="stable")
-    key, who = key[order], who[order]
-    count = np.zeros((len(images), len(images)), np.int32)
-    live = np.arange(len(key))
-    for d in range(1, len(images)):
+    """Pairs (a, b) of rows (key, h, rest) sorted by key and h: different images of a bucket of up to RUN entries whose
+    rests are near. In larger buckets each entry with the bucket's first, the key and whether the rests are near."""
+    held: pa.Table | None = None
+    lead: tuple | None = None  # (key, h, rest) that a bucket over RUN began with
+    for t in chunks(batches, 100_000):
+        t = t if held is None else pa.concat_tables([held, t])
+        held = None
+        key, h, rest = (unsigned(t.column(c)) for c in ("key", "h", "rest"))
+        ends = np.flatnonzero(key[1:] != key[:-1])
+        cut = int(ends[-1]) + 1 if len(ends) else 0
+        leads = [lead] if lead else []
+        if len(key) - cut <= RUN and not (lead and lead[0] == key[-1]):
+            held = t.slice(cut)
+            key, h, rest, lead = key[:cut], h[:cut], rest[:cut], None
+        elif not lead or lead[0] != key[-1]:
+            lead = (key[cut], h[cut], rest[cut])
+            leads.append(lead)
+        if len(key):
+            yield from _near_in_buckets(key, h, rest, leads)
+    if held is not None and held.num_rows:
+        yield from _near_in_buckets(*(unsigned(held.column(c)) for c in ("key", "h", "rest")), [])
+
+
+def _near_in_buckets(key: np.ndarray, h: np.ndarray, rest: np.ndarray, leads: list[tuple]):
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[start, len(key)])
+    group = np.repeat(np.arange(len(start)), size)
+    large, lead_h, lead_rest = size > RUN, h[start], rest[start]
+    for k, x, r in leads:
+        here = key[start] == k
+        large[here], lead_h[here], lead_rest[here] = True, x, r
+    a, b = [], []
+    live = np.flatnonzero(~large[group] & (size[group] > 1))
+    for d in range(1, RUN):
         live = live[live + d < len(key)]
-        live = live[key[live + d] == key[live]]
+        live = live[group[live + d] == group[live]]
         if not len(live):
             break
-        np.add.at(count, (who[live], who[live + d]), 1)
-    return np.nonzero(np.triu(count + count.T >= SHARED, 1))
+        near = live[(np.bitwise_count(rest[live] ^ rest[live + d]) <= REST) & (h[live] != h[live + d])]
+        a.append(h[near]), b.append(h[near + d])
+    if a:
+        x, y = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.bool_())], names=["a", "b", "key", "near"])
+    far = np.flatnonzero(large[group])
+    if len(far):
+        of = group[far]
+        near = (np.bitwise_count(rest[far] ^ lead_rest[of]) <= REST) & (h[far] != lead_h[of])
+        yield pa.RecordBatch.from_arrays([signed(lead_h[of]), signed(h[far]), signed(key[far]), pa.array(near)], names=["a", "b", "key", "near"])
+
+
+def tile_pairs(key: np.uint64, images: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the images that have near rests under the key."""
+    held = [table_entries(*x) for x in images]
+    rests = [r[k == key] for k, r in held]
+    rest, who = np.concatenate(rests), np.repeat(np.arange(len(images)), [len(r) for r in rests])
+    i, j = np.nonzero(np.triu(np.bitwise_count(rest[:, None] ^ rest[None]) <= REST, 1))
+    both = np.unique(np.stack([who[i], who[j]], 1), axis=0)
+    return both[:, 0], both[:, 1]
 
 
 def _joined(batches):
@@ -311,7 +347,7 @@ def _joined(batches):
 
     def done():
         a, b = [], []
-        for i, j in zip(*shared_keys(images)):
+        for i, j in zip(*tile_pairs(np.int64(tile[0]).view(np.uint64), images)):
             if comps[i] != comps[j] and agree(images[i], images[j]):
                 a.append(comps[i]), b.append(comps[j])
         if a:
@@ -344,14 +380,13 @@ def _verify(batches):
 def image_copies(scratch: Scratch, images: DataFrame, image_id: str = "image_id", data: str = "data") -> DataFrame:
     """(image_id, class_id, class_size, corners) of every image row.
 
-    Equal bytes are one image. Of the others, two are compared whole if they share two keys of the tables; they
-    are linked if at least six corner matches (48 of 256 bits differ at most) agree on one similarity transform,
+    Equal bytes are one image. Of the others, two are compared whole if they share a key of the tables, with
+    at most 6 of 64 further bits different; they are linked if at least six corner matches (48 of 256 bits differ at most) agree on one similarity transform,
     as for crops, turns, scalings, noise and changes of brightness or contrast. Mirrored copies are not found.
     class_id is the smallest id that links reach, class_size the number of different images there.
 
-    In buckets of more than 256 images each is compared with the bucket's lead first; all that are not in one
-    component by then meet in tiles, where every pair that shares two keys is compared. So no pair is left
-    out for a bucket's size. Descriptors are shuffled only for images that have candidates.
+    In buckets of more than 4096 entries each is compared with the bucket's first; all that are not in one
+    component by then meet in tiles, where every pair is compared. So no pair is left out for a bucket's size. Descriptors are shuffled only for images that have candidates.
 
     Null, empty or undecodable data: no corners, a class with equal bytes only (null: by itself). Flat
     images: likewise. Null ids: returned with a null class. Empty table: no rows. Repeated rows: alike. Other
@@ -387,13 +422,14 @@ def image_copies(scratch: Scratch, images: DataFrame, image_id: str = "image_id"
         for b in batches:
             h = b.column("h").to_numpy()
             for at in range(0, b.num_rows, 500):
-                keys = [table_keys(*_image(s.as_py(), d.as_py())) for s, d in zip(b.column("spots")[at : at + 500], b.column("bits")[at : at + 500])]
-                owner = np.repeat(h[at : at + 500], [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(owner)], names=["key", "h"])
+                found = [table_entries(*_image(s.as_py(), d.as_py())) for s, d in zip(b.column("spots")[at : at + 500], b.column("bits")[at : at + 500])]
+                key, rest = (np.concatenate(x) for x in zip(*found))
+                owner = np.repeat(h[at : at + 500], [len(k) for k, _ in found])
+                yield pa.RecordBatch.from_arrays([signed(key), pa.array(owner), signed(rest)], names=["key", "h", "rest"])
 
-    entries = described.mapInArrow(spread, "key long, h long").repartition("key").sortWithinPartitions("key")
+    entries = described.mapInArrow(spread, "key long, h long, rest long").repartition("key").sortWithinPartitions("key", "h")
     met = scratch.write(entries.mapInArrow(_meet, _MET), "met")
-    pairs = scratch.write(met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b"), "pairs")
+    pairs = scratch.write(met.where("near or key is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     large = met.where("key is not null")
     wanted = pairs.unionByName(large.select("a", "b")).select(F.explode(F.array("a", "b")).alias("h")).distinct()
     shown = scratch.write(described.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "shown")
