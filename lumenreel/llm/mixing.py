@@ -15,6 +15,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 #: Ranks are cut by radix: so many bins, then so many in the crossing bin, then exact order inside one.
 BINS = 4096
+#: Inside a source a document is wanted in proportion to this plus the binary digits of its number of words.
+BASE_WANT = 8
 
 
 @dataclass
@@ -25,13 +27,14 @@ class Mix:
     seed: str
 
     def apply(self, docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-        """docs with __size, __source_size, __target and __copies; a narrow pass."""
+        """docs with __size, __source_size, __target, __expected and __copies; a narrow pass beside the table of cuts."""
         keyed = docs.withColumns({"__skey": _skey(source), "__size": n_words(text), "__draw": _draw(doc_id, source, text, self.seed)})
-        out = keyed.join(self.cuts, "__skey", "left")
+        out = keyed.withColumn("__digits", _digits(F.col("__size"))).join(self.cuts, ["__skey", "__digits"], "left")
         v = _pareto(F.col("__draw"), F.col("__frac"))
         b1, b2 = _bins(v)
-        chosen = F.coalesce((b1 < F.col("__b1")) | ((b1 == F.col("__b1")) & ((b2 < F.col("__b2")) | ((b2 == F.col("__b2")) & (F.col("__draw") <= F.col("__cut"))))), F.lit(False))
-        return out.withColumn("__copies", (F.col("__whole") + chosen.cast("long")).cast("long")).drop("__skey", "__draw", "__frac", "__whole", "__b1", "__b2", "__cut")
+        last = (v < F.col("__cut.v")) | ((v == F.col("__cut.v")) & (F.col("__draw") <= F.col("__cut.draw")))
+        chosen = F.coalesce((b1 < F.col("__b1")) | ((b1 == F.col("__b1")) & ((b2 < F.col("__b2")) | ((b2 == F.col("__b2")) & last))), F.lit(False))
+        return out.withColumn("__copies", (F.col("__whole") + chosen.cast("long")).cast("long")).drop("__skey", "__digits", "__draw", "__frac", "__whole", "__b1", "__b2", "__cut")
 
 
 def _skey(source: str) -> Column:
@@ -44,6 +47,11 @@ def _draw(doc_id: str, source: str, text: str, seed: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), part(doc_id), part(source), F.md5(part(text))))
 
 
+def _digits(size: Column) -> Column:
+    """Binary digits of a number of words: the level that decides how much a document is wanted."""
+    return F.length(F.bin(size)).cast("long")
+
+
 def _pareto(draw: Column, frac: Column) -> Column:
     """Random odds over inclusion odds, Q, folded to Q / (1 + Q) in (0, 1)."""
     u = (F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
@@ -78,23 +86,45 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return s.select("__skey", "__source_size", target.cast("double").alias("__target"))
 
 
+def expected(levels: DataFrame, most: float = MOST) -> DataFrame:
+    """(__skey, __digits, __source_size, __target, __expected) of levels (..., __words): how often a document of a level
+    is taken on average, in proportion to what its level is wanted and at most `most` times, so that the
+    source's words are its target. A few dozen rows a source."""
+    w = F.col("__digits") + BASE_WANT
+    by = Window.partitionBy("__skey").orderBy(F.desc("__digits"))
+    full = F.coalesce(F.sum("__words").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = F.sum(w * F.col("__words")).over(by.rowsBetween(0, Window.unboundedFollowing))
+    scale = F.when(wanted > 0, (F.col("__target") - full * F.lit(most)) / wanted)
+    s = levels.withColumn("__scale", scale)
+    fits = F.when(F.col("__scale") * w < most, F.struct((-F.col("__digits")).alias("at"), F.col("__scale").alias("scale")))
+    s = s.withColumn("__fit", F.min(fits).over(Window.partitionBy("__skey")))
+    often = F.when(F.col("__source_size") <= 0, F.lit(0.0)).when(F.col("__fit").isNull(), F.lit(most)).otherwise(F.least(F.lit(most), F.col("__fit.scale") * w))
+    return s.withColumn("__expected", often).drop("__scale", "__fit")
+
+
 def mix(scratch: Scratch, docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: str = "mix-1") -> Mix:
     """Decide how often each document is taken, so that each source's words come near its target.
 
-    A source with target f times its size gets floor(f) certain copies of every document. The rest is
-    a Pareto order sample: documents ranked by random odds over inclusion odds, taken from the front
-    until the words of the target are reached (the last one if that comes nearer).
+    Inside a source longer documents are wanted more: a document's expected copies grow with the binary
+    digits of its number of words, up to `most`, and make up the target. The whole part is certain. The
+    fractions are inclusion probabilities of a Pareto order sample: documents are ranked by random odds
+    over inclusion odds and taken from the front until the words left of the target are reached (the last
+    one if that comes nearer).
 
     The cut is found by radix over (source, bin) sums with map-side combine: no source is ever sorted
-    or brought together, however large. Null text: size 0. Null source: a source of its own, last.
-    Empty table: no cuts, empty result. Rows alike in id, source and text share one draw.
+    or brought together, however large; what meets in one task is a row for each source. Null text: size 0.
+    Null source: a source of its own, last. Empty table: no cuts, empty result. Rows alike in id, source and
+    text share one draw, so all are taken or none.
     """
-    rows = scratch.write(docs.select(_skey(source).alias("__skey"), n_words(text).alias("__size"), _draw(doc_id, source, text, seed).alias("__draw")), "draws")
-    t = targets(rows.groupBy("__skey").agg(F.sum("__size").alias("__source_size")), weights, most)
-    e = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    t = t.withColumn("__whole", F.floor(e)).withColumn("__frac", e - F.floor(e))
-    t = scratch.write(t.withColumn("__rest", F.col("__target") - F.col("__whole") * F.col("__source_size")), "targets")
-    ranked = rows.join(t.where("__frac > 0").select("__skey", "__frac", "__rest"), "__skey").withColumn("__v", _pareto(F.col("__draw"), F.col("__frac")))
+    rows = docs.select(_skey(source).alias("__skey"), n_words(text).alias("__size"), _draw(doc_id, source, text, seed).alias("__draw"))
+    rows = scratch.write(rows.withColumn("__digits", _digits(F.col("__size"))), "draws")
+    levels = scratch.write(rows.groupBy("__skey", "__digits").agg(F.sum("__size").alias("__words")), "levels")
+    t = scratch.write(targets(levels.groupBy("__skey").agg(F.sum("__words").alias("__source_size")), weights, most), "targets")
+    e = expected(levels.join(t, "__skey"), most).withColumn("__whole", F.floor("__expected"))
+    e = scratch.write(e.withColumn("__frac", F.col("__expected") - F.col("__whole")), "expected")
+    rest = e.groupBy("__skey").agg((F.first("__target") - F.sum(F.col("__whole") * F.col("__words"))).alias("__rest"))
+    part = e.where("__frac > 0").select("__skey", "__digits", "__frac").join(rest, "__skey")
+    ranked = rows.join(part, ["__skey", "__digits"]).withColumn("__v", _pareto(F.col("__draw"), F.col("__frac")))
     b1, b2 = _bins(F.col("__v"))
     ranked = ranked.withColumns({"__bin1": b1, "__bin2": b2})
 
@@ -110,8 +140,9 @@ def mix(scratch: Scratch, docs: DataFrame, source: str = "source", text: str = "
     x2 = crossing(in1.groupBy("__skey", "__bin2", "__rest").agg(F.sum("__size").cast("double").alias("__words")), "__bin2")
     x2 = scratch.write(x2.select("__skey", F.col("__bin2").alias("__b2"), (F.col("__rest") - F.col("__base")).alias("__rest2")), "cross2")
     in2 = in1.drop("__rest").join(x2, "__skey").where("__bin2 = __b2")
-    order = Window.partitionBy("__skey").orderBy("__draw", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("__skey").orderBy("__v", "__draw", "__size").rowsBetween(Window.unboundedPreceding, -1)
     taken = in2.withColumn("__before", F.coalesce(F.sum("__size").over(order), F.lit(0))).where("__before + __size / 2 <= __rest2")
-    cut = taken.groupBy("__skey").agg(F.max("__draw").alias("__cut"))
-    cuts = t.drop("__rest").join(x1.select("__skey", "__b1"), "__skey", "left").join(x2.select("__skey", "__b2"), "__skey", "left").join(cut, "__skey", "left")
+    cut = taken.groupBy("__skey").agg(F.max(F.struct(F.col("__v").alias("v"), F.col("__draw").alias("draw"))).alias("__cut"))
+    at = x1.select("__skey", "__b1").join(x2.select("__skey", "__b2"), "__skey", "left").join(cut, "__skey", "left")
+    cuts = e.drop("__words").join(at, "__skey", "left")
     return Mix(scratch.write(cuts, "cuts"), seed)

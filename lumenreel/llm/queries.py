@@ -111,7 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_kdtree": op10_kdtree,
 }
 
-#: DuckDB for op5: the same draw orders each source's documents, so the prefix is the same.
+#: DuckDB for op5: targets, expected copies, odds and the order by them, all from the tables.
 ORACLES: dict[str, str] = {
     "op5_mixing": r"""
 WITH d AS (
@@ -119,6 +119,8 @@ WITH d AS (
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          md5(concat_ws('|', 'mix-1', coalesce(doc_id::VARCHAR, '~'), coalesce(source, '~'), md5(coalesce(text, '~')))) AS draw
   FROM documents
+), l AS (
+  SELECT *, length(bin(size)) AS digits, (('0x' || substr(draw, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM d
 ), s AS (
   SELECT skey, nosrc, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL
 ), w AS (
@@ -132,15 +134,27 @@ WITH d AS (
   SELECT *, (SELECT arg_min(level, (fill, skey)) FROM g WHERE level < fill) AS final FROM g
 ), t AS (
   SELECT skey, source_size, CASE WHEN final IS NULL OR fill <= final THEN room ELSE w * final END AS target FROM h
+), v AS (
+  SELECT skey, digits, sum(size)::BIGINT AS words, digits + 8 AS want FROM l GROUP BY ALL
+), a AS (
+  SELECT v.*, t.source_size, t.target,
+         (t.target - 3.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY skey ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
+         / nullif(sum(want * words) OVER (PARTITION BY skey ORDER BY digits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT, 0) AS scale
+  FROM v JOIN t USING (skey)
+), b AS (
+  SELECT skey, arg_min(scale, -digits) AS scale FROM a WHERE scale * want < 3 GROUP BY 1
+), e0 AS (
+  SELECT a.skey, a.digits, a.words, a.source_size, a.target,
+         CASE WHEN a.source_size <= 0 THEN 0.0::DOUBLE WHEN b.scale IS NULL THEN 3.0::DOUBLE ELSE least(3.0::DOUBLE, b.scale * a.want) END AS often
+  FROM a LEFT JOIN b USING (skey)
 ), e AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e FROM t
+  SELECT *, floor(often)::BIGINT AS whole, often - floor(often) AS frac, target - sum(floor(often)::BIGINT * words) OVER (PARTITION BY skey)::BIGINT AS rest FROM e0
+), q AS (
+  SELECT l.doc_id, l.size, l.draw, e.skey, e.source_size, e.target, e.whole, e.frac, e.rest, (l.u / (1 - l.u)) / (e.frac / (1 - e.frac)) AS odds
+  FROM l JOIN e ON l.skey = e.skey AND l.digits = e.digits
 ), r AS (
-  SELECT d.*, e.source_size, e.target, floor(e.e)::BIGINT AS whole, e.e - floor(e.e) AS frac,
-         e.target - floor(e.e) * e.source_size AS rest,
-         coalesce(sum(size) OVER (PARTITION BY d.skey ORDER BY draw, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN e USING (skey)
+  SELECT *, coalesce(sum(size) FILTER (frac > 0) OVER (PARTITION BY skey ORDER BY CASE WHEN frac > 0 THEN odds / (1 + odds) ELSE 2 END, draw, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q
 )
-SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN frac > 0 AND before + size / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN frac > 0 AND before + size / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r""",
 }
