@@ -11,10 +11,14 @@ from lumenreel.llm.common import Scratch
 
 #: A coordinate is 30 bits of place in its dimension's range and 32 bits that settle ties.
 PLACE, TIE = 30, 32
-#: Bits of a coordinate told apart in one pass.
-DIGIT = 12
+#: Bins that a pass deals a node's range to.
+BINS = 4096
 #: Copies of one text stay together up to this share of a shard; larger groups are dealt row by row.
 HEAVY = 1 / 16
+#: Nodes of a level that are sent to all tasks (a few MB); beyond, no node is hot and the join is shuffled.
+SENT_NODES = 1 << 16
+#: A cut that is off by this share of a leaf's bytes at most is not refined.
+FINE = 0.002
 #: Rows numbered by one task.
 SLOT_ROWS = 20_000
 
@@ -28,18 +32,15 @@ def _number(col: Column, kind: str) -> Column:
     return F.when(n.isNull() | F.isnan(n), F.lit(0.0)).otherwise(n)
 
 
-def _choose(values: dict[int, object], node: Column, kind: str) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), node).cast(kind)
-
-
 def kd_shards(scratch: Scratch, docs: DataFrame, shards: int | None = 16, target_bytes: int | None = None, dims: tuple[str, ...] = ("source", "lang", "n_chars"), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, shard) for every row.
 
     The tree: a node is split along the dimension in which its rows spread widest (as a share of the
     whole range), at the median weighted by bytes, until there are `shards` leaves or each leaf has
     at most `target_bytes`. All nodes of a level are measured together. The median is found by radix
-    over bin sums with map-side combine, so no node's rows are sorted or meet in one task; the driver
-    holds nodes x 4096 sums at most. Shards of one parent are neighbours.
+    over bin sums with map-side combine, so no node's rows are sorted or meet in one task. Nodes, cuts and
+    bin sums are tables, however many there are; the driver sees one row of limits. Shards of one parent are
+    neighbours.
 
     Equal texts have one point (that of their smallest row) and stay together unless the group holds
     over 1/16 of a shard's bytes; then its rows are dealt one by one, so a hot group splits.
@@ -71,55 +72,57 @@ def kd_shards(scratch: Scratch, docs: DataFrame, shards: int | None = 16, target
         return F.shiftleft(place.cast("long"), TIE).bitwiseOR(F.shiftrightunsigned(tie, 64 - TIE))
 
     points = scratch.write(p.select("doc_id", "size", "text_crc32", "g", *[key(c).alias(c) for c in cs], F.lit(1).cast("long").alias("node")), "points")
-    size = {1: leaves}  # node: leaves below it
-    first = {1: 0}  # node: its first shard
-    level = 0
-    done: dict[int, int] = {}
-    while any(n > 1 for n in size.values()):
-        work = {k: n for k, n in size.items() if n > 1}
-        done |= {k: first[k] for k, n in size.items() if n == 1}
-        at = points.where(F.col("node").isin(list(work))) if len(work) <= 64 else points.join(F.broadcast(scratch.spark.createDataFrame([(k,) for k in work], "node long")), "node", "left_semi")
-        stat = {r["node"]: r for r in at.groupBy("node").agg(F.sum("size").alias("w"), *[(F.max(c) - F.min(c)).alias(f"d{c}") for c in cs]).collect()}
-        for k in work:  # a node without rows: any cut will do
-            stat.setdefault(k, {"w": 0} | {f"d{c}": 0 for c in cs})
-        dim = {k: max(range(len(cs)), key=lambda i: (stat[k][f"d{cs[i]}"], -i)) for k in work}
-        want = {k: stat[k]["w"] * (-(-n // 2)) / n for k, n in work.items()}
-        along = F.element_at(F.array(*cs), _choose({k: i + 1 for k, i in dim.items()}, F.col("node"), "int"))
-        prefix, below = {k: 0 for k in work}, {k: 0 for k in work}
-        cut: dict[int, int] = {}
-        shift = PLACE + TIE
-        while shift > 0 and len(cut) < len(work):
-            bits = min(DIGIT, shift)
-            shift -= bits
-            live = {k: prefix[k] for k in work if k not in cut}
-            pre = _choose(live, F.col("node"), "long")
-            here = at.where(F.col("node").isin(list(live))).withColumn("k", along).where(F.shiftright(F.col("k"), shift + bits) == pre)
-            sums: dict[int, list] = {k: [] for k in live}
-            for r in here.groupBy("node", F.shiftright(F.col("k"), shift).alias("bin")).agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect():
-                sums[r["node"]].append((r["bin"], r["w"], r["n"]))
-            for k, found in sums.items():
-                run = below[k]
-                for b, w, _ in sorted(found):
-                    if run + w >= want[k]:
-                        near = b if want[k] - run <= run + w - want[k] else b + 1
-                        fine = min(want[k] - run, run + w - want[k]) <= 0.002 * lim["bytes"] / leaves
-                        if fine or not shift:
-                            cut[k] = near << shift
-                        prefix[k], below[k] = b, run
-                        break
-                    run += w
-                else:
-                    cut[k] = 1 << (PLACE + TIE)
-        split = _choose(cut, F.col("node"), "long")
-        moved = F.when(split.isNull(), F.col("node")).otherwise(F.col("node") * 2 + (F.element_at(F.array(*cs), F.coalesce(_choose({k: i + 1 for k, i in dim.items()}, F.col("node"), "int"), F.lit(1))) >= split).cast("long"))
-        points = points.withColumn("node", moved)
-        level += 1
-        if level % 2 == 0:
+    nodes = scratch.spark.range(1).select(F.lit(1).cast("long").alias("node"), F.lit(leaves).cast("long").alias("leaves"), F.lit(0).cast("long").alias("first"))
+    depth = (leaves - 1).bit_length()
+    for level in range(depth):
+        cuts = _cuts(scratch, points, nodes, cs, level, FINE * lim["bytes"] / leaves)
+        along = _along(cs)
+        right = F.coalesce(along >= F.col("cut"), F.lit(False))
+        moved = F.when(F.col("cut").isNull(), F.col("node")).otherwise(F.col("node") * 2 + right.cast("long"))
+        points = points.join(_sent(cuts, level), "node", "left").withColumn("node", moved).drop("dim", "cut")
+        if level % 2:
             points = scratch.write(points, f"level{level}")
-        size = {c: m for k, n in work.items() for c, m in ((2 * k, -(-n // 2)), (2 * k + 1, n // 2))}
-        first = {c: f for k, n in work.items() for c, f in ((2 * k, first[k]), (2 * k + 1, first[k] + -(-n // 2)))}
-    done |= {k: first[k] for k in size}
-    return points.select("doc_id", "size", "text_crc32", _choose(done, F.col("node"), "int").alias("shard"))
+        left = F.ceil(F.col("leaves") / 2)
+        halves = F.array(F.struct((F.col("node") * 2).alias("node"), left.alias("leaves"), F.col("first")), F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("leaves") - left).alias("leaves"), (F.col("first") + left).alias("first")))
+        whole = F.array(F.struct("node", "leaves", "first"))
+        nodes = nodes.select(F.explode(F.when(F.col("leaves") > 1, halves).otherwise(whole)).alias("n")).select("n.*")
+    return points.join(_sent(nodes.select("node", F.col("first").cast("int").alias("shard")), depth), "node").select("doc_id", "size", "text_crc32", "shard")
+
+
+def _sent(nodes: DataFrame, level: int) -> DataFrame:
+    """A table of at most 2^level nodes, broadcast while that bounds it."""
+    return F.broadcast(nodes) if 1 << level <= SENT_NODES else nodes
+
+
+def _along(cs: list[str]) -> Column:
+    return F.element_at(F.array(*cs), F.col("dim"))
+
+
+def _cuts(scratch: Scratch, points: DataFrame, nodes: DataFrame, cs: list[str], level: int, fine: float) -> DataFrame:
+    """(node, dim, cut) of the nodes with several leaves: the widest dimension, and the coordinate from which rows go
+    right. Each pass deals what is left of a node's range to BINS bins and goes on in the one that holds the median;
+    a node is done once its cut is near enough or its bin holds one coordinate."""
+    open_ = nodes.where("leaves > 1").select("node", "leaves")
+    ends = F.array(*[F.struct((F.max(c) - F.min(c)).alias("wide"), F.lit(-i).alias("dim"), F.min(c).alias("lo"), F.max(c).alias("hi")) for i, c in enumerate(cs)])
+    stat = points.join(_sent(open_, level), "node").groupBy("node", "leaves").agg(F.sum("size").alias("w"), F.array_max(ends).alias("at"))
+    state = stat.select("node", (1 - F.col("at.dim")).alias("dim"), (F.col("w") * F.ceil(F.col("leaves") / 2) / F.col("leaves")).alias("want"), F.lit(0).cast("long").alias("below"), "at.lo", "at.hi")
+    state = scratch.write(state, f"state{level}")
+    ready = []
+    while True:
+        here = points.join(_sent(state, level), "node").withColumn("k", _along(cs)).where("k between lo and hi")
+        bin_ = F.expr(f"(k - lo) div ((hi - lo) div {BINS} + 1)")
+        sums = here.groupBy("node", bin_.alias("bin")).agg(F.sum("size").alias("w"), F.min("k").alias("lo"), F.max("k").alias("hi"), *[F.first(c).alias(c) for c in ("dim", "want", "below")])
+        run = F.sum("w").over(Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        sums = sums.withColumn("to", F.col("below") + run).withColumn("from", F.col("to") - F.col("w"))
+        cross = sums.where("to >= want").groupBy("node").agg(F.min(F.struct("bin", "from", "to", "lo", "hi", "dim", "want")).alias("at")).select("node", "at.*")
+        under, over = F.col("want") - F.col("from"), F.col("to") - F.col("want")
+        done = (F.least(under, over) <= fine) | (F.col("lo") == F.col("hi"))
+        cut = F.when(done, F.when(under <= over, F.col("lo")).otherwise(F.col("hi") + 1))
+        state = scratch.write(cross.select("node", "dim", "want", F.col("from").alias("below"), "lo", "hi", cut.alias("cut")), f"pass{level}")
+        ready.append(state.where("cut is not null").select("node", "dim", "cut"))
+        state = state.where("cut is null").drop("cut")
+        if state.isEmpty():
+            return reduce(DataFrame.unionByName, ready)
 
 
 def number_rows(scratch: Scratch, df: DataFrame, group: str, order: list[str], slot: str = "slot") -> DataFrame:
