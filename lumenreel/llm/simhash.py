@@ -129,68 +129,66 @@ def links(fp: np.ndarray, group: np.ndarray, most: int = NEAR, budget: int = 2_0
 
 
 def _search(batches):
-    """Rows (mask, pattern, fp, rep) sorted by node. kind 0: an edge (a, b) of a forest with the
-    components of the links below the nodes at hand. kind 1: a row of a node that is too large, for
-    the node's child."""
-    names = ["kind", "mask", "pattern", "fp", "rep", "a", "b"]
+    """Rows (mask, pattern, fp) sorted by node. kind 0: an edge (a, b) of a forest with the components of the links
+    below the nodes at hand, of fingerprints. kind 1: a row of a node that is too large, for the node's child."""
+    names = ["kind", "mask", "pattern", "fp", "a", "b"]
 
-    def batch(kind, mask, pattern, fp, rep, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), signed(mask), signed(pattern), signed(fp), pa.array(rep), pa.array(a), pa.array(b)], names=names)
+    def batch(kind, mask, pattern, fp, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), signed(mask), signed(pattern), signed(fp), signed(a), signed(b)], names=names)
 
-    def passed_on(mask, fp, rep):
+    def passed_on(mask, fp):
         for m in np.unique(mask):
             here = mask == m
             for child in children(int(m)):
                 c = np.uint64(child)
-                z = np.zeros(int(here.sum()), np.int64)
-                yield batch(1, np.full(len(z), c), fp[here] & c, fp[here], rep[here], z, z)
+                z = np.zeros(int(here.sum()), np.uint64)
+                yield batch(1, np.full(len(z), c), fp[here] & c, fp[here], z, z)
 
-    def searched(mask, pattern, fp, rep):
+    def searched(mask, pattern, fp):
         start = np.r_[True, (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])]
         group = np.cumsum(start) - 1
         sizes = np.bincount(group)[group]
         if (sizes > LEAF).any():
             over = sizes > LEAF
-            yield from passed_on(mask[over], fp[over], rep[over])
+            yield from passed_on(mask[over], fp[over])
         keep = (sizes > 1) & (sizes <= LEAF)
-        group, fp, rep = group[keep], fp[keep], rep[keep]
+        group, fp = group[keep], fp[keep]
         if not len(fp):
             return
         order = np.lexsort((gray_rank(fp), group))
-        group, fp, rep = group[order], fp[order], rep[order]
+        group, fp = group[order], fp[order]
         for i, j in links(fp, group):
-            a, r = local_roots(rep[i], rep[j])
+            a, r = local_roots(fp[i], fp[j])
             a, r = a[a != r], r[a != r]
             z = np.zeros(len(a), np.uint64)
-            yield batch(0, z, z, z, a, a, r)
+            yield batch(0, z, z, z, a, r)
 
     held: pa.Table | None = None
     hot: tuple | None = None  # a node whose rows have been passed on so far
     for t in chunks(batches, CHUNK):
         t = t if held is None else pa.concat_tables([held, t])
         mask, pattern, fp = (unsigned(t.column(k)) for k in ("mask", "pattern", "fp"))
-        rep = t.column("rep").to_numpy()
         if hot:
             n = int(np.argmin(np.r_[(mask == hot[0]) & (pattern == hot[1]), False]))
-            yield from passed_on(mask[:n], fp[:n], rep[:n])
+            yield from passed_on(mask[:n], fp[:n])
             if n == len(fp):
                 held = None
                 continue
-            hot, t, mask, pattern, fp, rep = None, t.slice(n), mask[n:], pattern[n:], fp[n:], rep[n:]
+            hot, t, mask, pattern, fp = None, t.slice(n), mask[n:], pattern[n:], fp[n:]
         ends = np.flatnonzero((mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1]))
         cut = int(ends[-1]) + 1 if len(ends) else 0
         if len(fp) - cut > LEAF:  # the last node is too large already
-            yield from passed_on(mask[cut:], fp[cut:], rep[cut:])
+            yield from passed_on(mask[cut:], fp[cut:])
             hot, held = (mask[-1], pattern[-1]), None
         else:
             held = t.slice(cut)
         if cut:
-            yield from searched(mask[:cut], pattern[:cut], fp[:cut], rep[:cut])
+            yield from searched(mask[:cut], pattern[:cut], fp[:cut])
     if held is not None and held.num_rows:
-        yield from searched(*(unsigned(held.column(k)) for k in ("mask", "pattern", "fp")), held.column("rep").to_numpy())
+        yield from searched(*(unsigned(held.column(k)) for k in ("mask", "pattern", "fp")))
 
 
-_FOUND = "kind int, mask long, pattern long, fp long, rep long, a long, b long"
+_FOUND = "kind int, mask long, pattern long, fp long, a long, b long"
 
 
 def simhash_components(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -201,9 +199,10 @@ def simhash_components(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id"
     is dealt again to its children, whose count is bounded by the bits left, so no group is ever held
     whole. Tasks return forests, never pairs; components come from distributed union-find.
 
-    Null or empty text, or no words: fingerprint 0, linked like any other. Null doc_id: the row keeps
-    its fingerprint, joins the class of equal fingerprints, and links nothing itself; its component is
-    null if no row with an id shares the fingerprint. Rows with one doc_id are one document.
+    Null or empty text, or no words: fingerprint 0, linked like any other. Rows with one doc_id are one
+    document and join all their classes. A row without an id links like any other, and its component is the
+    smallest id that it reaches; null if there is none. Repeated rows come back as often as they stand. Empty
+    table: no rows. Other columns are not read.
     """
 
     def hashed(batches):
@@ -213,23 +212,26 @@ def simhash_components(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id"
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
     prints = scratch.write(rows.mapInArrow(hashed, "doc_id long, fp long"), "prints")
-    classes = scratch.write(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     masks = [m for top in children(0) for m in children(top)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    nodes = classes.select(F.explode(F.array(*map(F.lit, masks))).alias("mask"), "fp", "rep").select("mask", F.expr("fp & mask").alias("pattern"), "fp", "rep")
+    nodes = classes.select(F.explode(F.array(*map(F.lit, masks))).alias("mask"), "fp").select("mask", F.expr("fp & mask").alias("pattern"), "fp")
     edges = None
     while True:
-        dealt = nodes.select("mask", "pattern", "fp", "rep").repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
+        dealt = nodes.select("mask", "pattern", "fp").repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
         found = scratch.write(dealt.mapInArrow(_search, _FOUND), "found")
         more = found.where("kind = 0").select("a", "b")
         edges = more if edges is None else edges.unionByName(more)
         nodes = found.where("kind = 1")
         if nodes.isEmpty():
             break
-    # A class is known by its smallest id only: ids with several fingerprints join all their classes.
+    # The classes of one id are one component: each is joined to the id's least.
     named = prints.where("doc_id is not null").select("doc_id", "fp")
-    several = named.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("doc_id")
-    same = named.join(several, "doc_id").join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
+    several = named.groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").select("doc_id", "b")
+    same = named.join(several, "doc_id").select(F.col("fp").alias("a"), "b").where("a != b")
     comp = components(scratch, edges.unionByName(same))
-    named = scratch.write(classes.join(comp, classes["rep"] == comp["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "named")
+    members = scratch.write(comp.join(classes, comp["node"] == classes["fp"]).select("fp", "root", "first"), "members")
+    least = members.groupBy("root").agg(F.min("first").alias("least"))
+    linked = members.join(least, "root").select("fp", "least")
+    named = scratch.write(classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "named")
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")

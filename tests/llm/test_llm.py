@@ -60,17 +60,36 @@ def roots(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
+def brute_components(rows):
+    """Smallest id reachable from each (id, text) by fingerprints and by equal ids; None if there is none."""
+    fp = [brute_fp(t) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 3 or (rows[i][0] is not None and rows[i][0] == rows[j][0])]
+    root = roots(pairs, range(len(rows)))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root[k]] = min(i, least.get(root[k], i))
+    return sorted(((i, f, least.get(root[k])) for k, ((i, _), f) in enumerate(zip(rows, fp))), key=str)
+
+
 def test_simhash(spark, odd, empty):
+    rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     got = simhash.simhash_components(Scratch(spark, "t"), odd).collect()
-    text = {(r["doc_id"], brute_fp(r["text"])) for r in odd.select("doc_id", "text").collect()}
-    assert {(r["doc_id"], r["fp"] % (1 << 64)) for r in got} == text and len(got) == odd.count()
-    known = [(i, f) for i, f in text if i is not None]
-    pairs = [(a, b) for a, f in known for b, g in known if (f ^ g).bit_count() <= 3]
-    want = roots(pairs, {i for i, _ in known})
-    assert all(r["component_id"] == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
+    assert sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got), key=str) == brute_components(rows)
     assert simhash.simhash_components(Scratch(spark, "t"), empty).count() == 0
 
 
+def test_simhash_of_repeated_and_missing_ids(spark):
+    """One id with two texts joins the classes of both; a row without an id joins what its text is near."""
+    a, b, c = (" ".join(words(k, 200)) for k in (1, 2, 3))
+    near = " ".join([*a.split()[:-1], "edited"])
+    assert 0 < (brute_fp(a) ^ brute_fp(near)).bit_count() <= 3
+    rows = [(3, a), (5, a), (5, b), (9, b), (None, near), (None, c), (None, ""), (11, None)]
+    got = simhash.simhash_components(Scratch(spark, "t"), spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got), key=str) == brute_components(rows)
+    assert {r["component_id"] for r in got if r["doc_id"] in (3, 5, 9)} == {3}
+
+
 def test_gray_order_index_finds_every_link():
     rng = np.random.default_rng(0)
     centers = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
@@ -88,7 +107,7 @@ def test_large_nodes_are_dealt_to_their_children(monkeypatch):
     fp = np.unique(np.uint64(1 << 40) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (60, 2)).astype(np.uint64), axis=1))
     masks = np.array([m for top in simhash.children(0) for m in simhash.children(top)], np.uint64)
     mask, x = np.repeat(masks, len(fp)), np.tile(fp, len(masks))
-    t = pa.table({"mask": mask.view(np.int64), "pattern": (x & mask).view(np.int64), "fp": x.view(np.int64), "rep": np.tile(np.arange(len(fp)), len(masks))})
+    t = pa.table({"mask": mask.view(np.int64), "pattern": (x & mask).view(np.int64), "fp": x.view(np.int64)})
     edges, dealt = [], 0
     for _ in range(8):
         out = [b for b in simhash._search(iter(t.sort_by([("mask", "ascending"), ("pattern", "ascending")]).to_batches())) if b.num_rows]
@@ -97,10 +116,11 @@ def test_large_nodes_are_dealt_to_their_children(monkeypatch):
         if not more:
             break
         dealt += 1
-        t = pa.Table.from_batches(more).select(["mask", "pattern", "fp", "rep"])
+        t = pa.Table.from_batches(more).select(["mask", "pattern", "fp"])
     assert dealt and not more
     i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None]) <= 3, 1))
-    want = roots(zip(i.tolist(), j.tolist()), range(len(fp)))
+    own = fp.view(np.int64).tolist()
+    want = roots([(own[a], own[b]) for a, b in zip(i.tolist(), j.tolist())], own)
     e = pa.Table.from_batches(edges)
     nodes, root = local_roots(e["a"].to_numpy(), e["b"].to_numpy())
     assert all(want[n] == r for n, r in zip(nodes.tolist(), root.tolist())) and len(nodes) == sum(Counter(want.values())[r] > 1 for r in want.values())
@@ -218,6 +238,21 @@ def test_mixing_comes_near_its_targets(spark):
     assert (abs(r["sum(k)"] - r["first(t)"]) <= 51).all()
 
 
+def test_odds_decide_what_is_taken(spark):
+    """Of two lengths in one source the longer is wanted more: shares taken come near the expected copies, and
+    differ from those of equal odds."""
+    docs = spark.range(40_000).selectExpr("id as doc_id", "if(id % 4 = 0, 'a', 'b') as source", "repeat('w ', if(id % 2 = 0, 3, 60)) as text")
+    docs = docs.unionByName(spark.range(40_000, 60_000).selectExpr("id as doc_id", "'a' as source", "repeat('w ', if(id % 2 = 0, 3, 60)) as text"))
+    r = mixing.mix(Scratch(spark, "t"), docs).apply(docs).groupBy("source", "__size").agg({"__expected": "first", "__copies": "avg", "__target": "first"}).toPandas()
+    assert (abs(r["avg(__copies)"] - r["first(__expected)"]) < 0.02).all()
+    for _, s in r.groupby("source"):
+        s = s.sort_values("__size")
+        want = s["first(__expected)"].tolist()
+        assert want[1] == pytest.approx(3) or want[1] / want[0] == pytest.approx((8 + 6) / (8 + 2))
+    words_taken = mixing.mix(Scratch(spark, "t"), docs).apply(docs).selectExpr("source", "__target t", "__size * __copies k").groupBy("source").agg({"t": "first", "k": "sum"}).toPandas()
+    assert (abs(words_taken["sum(k)"] - words_taken["first(t)"]) <= 30.5).all()
+
+
 def test_toxicity(spark, empty):
     rng = np.random.default_rng(0)
     bad = [i % 4 == 0 for i in range(400)]
@@ -321,18 +356,104 @@ def test_shards_are_near_equal_with_a_hot_group(spark):
     assert some.select("shard").distinct().count() == 11 or some.select("shard").distinct().count() == 12
 
 
+def brute_shards(rows, shards, dims):
+    """The tree on sorted rows: (point, tie, size), cut at the median by bytes along the widest dimension."""
+    spans = [max(r[0][d] for r in rows) - min(r[0][d] for r in rows) for d in range(dims)] if rows else []
+    if shards == 1 or not rows:
+        return [rows] + [[] for _ in range(shards - 1)]
+    d = spans.index(max(spans))
+    order = sorted(rows, key=lambda r: r[0][d])
+    want = sum(r[1] for r in order) * (-(-shards // 2)) / shards
+    run, cut = 0, len(order)
+    for i, r in enumerate(order):
+        if run + r[1] >= want:
+            cut = i if want - run <= run + r[1] - want else i + 1
+            break
+        run += r[1]
+    return brute_shards(order[:cut], -(-shards // 2), dims) + brute_shards(order[cut:], shards // 2, dims)
+
+
+def test_cuts_equal_brute_force(spark, monkeypatch):
+    """On distinct texts with one coordinate each, every cut is that of sorting; without tolerance."""
+    monkeypatch.setattr(sharding, "FINE", 0.0)
+    rng = np.random.default_rng(4)
+    rows = [(i, "x" * int(n), int(a), int(b)) for i, (n, a, b) in enumerate(zip(rng.integers(1, 90, 700), rng.permutation(700), rng.permutation(700) ** 2))]
+    docs = spark.createDataFrame([(i, f"{i} {t}", a, b) for i, t, a, b in rows], "doc_id long, text string, a long, b long")
+    got = {r["doc_id"]: r["shard"] for r in sharding.kd_shards(Scratch(spark, "t"), docs, 12, dims=("a", "b")).collect()}
+    top = [max(r[k] for r in rows) for k in (2, 3)]
+    points = [((r[2] / top[0], r[3] / top[1]), len(f"{r[0]} {r[1]}") + 1, r[0]) for r in rows]
+    want = {p[2]: k for k, leaf in enumerate(brute_shards(points, 12, 2)) for p in leaf}
+    assert got == want
+
+
+def test_five_hundred_leaves_send_little_to_the_driver(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    sent = []
+    for name in ("collect", "first", "toPandas", "take"):
+        kept = getattr(DataFrame, name)
+        monkeypatch.setattr(DataFrame, name, lambda self, *a, f=kept, **k: sent.append(out := f(self, *a, **k)) or out)
+    docs = spark.range(6000).selectExpr("id as doc_id", "repeat(concat('t', id), 1 + cast(id % 20 as int)) as text", "concat('s', id % 5) as source", "id % 97 as n_chars")
+    placed = sharding.kd_shards(Scratch(spark, "t"), docs, 500)
+    rows = sum(len(x) if isinstance(x, list) else 1 for x in sent)
+    assert rows <= 40
+    b = placed.groupBy("shard").sum("size").toPandas()["sum(size)"]
+    assert len(b) == 500 and b.max() / b.mean() < 1.2 and b.min() / b.mean() > 0.8
+
+
 def test_images(spark):
     rng = np.random.default_rng(0)
-    vec = [(i, rng.normal(size=8).tolist()) for i in range(24)] + [(30, None), (None, [1.0] * 8)]
+    vec = [(i, rng.normal(size=8).tolist()) for i in range(48)] + [(60, None), (None, [1.0] * 8)]
     pics = media.pictures(spark.createDataFrame(vec, "vec_id long, embedding array<float>"))
-    turned = [(100, b"P5 96 96 255\n" + np.ascontiguousarray(np.rot90(media.draw(np.array(vec[5][1], np.float32)))).tobytes()), (101, b"not an image"), (102, b"not an image"), (103, b"")]
-    got = {r["image_id"]: r for r in media.image_copies(Scratch(spark, "t"), pics.unionByName(spark.createDataFrame(turned, pics.schema))).collect()}
-    assert all(got[2 * i + 1]["class_id"] == 2 * i for i in (0, 8, 16)) and got[100]["class_id"] == 10
-    assert got[102]["class_id"] == 101 and got[103]["class_id"] == 103 and got[60]["class_id"] == 60 and got[None]["class_id"] is None
-    assert all(got[2 * i]["class_id"] == 2 * i for i in range(24))
+    turned = [(100, media.pgm(np.ascontiguousarray(np.rot90(media.draw(np.array(vec[5][1], np.float32)))))), (101, b"not an image"), (102, b"not an image"), (103, b""), (104, media.pgm(np.full((64, 64), 9, np.uint8))), (5, media.pgm(media.draw(np.array(vec[5][1], np.float32))))]
+    clash = pics.unionByName(spark.createDataFrame(turned, pics.schema)).selectExpr("*", "1 as h", "2 as class_id", "'x' as key", "null as n")
+    got = {r["image_id"]: r for r in media.image_copies(Scratch(spark, "t"), clash).collect()}
+    assert all(got[media.COPY_IDS + i]["class_id"] == i and got[i]["class_size"] == 2 for i in range(0, 48, 8)) and got[100]["class_id"] == 5
+    assert got[102]["class_id"] == 101 and got[103]["class_id"] == 103 and got[60]["class_id"] == 60 and got[None]["class_id"] is None and got[104]["corners"] == 0
+    assert all(got[i]["class_id"] == i for i in range(48))
     assert media.image_copies(Scratch(spark, "t"), pics.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def gallery():
+    rng = np.random.default_rng(11)
+    return [media.draw(v) for v in rng.normal(size=(60, 8)).astype(np.float32)]
+
+
+def described(picture):
+    spots, bits = media.describe(picture.astype(np.float32), media.chosen_tests())
+    return spots, media._packed(bits)
+
+
+@pytest.mark.parametrize("edit", media.EDITS)
+def test_edited_images_are_found(gallery, edit):
+    """Of 60 pictures at least 0.9 share an entry with their copy and are linked to it; no others are."""
+    ours, theirs = [described(p) for p in gallery], [described(media.edited(p, edit)) for p in gallery]
+    found = 0
+    for x, y in zip(ours, theirs):
+        (k, r), (m, q) = media.table_entries(*x), media.table_entries(*y)
+        met = any(((k == a) & (np.bitwise_count(r ^ b) <= media.REST)).any() for a, b in zip(m, q))
+        found += met and media.agree(x, y)
+    assert found >= 0.9 * len(gallery)
+    assert not any(media.agree(ours[i], theirs[j]) for i in range(20) for j in range(20) if i != j)
+
+
+def test_large_image_buckets_equal_brute_force(spark, gallery, monkeypatch):
+    """With buckets over eight entries everything goes through leads and tiles; the classes are those of all pairs
+    that share an entry."""
+    monkeypatch.setattr(media, "RUN", 8)
+    monkeypatch.setattr(lines, "BLOCK", 4)
+    few = gallery[:5]
+    pics = [(100 * i + k, x) for i, p in enumerate(few) for k, x in enumerate([p, *(media.edited(p, e) for e in media.EDITS), *(np.clip(p.astype(int) + d, 0, 255).astype(np.uint8) for d in range(1, 7))])]
+    rows = [described(x) for _, x in pics]
+    held = [media.table_entries(*x) for x in rows]
+    met = lambda x, y: any(((x[0] == a) & (np.bitwise_count(x[1] ^ b) <= media.REST)).any() for a, b in zip(*y))
+    pairs = [(pics[i][0], pics[j][0]) for i in range(len(pics)) for j in range(i) if met(held[i], held[j]) and media.agree(rows[i], rows[j])]
+    docs = spark.createDataFrame([(i, media.pgm(x)) for i, x in pics], "image_id long, data binary")
+    got = {r["image_id"]: r["class_id"] for r in media.image_copies(Scratch(spark, "t"), docs).collect()}
+    assert got == roots(pairs, [i for i, _ in pics])
+
+
 def test_png():
     import struct
 
@@ -404,13 +525,6 @@ def test_large_buckets_of_near_copies_equal_brute_force(spark):
     assert {(i, j) for i in found for j in found if found[i] == found[j]} == {(i, j) for i in want for j in want if want[i] == want[j]}
 
 
-def test_rows_of_one_id_join_their_classes(spark):
-    a, b = " ".join(words(1)), " ".join(words(2))
-    docs = spark.createDataFrame([(5, a), (5, b), (3, a), (4, b), (9, " ".join(words(3)))], "doc_id long, text string")
-    got = {(r["doc_id"], r["component_id"]) for r in simhash.simhash_components(Scratch(spark, "t"), docs).collect()}
-    assert got == {(5, 3), (3, 3), (4, 3), (9, 9)}
-
-
 def test_pipeline_keeps_one_of_the_copies_without_an_id(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     a, b, c = (" ".join(words(k)) for k in (1, 2, 3))
