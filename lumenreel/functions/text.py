@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,7 +15,13 @@ USEFUL = r"[0-9A-Za-z\x{4e00}-\x{9fff}]"
 
 
 def count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+    """How many signs of a class a text holds (the pattern matches one sign): no array of matches is made."""
+    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used; the optimizer does not inline it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def strip(text: Column) -> Column:
@@ -55,15 +62,26 @@ def title_text(text: Column) -> Column:
 def title_tokens(normal: Column) -> Column:
     """Tokens with two CJK signs, three letters, or two letters and a digit in four signs."""
     compact = F.transform(F.filter(F.split(normal, " "), lambda t: t != ""), lambda t: F.regexp_replace(t, r"^[-_/:]+|[-_/:]+$", ""))
-    return F.filter(compact, lambda t: (count(t, CJK) >= 2) | (count(t, "[a-zA-Z]") >= 3) | ((count(t, "[a-zA-Z]") >= 2) & (count(t, r"\d") >= 1) & (F.length(t) >= 4)))
+    held = F.transform(compact, lambda t: F.struct(t.alias("t"), count(t, "[a-zA-Z]").alias("alpha")))
+    good = F.filter(held, lambda x: (x["alpha"] >= 3) | ((x["alpha"] >= 2) & (F.length(x["t"]) >= 4) & (count(x["t"], r"\d") >= 1)) | (count(x["t"], CJK) >= 2))
+    return F.transform(good, lambda x: x["t"])
 
 
 def title_signal(text: Column) -> Column:
     """normalized_text, meaningful_text, meaningful_tokens, quality_score, is_meaningful, token_count, meaningful_token_count."""
-    normal = title_text(text)
+    return let(title_text(text), _signal_of_normal)
+
+
+def _signal_of_normal(normal: Column) -> Column:
     tokens = F.filter(F.split(normal, " "), lambda t: t != "")
-    good = title_tokens(normal)
-    cjk, alpha, digit = (count(normal, p) for p in (CJK, "[a-zA-Z]", r"\d"))
+    facts = F.struct(
+        tokens.alias("tokens"), title_tokens(normal).alias("good"), count(normal, CJK).alias("cjk"), count(normal, "[a-zA-Z]").alias("alpha"), count(normal, r"\d").alias("digit"),
+    )
+    return let(facts, lambda f: _signal_of_facts(normal, f))
+
+
+def _signal_of_facts(normal: Column, facts: Column) -> Column:
+    tokens, good, cjk, alpha, digit = (facts[k] for k in ("tokens", "good", "cjk", "alpha", "digit"))
     n, kinds, held = F.size(tokens), F.size(F.array_distinct(good)), F.size(good)
     short = F.size(F.filter(tokens, lambda t: F.length(F.regexp_replace(t, r"^[-_/:]+|[-_/:]+$", "")) <= 2))
     mean = F.when(held > 0, F.aggregate(good, F.lit(0), lambda a, t: a + F.length(t)) / held).otherwise(F.lit(0.0))
@@ -82,7 +100,8 @@ def title_signal(text: Column) -> Column:
     total = reduce(lambda a, b: a + b, parts)
     total = F.when(held == 0, F.least(total, F.lit(25))).otherwise(total)
     score = F.greatest(F.lit(0), F.least(F.lit(100), total)) / F.lit(100.0)
-    return F.struct(normal.alias("normalized_text"), F.array_join(good, " ").alias("meaningful_text"), good.alias("meaningful_tokens"), score.alias("quality_score"), ((score >= 0.55) & (kinds >= 1) & ~heavy).alias("is_meaningful"), n.alias("token_count"), kinds.alias("meaningful_token_count"))
+    out = lambda q: F.struct(normal.alias("normalized_text"), F.array_join(good, " ").alias("meaningful_text"), good.alias("meaningful_tokens"), q.alias("quality_score"), ((q >= 0.55) & (kinds >= 1) & ~heavy).alias("is_meaningful"), n.alias("token_count"), kinds.alias("meaningful_token_count"))
+    return let(score, out)
 
 
 _EDGE = r"[| *\t·•\-=_,.;:，。；：]"
@@ -98,34 +117,45 @@ def ocr_text(text: Column) -> Column:
 def ocr_quality(text: Column, terms: list[str] = rules.USEFUL_TERMS) -> Column:
     """How far a line of recognised text can be trusted, 0 to 1; terms are looked for as substrings."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
-    cjk, alpha, digit, size = count(t, CJK), count(t, "[A-Za-z]"), count(t, r"\d"), F.length(t)
-    useful = cjk + alpha + digit
+    return let(t, lambda t: let(_line_facts(t, terms), lambda f: _line_score(t, f)))
+
+
+def _line_facts(t: Column, terms: list[str]) -> Column:
     known = reduce(lambda a, b: a | b, [F.contains(F.lower(t), F.lit(x.lower())) for x in terms])
+    return F.struct(count(t, CJK).alias("cjk"), count(t, "[A-Za-z]").alias("alpha"), count(t, r"\d").alias("digit"), F.length(t).alias("size"), known.alias("known"))
+
+
+def _line_score(t: Column, facts: Column) -> Column:
+    cjk, alpha, digit, size, known = (facts[k] for k in ("cjk", "alpha", "digit", "size", "known"))
+    useful = cjk + alpha + digit
     vowels = count(t, "[aeiouAEIOU]") / F.greatest(alpha, F.lit(1))
+    odd_word = F.when((alpha >= 8) & (cjk == 0) & ~known, let(vowels, lambda v: (v < 0.18) | (v > 0.58))).otherwise(False)
     parts = [
         F.when(cjk >= 2, 55).otherwise(0),
         F.when(cjk >= 5, 20).otherwise(0),
         F.when(known, 35).otherwise(0),
-        F.when(t.rlike(r"[0-9]{2,}-[A-Za-z\x{4e00}-\x{9fff}]"), 18).otherwise(0),
+        F.when((digit >= 2) & t.rlike(r"[0-9]{2,}-[A-Za-z\x{4e00}-\x{9fff}]"), 18).otherwise(0),
         F.when((alpha >= 4) & (size >= 6), 16).otherwise(0),
         F.when(useful / F.greatest(size, F.lit(1)) < 0.68, -25).otherwise(0),
         F.when(size - useful >= useful, -25).otherwise(0),
-        F.when((alpha >= 8) & (cjk == 0) & ~known & ((vowels < 0.18) | (vowels > 0.58)), -25).otherwise(0),
+        F.when(odd_word, -25).otherwise(0),
         F.when((size <= 3) & (cjk == 0) & ~known, -25).otherwise(0),
     ]
     score = F.greatest(F.lit(0), F.least(F.lit(100), reduce(lambda a, b: a + b, parts))) / F.lit(100.0)
     return F.when(size == 0, F.lit(0.0)).otherwise(score)
 
 
-def useful_line(text: Column) -> Column:
-    normal = ocr_text(text)
-    return (normal != "") & (ocr_quality(normal) >= 0.38)
+def useful_line(text: Column, least: float = 0.38) -> Column:
+    return let(ocr_text(text), lambda t: (t != "") & (ocr_quality(t) >= least))
 
 
 def document_density(lines: Column) -> Column:
     """Half for signs a line, half for long lines; 0 without lines."""
-    each = F.transform(lines, lambda t: count(t, USEFUL))
-    n = F.size(lines)
+    return let(F.transform(lines, lambda t: count(t, USEFUL)), _density)
+
+
+def _density(each: Column) -> Column:
+    n = F.size(each)
     mean = F.aggregate(each, F.lit(0), lambda a, c: a + c) / F.greatest(n, F.lit(1))
     score = F.least(mean / 18.0, F.lit(1.0)) * 0.5 + F.least(F.size(F.filter(each, lambda c: c >= 12)) / 5.0, F.lit(1.0)) * 0.5
     return F.when(n > 0, score).otherwise(F.lit(0.0))

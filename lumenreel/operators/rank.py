@@ -10,7 +10,7 @@ from lumenreel.functions import text as T
 
 def keyframe_score(place: Column, total: Column, ocr: Column, segments: Column, reason: Column) -> Column:
     """Points for ends and middle, recognised text, speech nearby and why the frame was kept."""
-    chars = F.regexp_count(F.coalesce(ocr, F.lit("")), F.lit(T.USEFUL))
+    chars = T.count(F.coalesce(ocr, F.lit("")), T.USEFUL)
     r = F.lower(F.coalesce(reason, F.lit("")))
     has = lambda word, points: F.when(F.contains(r, F.lit(word)), points).otherwise(0.0)
     score = F.when((place == 0) | (place == total - 1), 3.5).otherwise(0.0) + F.when(place == F.floor(total / 2), 2.0).otherwise(0.0)

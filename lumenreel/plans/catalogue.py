@@ -289,7 +289,7 @@ WITH {_EVENTS}, t AS (SELECT event_id, round_even(ts / 10, 0)::BIGINT AS x FROM
 SELECT event_id, CASE WHEN x >= 3600 THEN printf('%02d:%02d:%02d', x // 3600, x // 60 % 60, x % 60) ELSE printf('%02d:%02d', x // 60, x % 60) END AS label FROM t""",
     "title_signal": f"""
 WITH d AS (
-  SELECT doc_id, {_NORMAL.format("substr(string_split(coalesce(text, ''), chr(10))[1], 1, 80)")} AS n FROM documents
+  SELECT doc_id, {_NORMAL.format("string_split(coalesce(text, ''), chr(10))[1]")} AS n FROM documents
 ), t AS (
   SELECT *, list_filter(string_split(n, ' '), lambda x: x <> '') AS tokens FROM d
 ), m AS (
