@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumenreel.functions import rules
+from lumenreel.functions.rules import PLAIN, RulePack
 
 CJK = r"[\x{4e00}-\x{9fff}]"
 USEFUL = r"[0-9A-Za-z\x{4e00}-\x{9fff}]"
@@ -38,15 +39,29 @@ def replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, "(?iU)" + p[0], p[1]), pairs, F.coalesce(text, F.lit("")))
 
 
-def known_terms(text: Column) -> Column:
-    return replaced(text, rules.KNOWN_TERMS)
+def known_terms(text: Column, pack: RulePack = PLAIN) -> Column:
+    return replaced(text, pack.known_terms)
 
 
-def common_terms(text: Column) -> Column:
-    fixed = replaced(text, rules.MISREADINGS)
-    for name in ("Obsidian", "ClaudeCode", "OpenClaw"):
+def common_terms(text: Column, pack: RulePack = PLAIN) -> Column:
+    fixed = replaced(text, pack.misreadings)
+    for name in pack.gapped_names:
         fixed = F.replace(fixed, F.lit(f"{name} 使 用"), F.lit(f"{name}使用"))
-    return known_terms(fixed)
+    return known_terms(fixed, pack)
+
+
+def any_of(text: Column, words: list[str]) -> Column:
+    """Whether a text holds one of the words."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
+
+
+def how_many_of(text: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words], F.lit(0))
+
+
+def strip_of(text: Column, signs: str) -> Column:
+    """Both ends without any of the signs."""
+    return F.regexp_replace(text, f"^[{signs}]+|[{signs}]+$", "")
 
 
 def title_text(text: Column) -> Column:
@@ -114,14 +129,14 @@ def ocr_text(text: Column) -> Column:
     return F.array_join(F.filter(lines, lambda t: count(t, USEFUL) >= 2), "\n")
 
 
-def ocr_quality(text: Column, terms: list[str] = rules.USEFUL_TERMS) -> Column:
+def ocr_quality(text: Column, terms: list[str] = ()) -> Column:
     """How far a line of recognised text can be trusted, 0 to 1; terms are looked for as substrings."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
     return let(t, lambda t: let(_line_facts(t, terms), lambda f: _line_score(t, f)))
 
 
 def _line_facts(t: Column, terms: list[str]) -> Column:
-    known = reduce(lambda a, b: a | b, [F.contains(F.lower(t), F.lit(x.lower())) for x in terms])
+    known = any_of(F.lower(t), [x.lower() for x in terms])
     return F.struct(count(t, CJK).alias("cjk"), count(t, "[A-Za-z]").alias("alpha"), count(t, r"\d").alias("digit"), F.length(t).alias("size"), known.alias("known"))
 
 
@@ -145,8 +160,8 @@ def _line_score(t: Column, facts: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(score)
 
 
-def useful_line(text: Column, least: float = 0.38) -> Column:
-    return let(ocr_text(text), lambda t: (t != "") & (ocr_quality(t) >= least))
+def useful_line(text: Column, terms: list[str] = (), least: float = 0.38) -> Column:
+    return let(ocr_text(text), lambda t: (t != "") & (ocr_quality(t, terms) >= least))
 
 
 def document_density(lines: Column) -> Column:
@@ -164,7 +179,7 @@ def _density(each: Column) -> Column:
 def document_score(lines: Column, doc_terms: list[str], ui_terms: list[str]) -> Column:
     """How much a frame's lines look like a document; the word lists are parameters."""
     text = F.array_join(lines, "\n")
-    held = lambda terms: reduce(lambda a, b: a + b, [F.contains(text, F.lit(t)).cast("int") for t in terms])
+    held = lambda terms: how_many_of(text, terms)
     some = lambda p: F.size(F.filter(lines, p))
     paragraphs = some(lambda t: count(t, USEFUL) >= 18)
     heads = some(lambda t: F.startswith(t, F.lit("#")) | t.rlike("^[一二三四五六七八九十]+[、.．]"))
@@ -188,17 +203,120 @@ def looks_like_html(text: Column) -> Column:
     return F.startswith(t, F.lit("<!doctype html")) | F.startswith(t, F.lit("<html"))
 
 
-def clip_note(text: Column, limit: int = 110) -> Column:
-    t = collapse(known_terms(text))
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, limit), "[ ，,。；;：:]+$", ""), F.lit("...")))
+def has_transcript(text: Column, segments: Column) -> Column:
+    """Whether a transcript says anything: a text that is no web page, or any segment."""
+    t = strip(F.coalesce(text, F.lit("")))
+    return ((t != "") & ~looks_like_html(t)) | (F.coalesce(segments, F.lit(0)) > 0)
+
+
+def clip_note(text: Column, limit: int = 110, pack: RulePack = PLAIN) -> Column:
+    cut = lambda t: F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, limit), "[ ，,。；;：:]+$", ""), F.lit("...")))
+    return let(collapse(known_terms(text, pack)), cut)
+
+
+def speech_sentences(text: Column, pack: RulePack = PLAIN) -> Column:
+    """Sentences of eight signs or more: cut at line ends, and at white space after a closing mark."""
+    parts = F.split(known_terms(text, pack), r"(?U)(?<=[。！？!?；;])\s+|[\r\n]+")
+    return F.filter(F.transform(parts, lambda t: strip_of(F.regexp_replace(t, r"(?U)\s+", " "), " ，,。；;：:")), lambda t: F.length(t) >= 8)
+
+
+def note_sentences(sentences: Column, keywords: list[str], limit: int = 8) -> Column:
+    """The first sentences that hold a keyword, whatever the case; one of those that differ in white space or case only."""
+    bare = lambda t: F.lower(F.regexp_replace(t, r"(?U)\s+", ""))
+    held = F.filter(sentences, lambda t: any_of(F.lower(t), [k.lower() for k in keywords]))
+    first = lambda x: F.filter(x["s"], lambda t, i: F.array_position(x["bare"], bare(t)) == i + 1)
+    return let(F.struct(held.alias("s"), F.transform(held, bare).alias("bare")), lambda x: F.slice(first(x), 1, limit))
+
+
+def chunk_title(text: Column, pack: RulePack = PLAIN) -> Column:
+    titles = [F.when(reduce(lambda a, b: a & b, [any_of(text, g) for g in groups]), F.lit(title)) for groups, title in pack.chunk_titles]
+    return F.coalesce(*titles, F.lit(pack.other_title))
+
+
+def chunk_summary(text: Column, pack: RulePack = PLAIN) -> Column:
+    """What is said of a chunk with its title; without such a title its beginning."""
+    t = known_terms(text, pack)
+    title = chunk_title(t, pack)
+    known = [F.when(title == k, F.lit(v)) for k, v in pack.chunk_summaries.items()]
+    return F.coalesce(*known, clip_note(t, 130, pack))
+
+
+def speech_points(text: Column, pack: RulePack = PLAIN) -> Column:
+    """points, methods, tools and cases: arrays of what the words of a whole talk stand for, in order of the rules."""
+    none = F.array().cast("array<string>")
+    of = lambda kind: [F.when(any_of(text, words), F.lit(point)) for k, words, point in pack.speech_points if k == kind]
+    return F.struct(*[(F.array_compact(F.array(*of(k))) if of(k) else none).alias(k) for k in ("points", "methods", "tools", "cases")])
+
+
+# --- lines of documents --------------------------------------------------------------------------------------
+
+
+def document_line(text: Column, pack: RulePack = PLAIN) -> Column:
+    """Whether a recognised line belongs to a document: not refused, four useful signs, good enough."""
+    refused = lambda t: reduce(lambda a, b: a | b, [t.rlike(p) for p in pack.refused_lines], F.lit(False))
+    good = lambda t: (t != "") & ~refused(t) & (count(t, USEFUL) >= 4) & (ocr_quality(t, pack.useful_terms) >= 0.36)
+    return let(ocr_text(common_terms(text, pack)), good)
+
 
+def markdown_line(text: Column, pack: RulePack = PLAIN) -> Column:
+    """A document's line as Markdown: an item, a numbered item, a heading, or as it is."""
+    t = collapse(known_terms(common_terms(ocr_text(text), pack), pack))
+    t = replaced(t, pack.line_repairs)
+    t = F.regexp_replace(t, r"(?U)\s+([，。？！：；、])", "$1")
+    t = F.regexp_replace(t, r"(?U)([（(])\s+", "$1")
+    t = F.regexp_replace(t, r"(?U)\s+([）)])", "$1")
+    return let(t, lambda t: _as_markdown(t, pack))
 
-def chunk_title(text: Column) -> Column:
-    out = None
-    for groups, title in rules.CHUNK_TITLES:
-        hit = reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in g]) for g in groups])
-        out = F.when(hit, title) if out is None else out.when(hit, title)
-    return out.otherwise(rules.OTHER_TITLE)
+
+def _as_markdown(t: Column, pack: RulePack) -> Column:
+    part = lambda p, i: F.regexp_extract(t, p, i)
+    item, numbered, chapter = r"(?U)^[•·\-*]\s*(.+)", r"(?U)^(\d+)[.、]\s*(.+)", r"(?U)^[一二三四五六七八九十]+[、.．]\s*"
+    short = (F.length(t) <= 34) & (F.endswith(t, F.lit("：")) | F.endswith(t, F.lit(":")) | (t.rlike("(?i)" + pack.heading_end) if pack.heading_end else F.lit(False)))
+    title = strip(F.regexp_replace(t, chapter, ""))
+    return (
+        F.when(t.rlike(item), F.concat(F.lit("- "), strip(part(item, 1))))
+        .when(t.rlike(numbered), F.concat(part(numbered, 1), F.lit(". "), strip(part(numbered, 2))))
+        .when(t.rlike(chapter), F.when(title != "", F.concat(F.lit("## "), title)).otherwise(""))
+        .when(t.rlike("^第[一二三四五六七八九十0-9]+层[:：]"), F.concat(F.lit("### "), t))
+        .when(short, F.concat(F.lit("### "), F.regexp_replace(t, "[:：]+$", "")))
+        .otherwise(t)
+    )
+
+
+def document_candidate(lines: Column, score: Column, least: float = 0.48, pack: RulePack = PLAIN) -> Column:
+    """Whether a frame's lines are a document: score and density high enough, few short lines, few controls."""
+    few = F.size(F.filter(lines, lambda t: count(t, USEFUL) < 8))
+    held = how_many_of(F.lower(F.array_join(lines, "\n")), [w.lower() for w in pack.frame_control_terms])
+    good = lambda d: (score >= least) & (d >= 0.34) & (few < F.greatest(F.lit(5.0), F.size(lines) * 0.7)) & ~((held >= 3) & (d < 0.55))
+    return F.coalesce((F.size(lines) > 0) & let(document_density(lines), good), F.lit(False))
+
+
+def document_fragment(line: Column, pack: RulePack = PLAIN) -> Column:
+    """A document's line, spaced and repaired; broken fragments become empty."""
+    broken = lambda t: reduce(lambda a, b: a | b, [t.rlike("(?iU)" + p) for p in pack.broken_fragments], F.lit(False))
+    return let(document_spacing(line), lambda t: F.when(broken(t), "").otherwise(document_spacing(replaced(t, pack.fragment_repairs))))
+
+
+def document_polish(markdown: Column, pack: RulePack = PLAIN) -> Column:
+    """A document's Markdown, repaired, with an empty line before each heading and never two."""
+    t = reduce(lambda t, p: F.regexp_replace(t, "(?imU)" + p[0], p[1]), pack.document_repairs, F.coalesce(markdown, F.lit("")))
+    t = F.regexp_replace(t, "([^\n])\n## ", "$1\n\n## ")
+    return strip(F.regexp_replace(t, "\n{3,}", "\n\n"))
+
+
+# --- navigation and languages --------------------------------------------------------------------------------
+
+
+def nav_label(text: Column, readings: list[tuple[str, str]] = rules.NAV_READINGS) -> Column:
+    """The label that a reading stands for: the first rule whose sign run is held decides; else the reading itself."""
+    t = F.replace(title_text(text), F.lit(" "), F.lit(""))
+    return let(t, lambda t: F.coalesce(*[F.when(F.contains(t, F.lit(k)), F.lit(v)) for k, v in readings], t))
+
+
+def ocr_languages(available: Column, wanted: str = "chi_sim+eng") -> Column:
+    """Wanted languages that are available, in the order wanted; else eng if that is; else as wanted."""
+    usable = F.array_intersect(F.array(*[F.lit(x) for x in wanted.split("+") if x]), available)
+    return F.when(F.size(usable) > 0, F.array_join(usable, "+")).when(F.array_contains(available, "eng"), "eng").otherwise(wanted)
 
 
 def timestamp_label(seconds: Column) -> Column:
@@ -248,3 +366,41 @@ def media_suffix(url: Column, content_type: Column) -> Column:
     kind = F.lower(strip(F.split(F.coalesce(content_type, F.lit("")), ";")[0]))
     types = F.create_map(*[F.lit(x) for kv in rules.MEDIA_TYPES.items() for x in kv])
     return F.when(suffix.isin(rules.SUFFIXES), suffix).otherwise(F.coalesce(F.element_at(types, kind), F.lit(".mp4")))
+
+
+def short_url(url: Column, hosts: list[str] = rules.SHORT_HOSTS) -> Column:
+    """Whether an address is a shortened one that a fetcher must follow."""
+    return reduce(lambda a, b: a | b, [F.endswith(url_host(url), F.lit(h)) for h in hosts])
+
+
+def direct_media(content_type: Column) -> Column:
+    """Whether an answer of this type can be a media file: not a web page."""
+    return ~F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("text/html"))
+
+
+def cookie_browsers(choice: Column, auto: Column) -> Column:
+    """Browsers to take cookies from, in order: the one chosen, all of them, or none (an empty name)."""
+    every = F.array(*map(F.lit, rules.BROWSERS))
+    c = F.coalesce(choice, F.lit(""))
+    return F.when((F.lower(c) == "auto") | ((c == "") & F.coalesce(auto, F.lit(False))), every).otherwise(F.array(c))
+
+
+def download_help(source: Column, url: Column, error: Column) -> Column:
+    """Tips after a failed download, a line each."""
+    low, host = F.lower(F.coalesce(error, F.lit(""))), url_host(F.coalesce(F.nullif(url, F.lit("")), source))
+    tips = [F.when(url != source, F.concat(F.lit(rules.REWRITTEN_TIP), url)), F.when(any_of(host, rules.SHORT_VIDEO_SITES), rules.SITE_TIP)]
+    tips += [F.when(F.contains(low, F.lit(w)), F.lit(tip)) for w, tip in rules.ERROR_TIPS]
+    found = F.array_compact(F.array(*tips))
+    line = lambda t: F.concat(F.lit("- "), t)
+    return F.array_join(F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(rules.OTHER_TIP))), line), "\n")
+
+
+def recommended_path(key: Column, sdk: Column, decoder: Column, prober: Column, vision: Column, speech: Column) -> Column:
+    """The way of analysis that the tools at hand allow."""
+    return (
+        F.when(key & sdk & decoder & prober, "openai-hybrid")
+        .when(key & sdk, "native-openai-or-hybrid")
+        .when(decoder & (vision | speech), "timeline-pipeline")
+        .when(decoder, "transcript-and-frame-pipeline-with-external-tools")
+        .otherwise("dependency-blocked")
+    )

@@ -42,11 +42,15 @@ def first_within(frames: DataFrame, items: DataFrame, value: str, tolerance: flo
     return frames.join(best, [video, "idx"], "left").withColumn(value, F.col("__best.__value")).drop("__best")
 
 
-def batch_texts(batches: DataFrame, texts: DataFrame, margin: float = 0.5, video: str = "video_id") -> DataFrame:
+def batch_texts(batches: DataFrame, texts: DataFrame, margin: float = 0.5, cell: float = 60.0, video: str = "video_id") -> DataFrame:
     """batches (video, batch, start, end) with the texts (pos, ts, text) inside, `margin` wider, in order.
 
-    A batch is one range per video; ranges of one video differ, so a text meets only its own video's."""
+    A batch is dealt to the cells of time that it touches, a text to its own, so a text meets the batches of its
+    cell only; a long video spreads over its cells."""
+    cells = F.sequence(_cell(F.col("start") - margin, cell), _cell(F.col("end") + margin, cell))
+    dealt = batches.select(video, "batch", "start", "end", F.explode(cells).alias("__cell"))
+    keyed = texts.select(video, "pos", "ts", "text", _cell(F.col("ts"), cell).alias("__cell"))
     inside = F.col("ts").between(F.col("start") - margin, F.col("end") + margin)
-    met = batches.join(texts.select(video, "pos", "ts", "text"), video, "left")
-    found = F.array_sort(F.collect_list(F.when(inside, F.struct("pos", "text"))))
-    return met.groupBy(video, "batch", "start", "end").agg(F.array_join(F.transform(found, lambda s: s["text"]), "\n").alias("evidence"))
+    met = dealt.join(keyed, [video, "__cell"]).where(inside).groupBy(video, "batch").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("__found"))
+    text = F.array_join(F.transform("__found", lambda s: s["text"]), "\n")
+    return batches.join(met, [video, "batch"], "left").select(video, "batch", "start", "end", F.coalesce(text, F.lit("")).alias("evidence"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 
 from collections import deque
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenreel.functions import text as T
+from lumenreel.functions.rules import PLAIN, RulePack
 
 LOOKBACK = 12
 
@@ -51,20 +53,25 @@ def bare(column: Column) -> Column:
 
 def merge_lines(lines: DataFrame, video: str = "video_id", order: str = "pos", line: str = "line") -> DataFrame:
     """Lines in order, without those near one of the twelve lines kept last. Normal forms are made before the
-    fold, whose state is bounded by the look-back."""
+    fold, which streams over partitions sorted by video: its state is twelve lines, however long a video is."""
+    out = lines.schema
     keyed = lines.where(F.col(line) != "").withColumn("__bare", bare(F.col(line)))
+    dealt = keyed.repartition(video).sortWithinPartitions(video, order)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        kept, held = [], deque(maxlen=LOOKBACK)
-        for b in pdf["__bare"]:
-            fresh = not any(near(b, x) for x in held)
-            kept.append(fresh)
-            if fresh:
-                held.append(b)
-        return pdf[kept].drop(columns="__bare")
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, deque(maxlen=LOOKBACK)
+        for pdf in parts:
+            kept = []
+            for v, b in zip(pdf[video], pdf["__bare"]):
+                if v != now:
+                    now, held = v, deque(maxlen=LOOKBACK)
+                fresh = not any(near(b, x) for x in held)
+                kept.append(fresh)
+                if fresh:
+                    held.append(b)
+            yield pdf[kept].drop(columns="__bare")
 
-    return keyed.groupBy(video).applyInPandas(fold, keyed.drop("__bare").schema)
+    return dealt.mapInPandas(fold, out)
 
 
 def diverse_frames(frames: DataFrame, limit: int = 8, video: str = "video_id") -> DataFrame:
@@ -87,23 +94,45 @@ def diverse_frames(frames: DataFrame, limit: int = 8, video: str = "video_id") -
     return ready.groupBy(video).applyInPandas(fold, frames.schema)
 
 
-def region_lines(lines: DataFrame, video: str = "video_id") -> DataFrame:
-    """Recognised lines (frame_idx, region_no, pos, line) of each frame that are useful and not like a line of an
-    earlier region."""
-    ready = lines.where(T.useful_line(F.col("line"))).withColumn("__bare", bare(F.col("line")))
+def region_lines(lines: DataFrame, video: str = "video_id", terms: list[str] = ()) -> DataFrame:
+    """Recognised lines (frame_idx, region_no, pos, line) of each frame that are useful and not like any that was kept
+    before, in this region or an earlier one. A frame's lines are few; that is all that meets."""
+    ready = lines.where(T.useful_line(F.col("line"), terms)).withColumn("__bare", bare(F.col("line")))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["region_no", "pos"], kind="stable")
-        kept, seen, region, here = [], [], None, []
-        for no, b in zip(pdf["region_no"], pdf["__bare"]):
-            if no != region:
-                seen, here, region = seen + here, [], no
+        kept, seen = [], []
+        for b in pdf["__bare"]:
             fresh = not ocr_duplicate(b, seen)
             kept.append(fresh)
             if fresh:
-                here.append(b)
+                seen.append(b)
         return pdf[kept].drop(columns="__bare")
 
     return ready.groupBy(video, "frame_idx").applyInPandas(fold, lines.schema)
 
 
+def frame_text(texts: DataFrame, video: str = "video_id", pack: RulePack = PLAIN) -> DataFrame:
+    """(video, frame_idx, text) of recognised texts (frame_idx, region_no, region, text): the fresh lines of each region
+    below its name, regions in order; frames without any are left out."""
+    cut = texts.select(video, "frame_idx", "region_no", "region", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    cut = cut.withColumn("line", T.common_terms(T.ocr_text(F.col("line")), pack)).where("line != ''")
+    fresh = region_lines(cut, video, pack.useful_terms)
+    blocks = fresh.groupBy(video, "frame_idx", "region_no", "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
+    block = F.concat(F.lit("["), F.col("region"), F.lit("]\n"), F.array_join("lines", "\n"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region_no", block.alias("b")))), lambda x: x["b"]), "\n")
+    return blocks.groupBy(video, "frame_idx").agg(whole.alias("text"))
+
+
+def document_frames(frames: DataFrame, limit: int = 8, least: float = 0.48, video: str = "video_id", pack: RulePack = PLAIN) -> DataFrame:
+    """Of frames (ts, lines) those that are documents, with their score, and of these the best that are not alike."""
+    score = F.round(T.document_score(F.col("lines"), pack.document_terms, pack.control_terms), 4)
+    scored = frames.withColumn("__score", T.document_score(F.col("lines"), pack.document_terms, pack.control_terms))
+    good = scored.where(T.document_candidate(F.col("lines"), F.col("__score"), least, pack)).withColumn("score", score).drop("__score")
+    return diverse_frames(good, limit, video)
+
+
+def merged_document(frames: DataFrame, video: str = "video_id") -> DataFrame:
+    """(video, pos, line): the lines of the frames (ts, lines) in order of time, without those near one of the last twelve."""
+    lines = frames.select(video, "ts", F.posexplode("lines").alias("at", "line")).withColumn("pos", F.struct("ts", "at"))
+    return merge_lines(lines.select(video, "pos", "line"), video)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenreel.functions import rules
+from lumenreel.functions import text as T
 
 
 def pixel_diff(a: Column, b: Column) -> Column:
@@ -42,34 +44,56 @@ def steady_nav(frames: DataFrame, video: str = "video_id", order: str = "ts") ->
     return marked.withColumn("context_index", F.coalesce(*tries)).drop("__own", "__before", "__after")
 
 
-def _gap(a, b) -> float:
+def template_like(d: Column, edge_gap: Column, limits: dict = rules.SAME_CHAPTER) -> Column:
+    """Whether a difference is one inside a template: small in all, in its profiles and its edges, but local."""
+    structure = F.greatest(d["row_profile_diff"], d["col_profile_diff"])
+    local = F.greatest(F.lit(0.0), d["grid_diff"] - structure)
+    return (d["combined_score"] <= limits["combined"]) & (structure <= limits["structure"]) & (edge_gap <= limits["edge"]) & (local >= limits["localized"])
+
+
+def nav_matches(present_a: Column, index_a: Column, present_b: Column, index_b: Column) -> Column:
+    """Whether two frames stand under one navigation label."""
+    return F.coalesce(present_a & present_b & (index_a >= 0) & (index_b >= 0) & (index_a == index_b), F.lit(False))
+
+
+def titles_match(clear_a: Column, block_a: Column, clear_b: Column, block_b: Column, difference: Column) -> Column:
+    """Whether two frames have one title: a small difference where both are clear blocks, else that neither is clear."""
+    return F.when(clear_a & block_a & clear_b & block_b, difference < 0.18).otherwise(~clear_a & ~clear_b)
+
+
+def thresholds(layout: float = rules.LAYOUT_THRESHOLD) -> dict[str, float]:
+    """From which difference on a title, a navigation label or a presenter counts."""
+    return {"title": max(layout - 0.045, layout * 0.72), "nav": max(layout - 0.04, layout * 0.7), "presenter": max(layout - 0.05, layout * 0.68)}
+
+
+def _gap(a: np.ndarray, b: np.ndarray) -> float:
     n = min(len(a), len(b))
-    return sum(abs(int(x) - int(y)) for x, y in zip(a, b)) / (n * 255.0) if n else 0.0
+    return float(np.abs(a[:n] - b[:n]).sum()) / (n * 255.0) if n else 0.0
 
 
-def _verdict(last, row, title_gap: float, on: dict) -> tuple[str, float]:
-    """keep_reason of a frame against the last one kept; rules in order, the first that holds decides."""
-    theta = on["layout"]
-    grid, edge = _gap(last.grid, row.grid), _gap(last.edge_grid, row.edge_grid)
-    structure = max(_gap(last.row_profile, row.row_profile), _gap(last.col_profile, row.col_profile))
-    strength = abs(last.edge_strength - row.edge_strength)
-    score = 0.5 * grid + 0.3 * edge + 0.1 * abs(last.brightness_mean - row.brightness_mean) + 0.1 * strength
+def _verdict(last, row, title_gap: float, on: dict) -> tuple:
+    """(keep_reason, differences) of a frame against the last one kept; rules in order, the first that holds decides."""
+    theta, support = on["layout"], on["support"]
+    grid, edge, across, down = (_gap(last[k], row[k]) for k in ("grid", "edge_grid", "row_profile", "col_profile"))
+    structure = max(across, down)
+    light, strength = abs(last["brightness_mean"] - row["brightness_mean"]), abs(last["edge_strength"] - row["edge_strength"])
+    score = 0.5 * grid + 0.3 * edge + 0.1 * light + 0.1 * strength
     strong = score >= theta
-    title_near, nav_near, face_near = (score >= max(theta - m, theta * k) for m, k in ((0.045, 0.72), (0.04, 0.7), (0.05, 0.68)))
-    titles = last.title_meaningful and row.title_meaningful and last.title_block_like and row.title_block_like
-    navs = last.nav_present and row.nav_present
+    title_near, nav_near, face_near = (score >= support[k] for k in ("title", "nav", "presenter"))
+    titles = last["title_meaningful"] and row["title_meaningful"] and last["title_block_like"] and row["title_block_like"]
+    navs = last["nav_present"] and row["nav_present"]
     by_title = on["title"] and not strong and title_near and titles and title_gap >= on["title_gap"]
-    by_nav = on["nav"] and not strong and nav_near and navs and min(last.active_index, row.active_index) >= 0 and last.active_index != row.active_index and min(last.nav_confidence, row.nav_confidence) >= 0.55
-    face = on["presenter"] and row.presenter_like and row.presenter_confidence >= 0.7 and not by_nav and not by_title and (face_near or strong)
+    by_nav = on["nav"] and not strong and nav_near and navs and min(last["active_index"], row["active_index"]) >= 0 and last["active_index"] != row["active_index"] and min(last["nav_confidence"], row["nav_confidence"]) >= 0.55
+    face = on["presenter"] and row["presenter_like"] and row["presenter_confidence"] >= 0.7 and not by_nav and not by_title and (face_near or strong)
     same = rules.SAME_CHAPTER
-    same_title = title_gap < 0.18 if titles else not last.title_meaningful and not row.title_meaningful
+    same_title = title_gap < 0.18 if titles else not last["title_meaningful"] and not row["title_meaningful"]
     twin = (
-        abs(row.ts - last.ts) <= same["gap"] and last.context_index >= 0 and last.context_index == row.context_index and same_title
-        and score <= same["combined"] and structure <= same["structure"] and strength <= same["edge"] and grid - structure >= same["localized"]
-        and not row.transition_like and not row.presenter_like
+        abs(row["ts"] - last["ts"]) <= same["gap"] and last["context_index"] >= 0 and last["context_index"] == row["context_index"] and same_title
+        and score <= same["combined"] and structure <= same["structure"] and strength <= same["edge"] and max(0.0, grid - structure) >= same["localized"]
+        and not row["transition_like"] and not row["presenter_like"]
     )
     reasons = [
-        (row.transition_like, "dropped-transition-like"),
+        (row["transition_like"], "dropped-transition-like"),
         (on["dedupe"] and strong and twin and not by_nav and not by_title, "dropped-same-chapter-near-duplicate"),
         (face, "dropped-presenter-shot"),
         (strong, "kept-layout-strong"),
@@ -80,44 +104,212 @@ def _verdict(last, row, title_gap: float, on: dict) -> tuple[str, float]:
         (on["title"] and title_near, "dropped-title-unchanged"),
         (True, "dropped-layout-weak"),
     ]
-    return next(r for hit, r in reasons if hit), score
+    return next(r for hit, r in reasons if hit), (grid, edge, across, down, light, strength, score)
+
+
+_READ = ["ts", "grid", "edge_grid", "row_profile", "col_profile", "brightness_mean", "edge_strength", "transition_like", "title_meaningful", "title_block_like", "title_tokens", "title_meaning", "nav_present", "active_index", "nav_confidence", "context_index", "presenter_like", "presenter_confidence"]
+_DIFFS = ["grid_diff", "edge_diff", "row_profile_diff", "col_profile_diff", "brightness_diff", "edge_strength_diff", "combined_score"]
 
 
 def change_filter(frames: DataFrame, video: str = "video_id", layout: float = rules.LAYOUT_THRESHOLD, title_gap: float = rules.TITLE_THRESHOLD, title: bool = False, nav: bool = False, presenter: bool = False, dedupe: bool = False) -> DataFrame:
-    """(video, ts, keep_reason, kept, combined_score): each frame against the last one kept.
+    """(video, ts, last_ts, keep_reason, kept, title_difference and the parts of the difference): each frame against the
+    last one kept, whose time is last_ts.
 
     The first and last frame stay; a video of at most two frames stays whole. What does not depend on the
-    frame kept last (signals, steady navigation, transitions) comes as columns made before; the fold holds
-    one frame of state and reads its video in order, batch by batch.
+    frame kept last (signals, steady navigation, transitions, which frame is the last) comes as columns made
+    before. The fold streams over partitions sorted by video and time; its state is one frame.
     """
     from lumenreel.operators.dedupe import title_difference
 
-    on = {"layout": layout, "title_gap": title_gap, "title": title, "nav": nav, "presenter": presenter, "dedupe": dedupe}
-
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("ts", kind="stable").itertuples(index=False))
-        out = []
-        last = rows[0]
-        for i, row in enumerate(rows):
-            if i == 0 or i == len(rows) - 1:
-                out.append((row.ts, "kept-anchor", True, 0.0))
-                continue
-            gap = title_difference(last, row) if last.title_meaningful and row.title_meaningful else 0.0
-            reason, score = _verdict(last, row, gap, on)
-            kept = reason.startswith("kept")
-            out.append((row.ts, reason, kept, score))
-            if kept:
-                last = row
-        result = pd.DataFrame(out, columns=["ts", "keep_reason", "kept", "combined_score"])
-        result.insert(0, video, key[0])
-        return result
-
-    return frames.groupBy(video).applyInPandas(fold, f"{video} long, ts double, keep_reason string, kept boolean, combined_score double")
+    on = {"layout": layout, "support": thresholds(layout), "title_gap": title_gap, "title": title, "nav": nav, "presenter": presenter, "dedupe": dedupe}
+    final = F.lead("ts").over(Window.partitionBy(video).orderBy("ts")).isNull()
+    ready = frames.select(video, *_READ).withColumn("__final", final).repartition(video).sortWithinPartitions(video, "ts")
+    arrays = {"grid", "edge_grid", "row_profile", "col_profile"}
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, None
+        for pdf in parts:
+            out = []
+            for values in zip(*(pdf[c] for c in (video, "__final", *_READ))):
+                row = dict(zip(_READ, values[2:]))
+                for k in arrays:
+                    row[k] = np.asarray(row[k], float).astype(np.int64)
+                end = values[1]
+                if last is None or values[0] != now:
+                    now, last, end = values[0], None, True
+                if end:
+                    out.append((now, row["ts"], last and last["ts"], "kept-anchor", True, 0.0, *[0.0] * 7))
+                else:
+                    gap = title_difference(_Titles(last), _Titles(row)) if on["title"] and last["title_meaningful"] and row["title_meaningful"] else 0.0
+                    reason, diffs = _verdict(last, row, gap, on)
+                    out.append((now, row["ts"], last["ts"], reason, reason.startswith("kept"), gap, *diffs))
+                if out[-1][4]:
+                    last = row
+            yield pd.DataFrame(out, columns=[video, "ts", "last_ts", "keep_reason", "kept", "title_difference", *_DIFFS])
+
+    kind = frames.schema[video].dataType.simpleString()
+    return ready.mapInPandas(fold, f"{video} {kind}, ts double, last_ts double, keep_reason string, kept boolean, title_difference double, " + ", ".join(f"{c} double" for c in _DIFFS))
+
+
+class _Titles:
+    def __init__(self, row: dict):
+        self.title_tokens, self.title_meaning = row["title_tokens"], row["title_meaning"]
+
+
+#: Signals of a frame that a diagnostic repeats, and of the frame kept last.
+_SHOWN = ["title_text", "title_meaning", "title_quality", "title_meaningful", "title_block_like", "left_ratio", "top_ratio", "width_ratio", "height_ratio", "nav_present", "detected_labels", "active_label", "active_index", "nav_confidence", "context_label", "context_index", "context_confidence", "presenter_like", "presenter_confidence", "skin_ratio", "center_dark_ratio", "full_dark_ratio", "transition_like", "edge_strength"]
+_SHOWN_BEFORE = ["title_text", "title_meaning", "title_quality", "title_meaningful", "title_block_like", "active_label", "active_index", "nav_confidence", "context_label", "context_index", "context_confidence"]
+
+
+def diagnostics(frames: DataFrame, verdicts: DataFrame, video: str = "video_id", layout: float = rules.LAYOUT_THRESHOLD, title_gap: float = rules.TITLE_THRESHOLD, title: bool = False, nav: bool = False, dedupe: bool = False) -> DataFrame:
+    """A wide row for each frame that was compared: differences, signals of the frame and (previous_) of the one kept last,
+    and why it was kept or not. Signals that frames lack are left out. Two equi-joins by (video, ts)."""
+    have = [c for c in _SHOWN if c in frames.columns]
+    before = [c for c in _SHOWN_BEFORE if c in frames.columns]
+    own = frames.select(video, "ts", *have)
+    old = frames.select(video, F.col("ts").alias("last_ts"), *[F.col(c).alias(f"previous_{c}") for c in before], *[F.col(c).alias(f"__{c}") for c in ("nav_present", "edge_strength")])
+    d = verdicts.where("keep_reason != 'kept-anchor'").join(own, [video, "ts"]).join(old, [video, "last_ts"])
+    near = thresholds(layout)
+    score, strong = F.col("combined_score"), F.col("combined_score") >= layout
+    clear = F.col("title_meaningful") & F.col("title_block_like") & F.col("previous_title_meaningful") & F.col("previous_title_block_like")
+    both = F.col("nav_present") & F.col("__nav_present")
+    by_title = F.lit(title) & ~strong & (score >= near["title"]) & clear & (F.col("title_difference") >= title_gap)
+    sure = (F.col("nav_confidence") >= 0.55) & (F.col("previous_nav_confidence") >= 0.55)
+    by_nav = F.lit(nav) & ~strong & (score >= near["nav"]) & both & (F.col("active_index") >= 0) & (F.col("previous_active_index") >= 0) & (F.col("active_index") != F.col("previous_active_index")) & sure
+    edge_gap = F.abs(F.col("edge_strength") - F.col("__edge_strength"))
+    structure = F.greatest("row_profile_diff", "col_profile_diff")
+    time_gap = F.abs(F.col("ts") - F.col("last_ts"))
+    same_nav = nav_matches(F.lit(True), F.col("previous_context_index"), F.lit(True), F.col("context_index"))
+    same_title = titles_match(F.col("previous_title_meaningful"), F.col("previous_title_block_like"), F.col("title_meaningful"), F.col("title_block_like"), F.col("title_difference"))
+    template = template_like(F.struct("row_profile_diff", "col_profile_diff", "grid_diff", "combined_score"), edge_gap)
+    twin = F.lit(dedupe) & strong & (time_gap <= rules.SAME_CHAPTER["gap"]) & same_nav & same_title & template & ~F.col("transition_like") & ~F.col("presenter_like")
+    out = d.withColumns({
+        "layout_strong": strong, "layout_borderline": score >= near["title"], "title_supports_change": by_title, "nav_supports_change": by_nav, "same_chapter_duplicate": twin,
+        "time_gap": F.round(time_gap, 4), "same_nav_context": same_nav, "same_title_context": same_title, "structure_diff": F.round(structure, 4),
+        "localized_delta": F.round(F.greatest(F.lit(0.0), F.col("grid_diff") - structure), 4), "edge_profile_gap": F.round(edge_gap, 4), "same_template": template,
+    })
+    return out.drop("__nav_present", "__edge_strength", "edge_strength").withColumns({c: F.round(c, 4) for c in ("title_difference", *_DIFFS)})
+
+
+# --- signals from recognised words ---------------------------------------------------------------------------
+
+EMPTY_TITLE = "struct<text:string,left_ratio:double,top_ratio:double,width_ratio:double,height_ratio:double,title_block_like:boolean,candidate_score:double>"
+
+
+def empty_title() -> Column:
+    """No title block: its left and top lie at the far ends."""
+    return F.struct(F.lit("").alias("text"), F.lit(1.0).alias("left_ratio"), F.lit(1.0).alias("top_ratio"), F.lit(0.0).alias("width_ratio"), F.lit(0.0).alias("height_ratio"), F.lit(False).alias("title_block_like"), F.lit(0.0).alias("candidate_score"))
+
+
+def empty_nav() -> Column:
+    none = F.array().cast("array<string>")
+    return F.struct(none.alias("labels"), none.alias("detected_labels"), F.lit(-1).alias("active_index"), F.lit("").alias("active_label"), F.lit(0.0).alias("confidence"), F.lit(False).alias("nav_present"))
+
+
+def empty_presenter() -> Column:
+    return F.struct(F.lit(False).alias("presenter_like"), *[F.lit(0.0).alias(c) for c in ("skin_ratio", "center_dark_ratio", "full_dark_ratio", "upper_dark_ratio", "center_brightness", "confidence")])
+
+
+def presenter_signal(skin: Column, center_dark: Column, full_dark: Column, upper_dark: Column, brightness: Column) -> Column:
+    """Whether a frame shows a presenter, from shares of its pixels."""
+    like = (skin >= 0.18) & (center_dark >= 0.35) & (full_dark >= 0.55) & (upper_dark >= 0.55) & (brightness <= 120)
+    sure = F.when(like, F.least(F.lit(1.0), 0.45 + skin * 1.2 + center_dark * 0.35 + full_dark * 0.2)).otherwise(0.0)
+    named = {"skin_ratio": skin, "center_dark_ratio": center_dark, "full_dark_ratio": full_dark, "upper_dark_ratio": upper_dark}
+    return F.struct(like.alias("presenter_like"), *[F.round(v, 4).alias(k) for k, v in named.items()], F.round(brightness, 2).alias("center_brightness"), F.round(sure, 4).alias("confidence"))
+
+
+def nav_signals(words: DataFrame, bands: DataFrame, labels: list[str] = rules.NAV_LABELS, centers: list[float] = rules.NAV_CENTERS, readings: list[tuple[str, str]] = rules.NAV_READINGS, video: str = "video_id") -> DataFrame:
+    """(video, frame_idx, nav) of bands (width, brightness, segment_means), one a frame: which labels the band's words (pos,
+    text, conf, left, width) show, and the active one, whose segment is darkest. Three labels make a navigation; a dark
+    band has none. Of several readings of a label the one that is sure and near its place counts, the first of equal ones."""
+    at = F.create_map(*[F.lit(x) for kv in zip(labels, centers) for x in kv])
+    hits = words.where("conf >= 0").withColumn("label", T.nav_label(F.col("text"), readings)).where(F.col("label").isin(labels) & (T.strip(F.coalesce("text", F.lit(""))) != ""))
+    hits = hits.join(bands.select(video, "frame_idx", F.col("width").alias("__wide")), [video, "frame_idx"])
+    middle = (F.col("left") + F.col("width") / 2) / F.greatest("__wide", F.lit(1))
+    score = F.col("conf") - F.abs(middle - F.element_at(at, F.col("label"))) * 220
+    best = hits.groupBy(video, "frame_idx", "label").agg(F.max_by(score, F.struct(score, -F.col("pos"))).alias("score"))
+    seen = best.groupBy(video, "frame_idx").agg(F.collect_set("label").alias("seen"))
+    every = F.array(*map(F.lit, labels))
+    found = F.array_intersect(every, F.coalesce("seen", F.array().cast("array<string>")))
+    means = F.col("segment_means")
+    dark = F.array_position(means, F.array_min(means)).cast("int")
+    sure = F.round(F.least(F.lit(1.0), 0.45 + (F.array_max(means) - F.array_min(means)) / 90.0), 4)
+    full = F.struct(every.alias("labels"), found.alias("detected_labels"), (dark - 1).alias("active_index"), F.element_at(every, dark).alias("active_label"), sure.alias("confidence"), F.lit(True).alias("nav_present"))
+    few = F.struct(found.alias("labels"), found.alias("detected_labels"), F.lit(-1).alias("active_index"), F.lit("").alias("active_label"), F.lit(0.0).alias("confidence"), F.lit(False).alias("nav_present"))
+    rows = bands.join(seen, [video, "frame_idx"], "left")
+    return rows.select(video, "frame_idx", F.when(F.col("brightness") < 45, empty_nav()).when(F.size(found) >= 3, full).otherwise(few).alias("nav"))
+
+
+def merged_boxes(rows: Column, width: Column) -> Column:
+    """Boxes (top, left, width, height, text, conf, score) in order, those that stand below each other at one left edge put
+    together. One fold over a frame's boxes."""
+    kind = "struct<top:int,left:int,width:int,height:int,text:string,conf:double,score:double>"
+    zero = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("open"))
+
+    def joined(c: Column, r: Column) -> Column:
+        left, top = F.least(c["left"], r["left"]), F.least(c["top"], r["top"])
+        right, bottom = F.greatest(c["left"] + c["width"], r["left"] + r["width"]), F.greatest(c["top"] + c["height"], r["top"] + r["height"])
+        return F.struct(top.alias("top"), left.alias("left"), (right - left).alias("width"), (bottom - top).alias("height"), F.trim(F.concat_ws(" ", c["text"], r["text"])).alias("text"), F.greatest(c["conf"], r["conf"]).alias("conf"), F.greatest(c["score"], r["score"]).alias("score")).cast(kind)
+
+    def step(acc: Column, r: Column) -> Column:
+        c = acc["open"]
+        gap = r["top"] - (c["top"] + c["height"])
+        aligned = F.abs(r["left"] - c["left"]) <= F.greatest(F.lit(28), (width * 0.06).cast("int"))
+        close = (gap <= F.greatest(F.lit(18), (c["height"] * 0.7).cast("int"))) | (gap <= F.greatest(F.lit(10), (c["height"] * 0.45).cast("int")))
+        fits = aligned & close
+        done = F.when(c.isNull() | fits, acc["done"]).otherwise(F.array_append(acc["done"], c))
+        return F.struct(done.alias("done"), F.when(c.isNull() | ~fits, r.cast(kind)).otherwise(joined(c, r)).alias("open"))
+
+    return F.aggregate(rows, zero, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+
+
+def title_blocks(words: DataFrame, bands: DataFrame, video: str = "video_id") -> DataFrame:
+    """(video, frame_idx, title) of bands (width, height), one a frame: the best block among the words of the title band.
+
+    Words are scored by their text and place, put together to blocks, and blocks scored again; the first of the
+    best ones counts, if it is good enough."""
+    said = words.where("conf >= 0 and width > 0 and height > 0").withColumn("text", T.title_text(F.col("text"))).where("text != ''")
+    rows = said.join(bands.select(video, "frame_idx", F.col("width").alias("w"), F.col("height").alias("h")), [video, "frame_idx"]).where(F.col("top") <= (F.col("h") * 0.72).cast("int"))
+    wide, high = F.greatest("w", F.lit(1)), F.greatest("h", F.lit(1))
+    rows = rows.withColumns({"wr": F.col("width") / wide, "hr": F.col("height") / high, "lr": F.col("left") / wide, "rr": (F.col("left") + F.col("width")) / wide, "tr": F.col("top") / high, "s": T.title_signal(F.col("text"))})
+    c = {k: F.col(k) for k in ("wr", "hr", "lr", "rr", "tr")}
+    bonus = (
+        F.when(c["tr"] <= 0.26, 0.2).when(c["tr"] <= 0.4, 0.08).otherwise(0.0) + F.when(c["lr"] <= 0.22, 0.12).when(c["lr"] <= 0.4, 0.05).otherwise(0.0)
+        - F.when((c["rr"] >= 0.9) & (c["wr"] <= 0.22), 0.18).otherwise(0.0) - F.when(c["wr"] >= 0.55, 0.12).otherwise(0.0)
+        - F.when((F.col("s.meaningful_token_count") <= 1) & (c["hr"] <= 0.03), 0.15).otherwise(0.0) - F.when(F.col("conf") < 25, 0.1).otherwise(0.0)
+    )
+    rows = rows.withColumn("score", F.col("s.quality_score") + bonus + c["hr"] * 1.2)
+    boxes = F.transform(F.array_sort(F.collect_list(F.struct("top", "left", "pos", "width", "height", "text", "conf", "score"))), lambda b: F.struct(b["top"].cast("int").alias("top"), b["left"].cast("int").alias("left"), b["width"].cast("int").alias("width"), b["height"].cast("int").alias("height"), b["text"].alias("text"), b["conf"].alias("conf"), b["score"].alias("score")))
+    frames = rows.groupBy(video, "frame_idx", "w", "h").agg(boxes.alias("boxes"))
+    blocks = frames.select(video, "frame_idx", "w", "h", F.posexplode(merged_boxes(F.col("boxes"), F.col("w"))).alias("place", "b")).withColumn("s", T.title_signal(F.col("b.text")))
+    wr, hr, lr, tr = F.col("b.width") / wide, F.col("b.height") / high, F.col("b.left") / wide, F.col("b.top") / high
+    score = (
+        F.col("b.score") + F.col("s.quality_score") * 0.7 + F.least(hr * 1.8, F.lit(0.35)) + F.when(tr <= 0.18, 0.18).when(tr <= 0.3, 0.08).otherwise(0.0)
+        + F.when(lr <= 0.18, 0.12).otherwise(0.0) - F.when(wr >= 0.6, 0.2).otherwise(0.0) + F.when(F.col("s.meaningful_token_count") >= 2, 0.08).otherwise(0.0)
+    )
+    like = (tr <= 0.3) & (lr <= 0.3) & (wr <= 0.42) & (hr >= 0.045)
+    title = F.struct(T.title_text(F.col("b.text")).alias("text"), lr.alias("left_ratio"), tr.alias("top_ratio"), wr.alias("width_ratio"), hr.alias("height_ratio"), like.alias("title_block_like"), score.alias("candidate_score"))
+    best = blocks.withColumns({"title": title, "__score": score}).groupBy(video, "frame_idx").agg(F.max_by("title", F.struct("__score", -F.col("place"))).alias("title"))
+    found = bands.select(video, "frame_idx").join(best, [video, "frame_idx"], "left")
+    return found.select(video, "frame_idx", F.when(F.col("title.candidate_score") >= 0.38, F.col("title")).otherwise(empty_title().cast(EMPTY_TITLE)).alias("title"))
+
+
+def regions(frames: DataFrame, parts: list[tuple] = rules.REGIONS) -> DataFrame:
+    """frames (width, height) with a row for each region that text is read from: region_no, region and the box in pixels."""
+    cut = lambda size, share: (F.col(size) * share).cast("int")
+    each = [F.struct(F.lit(i).alias("region_no"), F.lit(n).alias("region"), cut("width", l).alias("left"), cut("height", t).alias("top"), cut("width", r).alias("right"), cut("height", b).alias("bottom")) for i, (n, l, t, r, b) in enumerate(parts)]
+    return frames.withColumn("__r", F.explode(F.array(*each))).select("*", "__r.*").drop("__r")
+
+
+def difference_score(a: Column, b: Column) -> Column:
+    return difference(a, b)["combined_score"]
 
 
 def signature_columns(grid: Column) -> dict[str, Column]:
     """A 24 x 14 grid's profiles and scalars, for landed grids whose image is gone."""
-    rows = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda r: F.aggregate(F.slice(grid, r * 24 + 1, 24), F.lit(0.0), lambda a, x: a + x) / 24)
-    mean = F.aggregate(grid, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(grid), F.lit(1)) / 255.0
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    rows = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda r: total(F.slice(grid, r * 24 + 1, 24)) / 24)
+    cols = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda c: total(F.filter(grid, lambda x, i: i % 24 == c)) / 14)
+    mean = total(grid) / F.greatest(F.size(grid), F.lit(1)) / 255.0
     share = lambda p: F.size(F.filter(grid, p)) / F.greatest(F.size(grid), F.lit(1))
-    return {"row_profile": rows, "brightness_mean": mean, "dark_ratio": share(lambda x: x < 20), "bright_ratio": share(lambda x: x >= 236)}
+    return {"row_profile": rows, "col_profile": cols, "brightness_mean": mean, "dark_ratio": share(lambda x: x < 20), "bright_ratio": share(lambda x: x >= 236)}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenreel.functions import text as T
+from lumenreel.functions.rules import PLAIN, RulePack
+from lumenreel.operators.align import first_within
 
 
 def keyframe_score(place: Column, total: Column, ocr: Column, segments: Column, reason: Column) -> Column:
@@ -28,16 +30,46 @@ def keyframes(frames: DataFrame, limit: int = 8, video: str = "video_id") -> Dat
     return f.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= limit).drop("__n", "__p", "__r")
 
 
+def nearby_facts(frames: DataFrame, alignment: DataFrame, diagnostics: DataFrame, ocr: DataFrame, video: str = "video_id") -> DataFrame:
+    """frames (idx, ts) with what a keyframe's score needs: segments near it (joined by idx), and the first recognised text
+    and the first diagnostic (by pos) within 0.3 s."""
+    near = alignment.select(video, "idx", F.size("segments").alias("n_segments"))
+    out = frames.join(near, [video, "idx"], "left").withColumn("n_segments", F.coalesce("n_segments", F.lit(0)))
+    out = first_within(out, ocr.select(video, "ts", "pos", F.col("text").alias("ocr_text")), "ocr_text", video=video)
+    return first_within(out, diagnostics.select(video, "ts", "pos", "keep_reason"), "keep_reason", video=video)
+
+
+def _said(words: DataFrame, least: float) -> DataFrame:
+    """Word boxes that hold something and are sure enough."""
+    return words.where((F.col("conf") >= least) & (T.strip(F.coalesce("text", F.lit(""))) != "")).withColumn("text", T.strip(F.col("text")))
+
+
+def _joined_words(*order: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda w: w["text"]), " ")
+
+
 def lines_of_words(words: DataFrame, least: float, key: list[str], video: str = "video_id") -> DataFrame:
     """(video, frame_idx, *key, line): word boxes that are sure enough, in input order, put together by key."""
-    kept = words.where((F.col("conf") >= least) & (T.strip(F.coalesce("text", F.lit(""))) != ""))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda w: w["text"]), " ")
-    return kept.groupBy(video, "frame_idx", *key).agg(text.alias("line"))
+    return _said(words, least).groupBy(video, "frame_idx", *key).agg(_joined_words("pos").alias("line"))
+
+
+def confident_text(words: DataFrame, least: float = 28.0, video: str = "video_id") -> DataFrame:
+    """(video, frame_idx, region, text): the lines of each region of a frame, by block, paragraph and line, cleaned one by
+    one and together."""
+    lines = lines_of_words(words, least, ["region", "block_num", "par_num", "line_num"], video).withColumn("line", T.ocr_text(F.col("line"))).where("line != ''")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_num", "par_num", "line_num", "line"))), lambda x: x["line"]), "\n")
+    return lines.groupBy(video, "frame_idx", "region").agg(T.ocr_text(text).alias("text"))
 
 
 def document_rows(words: DataFrame, least: float = 18.0, video: str = "video_id") -> DataFrame:
-    """Word boxes by the height of their middle in steps of 18, halves to even, and from left to right."""
+    """(video, frame_idx, row, line): word boxes by the height of their middle in steps of 18, halves to even, and from left
+    to right."""
     row = F.rint((F.col("top") + F.col("height") / 2) / 18).cast("int")
-    kept = words.where((F.col("conf") >= least) & (T.strip(F.coalesce("text", F.lit(""))) != "")).withColumn("row", row)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "pos", "text"))), lambda w: w["text"]), " ")
-    return kept.groupBy(video, "frame_idx", "row").agg(text.alias("line"))
+    return _said(words, least).withColumn("row", row).groupBy(video, "frame_idx", "row").agg(_joined_words("left", "pos").alias("line"))
+
+
+def document_lines(words: DataFrame, least: float = 18.0, video: str = "video_id", pack: RulePack = PLAIN) -> DataFrame:
+    """(video, frame_idx, lines): of each frame's rows those that belong to a document, as Markdown, from the top."""
+    rows = document_rows(words, least, video).withColumn("line", T.ocr_text(F.col("line"))).where(T.document_line(F.col("line"), pack))
+    rows = rows.withColumn("line", T.markdown_line(F.col("line"), pack)).where("line != ''")
+    return rows.groupBy(video, "frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]).alias("lines"))

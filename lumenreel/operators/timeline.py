@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenreel.functions import text as T
+
 
 def round3(x: Column) -> Column:
     """Milliseconds, ties to even."""
@@ -51,16 +53,16 @@ def windows(videos: DataFrame, duration: str = "duration", n: str = "budget") ->
     return out.select("*", round3(start).alias("w_start"), round3(F.greatest(end, start)).alias("w_end"), round3(center).alias("center"))
 
 
-def cover(candidates: DataFrame, sample_seconds: float, most: int, video: str = "video_id", ts: str = "ts") -> DataFrame:
-    """(video, duration, budget, times): in each window the candidate nearest its center (the earlier of two),
-    else the center; with both anchors. Duration is the last candidate.
+def coverage_choice(candidates: DataFrame, sample_seconds: float, most: int, video: str = "video_id", ts: str = "ts") -> DataFrame:
+    """(video, duration, budget, picks, pool): in each window the candidate nearest its center (the earlier of two),
+    else the center; pool holds all candidates. Duration is the last candidate.
 
     A candidate's window follows from its time, so no range join is needed: one exchange by video serves
     the durations and the choice in each window.
     """
     d = F.max(ts).over(Window.partitionBy(video))
     c = candidates.select(video, F.col(ts).alias("ts"), d.alias("duration")).withColumn("budget", budget(F.col("duration"), sample_seconds, most))
-    videos = c.groupBy(video).agg(F.max("duration").alias("duration"), F.max("budget").alias("budget"))
+    videos = c.groupBy(video).agg(F.max("duration").alias("duration"), F.max("budget").alias("budget"), distinct_times(F.array_sort(F.collect_set("ts"))).alias("pool"))
     wide = F.col("duration") / F.col("budget")
     at = F.when((F.col("duration") <= 0) | (F.col("budget") <= 1), 0).otherwise(F.least(F.floor(F.col("ts") / wide), F.col("budget") - 1)).cast("int")
     near = c.withColumn("idx", F.explode(F.array_distinct(F.array(F.greatest(at - 1, F.lit(0)), at, F.least(at + 1, F.col("budget") - 1)))))
@@ -69,35 +71,92 @@ def cover(candidates: DataFrame, sample_seconds: float, most: int, video: str =
     inside = F.col("ts").between(F.col("w_start"), F.col("w_end")) | ((F.col("idx") == F.col("budget") - 1) & F.col("ts").between(F.col("w_start"), F.col("duration")))
     best = meet.where(inside).groupBy(video, "idx").agg(F.min(F.struct(F.abs(F.col("ts") - F.col("center")).alias("far"), F.col("ts").alias("ts"))).alias("best"))
     chosen = edge.join(best, [video, "idx"], "left").withColumn("pick", round3(F.coalesce("best.ts", "center")))
-    per = chosen.groupBy(video).agg(F.first("duration").alias("duration"), F.first("budget").alias("budget"), F.array_sort(F.collect_list("pick")).alias("picks"))
+    per = chosen.groupBy(video).agg(F.array_sort(F.collect_list("pick")).alias("picks"))
+    return videos.join(per, video).select(video, "duration", "budget", "picks", "pool")
+
+
+def cover(candidates: DataFrame, sample_seconds: float, most: int, video: str = "video_id", ts: str = "ts") -> DataFrame:
+    """(video, duration, budget, times): the choice of each window, without filling, with both anchors."""
+    per = coverage_choice(candidates, sample_seconds, most, video, ts)
     return per.select(video, "duration", "budget", anchored(F.col("picks"), F.col("duration")).alias("times"))
 
 
-def fill_gaps(selected: list[float], duration: float, n: int, candidates: list[float]) -> list[float]:
-    """Add the candidate nearest the middle of the widest gap (or the middle) until there are n times; stop at
-    the first choice that is there already. For one video; its rounds are bounded by the budget."""
-    if duration <= 0:
-        return [0.0]
-    end = max(duration - min(max(0.5, duration * 0.05), max(duration / 2, 0.001)), 0.0)
-    have = sorted({round(t, 3) for t in selected}) or [0.0]
-    pool = sorted({round(t, 3) for t in candidates})
-    while len(have) < n:
-        stops = sorted({round(t, 3) for t in (0.0, *have, end)})
-        gaps = [(b - a, -a, a, b) for a, b in zip(stops, stops[1:]) if b - a > 0.001]
-        if not gaps:
-            break
-        _, _, a, b = max(gaps)
-        middle = (a + b) / 2
-        pick = min((t for t in pool if a <= t <= b), key=lambda t: abs(t - middle), default=middle)
-        pick = round(min(max(pick, 0.0), end), 3)
-        if any(abs(pick - t) <= 0.001 for t in have):
-            break
-        have = sorted({*have, pick})
-    return have[:n] or [0.0]
+def scene_sampling(candidates: DataFrame, sample_seconds: float, most: int, video: str = "video_id", ts: str = "ts") -> DataFrame:
+    """(video, duration, budget, times): the choice of each window, widest gaps filled up to the budget, with both
+    anchors, which come on top of the budget."""
+    per = coverage_choice(candidates, sample_seconds, most, video, ts)
+    full = fill_gaps(F.col("picks"), F.col("duration"), F.col("budget"), F.col("pool"))
+    return per.select(video, "duration", "budget", anchored(full, F.col("duration")).alias("times"))
+
+
+def uniform_times(duration: Column, sample_seconds: float, most: int) -> Column:
+    """Times without candidates: the centers of as many equal windows as the budget allows, gaps filled."""
+    n = budget(duration, sample_seconds, most)
+    size, end = duration / n, safe_end(duration)
+    low = lambda i: i * size
+    high = lambda i: F.least(F.when(i == n - 1, duration).otherwise((i + 1) * size), end)
+    center = lambda i: round3(round3(F.greatest(F.least(low(i) + (high(i) - low(i)) / 2, end), F.lit(0.0))))
+    picks = F.when(n <= 1, F.array(F.lit(0.0))).otherwise(F.transform(F.sequence(F.lit(0), n - 1), center))
+    none = F.array().cast("array<double>")
+    return F.when(duration <= 0, F.array(F.lit(0.0))).otherwise(fill_gaps(picks, duration, n, none))
+
+
+def all_change_times(ts: Column, duration: Column, gap: float) -> Column:
+    """All detected changes that are far enough apart, with both anchors."""
+    return anchored(gap_filter(distinct_times(ts), gap), duration)
+
+
+def without_anchors(ts: Column, duration: Column) -> Column:
+    return F.array_except(ts, F.array(F.lit(0.0), round3(safe_end(duration))))
+
+
+def sampling_label(duration: Column, frames: Column, mode: str, sample_seconds: float, most: int, scenes: bool, filtered: bool = False) -> Column:
+    """How a video's frames were sampled, in words."""
+    held = F.concat(F.lit("actual_frames="), frames.cast("string"), F.lit(", duration="), F.replace(F.format_number(duration, 2), F.lit(","), F.lit("")), F.lit("s"))
+    if mode == "all-changes":
+        return F.concat(F.lit("all-detected-changes" + ("-layout-filtered" if filtered else "") + " ("), held, F.lit(")"))
+    n = F.concat(F.lit("(frame_budget="), budget(duration, sample_seconds, most).cast("string"), F.lit(", "), held)
+    if scenes:
+        return F.concat(F.lit("segment-coverage-scene-sampling "), n, F.lit(")"))
+    return F.concat(F.lit("segment-coverage-uniform-sampling "), n, F.lit(f", sample_seconds={sample_seconds:.2f})"))
+
+
+def fill_gaps(selected: Column, duration: Column, n: Column, pool: Column) -> Column:
+    """Times with the middle of the widest gap added, or the candidate of the sorted pool nearest to it, until there are n;
+    it ends at the first choice that is there already. A fold of at most n steps over one array a video."""
+    end = safe_end(duration)
+    first = F.array_sort(distinct_times(selected))
+    have = F.when(F.size(first) > 0, first).otherwise(F.array(F.lit(0.0)))
+    state = lambda have, stop: F.struct(have.alias("have"), stop.alias("stop"))
+
+    def widest(have: Column) -> Column:
+        """(gap, -left, left, right) of the widest gap, the earliest of several; null if there is none."""
+        stops = F.array_sort(distinct_times(F.concat(F.array(F.lit(0.0)), have, F.array(end))))
+        gap = lambda a, b: F.struct((b - a).alias("gap"), (-a).alias("early"), a.alias("left"), b.alias("right"))
+        size = F.size(stops)
+        gaps = F.when(size > 1, F.zip_with(F.slice(stops, 1, F.greatest(size - 1, F.lit(1))), F.slice(stops, 2, F.greatest(size - 1, F.lit(1))), gap))
+        return F.array_max(F.filter(gaps, lambda g: g["gap"] > 0.001))
+
+    def chosen(g: Column) -> Column:
+        middle = (g["left"] + g["right"]) / 2
+        inside = F.filter(pool, lambda t: t.between(g["left"], g["right"]))
+        near = F.array_min(F.transform(inside, lambda t: F.struct(F.abs(t - middle).alias("far"), t.alias("t"))))
+        return round3(F.least(F.greatest(F.coalesce(near["t"], middle), F.lit(0.0)), end))
+
+    def step(s: Column, _: Column) -> Column:
+        def added(pick: Column) -> Column:
+            there = pick.isNull() | F.exists(s["have"], lambda t: F.abs(pick - t) <= 0.001)
+            return F.when(there, state(s["have"], F.lit(True))).otherwise(state(F.array_sort(F.array_append(s["have"], pick)), F.lit(False)))
+
+        return F.when(s["stop"] | (F.size(s["have"]) >= n), s).otherwise(T.let(T.let(widest(s["have"]), chosen), added))
+
+    full = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), state(have, F.lit(False)), step)["have"]
+    return F.when(duration <= 0, F.array(F.lit(0.0))).otherwise(F.slice(full, 1, n))
 
 
 def representative(segments: DataFrame, most: int, video: str = "video_id", order: str = "seg_idx") -> DataFrame:
-    """At most `most` segments of each video: all, every n-th, or head, even middle and tail."""
+    """At most `most` segments of each video: all, every n-th, or head, even middle and tail; of the last kind those that
+    repeat an earlier choice's (start, end, text) are left out, where the segments have these columns."""
     if most <= 0:  # only videos that have no more than that many segments, so none
         return segments.limit(0)
     w = Window.partitionBy(video)
@@ -111,7 +170,11 @@ def representative(segments: DataFrame, most: int, video: str = "video_id", orde
         middle, pool = most - 2 * side, n - 2 * side
         spots = F.transform(F.sequence(F.lit(0), F.lit(middle - 1)), lambda j: F.rint(j * (pool - 1) / max(1, middle - 1)))
         keep = (i < side) | (i >= n - side) | (F.lit(middle) >= pool) | F.array_contains(spots, (i - side).cast("double"))
-    return s.where((n <= most) | keep).drop("__n", "__i")
+    s = s.where((n <= most) | keep)
+    same = [c for c in ("start", "end", "text") if c in segments.columns]
+    if most > 6 and len(same) == 3:
+        s = s.withColumn("__again", F.row_number().over(Window.partitionBy(video, *same).orderBy(order))).where((n <= most) | (F.col("__again") == 1)).drop("__again")
+    return s.drop("__n", "__i")
 
 
 def batches(rows: DataFrame, size: int, video: str = "video_id", order: str = "idx") -> DataFrame:

@@ -14,45 +14,26 @@ from pyspark.sql import functions as F
 
 from lumenreel.functions import text as T
 from lumenreel.operators import align, dedupe, layout, rank, report, speech, timeline
+from lumenreel.plans import evidence
+from lumenreel.plans.evidence import PROSE
+from lumenreel.plans.tables import EVENTS, LINES, MOST, SAMPLE, SEGMENTS, doc_lines, events, read, segments
 
-DAY_SAMPLE, MOST = 21_600.0, 12
 DOC_TERMS, UI_TERMS = ["the", "que", "der", "les"], ["is on", "por la"]
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
-
-
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(video_id, event_id, event_type, value, ts): ts in seconds since the video's first event."""
-    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
-    e = _read(spark, sf_dir, "events", "user_id", "event_id", "event_type", "value", "ts").withColumn("ms", ms)
-    rel = F.col("ms") - F.min("ms").over(Window.partitionBy("user_id"))
-    return e.select(F.col("user_id").alias("video_id"), "event_id", "event_type", "value", (rel / 1000).alias("ts"))
-
-
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    return c.select(F.col("conv_id").alias("video_id"), F.col("turn").cast("int").alias("seg_idx"), (F.col("turn") * 4.0).alias("start"), (F.col("turn") * 4.0 + 3.0).alias("end"), F.col("role").alias("speaker"), "text")
-
-
-def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: t != "").alias("lines"))
-
-
 def segment_coverage_timeline(spark, sf_dir):
-    out = timeline.cover(_events(spark, sf_dir), DAY_SAMPLE, MOST)
+    out = timeline.cover(events(spark, sf_dir), SAMPLE, MOST)
     return out.select("video_id", "budget", F.posexplode("times").alias("pos", "ts"))
 
 
 def change_gap_filter(spark, sf_dir):
-    times = _events(spark, sf_dir).groupBy("video_id").agg(F.array_sort(F.collect_list("ts")).alias("ts"))
+    times = events(spark, sf_dir).groupBy("video_id").agg(F.array_sort(F.collect_list("ts")).alias("ts"))
     kept = times.select("video_id", F.size("ts").alias("n_in"), timeline.gap_filter(timeline.distinct_times(F.col("ts")), 3600.0).alias("kept"))
     return kept.select("video_id", "n_in", F.size("kept").alias("n_kept"), F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + F.rint(x * 1000).cast("long")).alias("checksum"))
 
 
 def representative_segments(spark, sf_dir):
-    s = _segments(spark, sf_dir).select("video_id", "seg_idx")
+    s = segments(spark, sf_dir).select("video_id", "seg_idx")
     return timeline.representative(s, 4).withColumn("most", F.lit(4)).unionByName(timeline.representative(s, 8).withColumn("most", F.lit(8)))
 
 
@@ -61,73 +42,73 @@ def _frames(e: DataFrame) -> DataFrame:
 
 
 def frame_transcript_alignment(spark, sf_dir):
-    e = _events(spark, sf_dir)
+    e = events(spark, sf_dir)
     seg = e.where("event_type = 'click'").select("video_id", F.col("event_id").alias("seg_idx"), F.col("ts").alias("start"), (F.col("ts") + F.col("value") * 60).alias("end"), F.lit(None).cast("string").alias("speaker"), F.lit("").alias("text"))
     out = align.attach_segments(_frames(e), seg, 3600.0)
     return out.select("video_id", "idx", F.size("segments").alias("n_segments"), F.array_join(F.transform("segments", lambda s: s["seg_idx"].cast("string")), ",").alias("seg_ids"))
 
 
 def first_match_tolerance(spark, sf_dir):
-    e = _events(spark, sf_dir)
+    e = events(spark, sf_dir)
     items = e.where("event_type = 'click'").select("video_id", "ts", F.col("event_id").alias("pos"), F.col("event_id").alias("found"))
     return align.first_within(_frames(e), items, "found", 1800.0).select("video_id", "idx", F.coalesce("found", F.lit(-1)).alias("found"))
 
 
 def batch_evidence(spark, sf_dir):
-    e = _events(spark, sf_dir)
+    e = events(spark, sf_dir)
     b = timeline.batches(_frames(e), 4).groupBy("video_id", "batch").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
     texts = e.where("event_type = 'error'").select("video_id", F.col("event_id").alias("pos"), "ts", F.concat("event_type", F.col("event_id").cast("string")).alias("text"))
     return align.batch_texts(b, texts, 600.0)
 
 
 def speaker_summary(spark, sf_dir):
-    s = speech.speakers(speech.normalize_segments(_segments(spark, sf_dir)))
+    s = speech.speakers(speech.normalize_segments(segments(spark, sf_dir)))
     return s.select("video_id", "rank", "speaker", "segment_count", "start", "end", F.length("joined").alias("n_chars"))
 
 
 def speech_chunks(spark, sf_dir):
-    c = speech.chunks(speech.normalize_segments(_segments(spark, sf_dir)), 420)
+    c = speech.chunks(speech.normalize_segments(segments(spark, sf_dir)), 420)
     return c.select("video_id", "chunk_idx", "start", "end", F.length("text").alias("n_chars"), "title")
 
 
 def transcript_coverage(spark, sf_dir):
-    s = speech.normalize_segments(_segments(spark, sf_dir))
+    s = speech.normalize_segments(segments(spark, sf_dir))
     videos = s.groupBy("video_id").agg((F.max("seg_idx") * 5.0 + 5.0).alias("duration"))
     return speech.coverage(s, videos).select("video_id", "duration", "coverage", "speaker_count")
 
 
 def timestamp_labels(spark, sf_dir):
-    return _events(spark, sf_dir).select("event_id", T.timestamp_label(F.col("ts") / 10).alias("label"))
+    return events(spark, sf_dir).select("event_id", T.timestamp_label(F.col("ts") / 10).alias("label"))
 
 
 def title_signal(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents", "doc_id", "text")
+    d = read(spark, sf_dir, "documents", "doc_id", "text")
     s = d.select("doc_id", T.title_signal(F.split(F.coalesce("text", F.lit("")), "\n")[0]).alias("s"))
     return s.select("doc_id", "s.normalized_text", "s.meaningful_text", "s.quality_score", "s.is_meaningful", "s.token_count", "s.meaningful_token_count")
 
 
 def ocr_quality(spark, sf_dir):
-    lines = _doc_lines(spark, sf_dir).select("doc_id", F.posexplode("lines").alias("line_no", "line"))
+    lines = doc_lines(spark, sf_dir).select("doc_id", F.posexplode("lines").alias("line_no", "line"))
     normal = lines.withColumn("line", T.ocr_text(F.col("line")))
     return normal.select("doc_id", "line_no", F.length("line").alias("n_chars"), T.ocr_quality(F.col("line"), ["the", "que"]).alias("quality"))
 
 
 def document_density(spark, sf_dir):
-    return _doc_lines(spark, sf_dir).select("doc_id", T.document_density(F.col("lines")).alias("density"))
+    return doc_lines(spark, sf_dir).select("doc_id", T.document_density(F.col("lines")).alias("density"))
 
 
 def document_score(spark, sf_dir):
-    return _doc_lines(spark, sf_dir).select("doc_id", T.document_score(F.col("lines"), DOC_TERMS, UI_TERMS).alias("score"))
+    return doc_lines(spark, sf_dir).select("doc_id", T.document_score(F.col("lines"), DOC_TERMS, UI_TERMS).alias("score"))
 
 
 def section_routing(spark, sf_dir):
-    s = _segments(spark, sf_dir).select("video_id", F.col("seg_idx").alias("pos"), "text")
+    s = segments(spark, sf_dir).select("video_id", F.col("seg_idx").alias("pos"), "text")
     bucket = F.when(F.contains("text", F.lit(" the ")), "review").when(F.contains("text", F.lit(" que ")), "rules").when(F.contains("text", F.lit(" der ")), "source")
     return report.route(s, bucket, "source").select("video_id", "pos", "section")
 
 
 def layout_difference(spark, sf_dir):
-    e = _read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    e = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
     grid = F.transform("embedding", lambda x: x.cast("double") * 255)
     s = e.select("vec_id", F.struct(grid.alias("grid"), F.reverse(grid).alias("edge_grid"), F.slice(grid, 1, 14).alias("row_profile"), F.slice(grid, 15, 24).alias("col_profile"), F.element_at(grid, 1).alias("brightness_mean"), F.element_at(grid, 2).alias("edge_strength")).alias("s"))
     pair = s.alias("a").join(s.alias("b"), F.col("a.vec_id") + 1 == F.col("b.vec_id"))
@@ -136,14 +117,14 @@ def layout_difference(spark, sf_dir):
 
 
 def stable_nav_context(spark, sf_dir):
-    e = _events(spark, sf_dir)
+    e = events(spark, sf_dir)
     f = e.select("video_id", "event_id", "ts", (F.col("event_type") != "error").alias("nav_present"), (F.col("event_id") % 6 - 1).cast("int").alias("active_index"), (F.col("value") / 500).alias("confidence"))
     w = layout.steady_nav(f.withColumn("at", F.struct("ts", "event_id")), order="at")
     return w.select("event_id", "context_index")
 
 
 def keyframe_topk(spark, sf_dir):
-    e = _events(spark, sf_dir).select("video_id", F.col("event_id").alias("idx"), "event_type")
+    e = events(spark, sf_dir).select("video_id", F.col("event_id").alias("idx"), "event_type")
     w = Window.partitionBy("video_id")
     place, total = F.row_number().over(w.orderBy("idx")) - 1, F.count("*").over(w)
     reason = F.when(F.col("event_type") == "error", "kept-title").when(F.col("event_type") == "click", "dropped-same-chapter")
@@ -152,40 +133,32 @@ def keyframe_topk(spark, sf_dir):
     return rank.keyframes(s, 8).select("video_id", "idx", F.round("score", 3).alias("score"))
 
 
-def change_filter(spark, sf_dir):
-    e = _read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+def change_frames(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
     grid = F.transform("embedding", lambda x: F.abs(x.cast("double")) * 900)
     f = e.select((F.col("vec_id") % 50).alias("video_id"), F.col("vec_id").cast("double").alias("ts"), grid.alias("grid"), F.reverse(grid).alias("edge_grid"), F.slice(grid, 1, 14).alias("row_profile"), F.slice(grid, 15, 24).alias("col_profile"), F.lit(0.5).alias("brightness_mean"), F.lit(0.1).alias("edge_strength"), F.lit(False).alias("transition_like"), (F.col("vec_id") % 2 == 0).alias("title_meaningful"), F.lit(True).alias("title_block_like"), F.array(F.concat(F.lit("title"), (F.floor(F.col("vec_id") / 100)).cast("string"))).alias("title_tokens"), F.concat(F.lit("title"), (F.floor(F.col("vec_id") / 100)).cast("string")).alias("title_meaning"), F.lit(True).alias("nav_present"), (F.col("vec_id") % 3).cast("int").alias("active_index"), F.lit(0.6).alias("nav_confidence"), (F.col("vec_id") % 3).cast("int").alias("context_index"), (F.col("vec_id") % 7 == 0).alias("presenter_like"), F.lit(0.8).alias("presenter_confidence"))
-    return layout.change_filter(f, title=True, nav=True, presenter=True, dedupe=True)
+    return f
+
+
+def change_filter(spark, sf_dir):
+    out = layout.change_filter(change_frames(spark, sf_dir), title=True, nav=True, presenter=True, dedupe=True)
+    return out.select("video_id", "ts", "keep_reason", "kept", F.round("combined_score", 9).alias("combined_score"))
 
 
 def near_dup_lines(spark, sf_dir):
-    lines = _doc_lines(spark, sf_dir).select(F.col("doc_id").alias("video_id"), F.posexplode("lines").alias("pos", "line"))
+    lines = doc_lines(spark, sf_dir).select(F.col("doc_id").alias("video_id"), F.posexplode("lines").alias("pos", "line"))
     return dedupe.merge_lines(lines).select("video_id", "pos", F.length("line").alias("n_chars"))
 
 
 def diverse_documents(spark, sf_dir):
-    d = _doc_lines(spark, sf_dir)
+    d = doc_lines(spark, sf_dir)
     f = d.select((F.col("doc_id") % 20).alias("video_id"), F.col("doc_id").cast("double").alias("ts"), T.document_score(F.col("lines"), DOC_TERMS, UI_TERMS).alias("score"), "lines")
     return dedupe.diverse_frames(f).select("video_id", "ts", "score")
 
 
-def source_resolution(spark, sf_dir):
-    p = _read(spark, sf_dir, "pages", "page_id", "url").withColumn("raw", F.concat(F.lit("see "), F.col("url"), F.lit(", then")))
-    url = T.source_input(F.col("raw"))
-    return p.select("page_id", T.is_url(F.col("raw")).alias("is_url"), url.alias("resolved"), T.url_host(url).alias("host"), T.page_video_url(url).alias("page_url"), T.media_suffix(url, F.lit("video/webm; x=1")).alias("suffix"))
-
-
 def html_guard(spark, sf_dir):
-    p = _read(spark, sf_dir, "pages", "page_id", "html")
-    return p.select("page_id", T.looks_like_html(F.col("html")).alias("is_html"), T.looks_like_html(F.substring("html", 20, 100)).alias("tail_is_html"))
-
-
-def local_report(spark, sf_dir):
-    s = speech.normalize_segments(_segments(spark, sf_dir))
-    r = s.groupBy("video_id").agg(F.count("*").alias("n"), F.min("start").alias("a"), F.max("end").alias("b"))
-    parts = {"Summary": F.concat(F.lit("Segments: "), F.col("n").cast("string")), "Timeline": F.concat(T.timestamp_label(F.col("a")), F.lit(" - "), T.timestamp_label(F.col("b"))), "Uncertainties": F.lit("")}
-    return r.select("video_id", report.markdown(F.concat(F.lit("Video "), F.col("video_id").cast("string")), parts).alias("markdown"))
+    p = read(spark, sf_dir, "pages", "page_id", "html")
+    return p.select("page_id", T.looks_like_html(F.col("html")).alias("is_html"), T.looks_like_html(F.expr("substring(html, 20)")).alias("tail_is_html"), T.has_transcript(F.col("html"), F.col("page_id") % 3).alias("has_transcript"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -194,22 +167,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         segment_coverage_timeline, change_gap_filter, representative_segments, frame_transcript_alignment, first_match_tolerance,
         batch_evidence, speaker_summary, speech_chunks, transcript_coverage, timestamp_labels, title_signal, ocr_quality,
         document_density, document_score, section_routing, layout_difference, stable_nav_context, keyframe_topk, change_filter,
-        near_dup_lines, diverse_documents, source_resolution, html_guard, local_report,
+        near_dup_lines, diverse_documents, html_guard,
     )
-}
-
-_EVENTS = """e0 AS (
-  SELECT user_id AS video_id, event_id, event_type, value, epoch_us(ts) // 1000 AS ms FROM events
-), e AS (
-  SELECT video_id, event_id, event_type, value, (ms - min(ms) OVER (PARTITION BY video_id)) / 1000 AS ts FROM e0
-)"""
-_SEGMENTS = """s AS (
-  SELECT conv_id AS video_id, turn::INT AS seg_idx, turn * 4.0::DOUBLE AS start, turn * 4.0::DOUBLE + 3.0::DOUBLE AS end_, role AS speaker, text
-  FROM conversations WHERE trim(coalesce(text, '')) <> ''
-)"""
-_LINES = """d AS (
-  SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda t: t <> '') AS lines FROM documents
-)"""
+} | evidence.QUERIES
+
 _NORMAL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})),
   '(^|[^0-9])[0-9]{{1,2}}:[0-9]{{2}}($|[^0-9])', '\1 \2', 'g'), '\s+', ' ', 'g'), '[^0-9a-zA-Z\x{{4e00}}-\x{{9fff}} /:_-]+', ' ', 'g'), '\b(?:am|pm)\b', ' ', 'g'), '\s+', ' ', 'g'))"""
 
@@ -222,8 +183,8 @@ _CJK, _USEFUL = r"[\x{4e00}-\x{9fff}]", r"[0-9A-Za-z\x{4e00}-\x{9fff}]"
 
 ORACLES: dict[str, str] = {
     "segment_coverage_timeline": f"""
-WITH {_EVENTS}, v AS (
-  SELECT video_id, max(ts) AS d, CASE WHEN max(ts) <= 0 THEN 1 ELSE greatest(1, least({MOST}, ceil(max(ts) / {DAY_SAMPLE}))) END::INT AS n FROM e GROUP BY 1
+WITH {EVENTS}, v AS (
+  SELECT video_id, max(ts) AS d, CASE WHEN max(ts) <= 0 THEN 1 ELSE greatest(1, least({MOST}, ceil(max(ts) / {SAMPLE}))) END::INT AS n FROM e GROUP BY 1
 ), v2 AS (
   SELECT *, greatest(d - CASE WHEN d <= 0 THEN 0.001 ELSE least(greatest(0.5, d * 0.05::DOUBLE), greatest(d / 2, 0.001)) END, 0) AS se, d <= 0 OR n <= 1 AS single FROM v
 ), w0 AS (
@@ -246,7 +207,7 @@ WITH {_EVENTS}, v AS (
 )
 SELECT video_id, budget, (unnest(range(len(times))))::INT AS pos, unnest(times) AS ts FROM t""",
     "change_gap_filter": f"""
-WITH {_EVENTS}, l AS (
+WITH {EVENTS}, l AS (
   SELECT video_id, count(*)::INT AS n_in, list_sort(list_distinct(list(round_even(ts * 1000, 0) / 1000))) AS ts FROM e GROUP BY 1
 ), k AS (
   SELECT video_id, n_in, list_reduce(list_transform(ts, lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[-1] >= 3600.0 THEN list_concat(a, x) ELSE a END) AS kept FROM l
@@ -261,31 +222,31 @@ UNION ALL
 SELECT video_id, seg_idx, 8 AS most FROM s WHERE n <= 8 OR i < 2 OR i >= n - 2 OR n - 4 <= 4
   OR list_contains(list_transform(range(4), lambda j: round_even(j * (n - 5) / 3, 0)), (i - 2)::DOUBLE)""",
     "frame_transcript_alignment": f"""
-WITH {_EVENTS}, f AS (SELECT video_id, event_id AS idx, ts FROM e WHERE event_type = 'view'),
+WITH {EVENTS}, f AS (SELECT video_id, event_id AS idx, ts FROM e WHERE event_type = 'view'),
 g AS (SELECT video_id, event_id AS seg_idx, ts AS a, ts + value * 60 AS b FROM e WHERE event_type = 'click')
 SELECT f.video_id, f.idx, count(g.seg_idx)::INT AS n_segments, coalesce(string_agg(g.seg_idx::VARCHAR, ',' ORDER BY g.seg_idx), '') AS seg_ids
 FROM f LEFT JOIN g ON f.video_id = g.video_id AND (abs((a + b) / 2 - f.ts) <= 3600 OR f.ts BETWEEN a AND b) GROUP BY 1, 2""",
     "first_match_tolerance": f"""
-WITH {_EVENTS}, f AS (SELECT video_id, event_id AS idx, ts FROM e WHERE event_type = 'view')
+WITH {EVENTS}, f AS (SELECT video_id, event_id AS idx, ts FROM e WHERE event_type = 'view')
 SELECT f.video_id, f.idx, coalesce(min(c.event_id), -1) AS found FROM f LEFT JOIN e c ON c.video_id = f.video_id AND c.event_type = 'click' AND abs(c.ts - f.ts) <= 1800 GROUP BY 1, 2""",
     "batch_evidence": f"""
-WITH {_EVENTS}, f AS (SELECT video_id, ts, ((row_number() OVER (PARTITION BY video_id ORDER BY event_id) - 1) // 4)::INT AS batch FROM e WHERE event_type = 'view'),
+WITH {EVENTS}, f AS (SELECT video_id, ts, ((row_number() OVER (PARTITION BY video_id ORDER BY event_id) - 1) // 4)::INT AS batch FROM e WHERE event_type = 'view'),
 b AS (SELECT video_id, batch, min(ts) AS start, max(ts) AS "end" FROM f GROUP BY 1, 2)
 SELECT b.video_id, b.batch, b.start, b."end", coalesce(string_agg(t.event_type || t.event_id, chr(10) ORDER BY t.event_id), '') AS evidence
 FROM b LEFT JOIN e t ON t.video_id = b.video_id AND t.event_type = 'error' AND t.ts BETWEEN b.start - 600 AND b."end" + 600 GROUP BY ALL""",
     "speaker_summary": f"""
-WITH {_SEGMENTS}, g AS (
+WITH {SEGMENTS}, g AS (
   SELECT video_id, trim(speaker) AS speaker, count(*) AS segment_count, arg_min(start, seg_idx) AS start, max(end_) AS "end", length(string_agg(trim(text), ' ' ORDER BY seg_idx))::INT AS n_chars
   FROM s WHERE trim(coalesce(speaker, '')) <> '' GROUP BY 1, 2
 )
 SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY segment_count DESC, speaker)::INT AS rank, speaker, segment_count, start, "end", n_chars FROM g""",
     "transcript_coverage": f"""
-WITH {_SEGMENTS}, v AS (
+WITH {SEGMENTS}, v AS (
   SELECT video_id, max(seg_idx) * 5.0::DOUBLE + 5.0::DOUBLE AS duration, min(start) AS a, max(end_) AS b, count(DISTINCT nullif(trim(speaker), '')) AS speaker_count FROM s GROUP BY 1
 )
 SELECT video_id, duration, greatest(0, least(1, (b - a) / greatest(duration, 0.001)))::DOUBLE AS coverage, speaker_count FROM v""",
     "timestamp_labels": f"""
-WITH {_EVENTS}, t AS (SELECT event_id, round_even(ts / 10, 0)::BIGINT AS x FROM e)
+WITH {EVENTS}, t AS (SELECT event_id, round_even(ts / 10, 0)::BIGINT AS x FROM e)
 SELECT event_id, CASE WHEN x >= 3600 THEN printf('%02d:%02d:%02d', x // 3600, x // 60 % 60, x % 60) ELSE printf('%02d:%02d', x // 60, x % 60) END AS label FROM t""",
     "title_signal": f"""
 WITH d AS (
@@ -311,7 +272,7 @@ WITH d AS (
 SELECT doc_id, n AS normalized_text, array_to_string(good, ' ') AS meaningful_text, score::DOUBLE AS quality_score, score >= 0.55 AND kinds >= 1 AND NOT heavy AS is_meaningful,
        nt::INT AS token_count, kinds::INT AS meaningful_token_count FROM z""",
     "ocr_quality": f"""
-WITH {_LINES}, l AS (
+WITH {LINES}, l AS (
   SELECT doc_id, (unnest(range(len(lines))))::INT AS line_no, unnest(lines) AS raw FROM d
 ), n0 AS (
   SELECT doc_id, line_no, regexp_replace(trim(regexp_replace(raw, '\\s+', ' ', 'g')), '^[| *\\t·•\\-=_,.;:，。；：]+|[| *\\t·•\\-=_,.;:，。；：]+$', '', 'g') AS line FROM l
@@ -330,10 +291,10 @@ WITH {_LINES}, l AS (
 )
 SELECT doc_id, line_no, length(line)::INT AS n_chars, CASE WHEN size = 0 THEN 0 ELSE greatest(0, least(100, total)) / 100 END::DOUBLE AS quality FROM q""",
     "document_density": f"""
-WITH {_LINES}, c AS (SELECT doc_id, list_transform(lines, lambda t: {_n("t", _USEFUL)}) AS n FROM d)
+WITH {LINES}, c AS (SELECT doc_id, list_transform(lines, lambda t: {_n("t", _USEFUL)}) AS n FROM d)
 SELECT doc_id, CASE WHEN len(n) > 0 THEN least(list_sum(n) / greatest(len(n), 1) / 18.0::DOUBLE, 1.0::DOUBLE) * 0.5::DOUBLE + least(len(list_filter(n, lambda x: x >= 12)) / 5.0::DOUBLE, 1.0::DOUBLE) * 0.5::DOUBLE ELSE 0 END::DOUBLE AS density FROM c""",
     "document_score": f"""
-WITH {_LINES}, c AS (
+WITH {LINES}, c AS (
   SELECT doc_id, lines, array_to_string(lines, chr(10)) AS text,
     len(list_filter(lines, lambda t: {_n("t", _USEFUL)} >= 18)) AS para,
     len(list_filter(lines, lambda t: starts_with(t, '#') OR regexp_matches(t, '^[一二三四五六七八九十]+[、.．]'))) AS head,
@@ -355,14 +316,14 @@ q AS (SELECT *, list_sum(d) / (len(d) * 255.0::DOUBLE) AS x, list_sum(d[1:14]) /
 SELECT vec_id, x AS grid_diff, x AS edge_diff, r AS row_profile_diff, c AS col_profile_diff,
   round(x * 0.5::DOUBLE + x * 0.3::DOUBLE + abs(ag[1] - bg[1]) * 0.1::DOUBLE + abs(ag[2] - bg[2]) * 0.1::DOUBLE, 9) AS combined_score FROM q""",
     "stable_nav_context": f"""
-WITH {_EVENTS}, n AS (
+WITH {EVENTS}, n AS (
   SELECT video_id, event_id, ts, (event_id % 6 - 1)::INT AS i, value / 500 AS c, event_type <> 'error' AND event_id % 6 - 1 >= 0 AS ok FROM e
 ), m AS (
   SELECT *, CASE WHEN ok AND c >= 0.55 THEN i END AS a, CASE WHEN ok AND c >= 0.75 THEN i END AS b, CASE WHEN ok AND c >= 0.85 THEN i END AS d FROM n
 )
 SELECT event_id, coalesce(a, lag(b, 1) OVER w, lag(b, 2) OVER w, lead(d, 1) OVER w, lead(d, 2) OVER w, -1)::INT AS context_index FROM m WINDOW w AS (PARTITION BY video_id ORDER BY ts, event_id)""",
     "keyframe_topk": f"""
-WITH {_EVENTS}, f AS (
+WITH {EVENTS}, f AS (
   SELECT video_id, event_id AS idx, event_type, row_number() OVER (PARTITION BY video_id ORDER BY event_id) - 1 AS p, count(*) OVER (PARTITION BY video_id) AS n FROM e
 ), s AS (
   SELECT *, p = 0 OR p = n - 1 OR p = n // 2 AS anchor, CASE WHEN p = 0 OR p = n - 1 THEN 3.5 ELSE 0 END::DOUBLE + CASE WHEN p = n // 2 THEN 2.0 ELSE 0 END::DOUBLE
@@ -372,16 +333,7 @@ WITH {_EVENTS}, f AS (
   SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY anchor DESC, CASE WHEN anchor THEN 0 ELSE round_even(score * 1000, 0) END DESC, p) AS r FROM s
 )
 SELECT video_id, idx, round(score, 3) AS score FROM r WHERE r <= 8""",
-    "source_resolution": r"""
-WITH p AS (SELECT page_id, 'see ' || url || ', then' AS raw FROM pages),
-u AS (SELECT page_id, raw, regexp_replace(regexp_extract(raw, 'https?://[^\s，。！？；、）)>\]"'']+'), '[.,;:!?，。！？；、]+$', '') AS url FROM p),
-r AS (SELECT page_id, CASE WHEN url <> '' THEN url ELSE raw END AS resolved FROM u),
-h AS (SELECT *, lower(regexp_extract(resolved, '^[a-zA-Z]+://([^/?#]*)', 1)) AS host, lower(regexp_extract(regexp_extract(resolved, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '[^/.](\.[^./]+)$', 1)) AS ext FROM r)
-SELECT page_id, FALSE AS is_url, resolved, host, resolved AS page_url, CASE WHEN ext IN ('.mp4', '.mov', '.mkv', '.webm', '.m4v', '.avi') THEN ext ELSE '.webm' END AS suffix FROM h""",
     "html_guard": r"""
-SELECT page_id, regexp_matches(lower(coalesce(html, '')), '^\s*(<!doctype html|<html)') AS is_html, regexp_matches(lower(substr(coalesce(html, ''), 20, 100)), '^\s*(<!doctype html|<html)') AS tail_is_html FROM pages""",
-    "local_report": f"""
-WITH {_SEGMENTS}, r AS (SELECT video_id, count(*) AS n, min(start)::BIGINT AS a, max(end_)::BIGINT AS b FROM s GROUP BY 1)
-SELECT video_id, '# Video ' || video_id || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || 'Segments: ' || n || chr(10) || chr(10) || '## Timeline' || chr(10) || chr(10)
-  || printf('%02d:%02d', a // 60, a % 60) || ' - ' || printf('%02d:%02d', b // 60, b % 60) || chr(10) || chr(10) || '## Uncertainties' || chr(10) || chr(10) || '_未解析_' AS markdown FROM r""",
+SELECT page_id, regexp_matches(lower(coalesce(html, '')), '^\s*(<!doctype html|<html)') AS is_html, regexp_matches(lower(substr(coalesce(html, ''), 20)), '^\s*(<!doctype html|<html)') AS tail_is_html,
+  (trim(coalesce(html, '')) <> '' AND NOT regexp_matches(lower(coalesce(html, '')), '^\s*(<!doctype html|<html)')) OR page_id % 3 > 0 AS has_transcript FROM pages""",
 }
