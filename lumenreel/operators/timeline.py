@@ -141,7 +141,7 @@ def fill_gaps(selected: Column, duration: Column, n: Column, pool: Column) -> Co
         middle = (g["left"] + g["right"]) / 2
         inside = F.filter(pool, lambda t: t.between(g["left"], g["right"]))
         near = F.array_min(F.transform(inside, lambda t: F.struct(F.abs(t - middle).alias("far"), t.alias("t"))))
-        return round3(F.least(F.greatest(F.coalesce(near["t"], middle), F.lit(0.0)), end))
+        return F.when(g.isNotNull(), round3(F.least(F.greatest(F.coalesce(near["t"], middle), F.lit(0.0)), end)))
 
     def step(s: Column, _: Column) -> Column:
         def added(pick: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.functions import text as T
 from lumenreel.operators import align, dedupe, layout, rank, report, speech, timeline
-from lumenreel.plans import evidence
+from lumenreel.plans import evidence, evidence_sql
 from lumenreel.plans.evidence import PROSE
 from lumenreel.plans.tables import EVENTS, LINES, MOST, SAMPLE, SEGMENTS, doc_lines, events, read, segments
 
@@ -62,13 +62,12 @@ def batch_evidence(spark, sf_dir):
 
 
 def speaker_summary(spark, sf_dir):
-    s = speech.speakers(speech.normalize_segments(segments(spark, sf_dir)))
-    return s.select("video_id", "rank", "speaker", "segment_count", "start", "end", F.length("joined").alias("n_chars"))
+    s = speech.speakers(speech.normalize_segments(segments(spark, sf_dir)), pack=PROSE)
+    return s.select("video_id", "rank", "speaker", "segment_count", "start", "end", "joined", "summary", "excerpt")
 
 
 def speech_chunks(spark, sf_dir):
-    c = speech.chunks(speech.normalize_segments(segments(spark, sf_dir)), 420)
-    return c.select("video_id", "chunk_idx", "start", "end", F.length("text").alias("n_chars"), "title")
+    return speech.chunks(speech.normalize_segments(segments(spark, sf_dir)), 420)
 
 
 def transcript_coverage(spark, sf_dir):
@@ -234,12 +233,6 @@ WITH {EVENTS}, f AS (SELECT video_id, ts, ((row_number() OVER (PARTITION BY vide
 b AS (SELECT video_id, batch, min(ts) AS start, max(ts) AS "end" FROM f GROUP BY 1, 2)
 SELECT b.video_id, b.batch, b.start, b."end", coalesce(string_agg(t.event_type || t.event_id, chr(10) ORDER BY t.event_id), '') AS evidence
 FROM b LEFT JOIN e t ON t.video_id = b.video_id AND t.event_type = 'error' AND t.ts BETWEEN b.start - 600 AND b."end" + 600 GROUP BY ALL""",
-    "speaker_summary": f"""
-WITH {SEGMENTS}, g AS (
-  SELECT video_id, trim(speaker) AS speaker, count(*) AS segment_count, arg_min(start, seg_idx) AS start, max(end_) AS "end", length(string_agg(trim(text), ' ' ORDER BY seg_idx))::INT AS n_chars
-  FROM s WHERE trim(coalesce(speaker, '')) <> '' GROUP BY 1, 2
-)
-SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY segment_count DESC, speaker)::INT AS rank, speaker, segment_count, start, "end", n_chars FROM g""",
     "transcript_coverage": f"""
 WITH {SEGMENTS}, v AS (
   SELECT video_id, max(seg_idx) * 5.0::DOUBLE + 5.0::DOUBLE AS duration, min(start) AS a, max(end_) AS b, count(DISTINCT nullif(trim(speaker), '')) AS speaker_count FROM s GROUP BY 1
@@ -336,4 +329,4 @@ SELECT video_id, idx, round(score, 3) AS score FROM r WHERE r <= 8""",
     "html_guard": r"""
 SELECT page_id, regexp_matches(lower(coalesce(html, '')), '^\s*(<!doctype html|<html)') AS is_html, regexp_matches(lower(substr(coalesce(html, ''), 20)), '^\s*(<!doctype html|<html)') AS tail_is_html,
   (trim(coalesce(html, '')) <> '' AND NOT regexp_matches(lower(coalesce(html, '')), '^\s*(<!doctype html|<html)')) OR page_id % 3 > 0 AS has_transcript FROM pages""",
-}
+} | evidence_sql.ORACLES
