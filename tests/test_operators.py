@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenreel.functions import text as T
+from lumenreel.functions.rules import VIDEO
 from lumenreel.operators import align, dedupe, layout, rank, report, speech, timeline
 
 
@@ -32,10 +33,14 @@ def test_anchors(spark):
     assert one(spark, timeline.anchored(F.col("t"), F.lit(10.0)), t=[4.0, 4.0]) == [0.0, 4.0, 9.5]
 
 
-def test_fill_gaps_stops_at_a_repeated_choice():
-    assert timeline.fill_gaps([5.0], 10.0, 3, []) == [2.5, 5.0, 7.25]
-    assert timeline.fill_gaps([0.0], 0.0, 3, []) == [0.0]
-    assert timeline.fill_gaps([0.0], 10.0, 4, [0.0]) == [0.0]  # the only candidate in the gap is there already
+def test_fill_gaps_stops_at_a_repeated_choice(spark):
+    def filled(have, d, n, pool):
+        column = timeline.fill_gaps(F.col("h").cast("array<double>"), F.lit(d), F.lit(n), F.col("p").cast("array<double>"))
+        return one(spark, column, h=have, p=pool)
+
+    assert filled([5.0], 10.0, 3, []) == [2.5, 5.0, 7.25]
+    assert filled([0.0], 0.0, 3, []) == [0.0]
+    assert filled([0.0], 10.0, 4, [0.0]) == [0.0]  # the only candidate in the gap is there already
 
 
 def test_cover_prefers_the_earlier_of_two(spark):
@@ -89,9 +94,10 @@ def test_title_signal(spark):
 
 
 def test_quality_counts_terms_inside_words(spark):
-    assert one(spark, T.ocr_quality(F.col("t")), t="he said") == pytest.approx(0.51)
+    assert one(spark, T.ocr_quality(F.col("t"), VIDEO.useful_terms), t="he said") == pytest.approx(0.51)
     assert one(spark, T.ocr_quality(F.col("t")), t="") == 0.0
-    assert one(spark, T.known_terms(F.col("t")), t="用Al写 al") == "用Al写 AI"
+    assert one(spark, T.known_terms(F.col("t"), VIDEO), t="用Al写 al") == "用Al写 AI"
+    assert one(spark, T.known_terms(F.col("t")), t="al contado, OpenCloud") == "al contado, OpenCloud"  # no pack, no rewriting
 
 
 def test_steady_nav(spark):
