@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lumenreel.llm.common import Scratch
 
-#: Distinct vectors of a shard, and of a block of queries; blocks that share one copy of a shard's graph.
-SHARD = 4096
+#: Distinct vectors of a shard (its graph takes some 20 MB at 64 dimensions), and of a block of queries; blocks that share
+#: one copy of a shard's graph. A query's cost grows with the number of shards, and inside one with its logarithm.
+SHARD = 16_384
 BLOCK, BLOCKS = 1024, 8
 #: Links of a node in the upper layers (twice as many in the lowest), and beam widths.
 LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 80, 128
@@ -165,12 +166,13 @@ def nearest(scratch: Scratch, vectors: DataFrame, vec_id: str = "vec_id", embedd
 
     Equal vectors are one node that carries its k + 1 smallest ids, so copies neither crowd a graph nor
     meet in one task (a partial limit comes before the shuffle); queries that are equal are searched
-    once. Distinct vectors are dealt by hash to shards of about 4096; each has its graph, a row of flat
+    once. Distinct vectors are dealt by hash to shards of about 16,384; each has its graph, a row of flat
     arrays. Blocks of queries meet each shard's graph, and the shards' best are merged by query.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part; a query meets
     vectors of its own length. Rows with one id are one candidate. Ties go to the smaller id. Rows with
-    a null id are no queries and no candidates. Empty table: no rows. Fewer than k candidates: all.
+    a null id are no queries and no candidates. Empty table: no rows. Fewer than k candidates: all. Other
+    columns are not read.
     """
     e = F.col(embedding).cast("array<double>")
     v = vectors.select(F.col(vec_id).cast("long").alias("id"), e.alias("e")).where("id is not null and e is not null and size(e) > 0")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -24,9 +26,12 @@ except OSError:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset a folder of our own serves a local master, whose
+    tasks run in the driver; on a cluster it is an error, as no executor could read such a folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         key = spark.sparkContext.applicationId
         base = _fallback.setdefault(key, "file://" + tempfile.mkdtemp(prefix="scratch-"))
     return base
@@ -35,7 +40,8 @@ def scratch_root(spark: SparkSession) -> str:
 class Scratch:
     """Tables written once under the shared folder, so that lineage is cut and a lost executor costs one task.
 
-    Every run has a folder of its own. ``drop`` removes a table that no later plan reads.
+    Every run has a folder of its own, which goes when the driver ends: until then results may read it. ``drop``
+    removes a table that no later plan reads, ``close`` the folder once its results are written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -43,6 +49,7 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         bound_batches(spark)
+        atexit.register(self.close)
 
     def write(self, df: DataFrame, tag: str) -> DataFrame:
         self.count += 1
@@ -53,11 +60,17 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(t._scratch_path)
+
+    def close(self) -> None:
+        atexit.unregister(self.close)
+        if self.spark.sparkContext._jsc is not None:  # else the session has ended before
+            self._delete(self.root)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bound_batches(spark: SparkSession) -> None:

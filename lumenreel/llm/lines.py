@@ -20,8 +20,11 @@ BANDS, ROWS = 12, 4
 RUN, BLOCK = 16, 128
 #: Shingles of a tile coded at once, and columns of its incidence matrix held at once.
 CODED, COLUMNS = 2_000_000, 8192
-#: Bits of the filter that says which lines have candidates: a fixed size, whatever the input.
-FILTER_BITS = 24
+#: Bits for each line in the filter that says which lines have candidates, and the most bits of a filter (16 MB). Beyond
+#: that many lines their texts are fetched by a join.
+FILTER_SHARE, FILTER_BITS = 16, 27
+#: Parts that the lines of a large bucket are joined to their bucket's counts in.
+SALTS = 16
 #: Lines whose signatures are held at once; hashes a task remembers.
 SLICE, SEEN = 20_000, 500_000
 
@@ -269,7 +272,9 @@ def _tiles(stars: DataFrame, comp: DataFrame) -> DataFrame:
     main = lines.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"))
     blocks = main.where("n > main.n").select("key", F.col("main.comp").alias("main"), F.ceil(F.col("main.n") / BLOCK).alias("ins"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("outs"))
     out = F.col("comp") != F.col("main")
-    at = lines.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("h"), F.when(out, F.col("outs")).otherwise(F.col("ins"))))
+    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(SALTS)).cast("int"))
+    at = salted.join(blocks, ["key", "salt"]).withColumn("own", F.pmod(F.xxhash64("h"), F.when(out, F.col("outs")).otherwise(F.col("ins"))))
     # blocks of the others are numbered 0, 1, ... and those of the largest component -1, -2, ...
     meets = F.when(out, F.sequence(-F.col("ins"), F.col("outs") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1))
     own = F.when(out, F.col("own")).otherwise(-F.col("own") - 1)
@@ -336,42 +341,22 @@ def _uid(doc_id: str, text: str):
     return F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
 
 
-def line_classes(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, uid, line_no, line_class, kept) of every line that isn't blank.
-
-    Lines are cut at newlines. Equal lines are one node, known by a 64-bit hash; different ones are linked
-    at a Jaccard similarity of 0.8 or more of their sets of 7-character shingles. Of each component one
-    line is kept: that of the smallest (doc_id, row, line number), null ids last. Lines under seven
-    characters are linked to equal lines only.
-
-    Each task sketches a line once; only band keys and hashes are shuffled. The texts of lines that have
-    candidates are read again behind a bit filter of fixed size, joined to the distinct candidate pairs
-    and compared whole. A bucket of more than 16 lines is compared with its lead first; all its lines that are
-    not in one component by then are compared exactly in tiles, so no link of a bucket is lost. Null or empty text: no lines. Empty table: no rows. Rows alike in id and text are
-    one document, whose lines are kept or not alike in each.
-    """
-    bound_batches(scratch.spark)
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _uid(doc_id, text).alias("uid"), body.alias("text"))
-    lines = scratch.write(rows.mapInArrow(_sketch, "doc_id long, uid long, line_no int, h long, bands array<long>"), "lines")
-    dealt = lines.where("bands is not null").select(F.explode("bands").alias("key"), "h").repartition("key").sortWithinPartitions("key")
-    met = scratch.write(dealt.mapInArrow(_pairs, "a long, b long, key long"), "found")
-    pairs = scratch.write(met.select("a", "b").distinct(), "pairs")
-
-    low = (1 << FILTER_BITS) - 1
+def _texts_by_filter(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """(h, line) of all lines of the pairs, and of a few others that a filter of 2^size bits lets through."""
+    low = (1 << size) - 1
     words = pairs.select(F.explode(F.array("a", "b")).alias("h")).select(F.shiftright(F.col("h").bitwiseAND(low), 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
     bits = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).coalesce(1)
 
     def fill(batches):
-        out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+        out = np.zeros(1 << (size - 6), np.int64)
         for b in batches:
             out[b.column("w").to_numpy()] = b.column("bits").to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["bits"])
 
-    filled = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    filled = np.zeros(1 << (size - 6), np.int64)
     for r in bits.mapInArrow(fill, "bits binary").collect():
         filled |= np.frombuffer(r["bits"], np.int64)
-    sent = scratch.spark.sparkContext.broadcast(filled)
+    sent = pairs.sparkSession.sparkContext.broadcast(filled)
 
     def wanted(batches):
         known = sent.value.view(np.uint64)
@@ -388,7 +373,46 @@ def line_classes(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text
                 seen.update(hashes[code].tolist())
                 yield pa.RecordBatch.from_arrays([signed(hashes[code]), texts.take(pa.array(code))], names=["h", "line"])
 
-    texts = scratch.write(rows.select("text").mapInArrow(wanted, "h long, line string").dropDuplicates(["h"]), "texts")
+    return rows.select("text").mapInArrow(wanted, "h long, line string").dropDuplicates(["h"])
+
+
+def _texts_by_join(pairs: DataFrame, lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """(h, line) of all lines of the pairs, each taken from the one row that holds its first occurrence; rows that hold none
+    are not read further. Nothing is broadcast."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    first = lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("uid", "line_no")).alias("at"))
+    own = first.groupBy("at.uid").agg(F.collect_list(F.struct("at.line_no", "h")).alias("own"))
+    held = rows.select("uid", "text").dropDuplicates(["uid"]).join(own, "uid")
+    cut = held.select(F.split("text", "\n", -1).alias("parts"), F.explode("own").alias("o"))
+    return cut.select("o.h", F.get("parts", F.col("o.line_no")).alias("line"))
+
+
+def line_classes(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, uid, line_no, line_class, kept) of every line that isn't blank.
+
+    Lines are cut at newlines. Equal lines are one node, known by a 64-bit hash; different ones are linked
+    at a Jaccard similarity of 0.8 or more of their sets of 7-character shingles. Of each component one
+    line is kept: that of the smallest (doc_id, row, line number), null ids last. Lines under seven
+    characters are linked to equal lines only.
+
+    Each task sketches a line once; only band keys and hashes are shuffled. The texts of lines that have
+    candidates are read again behind a bit filter sized by their number (beyond 16 MB by a join with the rows
+    that hold them), joined to the distinct candidate pairs and compared whole. A bucket of more than 16 lines is compared with its lead first; all its lines that are
+    not in one component by then are compared exactly in tiles, so no link of a bucket is lost. Null or empty text: no lines. Empty table: no rows. Rows alike in id and text are
+    one document, whose lines are kept or not alike in each. Lines are known by 64-bit hashes: of n different lines
+    some n^2 / 2^65 are taken for others. Other columns are not read.
+    """
+    bound_batches(scratch.spark)
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _uid(doc_id, text).alias("uid"), body.alias("text"))
+    lines = scratch.write(rows.mapInArrow(_sketch, "doc_id long, uid long, line_no int, h long, bands array<long>"), "lines")
+    dealt = lines.where("bands is not null").select(F.explode("bands").alias("key"), "h").repartition("key").sortWithinPartitions("key")
+    met = scratch.write(dealt.mapInArrow(_pairs, "a long, b long, key long"), "found")
+    pairs = scratch.write(met.select("a", "b").distinct(), "pairs")
+
+    asked = 2 * pairs.count()
+    bits = max(20, (asked * FILTER_SHARE).bit_length())
+    texts = scratch.write(_texts_by_filter(pairs, rows, bits) if bits <= FILTER_BITS else _texts_by_join(pairs, lines, rows), "texts")
     whole = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
 
     def verify(batches):

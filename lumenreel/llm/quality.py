@@ -147,8 +147,13 @@ def fit(scratch: Scratch, docs: DataFrame, ratings: DataFrame, grades: int, doc_
 
 
 def grade_texts(scratch: Scratch, docs: DataFrame, model: Grades, text: str = "text") -> DataFrame:
-    """docs with expected_grade and tails, P(grade >= k) for each k, of every whole text (null: empty)."""
+    """docs with expected_grade and tails, P(grade >= k) for each k, of every whole text (null: empty).
+
+    Columns of docs with these names are replaced, all others kept. Null ids are graded like any other row,
+    repeated rows alike; an empty table gives no rows.
+    """
     bound_batches(scratch.spark)
+    docs = docs.select([c for c in docs.columns if c not in ("expected_grade", "tails")])
     sent = scratch.spark.sparkContext.broadcast(model)
     schema = docs.select("*", F.lit(0.0).alias("expected_grade"), F.array(F.lit(0.0)).alias("tails")).schema
     names = schema.names

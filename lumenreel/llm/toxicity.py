@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.llm.common import Scratch, bound_batches, ragged, release
 
-#: Lengths in bytes of the n-grams of a word, with a mark before and after it.
+#: Lengths in characters of the n-grams of a word, with a mark before and after it.
 GRAMS = (3, 4, 5, 6)
 #: Buckets that n-grams are hashed to.
 BUCKETS = 1 << 19
@@ -46,17 +46,15 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 def word_features(words: pa.Array, buckets: int = BUCKETS, grams: tuple[int, ...] = GRAMS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of each word, as start offsets (one more than words) and buckets."""
-    words = words.cast(pa.large_binary())
-    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    lengths = np.diff(offsets)
+    lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)
     padded = lengths + 2
     ends = np.cumsum(padded)
     starts = ends - padded
     buf = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint64)
     buf[ragged(starts + 1, lengths)] = data
     owner = np.repeat(np.arange(len(lengths)), padded)
-    left = np.repeat(ends, padded) - np.arange(len(buf))  # bytes to the end of the word
+    left = np.repeat(ends, padded) - np.arange(len(buf))  # characters to the end of the word
     found, owners = [], []
     h = np.zeros(len(buf), np.uint64)
     for i in range(max(grams)):
@@ -252,9 +250,11 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, **options) -> Toxi
 def score(scratch: Scratch, docs: DataFrame, model: Toxicity, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the score of every whole text (null: empty) as a last column; one narrow pass.
 
-    Only the text is looked at. Long texts are cut nowhere; repeated rows score alike.
+    Only the text is looked at. Long texts are cut nowhere; repeated rows score alike. A column of docs that has the
+    score's name is replaced. Empty table: no rows.
     """
     bound_batches(scratch.spark)
+    docs = docs.select([c for c in docs.columns if c != out])
     sent = scratch.spark.sparkContext.broadcast(model)
     schema = docs.select("*", F.lit(0.0).alias(out)).schema
     names = schema.names
