@@ -183,6 +183,16 @@ def test_large_line_buckets_equal_brute_force(spark, monkeypatch):
     assert [x.tolist() for x in lines.tile_links(texts[:60])] == [i.tolist(), j.tolist()]
 
 
+def test_texts_by_join_give_the_same_classes(spark, odd, monkeypatch):
+    """Beyond the filter's bound the lines' texts come by a join; the classes are the same."""
+    body = " ".join(words(40, 30))
+    more = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(200 + i, "\n".join([body, body + " tail", f"own line number {i} of its own", body.replace("a", "o", 1), ""])) for i in range(12)], "doc_id long, text string"))
+    seen = lambda: sorted(((r["doc_id"], r["uid"], r["line_no"], r["line_class"], r["kept"]) for r in lines.line_classes(Scratch(spark, "t"), more).collect()), key=str)
+    by_filter = seen()
+    monkeypatch.setattr(lines, "FILTER_BITS", 1)
+    assert seen() == by_filter and any(not r[-1] for r in by_filter)
+
+
 def test_line_similarity_is_exact():
     for x, y in [("abcdefghij" * 9, "abcdefghij" * 8 + "zz"), (LONG[:500], LONG[3:500]), ("ж" * 9 + "abcdefgh", "ж" * 9 + "abcdefgx")]:
         s, t = set(lines._cut(x)), set(lines._cut(y))
@@ -283,6 +293,76 @@ def test_quality(spark, empty):
     assert quality.grade_texts(Scratch(spark, "t"), empty, quality.fit(Scratch(spark, "t"), empty, rated, 3)).count() == 0
 
 
+def test_character_ngrams():
+    """A text's features are the distinct n-grams of characters of its words, marks included, hashed alike everywhere."""
+    texts = ["Été chaud", "chaud", "ab", "日本語テキスト x", ""]
+    want = []
+    for t in texts:
+        low = "".join(c.lower() if c.isascii() else c for c in t)
+        grams = {w[i : i + n] for w in (f" {x} " for x in low.split()) for n in toxicity.GRAMS for i in range(len(w) - n + 1)}
+        want.append(grams | {f" {x} " for x in low.split() if len(x) + 2 < min(toxicity.GRAMS)})
+    row, col = toxicity.text_features(pa.array(texts))
+    got = [set(col[row == i].tolist()) for i in range(len(texts))]
+    assert [len(g) for g in got] == [len(w) for w in want]
+    assert [[len(a & b) for b in got] for a in got] == [[len(a & b) for b in want] for a in want]
+
+
+def test_toxicity_scores_equal_a_sum(spark):
+    """The score is the logistic of the bias and the weights of a text's features."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(words(i, 12)) for i in range(30)]
+    columns = np.full(toxicity.BUCKETS, -1, np.int32)
+    row, col = toxicity.text_features(pa.array(texts))
+    chosen = np.unique(col)[::3]
+    columns[chosen] = np.arange(len(chosen))
+    model = toxicity.Toxicity(columns, rng.normal(size=len(chosen)), -0.3)
+    want = [1 / (1 + np.exp(0.3 - sum(model.weights[columns[c]] for c in col[row == i] if columns[c] >= 0))) for i in range(30)]
+    d = spark.createDataFrame([(i, t, 9.0, "x") for i, t in enumerate(texts + [texts[0]])], "doc_id long, text string, score double, label string")
+    got = toxicity.score(Scratch(spark, "t"), d, model)
+    assert got.columns == ["doc_id", "text", "label", "score"]
+    s = {r["doc_id"]: r["score"] for r in got.collect()}
+    assert [s[i] for i in range(30)] == pytest.approx(want) and s[30] == s[0]
+
+
+def test_ordinal_fit_is_near_the_best_likelihood():
+    """No small change of weights or thresholds gives ratings of one feature a clearly better likelihood."""
+    rng = np.random.default_rng(2)
+    n = 300
+    x = rng.normal(size=n)
+    grade = np.searchsorted([-0.5, 0.8], x * 1.5 + rng.logistic(size=n))
+    m = quality.fit_ordinal(np.arange(n), np.full(n, 5), x, grade, 3)
+
+    def loss(w, t):
+        up = np.c_[np.ones(n), 1 / (1 + np.exp(t[None] - (x * w)[:, None])), np.zeros(n)]
+        return -np.log(up[np.arange(n), grade] - up[np.arange(n), grade + 1]).mean() + 0.5 * quality.PENALTY * w * w
+
+    best = min(loss(w, np.array([a, b])) for w in np.linspace(0, 3, 31) for a in np.linspace(-1.5, 0.5, 21) for b in np.linspace(0, 2, 21) if a < b)
+    assert loss(m.weights[5], m.thresholds) <= best + 0.01 and m.thresholds[0] < m.thresholds[1]
+
+
+def test_odd_rows_are_graded(spark, odd):
+    model = quality.Grades(np.random.default_rng(0).normal(0, 0.1, quality.BUCKETS + quality.DENSE), np.array([-0.5, 0.5]))
+    clash = odd.selectExpr("*", "'x' as tails", "1 as expected_grade")
+    got = quality.grade_texts(Scratch(spark, "t"), clash, model)
+    assert got.columns == [*odd.columns, "expected_grade", "tails"] and got.count() == odd.count()
+    rows = got.collect()
+    three = [r["expected_grade"] for r in rows if r["doc_id"] == 3]
+    assert len(three) == 2 and three[0] == three[1] and sum(r["doc_id"] is None for r in rows) == 1
+
+
+def test_vectors_with_repeated_rows_and_clashing_columns(spark):
+    rows = [(i, [float(i % 7 + 1), float(i % 3)], "a", 1.0) for i in range(60)] + [(20, [7.0, 2.0], "b", 2.0), (20, [7.0, 2.0], "c", 3.0)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, key string, score double")
+    got = ann.nearest(Scratch(spark, "t"), d).collect()
+    assert sorted({r["query_id"] for r in got}) == [0, 20, 40]
+    for q in (0, 40):
+        mine = {r["vec_id"]: r["score"] for r in got if r["query_id"] == q}
+        x = {i: np.array(e) for i, e, *_ in rows[:60]}
+        both = {i: max(x[i] @ x[q], np.array([7.0, 2.0]) @ x[q] if i == 20 else -1) for i in x if i != q}
+        want = sorted(both, key=lambda i: (-both[i], i))[:20]
+        assert set(mine) == set(want) and all(mine[i] == both[i] for i in mine)
+
+
 def test_ann(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
@@ -531,3 +611,77 @@ def test_pipeline_keeps_one_of_the_copies_without_an_id(spark):
     docs = spark.createDataFrame([(None, a), (None, a), (None, b), (7, b), (None, c)], "doc_id long, text string")
     kept = pipeline.copies_out(spark, docs, "").collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, a), (7, b), (0, c)])
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    """Empty tables, null columns, long texts and clashing columns pass every stage; columns stay those of documents."""
+    pytest.importorskip("public_tokenizers")
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, uid long, h string, __size long, score double"
+    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, LONG, "en", "s", 1, 1, "h", 1, 0.1), (2, None, None, None, None, None, None, None, None), (None, "a b", "en", "s", 3, 1, "h", 1, 0.1), (3, "", "en", "s", 0, 1, "h", 1, 0.1), (3, "", "en", "s", 0, 1, "h", 1, 0.1)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for name, stage in pipeline.STAGES[:-1]:
+            docs = Scratch(spark, "t").write(stage(spark, docs, str(tmp_path)), "x")
+            assert docs.columns == [f.split()[0] for f in schema.split(", ")], name
+        out = pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert (out.count() > 0) == (docs.count() > 0)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage on a small corpus with planted rows: what each keeps follows from plain Python on its own input."""
+    pytest.importorskip("public_tokenizers")
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(8)
+    texts = [" ".join(words(300 + i, 120)) for i in range(120)]
+    for i in range(0, 120, 6):
+        texts[i] += " zorkface zorkface gruntle"
+    notice = "this very common notice stands on many of the pages that are here"
+    rows = [(i, t + ("\n" + notice if i % 5 == 1 else ""), "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)]
+    rows += [(200 + i, " ".join([*texts[i].split()[:-2], "edit", f"e{i}"]), "en", "s0", 1) for i in range(1, 30, 6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(i, int(i % 6 == 0), 1) for i in range(120)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    clean = Scratch(spark, "t").write(pipeline.toxic_out(spark, docs, str(tmp_path)), "clean")
+    assert {r["doc_id"] for r in clean.collect()} == {r[0] for r in rows if r[0] >= 120 or r[0] % 6}
+
+    unlined = Scratch(spark, "t").write(pipeline.lines_out(spark, clean, str(tmp_path)), "lines")
+    flat = sorted((r["doc_id"], k, t) for r in clean.collect() for k, t in enumerate(r["text"].split("\n")) if t.strip())
+    cut = [set(lines._cut(t)) for *_, t in flat]
+    link = [(i, j) for i in range(len(flat)) for j in range(i) if len(cut[i] & cut[j]) >= 0.8 * len(cut[i] | cut[j])]
+    root = roots(link, range(len(flat)))
+    want = {}
+    for i, (d, k, t) in enumerate(flat):
+        if root[i] == i:  # the smallest of its class
+            want.setdefault(d, []).append(t)
+    got = {r["doc_id"]: [t for t in r["text"].split("\n") if t.strip()] for r in unlined.collect()}
+    assert {d: t for d, t in got.items() if t} == want and len(got) == clean.count()
+
+    alone = Scratch(spark, "t").write(pipeline.copies_out(spark, unlined, str(tmp_path)), "copies")
+    held = {r["doc_id"]: r["text"] for r in unlined.collect()}
+    ids = sorted(held)
+    sets = {d: {tuple(held[d].lower().split()[i : i + 5]) for i in range(max(1, len(held[d].split()) - 4))} if held[d].split() else set() for d in ids}
+    near = [(a, b) for a in ids for b in ids if a < b and (sets[a] == sets[b] or (sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])))]
+    keep = roots(near, ids)
+    assert {r["doc_id"] for r in alone.collect()} == {d for d in ids if keep[d] == d}
+
+    taken = pipeline.mixed(spark, alone, str(tmp_path)).collect()
+    per, size = Counter(), Counter()
+    for r in alone.collect():
+        size[r["source"]] += len(r["text"].split())
+    for r in taken:
+        per[r["source"]] += len(r["text"].split())
+    weight = dict(zip(sorted(size), (5, 2, 1)))
+    target, open_, left = {}, set(size), sum(size.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level > 3 * size[s]}
+        if not full:
+            target |= {s: weight[s] * level for s in open_}
+            break
+        target |= {s: 3 * size[s] for s in full}
+        left -= sum(3 * size[s] for s in full)
+        open_ -= full
+    assert all(abs(per[s] - target[s]) <= 121 for s in size) and max(Counter(r["doc_id"] for r in taken).values()) <= 3
