@@ -123,6 +123,16 @@ def chunks(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def runs_of(sizes: np.ndarray, most: int, rows: int) -> Iterator[slice]:
+    """Consecutive slices of at most `rows` rows whose sizes sum to at most `most`; a larger row stands alone."""
+    at, end = 0, np.cumsum(sizes)
+    while at < len(sizes):
+        before = end[at - 1] if at else 0
+        to = max(at + 1, min(at + rows, int(np.searchsorted(end, before + most, "right"))))
+        yield slice(at, to)
+        at = to
+
+
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Components of edges (a, b): distinct nodes, and the smallest node of the component of each."""
     nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)

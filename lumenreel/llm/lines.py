@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch, bound_batches, chunks, local_roots, ragged, release, signed, unsigned
+from lumenreel.llm.common import Scratch, bound_batches, chunks, local_roots, ragged, release, runs_of, signed, unsigned
 from lumenreel.llm.graph import components
 
 #: Characters of a shingle, and the least Jaccard similarity of a link.
@@ -25,8 +25,8 @@ CODED, COLUMNS = 2_000_000, 8192
 FILTER_SHARE, FILTER_BITS = 16, 27
 #: Parts that the lines of a large bucket are joined to their bucket's counts in.
 SALTS = 16
-#: Lines whose signatures are held at once; hashes a task remembers.
-SLICE, SEEN = 20_000, 500_000
+#: Lines and characters whose signatures are held at once (a longer line stands alone); hashes a task remembers.
+SLICE, CHARACTERS, SEEN = 20_000, 1_000_000, 500_000
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -181,8 +181,9 @@ def _sketch(batches):
                 seen.clear()
             seen.update(hashes[new].tolist())
             keys: dict[int, np.ndarray] = {}
-            for at in range(0, len(new), SLICE):
-                some = new[at : at + SLICE]
+            lengths = pc.utf8_length(lines.take(pa.array(new))).to_numpy(zero_copy_only=False)
+            for cut in runs_of(lengths, CHARACTERS, SLICE):
+                some = new[cut]
                 sig = signatures(lines.take(pa.array(some)).to_pylist())
                 for c, k, s in zip(some.tolist(), band_keys(sig).view(np.int64), sig[:, 0]):
                     if s != _NONE:
@@ -216,6 +217,7 @@ def _pairs(batches):
         lead = after or lead
     if held is not None and held.num_rows:
         yield from _emit(unsigned(held.column("key")), unsigned(held.column("h")), [lead] if lead else [])
+    release()
 
 
 def _emit(key: np.ndarray, h: np.ndarray, leads: list[tuple]):
@@ -418,9 +420,10 @@ def line_classes(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text
     def verify(batches):
         last, its = None, set()
         for batch in batches:
-            for b in _parts(batch, PART):
-                if pc.sum(pc.utf8_length(b.column("x"))).as_py() < CODED and pc.sum(pc.utf8_length(b.column("y"))).as_py() < CODED:
-                    b = b.filter(pa.array(hopeful(b.column("x").to_pylist(), b.column("y").to_pylist())))
+            long_ = sum(pc.utf8_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("x", "y"))
+            for cut in runs_of(long_, CHARACTERS, PART):
+                b = batch.slice(cut.start, cut.stop - cut.start)
+                b = b.filter(pa.array(hopeful(b.column("x").to_pylist(), b.column("y").to_pylist())))
                 near = np.zeros(b.num_rows, bool)
                 ys = b.column("y").dictionary_encode()
                 of_ys = packed(ys.dictionary.to_pylist())
@@ -433,6 +436,7 @@ def line_classes(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text
                         s, t = b.column("x")[i].as_py(), b.column("y")[i].as_py()
                         near[i] = similar(_cut(s), set(_cut(t)))
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(near)), b.column("b").filter(pa.array(near))], names=["a", "b"])
+            release()
 
     links = scratch.write(whole.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
     comp = scratch.write(components(scratch, links), "components")
