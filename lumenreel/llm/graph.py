@@ -59,3 +59,12 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         e = new
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+
+
+def follow(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """comp (node, root) with each root replaced by that which `more` (node, root) leads it to, and the nodes that only
+    `more` has. A large component is one hot root, so the join is salted by node."""
+    to = more.select(F.col("node").alias("__node"), F.col("root").alias("__root"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    salted = comp.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    led = salted.join(to, (F.col("root") == F.col("__node")) & (F.col("salt") == F.col("__salt")), "left")
+    return led.select("node", F.coalesce("__root", "root").alias("root")).unionByName(more.join(comp.select("node"), "node", "left_anti"))

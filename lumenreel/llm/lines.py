@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenreel.llm.common import Scratch, bound_batches, chunks, local_roots, ragged, release, runs_of, signed, unsigned
-from lumenreel.llm.graph import components
+from lumenreel.llm.graph import components, follow
 
 #: Characters of a shingle, and the least Jaccard similarity of a link.
 SHINGLE, SIMILAR = 7, 0.8
@@ -442,9 +442,8 @@ def line_classes(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text
     comp = scratch.write(components(scratch, links), "components")
     tiles = _tiles(met.where("key is not null"), comp).join(texts.select("h", "line"), "h")
     tiles = tiles.repartition("key", "near", "far").sortWithinPartitions("key", "near", "far").select("key", "near", "far", "comp", "line")
-    more = components(scratch, tiles.mapInArrow(_joined, "a long, b long")).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
-    comp = comp.join(more, comp["root"] == more["__node"], "full").select(F.coalesce("node", "__node").alias("node"), F.coalesce("__root", "root").alias("root"))
-    comp = scratch.write(comp, "joined")
+    more = components(scratch, tiles.mapInArrow(_joined, "a long, b long"))
+    comp = scratch.write(follow(comp, more), "joined")
     first = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "uid", "line_no")
     kinds = lines.groupBy("h").agg(F.count("*").alias("n"), F.min(first).alias("at"))
     kinds = scratch.write(kinds.join(comp, kinds["h"] == comp["node"], "left").select("h", "n", "at", F.coalesce("root", "h").alias("line_class")), "kinds")

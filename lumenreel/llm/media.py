@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenreel.llm.common import Scratch, chunks, local_roots, release, signed, unsigned
-from lumenreel.llm.graph import components
+from lumenreel.llm.graph import components, follow
 from lumenreel.llm.lines import _tiles
 
 #: Scales of the pyramid; a corner is the strongest of its neighbourhood (pixels to each side), so how many there
@@ -438,8 +438,7 @@ def image_copies(scratch: Scratch, images: DataFrame, image_id: str = "image_id"
     comp = scratch.write(components(scratch, both.mapInArrow(_verify, "a long, b long")), "components")
     tiles = _tiles(large, comp).join(shown, "h").repartition("key", "near", "far").sortWithinPartitions("key", "near", "far")
     more = components(scratch, tiles.select("key", "near", "far", "comp", "spots", "bits").mapInArrow(_joined, "a long, b long"))
-    more = more.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
-    comp = comp.join(more, comp["root"] == more["__node"], "full").select(F.coalesce("node", "__node").alias("h"), F.coalesce("__root", "root").alias("root"))
+    comp = follow(comp, more).withColumnRenamed("node", "h")
     kinds = rows.where("image_id is not null and n is not null").groupBy("h").agg(F.min("image_id").alias("image"), F.max("n").alias("corners"))
     kinds = scratch.write(kinds.join(comp, "h", "left").withColumn("root", F.coalesce("root", "h")), "kinds")
     classes = kinds.groupBy("root").agg(F.min("image").alias("class_id"), F.count("*").alias("class_size"))

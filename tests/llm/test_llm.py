@@ -13,7 +13,7 @@ pytest.importorskip("lumenreel.llm")
 
 from lumenreel.llm import ann, lines, lm, media, mixing, packing, quality, sharding, simhash, toxicity  # noqa: E402
 from lumenreel.llm.common import Scratch, local_roots  # noqa: E402
-from lumenreel.llm.graph import components  # noqa: E402
+from lumenreel.llm.graph import components, follow  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, size long, score double"
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
@@ -138,6 +138,13 @@ def test_components(spark):
     assert components(Scratch(spark, "t"), spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_following_roots(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "node long, root long")
+    comp = frame([(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)])
+    more = frame([(7, 1), (1, 1), (20, 1), (30, 30), (31, 30)])
+    assert sorted((r["node"], r["root"]) for r in follow(comp, more).collect()) == [(1, 1), (2, 1), (3, 1), (7, 1), (8, 1), (20, 1), (30, 30), (31, 30)]
+
+
 def test_lines(spark, empty):
     base = "the quick brown fox jumps over the lazy dog and runs away from the farm at night"
     rows = [(1, base + "\nshort\n\nunique one here for sure\nx"), (2, base.replace("quick", "quack") + "\nshort"), (None, base + "\n" + LONG), (4, None), (5, ""), (6, "x\né" + base[1:]), (2, base.replace("quick", "quack") + "\nshort")]
