@@ -1,9 +1,12 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability has three factors. Its class (16) and its member of the class (16) come from two
-softmaxes over hashed features of the tokens before it: n-grams and skips. A member is a frequent word,
-the end of a text, or a bucket of rarer words by their last bytes; within a bucket the third factor is a
-word's share of the bucket's training tokens, with the share of words seen once left for unknown words.
+A token's probability is a product of factors down a tree over the whole vocabulary. Its class (16) and its
+member of the class (16) come from two softmaxes over hashed features of the tokens before it: n-grams, skips
+and the word before by identity. A member is a frequent word, the end of a text, or a bucket of rarer words by
+their last bytes. In a bucket the share of words seen once is left for unknown ones; a known word is then found by two
+more softmaxes of 16, by digits of its hash, over hashed features of the bucket, the digits so far and the word
+before. Words of one bucket and digits share a leaf: the last factor is a word's share of the leaf's training
+tokens. Leaves hold about one word each up to 24,000 words; the shares are counted over the whole corpus.
 """
 
 from __future__ import annotations
@@ -36,9 +39,17 @@ MINIBATCH = 1 << 16
 RATES = (0.25, 0.1)
 CHUNK_ROWS = 1024
 
-#: Rows of each feature's table, for the class and for the member of a class.
-CLASS_ROWS = (256, 256, 256, 1 << 14, 1 << 14, 1 << 15)
-MEMBER_ROWS = (1 << 12, 1 << 12, 1 << 15)
+#: Two digits of a rarer word's hash are a number below this, which marks words that were not learned from. Words that
+#: share a bucket and digits are a leaf.
+UNKNOWN = 255
+LEAVES = BUCKETS * 256
+#: The word before by 16 bits of its hash; before the first word of a text.
+NO_WORD = 0xFFFF
+#: Rows of each feature's table for the class, the member of a class, and the two digits of a rarer word. Streams are
+#: averaged row by row, so the tables' size is fixed; it bounds what a broadcast holds (13 MB).
+ROWS = ((256, 256, 1 << 14, 1 << 14, 1 << 15), (1 << 12, 1 << 12, 1 << 15), (1 << 15,), (1 << 16,))
+#: Squared gradients that a row of a table of hashed words starts with: rows seen a few times stay near the biases.
+CAUTION, HASHED = 3.0, 1 << 13
 
 
 def _mix(*parts: np.ndarray, rows: int, salt: int) -> np.ndarray:
@@ -49,21 +60,27 @@ def _mix(*parts: np.ndarray, rows: int, salt: int) -> np.ndarray:
     return (h % np.uint64(rows)).astype(np.int64)
 
 
-def features(symbols: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Rows in the class tables and in the member tables, for every token of texts that begin at `starts`."""
+def features(symbols: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], ...]:
+    """Rows of each level's features for every token; `starts` are the texts' first tokens."""
     n = len(symbols)
     place = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
-    back = []
-    for k in (1, 2, 3):
-        s = np.full(n, START, np.int64)
-        s[k:] = symbols[: max(0, n - k)]
-        s[place < k] = START
-        back.append(s)
-    a, b, c = back
-    group = symbols.astype(np.int64) // SIDE
+
+    def back(x: np.ndarray, k: int, outside: int) -> np.ndarray:
+        s = np.full(n, outside, np.int64)
+        s[k:] = x[: max(0, n - k)]
+        s[place < k] = outside
+        return s
+
+    a, b, c = (back(symbols, k, START) for k in (1, 2, 3))
+    word = back(words, 1, NO_WORD)
+    own = symbols.astype(np.int64)
+    group = own // SIDE
+    r = ROWS
     return (
-        [a, b, c, _mix(a, b, rows=CLASS_ROWS[3], salt=1), _mix(a, c, rows=CLASS_ROWS[4], salt=2), _mix(a, b, c, rows=CLASS_ROWS[5], salt=3)],
-        [group * 256 + a, group * 256 + b, _mix(group, a, b, rows=MEMBER_ROWS[2], salt=4)],
+        [a, b, _mix(a, b, rows=r[0][2], salt=1), _mix(a, c, rows=r[0][3], salt=2), _mix(word, rows=r[0][4], salt=3)],
+        [group * 256 + a, group * 256 + b, _mix(group, word, rows=r[1][2], salt=4)],
+        [_mix(own, word, rows=r[2][0], salt=5)],
+        [_mix(own, word, rows=1 << 30, salt=6)],
     )
 
 
@@ -73,40 +90,50 @@ def _offsets(rows: tuple[int, ...]) -> np.ndarray:
 
 @dataclass
 class Maxent:
-    """Weights of fixed size, whatever the corpus: a row of 16 numbers for each hashed feature."""
+    """Weights: a row of 16 numbers for each hashed feature of each level, and biases from counts."""
 
     class_bias: np.ndarray
     member_bias: np.ndarray
-    classes: np.ndarray = field(default_factory=lambda: np.zeros((sum(CLASS_ROWS), SIDE), np.float32))
-    members: np.ndarray = field(default_factory=lambda: np.zeros((sum(MEMBER_ROWS), SIDE), np.float32))
+    high_bias: np.ndarray
+    low_bias: np.ndarray
+    tables: list[np.ndarray] = field(default_factory=lambda: [np.zeros((sum(r), SIDE), np.float32) for r in ROWS])
 
     @classmethod
-    def of_counts(cls, counts: np.ndarray) -> Maxent:
-        """Without features: the shares of 256 members in the training tokens."""
+    def of_counts(cls, counts: np.ndarray, leaves: np.ndarray) -> Maxent:
+        """Without features: shares in the training tokens of 256 members, and of the digits below each bucket."""
         c = counts.reshape(SIDE, SIDE).astype(np.float64) + 0.5
         c[-1, -1] = 1e-9  # no member: START is never said
-        return cls(np.log(c.sum(1)).astype(np.float32), np.log(c / c.sum(1, keepdims=True)).astype(np.float32))
-
-    def _softmaxes(self, symbols, class_rows, member_rows):
-        group, member = symbols // SIDE, symbols % SIDE
-        for bias, table, rows, sizes, want in ((np.broadcast_to(self.class_bias, (len(symbols), SIDE)), self.classes, class_rows, CLASS_ROWS, group), (self.member_bias[group], self.members, member_rows, MEMBER_ROWS, member)):
+        d = leaves.reshape(BUCKETS, SIDE, SIDE).astype(np.float64) + 0.01
+        log = lambda x: np.log(x / x.sum(-1, keepdims=True)).astype(np.float32)
+        return cls(log(c.sum(1)), log(c), log(d.sum(2)), log(d).reshape(-1, SIDE))
+
+    def softmaxes(self, symbols, digits, rows):
+        """(level, tokens, numerators, totals, wanted, rows of the level's features): the tokens are all for two levels, the
+        rarer words for the others."""
+        s, every = symbols.astype(np.int64), np.arange(len(symbols))
+        rare = np.flatnonzero((s > END) & (digits != UNKNOWN))
+        bucket, high, low = s[rare] - END - 1, (digits[rare] >> 4).astype(np.int64), (digits[rare] & 15).astype(np.int64)
+        deepest = [_mix(rows[3][0][rare], high, rows=ROWS[3][0], salt=7)]
+        for level, (at, bias, want, own) in enumerate((
+            (every, np.broadcast_to(self.class_bias, (len(s), SIDE)), s // SIDE, rows[0]), (every, self.member_bias[s // SIDE], s % SIDE, rows[1]),
+            (rare, self.high_bias[bucket], high, [f[rare] for f in rows[2]]), (rare, self.low_bias[bucket * SIDE + high], low, deepest),
+        )):
             z = bias.copy()
-            for f, at in zip(rows, _offsets(sizes)):
-                z += table[f + at]
-            z -= z.max(1, keepdims=True)
+            for f, first in zip(own, _offsets(ROWS[level])):
+                z += self.tables[level][f + first]
+            z -= z.max(1, keepdims=True, initial=-1e30)
             np.exp(z, out=z)
-            total = z.sum(1)
-            yield z, total, want
-
-    def log10(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 of each token's class and member factors; minibatches bound the memory."""
-        class_rows, member_rows = features(symbols, starts)
-        out = np.empty(len(symbols))
-        for at in range(0, len(symbols), MINIBATCH):
-            cut = slice(at, at + MINIBATCH)
-            s = symbols[cut].astype(np.int64)
-            r = np.arange(len(s))
-            out[cut] = sum(np.log10(np.maximum(z[r, want], 1e-30)) - np.log10(total) for z, total, want in self._softmaxes(s, [f[cut] for f in class_rows], [f[cut] for f in member_rows]))
+            yield level, at, z, z.sum(1), want, own
+
+    def log10(self, symbols: np.ndarray, digits: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 of the product of each token's softmax factors; minibatches bound the memory."""
+        rows = features(symbols, words, starts)
+        out = np.zeros(len(symbols))
+        for first in range(0, len(symbols), MINIBATCH):
+            cut = slice(first, first + MINIBATCH)
+            part = out[cut]
+            for _, at, z, total, want, _ in self.softmaxes(symbols[cut], digits[cut], [[f[cut] for f in r] for r in rows]):
+                part[at] += np.log10(np.maximum(z[np.arange(len(at)), want], 1e-30)) - np.log10(total)
         return out
 
 
@@ -114,40 +141,42 @@ class Updates:
     """One stream of Adagrad steps from given weights; visits weigh a row when streams are averaged."""
 
     def __init__(self, model: Maxent, rate: float):
-        self.model, self.rate = Maxent(model.class_bias, model.member_bias, model.classes.copy(), model.members.copy()), rate
-        self.squares = [np.full(t.shape, 1e-6, np.float32) for t in (model.classes, model.members)]
-        self.visits = [np.zeros(len(t), np.float32) for t in (model.classes, model.members)]
-
-    def learn(self, symbols: np.ndarray, starts: np.ndarray) -> None:
-        class_rows, member_rows = features(symbols, starts)
-        lanes = np.arange(SIDE)
-        for at in range(0, len(symbols), MINIBATCH):
-            cut = slice(at, at + MINIBATCH)
-            s = symbols[cut].astype(np.int64)
-            r = np.arange(len(s))
-            rows = ([f[cut] for f in class_rows], [f[cut] for f in member_rows])
-            for k, (z, total, want) in enumerate(self.model._softmaxes(s, *rows)):
+        self.model = Maxent(model.class_bias, model.member_bias, model.high_bias, model.low_bias, [t.copy() for t in model.tables])
+        self.rate = rate
+        self.squares = [np.repeat([CAUTION if n >= HASHED else 1e-6 for n in r], r).astype(np.float32)[:, None] + np.zeros(SIDE, np.float32) for r in ROWS]
+        self.visits = [np.zeros(len(t), np.float32) for t in model.tables]
+
+    def learn(self, symbols: np.ndarray, digits: np.ndarray, words: np.ndarray, starts: np.ndarray) -> None:
+        rows = features(symbols, words, starts)
+        for first in range(0, len(symbols), MINIBATCH):
+            cut = slice(first, first + MINIBATCH)
+            for level, at, z, total, want, own in self.model.softmaxes(symbols[cut], digits[cut], [[f[cut] for f in r] for r in rows]):
                 z /= total[:, None]
-                z[r, want] -= 1
-                error = z.ravel()
-                table = (self.model.classes, self.model.members)[k]
-                for f, first, size in zip(rows[k], _offsets((CLASS_ROWS, MEMBER_ROWS)[k]), (CLASS_ROWS, MEMBER_ROWS)[k]):
-                    step = np.bincount((f[:, None] * SIDE + lanes).ravel(), error, minlength=size * SIDE).reshape(size, SIDE).astype(np.float32)
-                    here = slice(first, first + size)
-                    self.squares[k][here] += step * step
-                    table[here] -= self.rate * step / np.sqrt(self.squares[k][here])
-                    self.visits[k][here] += np.bincount(f, minlength=size)
-
-
-def _runs(texts: list[bytes]):
-    """(symbols, starts) of as many whole texts at a time as RUN_TOKENS allows."""
-    held, size = [], 0
-    for i, t in enumerate(texts):
-        held.append(t)
-        size += len(t)
-        if size >= RUN_TOKENS or i + 1 == len(texts):
-            n = np.array([len(x) for x in held], np.int64)
-            yield np.frombuffer(b"".join(held), np.uint8), np.cumsum(n) - n
+                z[np.arange(len(at)), want] -= 1
+                for f, low, size in zip(own, _offsets(ROWS[level]), ROWS[level]):
+                    self._step(level, f, low, size, z.ravel())
+
+    def _step(self, level: int, f: np.ndarray, low: int, size: int, error: np.ndarray) -> None:
+        here = slice(low, low + size)
+        step = np.bincount((f[:, None] * SIDE + np.arange(SIDE)).ravel(), error, minlength=size * SIDE).reshape(size, SIDE).astype(np.float32)
+        self.squares[level][here] += step * step
+        self.model.tables[level][here] -= self.rate * step / np.sqrt(self.squares[level][here])
+        self.visits[level][here] += np.bincount(f, minlength=size)
+
+
+def _runs(b: pa.RecordBatch):
+    """(symbols, digits, words, starts) of as many whole texts at a time as RUN_TOKENS allows."""
+    kinds = (("symbols", np.uint8), ("digits", np.uint8), ("words", np.uint16))
+    held: list[int] = []
+    size = 0
+    lengths = b.column("n_tokens").to_pylist()
+    for i, n in enumerate(lengths):
+        held.append(i)
+        size += n
+        if size >= RUN_TOKENS or i + 1 == len(lengths):
+            parts = [np.frombuffer(b"".join(b.column(c)[k].as_py() for k in held), t) for c, t in kinds]
+            n = np.array([lengths[k] for k in held], np.int64)
+            yield *parts, np.cumsum(n) - n
             held, size = [], 0
 
 
@@ -164,7 +193,7 @@ def _blocks(batches):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-_CODED = "kind int, block long, doc_id long, held boolean, low binary, high binary, code int, word long, bucket int, n long"
+_CODED = "kind int, block long, doc_id long, held boolean, low binary, high binary, code int, word long, leaf int, n long"
 
 
 def _code(batches):
@@ -195,12 +224,12 @@ def _code(batches):
             yield rows(m, kind=np.zeros(m, np.int32), block=np.full(m, block), doc_id=t.column("doc_id").slice(at, m).combine_chunks(), held=held[part], low=[low[a:b].tobytes() for a, b in spans], high=[high[a:b].tobytes() for a, b in spans])
         raw = words.cast(pa.binary()).to_pylist()
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in raw), np.uint64, v).view(np.int64)
-        tails = np.fromiter((xxhash.xxh32_intdigest(w[-3:], 7) % BUCKETS for w in raw), np.int32, v)
+        tails = np.fromiter((xxhash.xxh32_intdigest(w[-3:], 7) % BUCKETS for w in raw), np.int32, v) << 8 | (hashes & 0xFF).astype(np.int32) % UNKNOWN
         codes, hashes, tails = np.r_[rank, 0], np.r_[hashes, END_HASH], np.r_[tails, 0].astype(np.int32)
         for at in range(0, v + 1, 50_000):
             part = slice(at, at + 50_000)
             m = len(codes[part])
-            yield rows(m, kind=np.ones(m, np.int32), block=np.full(m, block), code=codes[part].astype(np.int32), word=hashes[part], bucket=tails[part], n=n[part])
+            yield rows(m, kind=np.ones(m, np.int32), block=np.full(m, block), code=codes[part].astype(np.int32), word=hashes[part], leaf=tails[part], n=n[part])
         del words, raw, t
         release()
 
@@ -211,7 +240,7 @@ def score_texts(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text:
     Documents whose crc32(doc_id as text) has the remainder `held` are not learned from. Counts are over
     all training tokens. A block of documents asks once for each of its distinct words (known by a 64-bit
     hash), so a frequent word is one row a block rather than one a token, and no vocabulary is broadcast
-    or gathered on the driver: it gets 159 words, 95 bucket sums and the weights, whose sizes are fixed.
+    or gathered on the driver: it gets 159 words, the sums of 24,320 leaves and the weights, whose sizes are fixed.
     Training passes once over all training tokens: streams of minibatch steps on executors, averaged
     after each of two rounds over half of the documents.
 
@@ -222,62 +251,64 @@ def score_texts(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(remainder == held, F.lit(False)).alias("held"), text_bytes(text).cast("string").alias("text"))
     coded = scratch.write(rows.mapInArrow(_code, _CODED), "coded")
     same = Window.partitionBy("word")
-    words = coded.where("kind = 1").select("block", "code", "word", "bucket", "n")
-    words = words.select("block", "code", "word", "bucket", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("first"))
+    words = coded.where("kind = 1").select("block", "code", "word", "leaf", "n")
+    words = words.select("block", "code", "word", "leaf", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("first"))
     words = scratch.write(words, "words")
     once = words.where("first and c > 0")
     top = once.where(F.col("word") != END_HASH).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
     frequent = {r["word"]: i for i, r in enumerate(top)}
     symbol_of = np.array(sorted(frequent), np.int64), np.array([frequent[w] for w in sorted(frequent)], np.int64)
-    known = {r["bucket"]: r for r in once.where(~F.col("word").isin([*frequent, END_HASH])).groupBy("bucket").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect()}
+    known = once.where(~F.col("word").isin([*frequent, END_HASH])).groupBy("leaf").agg(F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("once")).collect()
     total = once.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == END_HASH, F.col("c"))), F.lit(0)).alias("ends")).first()
     n_all, v_all = int(total["n"]), int(total["v"])
     counts = np.zeros(256)
     for i, r in enumerate(top):
         counts[i] = r["c"]
     counts[END] = total["ends"]
-    in_bucket, unknown = np.ones(BUCKETS), np.full(BUCKETS, 0.5)
-    for k, r in known.items():
-        in_bucket[k] = counts[END + 1 + k] = r["n"]
-        unknown[k] = (r["once"] + 0.5) / (r["n"] + 1.0)
+    in_leaf, single = np.zeros(LEAVES), np.zeros(LEAVES)
+    for r in known:
+        in_leaf[r["leaf"]], single[r["leaf"]] = r["n"], r["once"]
+    unknown = (single.reshape(BUCKETS, 256).sum(1) + 0.5) / (in_leaf.reshape(BUCKETS, 256).sum(1) + 1.0)
+    counts[END + 1 : END + 1 + BUCKETS] = in_leaf.reshape(BUCKETS, 256).sum(1)
 
     def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
         """Codes of one block to members, and the factors that no weight changes."""
         size = right.num_rows
         code = right.column("code").to_numpy()
-        c, word, bucket = (np.empty(size, np.int64) for _ in range(3))
-        c[code], word[code], bucket[code] = (right.column(k).to_numpy() for k in ("c", "word", "bucket"))
+        c, word, leaf = (np.empty(size, np.int64) for _ in range(3))
+        c[code], word[code], leaf[code] = (right.column(k).to_numpy() for k in ("c", "word", "leaf"))
         at = np.clip(np.searchsorted(symbol_of[0], word), 0, max(0, len(symbol_of[0]) - 1))
         own = (symbol_of[0][at] == word) if len(symbol_of[0]) else np.zeros(size, bool)
-        symbol = np.where(word == END_HASH, END, END + 1 + bucket)
+        symbol = np.where(word == END_HASH, END, END + 1 + (leaf >> 8))
         symbol[own] = symbol_of[1][at[own]]
         rare = symbol > END
         lexical = np.zeros(size)
-        k = bucket[rare]
-        lexical[rare] = np.where(c[rare] > 0, np.log10((1 - unknown[k]) * np.maximum(c[rare], 1) / in_bucket[k]), np.log10(unknown[k]))
+        k = leaf[rare]
+        lexical[rare] = np.where(c[rare] > 0, np.log10((1 - unknown[k >> 8]) * np.maximum(c[rare], 1) / np.maximum(in_leaf[k], 1)), np.log10(unknown[k >> 8]))
         base = np.log10((c + 1.0) / (n_all + 1.0 * (v_all + 1)))
-        symbol = symbol.astype(np.uint8)
-        out = {k: [] for k in ("n_tokens", "n_known", "base_score", "lexical", "symbols")}
+        symbol, digit, before = symbol.astype(np.uint8), np.where(c > 0, leaf & 0xFF, UNKNOWN).astype(np.uint8), (word >> 8 & 0xFFFF).astype(np.uint16)
+        out = {k: [] for k in ("n_tokens", "n_known", "base_score", "lexical", "symbols", "digits", "words")}
         for lo, hi in zip(left.column("low").to_pylist(), left.column("high").to_pylist()):
             codes = np.r_[np.frombuffer(lo, np.uint16).astype(np.int64) | np.frombuffer(hi, np.uint16).astype(np.int64) << 16, 0]
             out["n_tokens"].append(len(codes))
             out["n_known"].append(int((c[codes] > 0).sum()))
             out["base_score"].append(float(base[codes].sum()))
             out["lexical"].append(float(lexical[codes].sum()))
-            out["symbols"].append(symbol[codes].tobytes())
-        cols = [left.column("doc_id"), left.column("held"), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()), pa.array(out["base_score"], pa.float64()), pa.array(out["lexical"], pa.float64()), pa.array(out["symbols"], pa.binary())]
+            for name, x in (("symbols", symbol), ("digits", digit), ("words", before)):
+                out[name].append(x[codes].tobytes())
+        cols = [left.column("doc_id"), left.column("held"), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()), pa.array(out["base_score"], pa.float64()), pa.array(out["lexical"], pa.float64()), *(pa.array(out[k], pa.binary()) for k in ("symbols", "digits", "words"))]
         return pa.Table.from_arrays(cols, names=["doc_id", "held", *out])
 
     texts = coded.where("kind = 0").select("block", "doc_id", "held", "low", "high")
-    asked = words.select("block", "code", "word", "bucket", "c")
-    resolved = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(resolve, "doc_id long, held boolean, n_tokens long, n_known long, base_score double, lexical double, symbols binary")
+    asked = words.select("block", "code", "word", "leaf", "c")
+    resolved = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(resolve, "doc_id long, held boolean, n_tokens long, n_known long, base_score double, lexical double, symbols binary, digits binary, words binary")
     resolved = scratch.write(resolved, "resolved")
     scratch.drop(coded, words)
 
-    model = Maxent.of_counts(counts)
+    model = Maxent.of_counts(counts, in_leaf)
     streams = int(min(STREAMS, max(1, n_all // len(RATES) // STREAM_TOKENS)))
     for turn, rate in enumerate(RATES):
-        half = resolved.where(~F.col("held") & (F.pmod(F.xxhash64("doc_id"), F.lit(len(RATES))) == turn)).select("symbols")
+        half = resolved.where(~F.col("held") & (F.pmod(F.xxhash64("doc_id"), F.lit(len(RATES))) == turn)).select("n_tokens", "symbols", "digits", "words")
         model = _average(scratch, half.coalesce(streams), model, rate)
     sent = scratch.spark.sparkContext.broadcast(model)
 
@@ -285,7 +316,7 @@ def score_texts(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text:
         for b in batches:
             if not b.num_rows:
                 continue
-            said = np.concatenate([np.add.reduceat(sent.value.log10(*run), run[1]) for run in _runs(b.column("symbols").to_pylist())])
+            said = np.concatenate([np.add.reduceat(sent.value.log10(*run), run[-1]) for run in _runs(b)])
             keep = [b.column(k) for k in ("doc_id", "held", "n_tokens", "n_known", "base_score")]
             yield pa.RecordBatch.from_arrays([*keep[:4], pa.array(np.full(b.num_rows, n_all)), keep[4], pa.array(said + b.column("lexical").to_numpy())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -295,7 +326,6 @@ def score_texts(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text:
 def _average(scratch: Scratch, texts: DataFrame, model: Maxent, rate: float) -> Maxent:
     """A round: every stream steps through its texts from the same weights; rows are averaged by visits."""
     start = scratch.spark.sparkContext.broadcast(model)
-    sizes = (len(model.classes), len(model.members))
 
     def stream(batches):
         own = None
@@ -303,11 +333,11 @@ def _average(scratch: Scratch, texts: DataFrame, model: Maxent, rate: float) ->
             if not b.num_rows:
                 continue
             own = own or Updates(start.value, rate)
-            for run in _runs(b.column("symbols").to_pylist()):
+            for run in _runs(b):
                 own.learn(*run)
         if own:
-            for k, table in enumerate((own.model.classes, own.model.members)):
-                for at in range(0, sizes[k], CHUNK_ROWS):
+            for k, table in enumerate(own.model.tables):
+                for at in range(0, len(table), CHUNK_ROWS):
                     seen = own.visits[k][at : at + CHUNK_ROWS]
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int64()), pa.array([table[at : at + CHUNK_ROWS].tobytes()]), pa.array([seen.tobytes()])], names=["k", "at", "rows", "seen"])
 
@@ -322,10 +352,10 @@ def _average(scratch: Scratch, texts: DataFrame, model: Maxent, rate: float) ->
 
     schema = "k int, at long, rows binary, seen binary"
     parts = scratch.write(texts.mapInArrow(stream, schema), "streams")
-    tables = [model.classes.copy(), model.members.copy()]
+    tables = [t.copy() for t in model.tables]
     for r in parts.groupBy("k", "at").applyInArrow(merge, schema).collect():
         rows, seen = np.frombuffer(r["rows"], np.float32).reshape(-1, SIDE), np.frombuffer(r["seen"], np.float32) > 0
         here = tables[r["k"]][r["at"] : r["at"] + len(rows)]
         here[seen] = rows[seen]
     scratch.drop(parts)
-    return Maxent(model.class_bias, model.member_bias, *tables)
+    return Maxent(model.class_bias, model.member_bias, model.high_bias, model.low_bias, tables)

@@ -224,17 +224,59 @@ def test_lm(spark, odd, empty):
     assert lm.score_texts(Scratch(spark, "t"), empty).count() == 0
 
 
+def random_maxent(seed=0):
+    rng = np.random.default_rng(seed)
+    m = lm.Maxent.of_counts(np.r_[np.arange(255), 0.0], rng.integers(0, 50, lm.LEAVES))
+    for t in m.tables:
+        t[:] = rng.normal(0, 0.3, t.shape)
+    m.low_bias[15::16, 15] = -40  # digits 255 mark unknown words: no known word has them
+    return m
+
+
 def test_lm_is_a_distribution():
-    m = lm.Maxent.of_counts(np.r_[np.arange(255), 0.0])
-    rng = np.random.default_rng(0)
-    m.classes[:] = rng.normal(0, 0.3, m.classes.shape)
-    m.members[:] = rng.normal(0, 0.3, m.members.shape)
-    total = sum(10 ** m.log10(np.array([3, 9, s], np.uint8), np.array([0]))[2] for s in range(256))
-    assert total == pytest.approx(1, abs=1e-4)
-    before = m.log10(np.array([5, 6, 7] * 50, np.uint8), np.array([0])).sum()
+    """Over all members, and below the buckets over all digits, the factors sum to one, whatever came before."""
+    m = random_maxent()
+    said = lambda s, d: 10 ** m.log10(np.array([3, 200, s], np.uint8), np.array([0, 77, d], np.uint8), np.array([5, 900, 7], np.uint16), np.array([0]))[2]
+    plain = sum(said(s, 0) for s in range(lm.END + 1))
+    every = np.array([(s, d) for s in range(lm.END + 1, 255) for d in range(lm.UNKNOWN)])
+    tokens = len(every)
+    symbols = np.stack([np.full(tokens, 3), np.full(tokens, 200), every[:, 0]], 1).ravel().astype(np.uint8)
+    digits = np.stack([np.zeros(tokens), np.full(tokens, 77), every[:, 1]], 1).ravel().astype(np.uint8)
+    who = np.tile([5, 900, 7], tokens).astype(np.uint16)
+    rest = (10 ** m.log10(symbols, digits, who, np.arange(tokens) * 3)[2::3]).sum()
+    assert plain + rest == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_factors_equal_plain_softmaxes():
+    """Each token's score against a loop over levels; the word before matters by identity."""
+    m = random_maxent(3)
+    rng = np.random.default_rng(4)
+    n = 60
+    symbols, digits, who = rng.integers(0, 255, n).astype(np.uint8), rng.integers(0, 256, n).astype(np.uint8), rng.integers(0, 1 << 16, n).astype(np.uint16)
+    starts = np.array([0, 25])
+    rows = lm.features(symbols, who, starts)
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    got = m.log10(symbols, digits, who, starts)
+    for i in range(n):
+        s, hi, lo = int(symbols[i]), digits[i] >> 4, digits[i] & 15
+        rare, hi, lo, k = s > lm.END and digits[i] != lm.UNKNOWN, int(hi), int(lo), s - lm.END - 1
+        levels = [(m.class_bias, s // 16, [r[i] for r in rows[0]]), (m.member_bias[s // 16], s % 16, [r[i] for r in rows[1]])]
+        if rare:
+            levels += [(m.high_bias[k], hi, [rows[2][0][i]]), (m.low_bias[k * 16 + hi], lo, [lm._mix(rows[3][0][i : i + 1], np.array([hi]), rows=lm.ROWS[3][0], salt=7)[0]])]
+        want = sum(np.log10(soft(np.asarray(bias, float) + sum(m.tables[j][f + o] for f, o in zip(own, lm._offsets(lm.ROWS[j]))))[w]) for j, (bias, w, own) in enumerate(levels))
+        assert got[i] == pytest.approx(want, abs=1e-4)
+    other = who.copy()
+    other[10] ^= 1
+    assert (m.log10(symbols, digits, other, starts) != got).nonzero()[0].tolist() == [11]
+
+
+def test_lm_learns():
+    m = random_maxent(5)
+    text = (np.array([5, 200, 7] * 50, np.uint8), np.array([0, 9, 0] * 50, np.uint8), np.array([1, 2, 3] * 50, np.uint16), np.array([0]))
+    before = m.log10(*text).sum()
     u = lm.Updates(m, 0.2)
-    u.learn(np.array([5, 6, 7] * 50, np.uint8), np.array([0]))
-    assert u.model.log10(np.array([5, 6, 7] * 50, np.uint8), np.array([0])).sum() > before
+    u.learn(*text)
+    assert u.model.log10(*text).sum() > before and all(v.sum() > 0 for v in u.visits)
 
 
 def test_mixing(spark, odd, empty):
