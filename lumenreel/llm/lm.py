@@ -30,11 +30,11 @@ END, START, SIDE = FREQUENT, 255, 16
 #: Hash of the end as a token; no word is empty.
 END_HASH = xxhash.xxh64_intdigest(b"", 42) - (1 << 63)
 #: Text held by one block of documents, whose distinct words ask for their counts once.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 14 << 20
 #: Training tokens of one stream of updates, and the most streams that are averaged.
 STREAM_TOKENS, STREAMS = 4_000_000, 4096
 #: Tokens whose features are held at once.
-RUN_TOKENS = 1 << 18
+RUN_TOKENS = 1 << 17
 MINIBATCH = 1 << 16
 RATES = (0.25, 0.1)
 CHUNK_ROWS = 1024
@@ -297,7 +297,9 @@ def score_texts(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text:
             for name, x in (("symbols", symbol), ("digits", digit), ("words", before)):
                 out[name].append(x[codes].tobytes())
         cols = [left.column("doc_id"), left.column("held"), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()), pa.array(out["base_score"], pa.float64()), pa.array(out["lexical"], pa.float64()), *(pa.array(out[k], pa.binary()) for k in ("symbols", "digits", "words"))]
-        return pa.Table.from_arrays(cols, names=["doc_id", "held", *out])
+        del out, left, right
+        release()
+        return pa.Table.from_arrays(cols, names=["doc_id", "held", "n_tokens", "n_known", "base_score", "lexical", "symbols", "digits", "words"])
 
     texts = coded.where("kind = 0").select("block", "doc_id", "held", "low", "high")
     asked = words.select("block", "code", "word", "leaf", "c")
@@ -335,6 +337,7 @@ def _average(scratch: Scratch, texts: DataFrame, model: Maxent, rate: float) ->
             own = own or Updates(start.value, rate)
             for run in _runs(b):
                 own.learn(*run)
+            release()
         if own:
             for k, table in enumerate(own.model.tables):
                 for at in range(0, len(table), CHUNK_ROWS):
