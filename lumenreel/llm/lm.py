@@ -30,7 +30,7 @@ END, START, SIDE = FREQUENT, 255, 16
 #: Hash of the end as a token; no word is empty.
 END_HASH = xxhash.xxh64_intdigest(b"", 42) - (1 << 63)
 #: Text held by one block of documents, whose distinct words ask for their counts once.
-BLOCK_BYTES = 14 << 20
+BLOCK_BYTES = 18 << 20
 #: Training tokens of one stream of updates, and the most streams that are averaged.
 STREAM_TOKENS, STREAMS = 4_000_000, 4096
 #: Tokens whose features are held at once.
