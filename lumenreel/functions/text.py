@@ -25,9 +25,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: All signs of white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Both ends without any white space (trim takes spaces only)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Both ends without any white space (trim alone takes spaces only)."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def collapse(text: Column) -> Column:
@@ -61,7 +65,7 @@ def how_many_of(text: Column, words: list[str]) -> Column:
 
 def strip_of(text: Column, signs: str) -> Column:
     """Both ends without any of the signs."""
-    return F.regexp_replace(text, f"^[{signs}]+|[{signs}]+$", "")
+    return F.btrim(text, F.lit(signs))
 
 
 def title_text(text: Column) -> Column:
@@ -119,14 +123,15 @@ def _signal_of_facts(normal: Column, facts: Column) -> Column:
     return let(score, out)
 
 
-_EDGE = r"[| *\t·•\-=_,.;:，。；：]"
+#: Marks that stand before or after a recognised line.
+_EDGE = "| *\t·•-=_,.;:，。；："
 
 
 def ocr_text(text: Column) -> Column:
     """Lines with white space collapsed and outer marks gone, if two useful signs are left."""
     lines = F.split(F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"\r\n?", "\n"), "\n")
-    lines = F.transform(lines, lambda t: F.regexp_replace(collapse(t), rf"^{_EDGE}+|{_EDGE}+$", ""))
-    return F.array_join(F.filter(lines, lambda t: count(t, USEFUL) >= 2), "\n")
+    lines = F.transform(lines, lambda t: F.btrim(collapse(t), F.lit(_EDGE)))
+    return F.array_join(F.filter(lines, lambda t: t.rlike(f"(?s){USEFUL}.*?{USEFUL}")), "\n")
 
 
 def ocr_quality(text: Column, terms: list[str] = ()) -> Column:
