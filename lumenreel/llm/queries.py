@@ -98,6 +98,31 @@ def op10_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenreel.llm import langid
+
+    scratch = Scratch(spark, "op11")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = langid.fit(scratch, docs.where(~held))
+    out = langid.predict(scratch, docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenreel.llm.resampling import resample
+
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return resample(Scratch(spark, "op12"), docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenreel.llm.centroids import cluster, with_facts
+
+    scratch = Scratch(spark, "op13")
+    return with_facts(scratch, *cluster(scratch, _table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_ordinal": op2_ordinal,
@@ -109,8 +134,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hnsw": op8_hnsw,
     "op9_packing": op9_packing,
     "op10_kdtree": op10_kdtree,
+    "op11_langid": op11_langid,
+    "op12_resample": op12_resample,
+    "op13_centroids": op13_centroids,
 }
 
+
+
+def _rounds(n: int) -> str:
+    """CTEs of one assignment and one replacement of centroids a round, and of a last assignment."""
+    meet = """a{i} AS MATERIALIZED (
+  SELECT vec_id, arg_min(c{i}.k, (d, c{i}.k)) AS k, min(d) AS d, any_value(x) AS x FROM (
+    SELECT v.vec_id, v.x, c.k, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{i} AS c) AS c{i} GROUP BY vec_id
+)"""
+    move = """s{i} AS (
+  SELECT k, j, sum(e)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT k, unnest(x) AS e, unnest(range(64)) AS j FROM a{i}) GROUP BY k, j
+), c{j} AS MATERIALIZED (
+  SELECT c.k, coalesce(m.x, c.x) AS x FROM c{i} AS c LEFT JOIN (SELECT k, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY j) AS x FROM s{i} GROUP BY k) AS m USING (k)
+)"""
+    return ", ".join(part.format(i=i, j=i + 1) for i in range(n + 1) for part in ((meet, move) if i < n else (meet,)))
+
+
 #: DuckDB for op5: targets, expected copies, odds and the order by them, all from the tables.
 ORACLES: dict[str, str] = {
     "op5_mixing": r"""
@@ -157,4 +201,46 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN frac > 0 AND before + size / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r""",
+    "op12_resample": r"""
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END) AS v FROM range(256) AS r(i))
+), w AS (
+  SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), f AS MATERIALIZED (
+  SELECT side, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w
+), h AS (
+  SELECT f, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, 2 * strlen(f), 2), lambda i: ('0x' || substr(hex(f), i, 2))::BIGINT)),
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) % 10000 AS bucket FROM (SELECT DISTINCT f FROM f) CROSS JOIN crc
+), g AS MATERIALIZED (
+  SELECT f.side, f.r, h.bucket FROM f JOIN h USING (f)
+), n AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM g GROUP BY bucket
+), a AS (
+  SELECT sum(s)::DOUBLE AS alls, sum(t)::DOUBLE AS allt FROM n
+), gain AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (alls + 10000)) / ((s + 1)::DOUBLE * (allt + 10000))))::BIGINT AS gain FROM n, a
+), m AS (
+  SELECT r, count(*) AS n, sum(gain)::BIGINT AS total FROM g JOIN gain USING (bucket) WHERE side = 'd' GROUP BY r
+), d AS (
+  SELECT w.id AS doc_id, len(w.w) >= 20 AS eligible, coalesce(m.n, 0)::BIGINT AS n_features, coalesce((total - ((total % n + n) % n)) // n, 0)::BIGINT AS weight,
+         ('0x' || substr(sha256('7:' || coalesce(w.id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM w LEFT JOIN m USING (r) WHERE side = 'd'
+), e AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM d
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place, count(*) FILTER (eligible) OVER () AS alln FROM e
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= 25 * alln // 100 THEN place END::BIGINT AS rank FROM o""",
+    "op13_centroids": """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS k, x FROM (SELECT x, sha256('1:' || vec_id::VARCHAR) AS h FROM v WHERE vec_id IS NOT NULL ORDER BY h LIMIT 16)
+), """
+    + _rounds(3)
+    + """
+SELECT vec_id, k::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (k)""",
 }
