@@ -9,8 +9,8 @@ from lumenreel.llm.common import Scratch
 
 #: Buckets that features are hashed to.
 BUCKETS = 10_000
-#: Words: runs of 0-9, a-z and everything beyond ASCII, after A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, which are runs of 0-9, a-z and everything beyond ASCII, after A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Drawn rows of a range that is sorted in one task.
 RANGE = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,14 +18,21 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def words(text: Column) -> Column:
     """The words of a whole text; none for a null text."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    low = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER)
+    return F.array_remove(F.split(low, BETWEEN), "")
 
 
 def buckets_of(words: Column, buckets: int = BUCKETS) -> Column:
-    """The bucket of every run of one word, and of every run of two, repeats counted."""
+    """The bucket of every run of one word, and of every run of two, repeats counted. The words are bound by a lambda, so
+    that a text is cut once."""
     hashed = lambda x: (F.crc32(x.cast("binary")) % buckets).cast("int")
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: hashed(F.concat(a, F.lit(" "), b)))
-    return F.concat(F.transform(words, hashed), pairs)
+
+    def each(w: Column) -> Column:
+        rest = F.greatest(F.size(w) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(w, 1, rest), F.slice(w, 2, rest), lambda a, b: hashed(F.concat(a, F.lit(" "), b)))
+        return F.concat(F.transform(w, hashed), pairs)
+
+    return F.element_at(F.transform(F.array(words), each), 1)
 
 
 def bucket_counts(rows: DataFrame) -> DataFrame:
