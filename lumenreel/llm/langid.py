@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch, bound_batches, release
+from lumenreel.llm.common import Scratch, bound_batches, ragged, release
 
 #: At most so many rows of a language are learned from, those with the smallest hash of their id.
 SAMPLE = 4_000
@@ -58,62 +60,156 @@ def _slices(texts: pa.Array):
         at = to
 
 
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """Of every code point: 1 a letter, 2 a mark, 0 neither."""
+    return np.array([{"L": 1, "M": 2}.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)], np.uint8)
+
+
+def _points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all words, one after another, and the length of each."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32), np.array([len(w) for w in words], np.int64)
+
+
+def letter_runs(points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, start, length) of the words inside tokens: letters with the marks on them, as _LETTERS takes them."""
+    kind = _kinds()[points]
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    some = kind > 0
+    edge = np.r_[True, (some[1:] != some[:-1]) | (owner[1:] != owner[:-1])][: len(points)]
+    start = np.flatnonzero(edge & some)
+    ends = np.r_[np.flatnonzero(edge), len(points)]
+    stop = ends[np.searchsorted(ends, start, "right")]
+    letters = np.flatnonzero(kind == 1)
+    at = np.searchsorted(letters, start)
+    first = np.append(letters, len(points))[at]  # marks before the first letter belong to no word
+    ok = first < stop
+    return owner[start[ok]], first[ok], stop[ok] - first[ok]
+
+
+_STEP = np.uint64(0x100000001B3)
+
+
+def word_keys(points: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, a polynomial of its code points."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    power = np.r_[np.uint64(1), np.cumprod(np.full(int(lengths.max()), _STEP, np.uint64))]
+    at = ragged(np.zeros(len(start), np.int64), lengths)
+    terms = (points[ragged(start, lengths)].astype(np.uint64) + np.uint64(1)) * power[at]
+    return np.add.reduceat(terms, np.r_[0, np.cumsum(lengths)[:-1]]) * np.uint64(0x9E3779B97F4A7C15) ^ lengths.astype(np.uint64)
+
+
+def padded(points: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with a space at both ends: code points, the word each belongs to, and the code points left in the word."""
+    size = lengths + 2
+    ends = np.cumsum(size)
+    buf = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint64)
+    buf[ragged(ends - size + 1, lengths)] = points[ragged(start, lengths)]
+    return buf, np.repeat(np.arange(len(size)), size), np.repeat(ends, size) - np.arange(len(buf))
+
+
+def gram_keys(buf: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of the n code points from each place; places too near the end are meaningless."""
+    h = np.zeros(len(buf), np.uint64)
+    for i in range(n):
+        h[: len(buf) - i] = h[: len(buf) - i] * _STEP + (buf[i:] + np.uint64(1))
+    return (h ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+
+
 @dataclass
 class Languages:
-    """A model of bounded size: for words (level 0) and n-grams (level n) the row of `logs` that holds the natural log
-    frequency in each language."""
+    """A model of bounded size: for words (level 0) and n-grams (level n) their sorted 64-bit hashes, and for each the natural
+    log frequency in each language."""
 
     names: list[str]
-    levels: list[dict[str, int]]
-    logs: np.ndarray
-    _seen: dict = field(default_factory=dict, repr=False)
+    keys: list[np.ndarray]
+    logs: list[np.ndarray]
+
+    def _rows(self, level: int, keys: np.ndarray) -> np.ndarray:
+        """The row of each key in a level, -1 if it is not known."""
+        held = self.keys[level]
+        if not len(held):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+        return np.where(held[at] == keys, at, -1)
+
+    def _words(self, points: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether known, log frequency by language) of each word: its own, or the mean over its known n-grams of the longest
+        length that has any."""
+        out = np.zeros((len(start), len(self.names)))
+        at = self._rows(0, word_keys(points, start, lengths))
+        known = at >= 0
+        out[known] = self.logs[0][at[known]]
+        for n in range(len(self.keys) - 1, 0, -1):
+            todo = np.flatnonzero(~known)
+            if not len(todo):
+                break
+            buf, owner, left = padded(points, start[todo], lengths[todo])
+            place = np.flatnonzero((left >= n) & ((buf != 32) if n == 1 else True))
+            at = self._rows(n, gram_keys(buf, n)[place])
+            hit = at >= 0
+            owner, at = owner[place[hit]], at[hit]
+            count = np.bincount(owner, minlength=len(todo))
+            some = count > 0
+            for k in range(len(self.names)):
+                out[todo[some], k] = np.bincount(owner, self.logs[n][at, k], len(todo))[some] / count[some]
+            known[todo[some]] = True
+        return known, out
 
     def word(self, word: str) -> np.ndarray | None:
-        """Log frequencies of a known word; else the mean over its known n-grams of the longest length that has any; None if
-        not one of its characters is known."""
-        at = self.levels[0].get(word)
-        if at is not None:
-            return self.logs[at]
-        for n in range(len(self.levels) - 1, 0, -1):
-            level = self.levels[n]
-            rows = [level[g] for g in grams(word, n) if g in level]
-            if rows:
-                return self.logs[rows].mean(0)
-        return None
-
-    def token(self, token: str) -> tuple[bool, np.ndarray | None]:
-        """(whether it holds a letter, sum over its words)."""
-        found = self._seen.get(token)
-        if found is None:
-            words = _LETTERS.findall(token)
-            known = [v for v in map(self.word, words) if v is not None]
-            found = bool(words), np.sum(known, axis=0) if known else None
-            if len(token) < 40:
-                if len(self._seen) >= 200_000:
-                    self._seen.clear()
-                self._seen[token] = found
-        return found
+        """Log frequencies of one word; None if not one of its characters is known."""
+        points, lengths = _points([word])
+        known, out = self._words(points, np.zeros(1, np.int64), lengths)
+        return out[0] if known[0] else None
+
+    def log(self, level: int, text: str) -> np.ndarray | None:
+        """Log frequencies of a known word (level 0) or n-gram."""
+        at = self._rows(level, keys_of(level, [text]))[0]
+        return self.logs[level][at] if at >= 0 else None
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """The language of each text, and how sure that is: its share of the likelihoods of all languages."""
-        rows = len(texts)
-        letters, total = np.zeros(rows, bool), np.zeros((rows, len(self.names)))
+        rows, width = len(texts), len(self.names)
+        if not width:
+            return [UNKNOWN] * rows, np.zeros(rows)
+        letters, total = np.zeros(rows, bool), np.zeros((rows, width))
         codes, counts, words = tokens(texts)
-        found = [self.token(w) for w in words]
-        has = np.array([f[0] for f in found], bool)
-        scores = np.array([np.zeros(len(self.names)) if f[1] is None else f[1] for f in found]).reshape(len(found), -1)
-        owner = np.repeat(np.arange(rows), counts)
         if len(codes):
+            points, lengths = _points(words)
+            token, start, size = letter_runs(points, lengths)
+            _, scores = self._words(points, start, size)
+            has = np.bincount(token, minlength=len(words)) > 0
+            owner = np.repeat(np.arange(rows), counts)
             letters = np.bincount(owner, has[codes], rows) > 0
-            for k in range(len(self.names)):
-                total[:, k] = np.bincount(owner, scores[codes, k], rows)
-        if not self.names:
-            return [UNKNOWN] * rows, np.zeros(rows)
+            for k in range(width):
+                total[:, k] = np.bincount(owner, np.bincount(token, scores[:, k], len(words))[codes], rows)
         best = total.argmax(1)
         share = 1 / np.exp(total - total[np.arange(rows), best][:, None]).sum(1)
         return [self.names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())], np.where(letters, share, 0.0)
 
 
+def keys_of(level: int, texts: list[str]) -> np.ndarray:
+    """The hashes by which words (level 0) and n-grams of a level are known."""
+    points, lengths = _points(texts)
+    start = np.cumsum(lengths) - lengths
+    return word_keys(points, start, lengths) if level == 0 else gram_keys(points.astype(np.uint64), level)[start]
+
+
+def _model(names: list[str], found: list[dict[str, dict[int, float]]]) -> Languages:
+    """Of the log frequencies by language number of each known word and n-gram."""
+    keys, logs = [], []
+    for level, held in enumerate(found):
+        k = keys_of(level, list(held))
+        table = np.full((len(held), len(names)), PENALTY)
+        for row, by in zip(table, held.values()):
+            for j, v in by.items():
+                row[j] = v
+        order = np.argsort(k, kind="stable")
+        keys.append(k[order]), logs.append(table[order])
+    return Languages(names, keys, logs)
+
+
 def _top(counts: DataFrame, most: dict[bool, int]) -> DataFrame:
     """Of each language and level the most frequent, ties by code point; ranks are cut in each task before they meet."""
     place = F.row_number().over(Window.partitionBy("lang", "level").orderBy(F.desc("n"), "gram"))
@@ -135,7 +231,7 @@ def fit(scratch: Scratch, docs: DataFrame, sample: int = SAMPLE, doc_id: str = "
     ends = picked.withColumn("r", order).where(F.col("r") <= sample).groupBy("lang").agg(F.max(F.struct("h", "c")).alias("end"), F.count("*").alias("m"))
     ends = {r["lang"]: (r["end"]["h"], r["end"]["c"]) for r in ends.collect()}  # one row a language
     if not ends:
-        return Languages([], [{}] * (LONGEST + 1), np.zeros((0, 0)))
+        return Languages([], [], [])
     names = sorted(ends)
     limit = scratch.spark.createDataFrame([(k, h, c) for k, (h, c) in ends.items()], "lang string, end_h long, end_c long")
     chosen = rows.join(F.broadcast(limit), "lang").where(F.struct(F.xxhash64("id"), F.xxhash64("text")) <= F.struct("end_h", "end_c")).select("lang", "text")
@@ -175,18 +271,13 @@ def fit(scratch: Scratch, docs: DataFrame, sample: int = SAMPLE, doc_id: str = "
     counts = scratch.write(known.unionByName(short), "counts")
     totals = {(r["lang"], r["level"]): r["n"] for r in counts.groupBy("lang", "level").agg(F.sum("n").alias("n")).collect()}
     wanted = scratch.write(_top(counts, {True: WORDS, False: GRAMS}).select("level", "gram").distinct(), "wanted")
-    levels: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-    table: list[np.ndarray] = []
+    found: list[dict[str, dict[int, float]]] = [{} for _ in range(LONGEST + 1)]
     place = {k: i for i, k in enumerate(names)}
     for r in counts.join(wanted, ["level", "gram"], "left_semi").toLocalIterator(prefetchPartitions=True):
-        level = levels[r["level"]]
-        at = level.get(r["gram"])
-        if at is None:
-            at = level[r["gram"]] = len(table)
-            table.append(np.full(len(names), PENALTY))
-        table[at][place[r["lang"]]] = max(PENALTY, np.log(r["n"] / totals[r["lang"], r["level"]]))
+        log = np.log(r["n"] / totals[r["lang"], r["level"]])
+        found[r["level"]].setdefault(r["gram"], {})[place[r["lang"]]] = max(PENALTY, log)
     scratch.drop(known, counts, wanted)
-    return Languages(names, levels, np.array(table).reshape(-1, len(names)))
+    return _model(names, found)
 
 
 def predict(scratch: Scratch, docs: DataFrame, model: Languages, text: str = "text", out: str = "lang_pred", sure: str = "score") -> DataFrame:

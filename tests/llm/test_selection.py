@@ -180,21 +180,39 @@ def test_counts_are_those_of_the_rows(model):
     assert model.names == ["de", "en", "fr"]
     words = {k: v.split() for k, v in SAID.items()}
     for k, name in enumerate(model.names):
-        share = words[name].count("la" if name == "fr" else "the") / len(words[name])
-        got = model.logs[model.levels[0]["la" if name == "fr" else "the"]][k]
-        assert got == pytest.approx(math.log(share) if share else langid.PENALTY)
+        own = "la" if name == "fr" else "the"
+        share = words[name].count(own) / len(words[name])
+        assert model.log(0, own)[k] == pytest.approx(math.log(share) if share else langid.PENALTY)
         all3 = [g for w in words[name] for g in langid.grams(w, 3)]
-        assert model.logs[model.levels[3]["en "]][k] == pytest.approx(math.log(all3.count("en ") / len(all3)) if "en " in all3 else langid.PENALTY)
+        assert model.log(3, "en ")[k] == pytest.approx(math.log(all3.count("en ") / len(all3)) if "en " in all3 else langid.PENALTY)
 
 
 def test_words_back_off_to_the_longest_known_grams(model):
-    assert (model.word("garten") == model.logs[model.levels[0]["garten"]]).all()
-    rows = [model.levels[5][g] for g in langid.grams("gartenhaus", 5) if g in model.levels[5]]
-    assert rows and (model.word("gartenhaus") == model.logs[rows].mean(0)).all()
-    assert model.word("ξξ") is None
-    rows = [model.levels[1][g] for g in "qwx" if g in model.levels[1]]  # no longer n-gram of it is known
-    assert rows and not any(g in model.levels[n] for n in (2, 3, 4, 5) for g in langid.grams("qwx", n))
-    assert (model.word("qwx") == model.logs[rows].mean(0)).all()
+    def backed(word):
+        for n in range(5, 0, -1):
+            rows = [x for x in (model.log(n, g) for g in langid.grams(word, n)) if x is not None]
+            if rows:
+                return n, np.mean(rows, axis=0)
+        return 0, None
+
+    assert (model.word("garten") == model.log(0, "garten")).all()
+    lengths = set()
+    for word in ("gartenhaus", "freundinnen", "qwx", "zwx", "têtes", "xthx", "ξξ", "a" * 5000, "öß"):
+        n, want = backed(word)
+        lengths.add(n)
+        got = model.word(word)
+        assert (got is None) == (want is None) and (got is None or np.allclose(got, want))
+    assert {0, 1, 5} <= lengths
+
+
+def test_words_inside_tokens():
+    tokens = ["don't", "\u0301a\u0301b", "x-y_z1w", "123", "日本語テキスト", "\u0301", "a\u0301\u0302"]
+    points, lengths = langid._points(tokens)
+    token, start, size = langid.letter_runs(points, lengths)
+    got = [(t, "".join(map(chr, points[a : a + n]))) for t, a, n in zip(token.tolist(), start.tolist(), size.tolist())]
+    assert got == [(i, w) for i, t in enumerate(tokens) for w in langid._LETTERS.findall(t)]
+    keys = langid.word_keys(points, start, size)
+    assert (keys == langid.keys_of(0, [w for _, w in got])).all() and len(set(keys.tolist())) == len({w for _, w in got})
 
 
 def test_predictions(spark, model):
@@ -215,8 +233,8 @@ def test_no_language_to_learn(spark):
 def test_the_sample_is_a_limit_a_language(spark):
     rows = [(i, f"common only{i}", "en") for i in range(50)] + [(99, "selten selten", "de")]
     some = langid.fit(Scratch(spark, "t"), documents(spark, rows).repartition(6), sample=10)
-    assert some.names == ["de", "en"] and "selten" in some.levels[0] and "common" in some.levels[0]
-    assert some.logs[some.levels[0]["common"]][1] == pytest.approx(math.log(10 / 20))
+    assert some.names == ["de", "en"] and some.log(0, "selten") is not None
+    assert some.log(0, "common")[1] == pytest.approx(math.log(10 / 20))
 
 
 def test_held_out_accuracy(spark):
