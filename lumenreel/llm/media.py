@@ -3,6 +3,7 @@ and geometric consensus."""
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -38,47 +39,60 @@ SIDE_LIMIT = 512
 
 
 def decode(data: bytes) -> np.ndarray | None:
-    """Grey values of a PGM or PPM (binary, 8 bits) or PNG (8 bits, not interlaced); None if it is neither."""
+    """Grey values of a PGM or PPM (binary, up to 255) or PNG (8 bits, not interlaced); None for anything else, and for files
+    that are cut off, corrupt, or say they are larger than their data can be."""
     try:
-        if data[:2] in (b"P5", b"P6"):
-            head, at = [], 2
-            while len(head) < 3:
-                while data[at : at + 1].isspace():
-                    at += 1
-                end = at
-                while not data[end : end + 1].isspace():
-                    end += 1
-                head.append(int(data[at:end]))
-                at = end
-            w, h, top = head
-            k = 3 if data[1:2] == b"6" else 1
-            x = np.frombuffer(data, np.uint8, w * h * k, at + 1).reshape(h, w, k) if top == 255 else None
-        elif data[:8] == b"\x89PNG\r\n\x1a\n":
-            x = _png(data)
-        else:
-            return None
-        if x is None or 0 in x.shape:
-            return None
-        x = x.astype(np.float32)
-        return x[..., 0] if x.shape[2] < 3 else x[..., :3] @ np.array([0.299, 0.587, 0.114], np.float32)
-    except (ValueError, struct.error, zlib.error, IndexError):
+        x = _pnm(data) if data[:2] in (b"P5", b"P6") else _png(data) if data[:8] == b"\x89PNG\r\n\x1a\n" else None
+    except (ValueError, struct.error, zlib.error):
+        return None
+    if x is None or 0 in x.shape:
         return None
+    x = x.astype(np.float32)
+    return x[..., 0] if x.shape[2] < 3 else x[..., :3] @ np.array([0.299, 0.587, 0.114], np.float32)
+
+
+#: Head of a PGM or PPM: three numbers, set apart by white space and comments; one white space before the values.
+_HEAD = re.compile(rb"P[56]" + rb"(?:\s|#[^\n\r]*[\n\r])+(\d{1,9})" * 3 + rb"\s")
+
+
+def _pnm(data: bytes) -> np.ndarray | None:
+    head = _HEAD.match(data)
+    if not head:
+        return None
+    w, h, top = map(int, head.groups())
+    k = 3 if data[1:2] == b"6" else 1
+    if not 0 < top < 256 or len(data) - head.end() < w * h * k:
+        return None
+    x = np.frombuffer(data, np.uint8, w * h * k, head.end()).reshape(h, w, k)
+    return x if top == 255 else np.minimum(x, top) * np.float32(255 / top)
 
 
 def _png(data: bytes) -> np.ndarray | None:
-    at, body = 8, b""
-    while at < len(data):
+    at, body, head = 8, [], None
+    while at + 8 <= len(data):
         n, kind = struct.unpack(">I4s", data[at : at + 8])
         part = data[at + 8 : at + 8 + n]
-        if kind == b"IHDR":
-            w, h, depth, colour, _, _, lace = struct.unpack(">IIBBBBB", part)
-            if depth != 8 or lace or colour not in (0, 2, 4, 6):
-                return None
+        if len(part) < n:
+            return None
+        if kind == b"IHDR" and head is None:
+            head = struct.unpack(">IIBBBBB", part)
         elif kind == b"IDAT":
-            body += part
+            body.append(part)
+        elif kind == b"IEND":
+            break
         at += 12 + n
-    k = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
-    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * k)
+    if head is None or head[2] != 8 or head[4] or head[5] or head[6] or head[3] not in (0, 2, 4, 6):
+        return None
+    w, h, k = head[0], head[1], {0: 1, 2: 3, 4: 2, 6: 4}[head[3]]
+    packed = b"".join(body)
+    if h * (1 + w * k) > 1040 * len(packed) + 64:  # more than deflate can hold
+        return None
+    rows = zlib.decompressobj().decompress(packed, h * (1 + w * k))
+    if len(rows) < h * (1 + w * k):
+        return None
+    rows = np.frombuffer(rows, np.uint8).reshape(h, 1 + w * k)
+    if rows.size and rows[:, 0].max() > 4:
+        return None
     out = np.zeros((h, w * k), np.uint8)
     for y in range(h):
         kind, line = rows[y, 0], rows[y, 1:].astype(np.int64)
@@ -246,30 +260,59 @@ def table_entries(spots: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.n
     return key[fresh], rest[fresh]
 
 
-def consensus(p: np.ndarray, q: np.ndarray) -> int:
-    """Most matches that agree on one turn, scale and shift: each match gives a transform by its own angle
-    and size, under which the others are counted, each place of either image once."""
+#: Bytes of working arrays when descriptors or matches are compared.
+ROOM = 32 << 20
+#: Matches of a block that are tried as transforms at once, before all are.
+TRIED = 32
+
+
+def consensus(p: np.ndarray, q: np.ndarray, enough: int | None = None, tried: np.ndarray | None = None) -> int:
+    """Most matches that agree on one turn, scale and shift: each match (or each of `tried`) gives a transform by its own
+    angle and size, under which all are counted, each place of either image once. It ends once `enough` agree. Transforms
+    are tried some at a time, so memory is linear in the matches."""
     if len(p) < AGREE:
         return 0
-    turn, size = (q[:, 2] - p[:, 2])[:, None], (q[:, 3] / p[:, 3])[:, None]
-    px, py = p[None, :, 0] - p[:, :1], p[None, :, 1] - p[:, 1:2]
-    qx, qy = q[None, :, 0] - q[:, :1], q[None, :, 1] - q[:, 1:2]
-    co, si = size * np.cos(turn), size * np.sin(turn)
-    near = np.hypot(co * px - si * py - qx, si * px + co * py - qy) < SLACK * np.maximum(1.0, size)
-    near &= np.abs((turn.T - turn + np.pi) % (2 * np.pi) - np.pi) < 0.5
-    count = near.sum(1)
+    order = np.arange(len(p)) if tried is None else tried
+    step = max(1, ROOM // (48 * len(p)))
     best = 0
-    for i in np.argsort(-count, kind="stable"):
-        if count[i] <= best:
-            break
-        best = max(best, min(len(np.unique(z[near[i], :2] // CELL, axis=0)) for z in (p, q)))
+    for at in range(0, len(order), step):
+        i = order[at : at + step]
+        turn, size = (q[i, 2] - p[i, 2])[:, None], (q[i, 3] / p[i, 3])[:, None]
+        px, py = p[None, :, 0] - p[i, :1], p[None, :, 1] - p[i, 1:2]
+        qx, qy = q[None, :, 0] - q[i, :1], q[None, :, 1] - q[i, 1:2]
+        co, si = size * np.cos(turn), size * np.sin(turn)
+        near = np.hypot(co * px - si * py - qx, si * px + co * py - qy) < SLACK * np.maximum(1.0, size)
+        near &= np.abs(((q[:, 2] - p[:, 2])[None] - turn + np.pi) % (2 * np.pi) - np.pi) < 0.5
+        count = near.sum(1)
+        for j in np.argsort(-count, kind="stable"):
+            if count[j] <= best:
+                break
+            best = max(best, min(len(np.unique(z[near[j], :2] // CELL, axis=0)) for z in (p, q)))
+            if enough is not None and best >= enough:
+                return best
     return best
 
 
 def agree(one: tuple, other: tuple) -> bool:
-    """Whether two images, each (spots, packed bits), show the same: enough matches agree on one transform."""
-    i, j = np.nonzero(np.bitwise_count(one[1][:, None] ^ other[1][None]).sum(2) <= NEAR)
-    return consensus(one[0][i], other[0][j]) >= AGREE
+    """Whether two images, each (spots, packed bits), show the same: enough matches agree on one transform.
+
+    Corners of the first meet those of the other in blocks. After each block a few of its matches are tried as
+    transforms of all found so far; more matches can only add to those that agree, so pictures of a repeated
+    pattern, in which all corners match, are decided by their first blocks. If none suffices, all are tried.
+    """
+    rows = max(1, ROOM // (TESTS // 8 * 2 * max(1, len(other[1]))))
+    p, q, held = np.zeros((0, 4), np.float32), np.zeros((0, 4), np.float32), []
+    for at in range(0, len(one[1]), rows):
+        i, j = np.nonzero(np.bitwise_count(one[1][at : at + rows, None] ^ other[1][None]).sum(2, dtype=np.int16) <= NEAR)
+        if not len(i):
+            continue
+        held.append((one[0][at + i], other[0][j]))
+        p, q = (np.concatenate(z) for z in zip(*held))
+        held = [(p, q)]
+        tried = np.unique(np.linspace(len(p) - len(i), len(p) - 1, TRIED).astype(np.int64))
+        if consensus(p, q, AGREE, tried) >= AGREE:
+            return True
+    return consensus(p, q, AGREE) >= AGREE
 
 
 def _image(spots: bytes, bits: bytes) -> tuple[np.ndarray, np.ndarray]:
