@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenreel.llm.common import Scratch
@@ -151,11 +151,30 @@ class Hierarchy:
 
 
 def lifted(x: np.ndarray) -> np.ndarray:
-    """One coordinate more, so that all have one norm: then nearest is the largest inner product."""
+    """Scaled, and with one coordinate more, so that all have one norm: then nearest is the largest inner product. The vectors
+    of a shard have norms within a factor of two, so that coordinate hides none of the others."""
+    x = x / np.abs(x).max()
     norms = (x * x).sum(1)
     return np.c_[x, np.sqrt(np.maximum(norms.max() - norms, 0))].astype(np.float32)
 
 
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in double precision; where one passes beyond doubles on the way, in wider numbers."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = x @ q
+        wide = ~np.isfinite(out)
+        if wide.any():
+            out[wide] = (x[wide].astype(np.longdouble) * q.astype(np.longdouble)).sum(1).astype(np.float64)
+    return out
+
+
+def layer_of(e: Column) -> Column:
+    """The whole part of the binary logarithm of a vector's norm."""
+    most = F.array_max(F.transform(e, F.abs))
+    square = F.aggregate(e, F.lit(0.0), lambda a, x: a + (x / most) * (x / most))
+    return F.floor(F.log2(most) + F.log2(square) / 2).cast("int")
+
+
 def _matrix(col: pa.ChunkedArray, dim: int) -> np.ndarray:
     col = col.combine_chunks()
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
@@ -166,8 +185,10 @@ def nearest(scratch: Scratch, vectors: DataFrame, vec_id: str = "vec_id", embedd
 
     Equal vectors are one node that carries its k + 1 smallest ids, so copies neither crowd a graph nor
     meet in one task (a partial limit comes before the shuffle); queries that are equal are searched
-    once. Distinct vectors are dealt by hash to shards of about 16,384; each has its graph, a row of flat
-    arrays. Blocks of queries meet each shard's graph, and the shards' best are merged by query.
+    once. Distinct vectors are dealt to layers by the power of two below their norm, and in a layer by hash to shards
+    of about 16,384; each has its graph, a row of flat arrays, at a scale of its own. So a few very long vectors
+    leave the graphs of all others as they were. Blocks of queries meet each shard's graph, and the shards' best
+    are merged by query.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part; a query meets
     vectors of its own length. Rows with one id are one candidate. Ties go to the smaller id. Rows with
@@ -181,9 +202,9 @@ def nearest(scratch: Scratch, vectors: DataFrame, vec_id: str = "vec_id", embedd
     least = v.select("key", "id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") <= k + 1)
     ids = least.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     nodes = v.groupBy("key", "dim").agg(F.min("id").alias("id"), F.min("e").alias("e")).join(ids, "key")
-    nodes = scratch.write(nodes.select("key", "dim", "e", "ids"), "nodes")
+    nodes = scratch.write(nodes.select("key", "dim", "e", "ids", layer_of(F.col("e")).alias("layer")), "nodes")
     asked = scratch.write(v.where(F.col("id") % every == 0).groupBy("key", "dim").agg(F.min("e").alias("e")), "asked")
-    shards = max(1, -(-nodes.count() // SHARD))
+    layers = nodes.groupBy("dim", "layer").agg(F.ceil(F.count("*") / SHARD).alias("shards"))  # one row for each length and power of two
     blocks = max(1, -(-asked.count() // BLOCK))
     groups = -(-blocks // BLOCKS)
 
@@ -197,10 +218,10 @@ def nearest(scratch: Scratch, vectors: DataFrame, vec_id: str = "vec_id", embedd
         held = np.array([len(m) for m in members])
         flat[np.arange(k + 1) < held[:, None]] = np.concatenate(members)
         graph = Hierarchy.build(lifted(x))
-        return pa.table({"dim": t.column("dim").slice(0, 1), "shard": t.column("shard").slice(0, 1), "entry": pa.array([graph.entry], pa.int32()), "x": pa.array([x.tobytes()], pa.binary()), "ids": pa.array([flat.tobytes()], pa.binary()), "held": pa.array([held.astype(np.int32).tobytes()], pa.binary()), "links": pa.array([[g.astype(np.int32).tobytes() for g in graph.links]], pa.list_(pa.binary()))})
+        return pa.table({"dim": t.column("dim").slice(0, 1), "layer": t.column("layer").slice(0, 1), "shard": t.column("shard").slice(0, 1), "entry": pa.array([graph.entry], pa.int32()), "x": pa.array([x.tobytes()], pa.binary()), "ids": pa.array([flat.tobytes()], pa.binary()), "held": pa.array([held.astype(np.int32).tobytes()], pa.binary()), "links": pa.array([[g.astype(np.int32).tobytes() for g in graph.links]], pa.list_(pa.binary()))})
 
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)).cast("int"))
-    graphs = scratch.write(dealt.groupBy("dim", "shard").applyInArrow(index, "dim int, shard int, entry int, x binary, ids binary, held binary, links array<binary>"), "graphs")
+    dealt = nodes.join(F.broadcast(layers), ["dim", "layer"]).withColumn("shard", F.pmod(F.xxhash64("key", F.lit(1)), F.col("shards")).cast("int")).drop("shards")
+    graphs = scratch.write(dealt.groupBy("dim", "layer", "shard").applyInArrow(index, "dim int, layer int, shard int, entry int, x binary, ids binary, held binary, links array<binary>"), "graphs")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"key": [], "id": [], "score": []}
@@ -218,7 +239,7 @@ def nearest(scratch: Scratch, vectors: DataFrame, vec_id: str = "vec_id", embedd
                 found, _ = graph.search(np.c_[q / scale, np.zeros(len(q))].astype(np.float32))
                 for i in range(len(q)):
                     near = found[i][found[i] >= 0]
-                    score = x[near] @ q[i]
+                    score = products(x[near], q[i])
                     best = np.argsort(-score, kind="stable")[: k + 1]
                     some = np.repeat(score[best], held[near[best]])
                     who = ids[near[best]][np.arange(ids.shape[1]) < held[near[best]][:, None]]
@@ -231,8 +252,9 @@ def nearest(scratch: Scratch, vectors: DataFrame, vec_id: str = "vec_id", embedd
 
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     copies = graphs.withColumn("part", each(groups))
-    questions = asked.withColumn("part", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(groups)).cast("int")).withColumn("shard", each(shards))
-    found = copies.groupBy("dim", "shard", "part").cogroup(questions.groupBy("dim", "shard", "part")).applyInArrow(search, "key long, id long, score double")
+    shard_keys = layers.select("dim", "layer", F.explode(F.sequence(F.lit(0), (F.col("shards") - 1).cast("int"))).alias("shard"))
+    questions = asked.withColumn("part", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(groups)).cast("int")).join(F.broadcast(shard_keys), "dim")
+    found = copies.groupBy("dim", "layer", "shard", "part").cogroup(questions.groupBy("dim", "layer", "shard", "part")).applyInArrow(search, "key long, id long, score double")
     best = Window.partitionBy("key").orderBy(F.desc("score"), "id")
     merged = scratch.write(found.dropDuplicates(["key", "id"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1), "found")
     lists = scratch.write(merged.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("near")), "lists")
