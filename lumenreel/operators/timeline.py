@@ -53,38 +53,55 @@ def windows(videos: DataFrame, duration: str = "duration", n: str = "budget") ->
     return out.select("*", round3(start).alias("w_start"), round3(F.greatest(end, start)).alias("w_end"), round3(center).alias("center"))
 
 
-def coverage_choice(candidates: DataFrame, sample_seconds: float, most: int, video: str = "video_id", ts: str = "ts") -> DataFrame:
+def _candidate_videos(candidates: DataFrame, videos: DataFrame | None, sample_seconds: float, most: int, video: str, ts: str) -> tuple[DataFrame, DataFrame]:
+    """(candidates with duration and budget; one row a video with duration, budget and the pool of all its candidates)."""
+    pool = distinct_times(F.array_sort(F.collect_set("ts"))).alias("pool")
+    if videos is None:
+        d = F.max(ts).over(Window.partitionBy(video))
+        c = candidates.select(video, F.col(ts).alias("ts"), d.alias("duration")).withColumn("budget", budget(F.col("duration"), sample_seconds, most))
+        return c, c.groupBy(video).agg(F.max("duration").alias("duration"), F.max("budget").alias("budget"), pool)
+    known = videos.select(video, F.coalesce(F.col("duration").cast("double"), F.lit(0.0)).alias("duration"))
+    known = known.withColumn("budget", budget(F.col("duration"), sample_seconds, most))
+    times = candidates.select(video, F.col(ts).alias("ts")).where("ts is not null")
+    pools = times.groupBy(video).agg(pool)
+    per = known.join(pools, video, "left").withColumn("pool", F.coalesce("pool", F.array().cast("array<double>")))
+    return times.join(known, video), per
+
+
+def coverage_choice(candidates: DataFrame, sample_seconds: float, most: int, video: str = "video_id", ts: str = "ts", videos: DataFrame | None = None) -> DataFrame:
     """(video, duration, budget, picks, pool): in each window the candidate nearest its center (the earlier of two),
-    else the center; pool holds all candidates. Duration is the last candidate.
+    else the center; pool holds all candidates.
 
-    A candidate's window follows from its time, so no range join is needed: one exchange by video serves
-    the durations and the choice in each window.
+    `videos` (video, duration) says how long each video is and which there are: those without candidates get the
+    centers of their windows, candidates of other videos and those after the end choose nothing, a null duration
+    counts as zero. Without it a video lasts until its last candidate.
+
+    A candidate's window follows from its time, so no range join is needed: candidates meet the windows of their video by
+    number.
     """
-    d = F.max(ts).over(Window.partitionBy(video))
-    c = candidates.select(video, F.col(ts).alias("ts"), d.alias("duration")).withColumn("budget", budget(F.col("duration"), sample_seconds, most))
-    videos = c.groupBy(video).agg(F.max("duration").alias("duration"), F.max("budget").alias("budget"), distinct_times(F.array_sort(F.collect_set("ts"))).alias("pool"))
+    c, per_video = _candidate_videos(candidates, videos, sample_seconds, most, video, ts)
     wide = F.col("duration") / F.col("budget")
     at = F.when((F.col("duration") <= 0) | (F.col("budget") <= 1), 0).otherwise(F.least(F.floor(F.col("ts") / wide), F.col("budget") - 1)).cast("int")
     near = c.withColumn("idx", F.explode(F.array_distinct(F.array(F.greatest(at - 1, F.lit(0)), at, F.least(at + 1, F.col("budget") - 1)))))
-    edge = windows(videos).select(video, "duration", "budget", "idx", "w_start", "w_end", "center")
+    edge = windows(per_video).select(video, "duration", "budget", "idx", "w_start", "w_end", "center")
     meet = near.select(video, "idx", "ts").join(edge, [video, "idx"])
     inside = F.col("ts").between(F.col("w_start"), F.col("w_end")) | ((F.col("idx") == F.col("budget") - 1) & F.col("ts").between(F.col("w_start"), F.col("duration")))
     best = meet.where(inside).groupBy(video, "idx").agg(F.min(F.struct(F.abs(F.col("ts") - F.col("center")).alias("far"), F.col("ts").alias("ts"))).alias("best"))
     chosen = edge.join(best, [video, "idx"], "left").withColumn("pick", round3(F.coalesce("best.ts", "center")))
     per = chosen.groupBy(video).agg(F.array_sort(F.collect_list("pick")).alias("picks"))
-    return videos.join(per, video).select(video, "duration", "budget", "picks", "pool")
+    return per_video.join(per, video).select(video, "duration", "budget", "picks", "pool")
 
 
-def cover(candidates: DataFrame, sample_seconds: float, most: int, video: str = "video_id", ts: str = "ts") -> DataFrame:
+def cover(candidates: DataFrame, sample_seconds: float, most: int, video: str = "video_id", ts: str = "ts", videos: DataFrame | None = None) -> DataFrame:
     """(video, duration, budget, times): the choice of each window, without filling, with both anchors."""
-    per = coverage_choice(candidates, sample_seconds, most, video, ts)
+    per = coverage_choice(candidates, sample_seconds, most, video, ts, videos)
     return per.select(video, "duration", "budget", anchored(F.col("picks"), F.col("duration")).alias("times"))
 
 
-def scene_sampling(candidates: DataFrame, sample_seconds: float, most: int, video: str = "video_id", ts: str = "ts") -> DataFrame:
+def scene_sampling(candidates: DataFrame, sample_seconds: float, most: int, video: str = "video_id", ts: str = "ts", videos: DataFrame | None = None) -> DataFrame:
     """(video, duration, budget, times): the choice of each window, widest gaps filled up to the budget, with both
     anchors, which come on top of the budget."""
-    per = coverage_choice(candidates, sample_seconds, most, video, ts)
+    per = coverage_choice(candidates, sample_seconds, most, video, ts, videos)
     full = fill_gaps(F.col("picks"), F.col("duration"), F.col("budget"), F.col("pool"))
     return per.select(video, "duration", "budget", anchored(full, F.col("duration")).alias("times"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenreel.functions import text as T
-from lumenreel.operators import align, dedupe, layout, rank, report, speech, timeline
+from lumenreel.operators import align, chains, dedupe, layout, rank, report, speech, timeline
 from lumenreel.plans import evidence, evidence_sql
 from lumenreel.plans.evidence import PROSE
 from lumenreel.plans.tables import EVENTS, LINES, MOST, SAMPLE, SEGMENTS, doc_lines, events, read, segments
@@ -32,6 +32,20 @@ def change_gap_filter(spark, sf_dir):
     return kept.select("video_id", "n_in", F.size("kept").alias("n_kept"), F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + F.rint(x * 1000).cast("long")).alias("checksum"))
 
 
+def long_gap_filter(spark, sf_dir):
+    """All events of a type as one long video."""
+    times = events(spark, sf_dir).select(F.col("event_type").alias("video_id"), F.col("ts"))
+    return chains.gap_filter_rows(times, 14400.0)
+
+
+def long_speech_chunks(spark, sf_dir):
+    """All that is said in one role as one long transcript."""
+    s = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    i = (F.col("conv_id") * 1000 + F.col("turn")).cast("long")
+    s = s.select(F.col("role").alias("video_id"), i.alias("seg_idx"), i.cast("double").alias("start"), (i + 0.5).alias("end"), F.trim("text").alias("text")).where("text != ''")
+    return chains.chunk_rows(s, 420)
+
+
 def representative_segments(spark, sf_dir):
     s = segments(spark, sf_dir).select("video_id", "seg_idx")
     return timeline.representative(s, 4).withColumn("most", F.lit(4)).unionByName(timeline.representative(s, 8).withColumn("most", F.lit(8)))
@@ -48,6 +62,23 @@ def frame_transcript_alignment(spark, sf_dir):
     return out.select("video_id", "idx", F.size("segments").alias("n_segments"), F.array_join(F.transform("segments", lambda s: s["seg_idx"].cast("string")), ",").alias("seg_ids"))
 
 
+def long_segment_alignment(spark, sf_dir):
+    """Segments of seconds, hours and the whole video, some with their ends swapped; texts of batches as unlike in length."""
+    e = events(spark, sf_dir)
+    i = F.col("event_id")
+    end = F.when(i % 17 == 0, 1e12).when(i % 5 == 0, F.col("ts") - 100).when(i % 3 == 0, F.col("ts") * 3).otherwise(F.col("ts") + F.col("value"))
+    seg = e.where("event_type = 'click'").select("video_id", i.alias("seg_idx"), F.col("ts").alias("start"), end.alias("end"), F.lit(None).cast("string").alias("speaker"), F.lit("").alias("text"))
+    out = align.attach_segments(_frames(e), seg, 30.0)
+    return out.select("video_id", "idx", F.size("segments").alias("n_segments"), F.array_join(F.transform("segments", lambda s: s["seg_idx"].cast("string")), ",").alias("seg_ids"))
+
+
+def long_batch_evidence(spark, sf_dir):
+    e = events(spark, sf_dir)
+    b = e.where("event_type = 'purchase'").select("video_id", F.col("event_id").alias("batch"), F.col("ts").alias("start"), F.when(F.col("event_id") % 4 == 0, 1e9).otherwise(F.col("ts") + F.col("value")).alias("end"))
+    texts = e.where("event_type = 'error'").select("video_id", F.col("event_id").alias("pos"), "ts", F.concat("event_type", F.col("event_id").cast("string")).alias("text"))
+    return align.batch_texts(b, texts)
+
+
 def first_match_tolerance(spark, sf_dir):
     e = events(spark, sf_dir)
     items = e.where("event_type = 'click'").select("video_id", "ts", F.col("event_id").alias("pos"), F.col("event_id").alias("found"))
@@ -163,7 +194,7 @@ def html_guard(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        segment_coverage_timeline, change_gap_filter, representative_segments, frame_transcript_alignment, first_match_tolerance,
+        segment_coverage_timeline, change_gap_filter, long_gap_filter, long_speech_chunks, representative_segments, frame_transcript_alignment, long_segment_alignment, long_batch_evidence, first_match_tolerance,
         batch_evidence, speaker_summary, speech_chunks, transcript_coverage, timestamp_labels, title_signal, ocr_quality,
         document_density, document_score, section_routing, layout_difference, stable_nav_context, keyframe_topk, change_filter,
         near_dup_lines, diverse_documents, html_guard,
@@ -212,6 +243,24 @@ WITH {EVENTS}, l AS (
   SELECT video_id, n_in, list_reduce(list_transform(ts, lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[-1] >= 3600.0 THEN list_concat(a, x) ELSE a END) AS kept FROM l
 )
 SELECT video_id, n_in, len(kept)::INT AS n_kept, list_sum(list_transform(kept, lambda x: round_even(x * 1000, 0)::BIGINT))::BIGINT AS checksum FROM k""",
+    "long_gap_filter": f"""
+WITH RECURSIVE {EVENTS}, t AS (
+  SELECT DISTINCT event_type AS video_id, round_even(ts * 1000, 0) / 1000 AS ts FROM e
+), k AS (
+  SELECT video_id, min(ts) AS ts FROM t GROUP BY 1
+  UNION ALL
+  SELECT k.video_id, (SELECT min(t.ts) FROM t WHERE t.video_id = k.video_id AND t.ts - k.ts >= 14400) FROM k WHERE k.ts IS NOT NULL
+)
+SELECT video_id, ts FROM k WHERE ts IS NOT NULL""",
+    "long_speech_chunks": """
+WITH RECURSIVE s AS (
+  SELECT role AS video_id, conv_id * 1000 + turn AS i, trim(text) AS text, row_number() OVER (PARTITION BY role ORDER BY conv_id * 1000 + turn) AS r FROM conversations WHERE trim(coalesce(text, '')) <> ''
+), k AS (
+  SELECT video_id, r, 0 AS chunk, length(text) AS n FROM s WHERE r = 1
+  UNION ALL
+  SELECT s.video_id, s.r, CASE WHEN k.n >= 420 THEN k.chunk + 1 ELSE k.chunk END, CASE WHEN k.n >= 420 THEN length(s.text) ELSE k.n + 1 + length(s.text) END FROM k JOIN s ON s.video_id = k.video_id AND s.r = k.r + 1
+)
+SELECT video_id, chunk::INT AS chunk_idx, min(i)::DOUBLE AS start, max(i) + 0.5::DOUBLE AS "end", string_agg(text, ' ' ORDER BY r) AS text FROM k JOIN s USING (video_id, r) GROUP BY 1, 2""",
     "representative_segments": """
 WITH s AS (
   SELECT conv_id AS video_id, turn::INT AS seg_idx, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations
@@ -225,6 +274,15 @@ WITH {EVENTS}, f AS (SELECT video_id, event_id AS idx, ts FROM e WHERE event_typ
 g AS (SELECT video_id, event_id AS seg_idx, ts AS a, ts + value * 60 AS b FROM e WHERE event_type = 'click')
 SELECT f.video_id, f.idx, count(g.seg_idx)::INT AS n_segments, coalesce(string_agg(g.seg_idx::VARCHAR, ',' ORDER BY g.seg_idx), '') AS seg_ids
 FROM f LEFT JOIN g ON f.video_id = g.video_id AND (abs((a + b) / 2 - f.ts) <= 3600 OR f.ts BETWEEN a AND b) GROUP BY 1, 2""",
+    "long_segment_alignment": f"""
+WITH {EVENTS}, f AS (SELECT video_id, event_id AS idx, ts FROM e WHERE event_type = 'view'),
+g AS (SELECT video_id, event_id AS seg_idx, ts AS a, CASE WHEN event_id % 17 = 0 THEN 1e12::DOUBLE WHEN event_id % 5 = 0 THEN ts - 100 WHEN event_id % 3 = 0 THEN ts * 3 ELSE ts + value END AS b FROM e WHERE event_type = 'click')
+SELECT f.video_id, f.idx, count(g.seg_idx)::INT AS n_segments, coalesce(string_agg(g.seg_idx::VARCHAR, ',' ORDER BY g.seg_idx), '') AS seg_ids
+FROM f LEFT JOIN g ON f.video_id = g.video_id AND (abs((a + b) / 2 - f.ts) <= 30 OR f.ts BETWEEN a AND b) GROUP BY 1, 2""",
+    "long_batch_evidence": f"""
+WITH {EVENTS}, b AS (SELECT video_id, event_id AS batch, ts AS start, CASE WHEN event_id % 4 = 0 THEN 1e9::DOUBLE ELSE ts + value END AS "end" FROM e WHERE event_type = 'purchase')
+SELECT b.video_id, b.batch, b.start, b."end", coalesce(string_agg(t.event_type || t.event_id, chr(10) ORDER BY t.event_id), '') AS evidence
+FROM b LEFT JOIN e t ON t.video_id = b.video_id AND t.event_type = 'error' AND t.ts BETWEEN b.start - 0.5 AND b."end" + 0.5 GROUP BY ALL""",
     "first_match_tolerance": f"""
 WITH {EVENTS}, f AS (SELECT video_id, event_id AS idx, ts FROM e WHERE event_type = 'view')
 SELECT f.video_id, f.idx, coalesce(min(c.event_id), -1) AS found FROM f LEFT JOIN e c ON c.video_id = f.video_id AND c.event_type = 'click' AND abs(c.ts - f.ts) <= 1800 GROUP BY 1, 2""",

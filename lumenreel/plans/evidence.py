@@ -116,6 +116,21 @@ def filled_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("video_id", "budget", F.posexplode("times").alias("pos", "ts"))
 
 
+def _known_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video_id, duration): every video that has events; most last on after their last one, a few end before it, and the
+    duration of some is zero or unknown."""
+    k = F.col("video_id")
+    end = F.when(k % 10 == 0, 0.0).when(k % 11 == 0, F.lit(None)).when(k % 7 == 0, F.floor("last") / 2).otherwise(F.floor("last") + 40000.0 * (k % 3))
+    return events(spark, sf_dir).groupBy("video_id").agg(F.max("ts").alias("last")).select("video_id", end.cast("double").alias("duration"))
+
+
+def video_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few candidates in videos whose true durations are known; many videos have none."""
+    few = events(spark, sf_dir).where("event_type = 'error' and video_id % 3 > 0")
+    out = timeline.scene_sampling(few, SAMPLE, MOST, videos=_known_videos(spark, sf_dir))
+    return out.select("video_id", "duration", "budget", F.posexplode("times").alias("pos", "ts"))
+
+
 def uniform_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = events(spark, sf_dir).groupBy("video_id").agg((F.max("ts") / 1000).alias("duration"))
     times = timeline.uniform_times(F.col("duration"), 60.0, 9)
@@ -196,7 +211,9 @@ def document_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structured_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = segments(spark, sf_dir).select("video_id", F.col("seg_idx").alias("pos"), F.col("text").alias("line"))
+    """All lines of every ninth video are too short to stay."""
+    line = F.when(F.col("video_id") % 9 == 0, F.substring("text", 1, 5)).otherwise(F.col("text"))
+    s = segments(spark, sf_dir).select("video_id", F.col("seg_idx").alias("pos"), line.alias("line"))
     return report.structured_document(s, pack=PROSE)
 
 
@@ -346,7 +363,7 @@ def change_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        source_resolution, source_help, cookie_jar, resolved_sources, chosen_devices, chosen_models, scene_logs, filled_timeline, uniform_timeline,
+        source_resolution, source_help, cookie_jar, resolved_sources, chosen_devices, chosen_models, scene_logs, filled_timeline, video_timeline, uniform_timeline,
         all_changes_timeline, spaced_segments, speech_markdown, speech_sentences, term_repairs, confident_text, document_rows, document_lines,
         document_candidates, structured_document, literal_document, document_extract, frame_text, report_sections, local_report, prompts,
         front_matter, keyframe_files, keyframe_facts, frame_flags, nav_signals, title_blocks, region_boxes, ocr_languages, change_diagnostics,

@@ -242,6 +242,33 @@ WITH RECURSIVE {EVENTS}, x AS (
   SELECT video_id, n, CASE WHEN d <= 0 THEN [0.0::DOUBLE] ELSE list_sort(list_distinct(list_transform(list_concat([0.0::DOUBLE], times, [se::DOUBLE]), lambda x: {_ms("x")}))) END AS times FROM done
 )
 SELECT video_id, n AS budget, unnest(range(len(times)))::INT AS pos, unnest(times) AS ts FROM t""",
+    "video_timeline": f"""
+WITH RECURSIVE {EVENTS}, x AS (
+  SELECT video_id, ts FROM e WHERE event_type = 'error' AND video_id % 3 > 0
+), l AS (
+  SELECT video_id, coalesce(CASE WHEN video_id % 10 = 0 THEN 0 WHEN video_id % 11 = 0 THEN NULL WHEN video_id % 7 = 0 THEN floor(max(ts)) / 2 ELSE floor(max(ts)) + 40000 * (video_id % 3) END, 0)::DOUBLE AS d FROM e GROUP BY 1
+), q AS (
+  SELECT video_id, list_sort(list_distinct(list({_ms("ts")}))) AS pool FROM x GROUP BY 1
+), v0 AS (
+  SELECT video_id, d, CASE WHEN d <= 0 THEN 1 ELSE greatest(1, least({MOST}, ceil(d / {SAMPLE}))) END::INT AS n, coalesce(pool, []::DOUBLE[]) AS pool FROM l LEFT JOIN q USING (video_id)
+), v AS (
+  SELECT *, greatest(d - {_EPSILON}, 0) AS se, d <= 0 OR n <= 1 AS single FROM v0
+), w0 AS (
+  SELECT *, unnest(range(CASE WHEN single THEN 1 ELSE n END))::INT AS idx FROM v
+), w1 AS (
+  SELECT *, CASE WHEN single THEN 0 ELSE idx * (d / n) END AS a, CASE WHEN single THEN greatest(d, 0) ELSE least(CASE WHEN idx = n - 1 THEN d ELSE (idx + 1) * (d / n) END, se) END AS b FROM w0
+), w AS (
+  SELECT *, {_ms("a")} AS w_start, {_ms("greatest(b, a)")} AS w_end, {_ms("CASE WHEN single THEN 0 ELSE greatest(least(a + (b - a) / 2, se), 0) END")} AS center FROM w1
+), p AS (
+  SELECT w.video_id, w.idx, any_value(w.d) AS d, any_value(w.n) AS n, any_value(w.se) AS se, any_value(w.pool) AS pool,
+    coalesce((min({{'far': abs(x.ts - w.center), 'ts': x.ts}}) FILTER (x.ts IS NOT NULL)).ts, any_value(w.center)) AS pick
+  FROM w LEFT JOIN x ON x.video_id = w.video_id AND (x.ts BETWEEN w_start AND w_end OR (w.idx = w.n - 1 AND x.ts BETWEEN w_start AND w.d)) GROUP BY 1, 2
+), g AS (
+  SELECT video_id, any_value(d) AS d, any_value(n) AS n, any_value(se) AS se, any_value(pool) AS pool, list(pick) AS have FROM p GROUP BY 1
+), {_filled("g")}, t AS (
+  SELECT video_id, d, n, CASE WHEN d <= 0 THEN [0.0::DOUBLE] ELSE list_sort(list_distinct(list_transform(list_concat([0.0::DOUBLE], times, [se::DOUBLE]), lambda x: {_ms("x")}))) END AS times FROM done
+)
+SELECT video_id, d AS duration, n AS budget, unnest(range(len(times)))::INT AS pos, unnest(times) AS ts FROM t""",
     "uniform_timeline": f"""
 WITH RECURSIVE {EVENTS}, v0 AS (
   SELECT video_id, max(ts) / 1000 AS d FROM e GROUP BY 1
@@ -360,7 +387,7 @@ WITH {LINES}, c AS (
 SELECT doc_id, round(score, 6) AS score, len(lines) > 0 AND score >= 0.1::DOUBLE AND density >= 0.34::DOUBLE AND few < greatest(5, len(lines) * 0.7::DOUBLE) AND NOT (held >= 3 AND density < 0.55::DOUBLE) AS is_candidate FROM z""",
     "structured_document": f"""
 WITH f AS (
-  SELECT conv_id AS video_id, turn AS pos, {_fragment("text")} AS line FROM conversations
+  SELECT conv_id AS video_id, turn AS pos, {_fragment("CASE WHEN conv_id % 9 = 0 THEN substr(text, 1, 5) ELSE text END")} AS line FROM conversations
 ), k AS (
   SELECT *, CASE WHEN contains(line, ' les ') THEN 'source' WHEN contains(line, ' THE ') OR contains(line, ' the ') THEN 'review' WHEN contains(line, ' que ') OR contains(line, ' der ') THEN 'rules' END AS b FROM f WHERE {_n("line", _USEFUL)} >= 6
 ), p AS (
@@ -371,7 +398,7 @@ WITH f AS (
 )
 SELECT video_id, trim('{report.DOCUMENT_TITLE}' || coalesce({_NL} || {_NL} || '## Review' || {_NL} || {_NL} || string_agg(shown, {_NL} || {_NL} ORDER BY pos) FILTER (part = 'review'), '')
   || coalesce({_NL} || {_NL} || '## Source' || {_NL} || {_NL} || string_agg(shown, {_NL} || {_NL} ORDER BY pos) FILTER (part = 'source'), '')
-  || coalesce({_NL} || {_NL} || '## Rules' || {_NL} || {_NL} || string_agg(shown, {_NL} || {_NL} ORDER BY pos) FILTER (part = 'rules'), '')) AS markdown FROM t GROUP BY 1""",
+  || coalesce({_NL} || {_NL} || '## Rules' || {_NL} || {_NL} || string_agg(shown, {_NL} || {_NL} ORDER BY pos) FILTER (part = 'rules'), '')) AS markdown FROM (SELECT DISTINCT video_id FROM f) LEFT JOIN t USING (video_id) GROUP BY 1""",
     "literal_document": f"""
 WITH {LINES}, f AS (
   SELECT doc_id, list_filter(list_transform(lines, lambda x: {_fragment("x")}), lambda x: x <> '') AS lines FROM d
