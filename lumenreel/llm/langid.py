@@ -216,6 +216,25 @@ def _top(counts: DataFrame, most: dict[bool, int]) -> DataFrame:
     return counts.where(F.col("n") >= LEAST).withColumn("r", place).where(F.col("r") <= F.when(F.col("level") == 0, most[True]).otherwise(most[False]))
 
 
+def _ends(rows: DataFrame, sample: int) -> dict[str, tuple[int, int]]:
+    """For each language the (h, c) up to which it has `sample` rows; the largest pair if it has no more than these. Counts of
+    4096 ranges of h tell the range in which a language ends; only rows of that range are ordered."""
+    ranged = rows.withColumn("b", F.shiftright("h", 52))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+    tally = ranged.groupBy("lang", "b").agg(F.count("*").alias("n")).withColumn("upto", upto)
+    cut = F.min(F.when(F.col("upto") >= sample, F.struct("b", (sample - F.col("upto") + F.col("n")).alias("want"))))
+    cuts = {r["lang"]: r["cut"] for r in tally.groupBy("lang").agg(cut.alias("cut")).collect()}  # one row a language
+    most = (1 << 63) - 1
+    ends = {k: (most, most) for k in cuts}
+    some = [(k, c["b"], c["want"]) for k, c in cuts.items() if c is not None]
+    if some:
+        inside = ranged.join(F.broadcast(rows.sparkSession.createDataFrame(some, "lang string, b long, want long")), ["lang", "b"])
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "c"))
+        inside = inside.withColumn("r", place).where(F.col("r") <= F.least("want", F.lit(sample))).groupBy("lang").agg(F.max(F.struct("h", "c")).alias("end"))
+        ends |= {r["lang"]: (r["end"]["h"], r["end"]["c"]) for r in inside.collect()}
+    return ends
+
+
 def fit(scratch: Scratch, docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Languages:
     """Learn from rows with a text and a language: at most `sample` a language, those with the smallest hash of their id.
 
@@ -226,10 +245,7 @@ def fit(scratch: Scratch, docs: DataFrame, sample: int = SAMPLE, doc_id: str = "
     """
     bound_batches(scratch.spark)
     rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "c"))
-    picked = rows.select("lang", F.xxhash64("id").alias("h"), F.xxhash64("text").alias("c"))
-    ends = picked.withColumn("r", order).where(F.col("r") <= sample).groupBy("lang").agg(F.max(F.struct("h", "c")).alias("end"), F.count("*").alias("m"))
-    ends = {r["lang"]: (r["end"]["h"], r["end"]["c"]) for r in ends.collect()}  # one row a language
+    ends = _ends(rows.select("lang", F.xxhash64("id").alias("h"), F.xxhash64("text").alias("c")), sample)
     if not ends:
         return Languages([], [], [])
     names = sorted(ends)

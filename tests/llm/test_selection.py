@@ -237,6 +237,16 @@ def test_the_sample_is_a_limit_a_language(spark):
     assert some.log(0, "common")[1] == pytest.approx(math.log(10 / 20))
 
 
+@pytest.mark.parametrize("sample", [1, 7, 40, 399, 400, 5000])
+def test_the_end_of_a_sample(spark, sample):
+    rng = np.random.default_rng(sample)
+    rows = [(k, int(h), int(c)) for k, n in (("a", 400), ("b", 3)) for h, c in rng.integers(-(1 << 63), 1 << 63, (n, 2))] + [("c", 5, 9)] * 50
+    got = langid._ends(spark.createDataFrame(rows, "lang string, h long, c long").repartition(3), sample)
+    for k in "abc":
+        mine = sorted((h, c) for lang, h, c in rows if lang == k)
+        assert sum(x <= got[k] for x in mine) == (min(sample, len(mine)) if k != "c" else 50)
+
+
 def test_held_out_accuracy(spark):
     from lumenreel.llm import queries
 
