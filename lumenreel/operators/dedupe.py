@@ -8,6 +8,7 @@ from collections import deque
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,51 @@ def ocr_duplicate(a: str, seen: list[str]) -> bool:
     return not a or any(b and (a == b or (min(len(a), len(b)) >= 8 and ratio(a, b) >= 0.88)) for b in seen)
 
 
+#: Buckets that characters are counted in.
+KINDS = 64
+
+
+def histograms(texts: list[str]) -> np.ndarray:
+    """How many characters of each text fall in each bucket of code points."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) % KINDS
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    return np.bincount(owner * KINDS + points, minlength=len(texts) * KINDS).reshape(-1, KINDS).astype(np.int32)
+
+
+class Kept:
+    """Texts kept so far, the last `most` of them, with their histograms.
+
+    The characters that two texts share, bucket by bucket, are never fewer than those a sequence match can pair, so they
+    bound its ratio from above: the ratio is worked out only where that bound reaches the threshold.
+    """
+
+    def __init__(self, least: float, hold: int, most: int | None = None, contained: bool = True):
+        self.least, self.hold, self.contained = least, hold, contained
+        self.texts: deque[str] = deque(maxlen=most)
+        self.counts: deque[np.ndarray] = deque(maxlen=most)
+
+    def add(self, text: str, count: np.ndarray) -> None:
+        if text:
+            self.texts.append(text)
+            self.counts.append(count)
+
+    def alike(self, text: str, count: np.ndarray) -> bool:
+        """Whether a text equals one of these, is inside one or the other way round, or has the ratio with one."""
+        if not text or not self.texts:
+            return False
+        if text in self.texts:
+            return True
+        long = [min(len(text), len(x)) >= self.hold for x in self.texts]
+        if self.contained:
+            if any(ok and (text in x or x in text) for ok, x in zip(long, self.texts)):
+                return True
+            long = [True] * len(long)
+        size = len(text) + np.array([len(x) for x in self.texts])
+        shared = np.minimum(np.array(self.counts), count).sum(1)
+        return any(ratio(text, self.texts[i]) >= self.least for i in np.flatnonzero(2.0 * shared / size >= self.least) if long[i])
+
+
 def bare(column: Column) -> Column:
     """The normal form that is compared: title text without white space."""
     return F.regexp_replace(T.title_text(column), r"\s+", "")
@@ -59,39 +105,49 @@ def merge_lines(lines: DataFrame, video: str = "video_id", order: str = "pos", l
     dealt = keyed.repartition(video).sortWithinPartitions(video, order)
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = None, deque(maxlen=LOOKBACK)
+        now, held = None, Kept(0.9, 8, LOOKBACK)
         for pdf in parts:
             kept = []
-            for v, b in zip(pdf[video], pdf["__bare"]):
+            for v, b, count in zip(pdf[video], pdf["__bare"], histograms(pdf["__bare"].tolist())):
                 if v != now:
-                    now, held = v, deque(maxlen=LOOKBACK)
-                fresh = not any(near(b, x) for x in held)
+                    now, held = v, Kept(0.9, 8, LOOKBACK)
+                fresh = not held.alike(b, count)
                 kept.append(fresh)
                 if fresh:
-                    held.append(b)
+                    held.add(b, count)
             yield pdf[kept].drop(columns="__bare")
 
     return dealt.mapInPandas(fold, out)
 
 
 def diverse_frames(frames: DataFrame, limit: int = 8, video: str = "video_id") -> DataFrame:
-    """frames (ts, score, lines) of each video by score, density and number of lines, skipping those like one
-    that was chosen, up to the limit; in order of time."""
-    ready = frames.withColumn("__density", T.document_density(F.col("lines"))).withColumn("__bare", bare(F.array_join(F.slice("lines", 1, 12), "\n")))
+    """frames (ts, score, lines) of each video by score, density and number of lines (of several the earliest), skipping
+    those like one that was chosen, up to the limit.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__n=pdf["lines"].map(len)).sort_values(["score", "__density", "__n"], ascending=False, kind="stable")
-        chosen, texts = [], []
-        for i, b in zip(pdf.index, pdf["__bare"]):
-            if len(chosen) >= limit:
-                break
-            if any(near(b, t, 0.9, 30) for t in texts):
-                continue
-            chosen.append(i)
-            texts.append(b)
-        return pdf.loc[chosen].sort_values("ts", kind="stable").drop(columns=["__density", "__bare", "__n"])
+    A fold over partitions sorted by video and rank: it holds at most `limit` texts, and skips what is left of a video once
+    it has these, so a video of any number of frames takes no more memory."""
+    ready = frames.withColumn("__density", T.document_density(F.col("lines"))).withColumn("__n", F.size("lines"))
+    ready = ready.withColumn("__bare", bare(F.array_join(F.slice("lines", 1, 12), "\n")))
+    dealt = ready.repartition(video).sortWithinPartitions(video, F.desc("score"), F.desc("__density"), F.desc("__n"), "ts")
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, n = None, Kept(0.9, 30), 0
+        for pdf in parts:
+            chosen = []
+            for v, b in zip(pdf[video], pdf["__bare"]):
+                if v != now:
+                    now, held, n = v, Kept(0.9, 30), 0
+                fresh = n < limit
+                if fresh:
+                    count = histograms([b])[0]
+                    fresh = not held.alike(b, count)
+                chosen.append(fresh)
+                if fresh:
+                    held.add(b, count)
+                    n += 1
+            yield pdf[chosen].drop(columns=["__density", "__bare", "__n"])
 
-    return ready.groupBy(video).applyInPandas(fold, frames.schema)
+    return dealt.mapInPandas(fold, frames.schema)
 
 
 def region_lines(lines: DataFrame, video: str = "video_id", terms: list[str] = ()) -> DataFrame:
@@ -101,12 +157,12 @@ def region_lines(lines: DataFrame, video: str = "video_id", terms: list[str] = (
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["region_no", "pos"], kind="stable")
-        kept, seen = [], []
-        for b in pdf["__bare"]:
-            fresh = not ocr_duplicate(b, seen)
+        kept, seen = [], Kept(0.88, 8, contained=False)
+        for b, count in zip(pdf["__bare"], histograms(pdf["__bare"].tolist())):
+            fresh = bool(b) and not seen.alike(b, count)
             kept.append(fresh)
             if fresh:
-                seen.append(b)
+                seen.add(b, count)
         return pdf[kept].drop(columns="__bare")
 
     return ready.groupBy(video, "frame_idx").applyInPandas(fold, lines.schema)

@@ -194,6 +194,23 @@ def representative(segments: DataFrame, most: int, video: str = "video_id", orde
     return s.drop("__n", "__i")
 
 
+def representative_of(segments: Column, most: int) -> Column:
+    """The same choice from an ordered array of segments (start, end, text) of one video."""
+    n = F.size(segments)
+    if most <= 0:
+        return F.slice(segments, 1, 0)
+    if most <= 6:
+        step = F.greatest(F.lit(1), F.floor(n / most))
+        return F.when(n <= most, segments).otherwise(F.filter(segments, lambda s, i: (i % step == 0) & (i / step < most)))
+    side = min(8, most // 4)
+    middle, pool = most - 2 * side, n - 2 * side
+    spots = F.transform(F.sequence(F.lit(0), F.lit(middle - 1)), lambda j: F.rint(j * (pool - 1) / max(1, middle - 1)))
+    some = F.filter(segments, lambda s, i: (i < side) | (i >= n - side) | (F.lit(middle) >= pool) | F.array_contains(spots, (i - side).cast("double")))
+    same = lambda a, b: a["start"].eqNullSafe(b["start"]) & a["end"].eqNullSafe(b["end"]) & a["text"].eqNullSafe(b["text"])
+    once = lambda all_: F.filter(all_, lambda s, i: ~F.exists(F.slice(all_, 1, i), lambda t: same(s, t)))
+    return F.when(n <= most, segments).otherwise(T.let(some, once))
+
+
 def batches(rows: DataFrame, size: int, video: str = "video_id", order: str = "idx") -> DataFrame:
     """Rows with the number of their batch of consecutive rows; size 0 or less: one batch."""
     at = F.row_number().over(Window.partitionBy(video).orderBy(order)) - 1

@@ -264,7 +264,7 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def local_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _evidence(spark, sf_dir)
-    transcript = report.transcript_text(F.col("segs"), F.slice("segs", 1, 6), F.lit(""), 6)
+    transcript = report.transcript_text(F.col("segs"), None, F.lit(""), 6)
     parts = report.local_sections(F.lit(" What happens? "), F.col("duration"), F.col("alignment"), transcript, F.col("read"), F.when(F.col("video_id") % 2 == 0, "no key"), F.when(F.col("video_id") % 3 == 0, "no sound"))
     e = e.withColumn("parts", parts).withColumn("output", report.sections_text(F.col("parts")))
     path = F.concat(F.lit("/v/"), F.col("video_id").cast("string"), F.lit(".mp4"))
@@ -274,7 +274,7 @@ def local_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _evidence(spark, sf_dir)
-    transcript = report.transcript_text(F.col("segs"), F.slice("segs", 1, 80), F.lit(""))
+    transcript = report.transcript_text(F.col("segs"), None, F.lit(""))
     read_text = F.array_join(F.transform("read", lambda r: F.concat(F.lit("["), report.fixed2(r["ts"]), F.lit("s] "), r["text"])), "\n")
     batches = F.array(F.struct(F.lit(1).alias("batch"), F.lit(0.0).alias("start"), F.col("duration").alias("end"), F.size("alignment").alias("frame_count"), F.lit("said").alias("output_text")))
     audio, ask = F.col("video_id") % 2 == 0, F.lit("What happens?")
@@ -284,6 +284,16 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where(F.size("alignment") > 0).select("video_id", one.alias("prompt"), two.alias("final_prompt"), part.alias("batch_prompt"))
 
 
+def long_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is said in one role as one transcript, far longer than a prompt takes: the segments that stand for it."""
+    s = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    i = (F.col("conv_id") * 10 + F.col("turn")).cast("int")
+    s = s.select(F.col("role").alias("video_id"), i.alias("seg_idx"), i.cast("double").alias("start"), (i + 0.5).alias("end"), F.lit(None).cast("string").alias("speaker"), "text")
+    e = speech.normalize_segments(s).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "start", "end", "speaker", "text"))).alias("segs"))
+    few, some, many = (report.transcript_text(F.col("segs"), None, F.lit(""), n) for n in (5, 24, 80))
+    return e.select("video_id", few.alias("few"), some.alias("some"), many.alias("many"))
+
+
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "pages", "page_id", "url")
     i = F.col("page_id")
@@ -365,7 +375,7 @@ QUERIES = {
     for f in (
         source_resolution, source_help, cookie_jar, resolved_sources, chosen_devices, chosen_models, scene_logs, filled_timeline, video_timeline, uniform_timeline,
         all_changes_timeline, spaced_segments, speech_markdown, speech_sentences, term_repairs, confident_text, document_rows, document_lines,
-        document_candidates, structured_document, literal_document, document_extract, frame_text, report_sections, local_report, prompts,
+        document_candidates, structured_document, literal_document, document_extract, frame_text, report_sections, local_report, prompts, long_transcripts,
         front_matter, keyframe_files, keyframe_facts, frame_flags, nav_signals, title_blocks, region_boxes, ocr_languages, change_diagnostics,
     )
 }

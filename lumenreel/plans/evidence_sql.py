@@ -147,9 +147,19 @@ _EVIDENCE = f"""{SEGMENTS}, f AS (
 _SEG_LINE = "trim('[' || printf('%.2f', x.start) || '-' || printf('%.2f', x.\"end\") || 's]' || CASE WHEN coalesce(x.speaker, '') <> '' THEN ' ' || x.speaker || ':' ELSE '' END || ' ' || x.text)"
 
 
+def _representative(most: int) -> str:
+    """The segments that stand for a transcript: all, every n-th, or head, even middle and tail."""
+    n, side = "len(segs)", min(8, most // 4)
+    middle = most - 2 * side
+    step = f"greatest(1, {n} // {most})"
+    spots = f"list_transform(range({middle}), lambda j: round_even(j * ({n} - {2 * side + 1}) / {max(1, middle - 1)}, 0))"
+    keep = f"(i - 1) % {step} = 0 AND (i - 1) // {step} < {most}" if most <= 6 else f"i <= {side} OR i > {n} - {side} OR {middle} >= {n} - {2 * side} OR list_contains({spots}, (i - 1 - {side})::DOUBLE)"
+    return f"CASE WHEN {n} <= {most} THEN segs ELSE list_filter(segs, lambda x, i: {keep}) END"
+
+
 def _transcript(most: int) -> str:
     note = "'[coverage note] Transcript has ' || len(segs) || ' segments from ' || printf('%.2f', segs[1].start) || 's to ' || printf('%.2f', segs[-1].\"end\") || 's; representative segments above are sampled across the whole video.'"
-    return f"array_to_string(list_concat(list_transform(segs[1:{most}], lambda x: {_SEG_LINE}), CASE WHEN len(segs) > {most} THEN [{note}] ELSE [] END), {_NL})"
+    return f"array_to_string(list_concat(list_transform({_representative(most)}, lambda x: {_SEG_LINE}), CASE WHEN len(segs) > {most} THEN [{note}] ELSE [] END), {_NL})"
 
 
 def _prompt(final: bool) -> str:
@@ -434,6 +444,12 @@ WITH {_EVIDENCE}, t AS (
   SELECT *, {_transcript(80)} AS transcript, array_to_string(list_transform(said, lambda x: '[' || printf('%.2f', x.ts) || 's] ' || x.text), {_NL}) AS read FROM ev WHERE frames IS NOT NULL
 )
 SELECT video_id, {_prompt(False)} AS prompt, {_prompt(True)} AS final_prompt, {_BATCH} AS batch_prompt FROM t""",
+    "long_transcripts": f"""
+WITH g AS (
+  SELECT role AS video_id, list({{'start': (conv_id * 10 + turn)::DOUBLE, 'end': conv_id * 10 + turn + 0.5::DOUBLE, 'speaker': NULL::VARCHAR, 'text': trim(text)}} ORDER BY conv_id * 10 + turn) AS segs
+  FROM conversations WHERE trim(coalesce(text, '')) <> '' GROUP BY 1
+)
+SELECT video_id, {_transcript(5)} AS few, {_transcript(24)} AS some, {_transcript(80)} AS many FROM g""",
     "front_matter": f"""
 WITH p AS (
   SELECT page_id AS i, url, CASE WHEN page_id % 3 = 0 THEN 'speech_note' ELSE 'video_report' END AS kind FROM pages
