@@ -236,6 +236,14 @@ def test_extracted_documents_hold_lines_of_their_frames(spark):
     assert got and all(r["markdown"].startswith(report.DOCUMENT_TITLE) and "\n\n\n" not in r["markdown"] for r in got)
 
 
+def test_headings_with_marks_and_over_two_lines(spark):
+    t = "1.\nSummary\nfoo\n## 2. **Timeline**: a\n3.\nno title\n ### **\n4. *key visual events*\n**x** y\n####### 5. Visible text\n6.\n**Uncertainties**: z\r\nend"
+    s = one(spark, report.sections(F.col("t")), t=t)
+    assert (s["summary"], s["key_spoken_points"], s["visible_text"]) == ("foo", "", "")
+    assert s["timeline"] == "a\n3.\nno title\n ### **" and s["key_visual_events"] == "**x** y\n####### 5. Visible text"
+    assert s["uncertainties"] == "z\nend"
+
+
 def test_sections_take_named_headings_only(spark):
     s = one(spark, report.sections(F.col("t")), t="1. Summary: all in one line\n2. Timeline\n1. open the file\n2. save it\n3. Key spoken points\na\n9. other\n6. 不确定性与限制\nnone")
     assert s["summary"] == "all in one line" and s["timeline"] == "1. open the file\n2. save it" and s["key_spoken_points"] == "a\n9. other"
