@@ -20,6 +20,12 @@ def count(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
+def kept(x: Column, keep) -> Column:
+    """Rows of a value that is kept, none of one that is not. As the element of an array the value is worked out once; a filter
+    after it would be pushed below and work it out again."""
+    return F.explode(F.filter(F.array(x), keep))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once, however often it is used; the optimizer does not inline it."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -172,7 +172,7 @@ def frame_text(texts: DataFrame, video: str = "video_id", pack: RulePack = PLAIN
     """(video, frame_idx, text) of recognised texts (frame_idx, region_no, region, text): the fresh lines of each region
     below its name, regions in order; frames without any are left out."""
     cut = texts.select(video, "frame_idx", "region_no", "region", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    cut = cut.withColumn("line", T.common_terms(T.ocr_text(F.col("line")), pack)).where("line != ''")
+    cut = cut.withColumn("line", T.kept(T.common_terms(T.ocr_text(F.col("line")), pack), lambda x: x != ""))
     fresh = region_lines(cut, video, pack.useful_terms)
     blocks = fresh.groupBy(video, "frame_idx", "region_no", "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
     block = F.concat(F.lit("["), F.col("region"), F.lit("]\n"), F.array_join("lines", "\n"))
@@ -182,10 +182,9 @@ def frame_text(texts: DataFrame, video: str = "video_id", pack: RulePack = PLAIN
 
 def document_frames(frames: DataFrame, limit: int = 8, least: float = 0.48, video: str = "video_id", pack: RulePack = PLAIN) -> DataFrame:
     """Of frames (ts, lines) those that are documents, with their score, and of these the best that are not alike."""
-    score = F.round(T.document_score(F.col("lines"), pack.document_terms, pack.control_terms), 4)
-    scored = frames.withColumn("__score", T.document_score(F.col("lines"), pack.document_terms, pack.control_terms))
-    good = scored.where(T.document_candidate(F.col("lines"), F.col("__score"), least, pack)).withColumn("score", score).drop("__score")
-    return diverse_frames(good, limit, video)
+    score = T.kept(T.document_score(F.col("lines"), pack.document_terms, pack.control_terms), lambda s: T.document_candidate(F.col("lines"), s, least, pack))
+    good = frames.withColumn("__score", score)
+    return diverse_frames(good.withColumn("score", F.round("__score", 4)).drop("__score"), limit, video)
 
 
 def merged_document(frames: DataFrame, video: str = "video_id") -> DataFrame:

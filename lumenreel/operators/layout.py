@@ -268,8 +268,9 @@ def title_blocks(words: DataFrame, bands: DataFrame, video: str = "video_id") ->
 
     Words are scored by their text and place, put together to blocks, and blocks scored again; the first of the
     best ones counts, if it is good enough."""
-    said = words.where("conf >= 0 and width > 0 and height > 0").withColumn("text", T.title_text(F.col("text"))).where("text != ''")
+    said = words.where("conf >= 0 and width > 0 and height > 0")
     rows = said.join(bands.select(video, "frame_idx", F.col("width").alias("w"), F.col("height").alias("h")), [video, "frame_idx"]).where(F.col("top") <= (F.col("h") * 0.72).cast("int"))
+    rows = rows.withColumn("text", T.kept(T.title_text(F.col("text")), lambda x: x != ""))
     wide, high = F.greatest("w", F.lit(1)), F.greatest("h", F.lit(1))
     rows = rows.withColumns({"wr": F.col("width") / wide, "hr": F.col("height") / high, "lr": F.col("left") / wide, "rr": (F.col("left") + F.col("width")) / wide, "tr": F.col("top") / high, "s": T.title_signal(F.col("text"))})
     c = {k: F.col(k) for k in ("wr", "hr", "lr", "rr", "tr")}

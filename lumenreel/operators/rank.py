@@ -53,16 +53,10 @@ def lines_of_words(words: DataFrame, least: float, key: list[str], video: str =
     return _said(words, least).groupBy(video, "frame_idx", *key).agg(_joined_words("pos").alias("line"))
 
 
-def _kept(line: Column, keep) -> Column:
-    """Rows of a line that is kept, none of one that is not. As the element of an array the line is worked out once; a filter
-    after it would be pushed below and work it out again."""
-    return F.explode(F.filter(F.array(line), keep))
-
-
 def confident_text(words: DataFrame, least: float = 28.0, video: str = "video_id") -> DataFrame:
     """(video, frame_idx, region, text): the lines of each region of a frame, by block, paragraph and line, cleaned one by
     one and together."""
-    lines = lines_of_words(words, least, ["region", "block_num", "par_num", "line_num"], video).withColumn("line", _kept(T.ocr_text(F.col("line")), lambda x: x != ""))
+    lines = lines_of_words(words, least, ["region", "block_num", "par_num", "line_num"], video).withColumn("line", T.kept(T.ocr_text(F.col("line")), lambda x: x != ""))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_num", "par_num", "line_num", "line"))), lambda x: x["line"]), "\n")
     return lines.groupBy(video, "frame_idx", "region").agg(T.ocr_text(text).alias("text"))
 
@@ -76,6 +70,6 @@ def document_rows(words: DataFrame, least: float = 18.0, video: str = "video_id"
 
 def document_lines(words: DataFrame, least: float = 18.0, video: str = "video_id", pack: RulePack = PLAIN) -> DataFrame:
     """(video, frame_idx, lines): of each frame's rows those that belong to a document, as Markdown, from the top."""
-    rows = document_rows(words, least, video).withColumn("line", _kept(T.ocr_text(F.col("line")), lambda x: T.document_line(x, pack)))
-    rows = rows.withColumn("line", _kept(T.markdown_line(F.col("line"), pack), lambda x: x != ""))
+    rows = document_rows(words, least, video).withColumn("line", T.kept(T.ocr_text(F.col("line")), lambda x: T.document_line(x, pack)))
+    rows = rows.withColumn("line", T.kept(T.markdown_line(F.col("line"), pack), lambda x: x != ""))
     return rows.groupBy(video, "frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]).alias("lines"))

@@ -181,12 +181,13 @@ def term_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of each document's first twelve lines as boxes; where they stand follows from line and place."""
-    d = doc_lines(spark, sf_dir).select("doc_id", F.posexplode(F.slice("lines", 1, 12)).alias("line_num", "line"))
-    w = d.select("doc_id", "line_num", F.posexplode(F.split("line", " ")).alias("at", "text")).where("at < 30")
-    i = F.col("line_num") * 31 + F.col("at")
+    """All words of each document as boxes; where they stand follows from line and place."""
+    d = doc_lines(spark, sf_dir).select("doc_id", F.posexplode("lines").alias("line_num", "line"))
+    w = d.select("doc_id", "line_num", F.posexplode(F.split("line", " ")).alias("at", "text"))
+    i = F.col("line_num").cast("long") * 31 + F.col("at")
+    pos = F.shiftleft(F.col("line_num").cast("long"), 32) + F.col("at")
     return w.select(
-        F.col("doc_id").alias("video_id"), (F.col("doc_id") % 3).cast("int").alias("frame_idx"), F.concat(F.lit("r"), (F.col("line_num") % 2).cast("string")).alias("region"), i.cast("int").alias("pos"), "text",
+        F.col("doc_id").alias("video_id"), (F.col("doc_id") % 3).cast("int").alias("frame_idx"), F.concat(F.lit("r"), (F.col("line_num") % 2).cast("string")).alias("region"), pos.alias("pos"), "text",
         ((i * 37 + F.col("doc_id")) % 100).cast("double").alias("conf"), (F.col("at") * 40).cast("int").alias("left"), (F.col("line_num") * 22 + F.col("at") % 3).cast("int").alias("top"),
         F.lit(36).alias("width"), F.lit(16).alias("height"), F.lit(1).alias("block_num"), (F.col("line_num") % 2).cast("int").alias("par_num"), "line_num",
     )
@@ -309,7 +310,7 @@ def keyframe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).withColumn("idx", (F.col("event_id") % 1200).cast("int")).withColumn("ts", F.floor("ts") + (F.col("event_id") % 4) * 0.25)
     name = report.keyframe_file(F.col("idx"), F.col("ts"))
     f = F.struct("event_id", "idx", "ts", F.concat(F.lit("/out/"), F.col("event_type"), F.lit("/"), name).alias("path"), F.when(F.col("event_id") % 2 == 0, F.lit("kept-layout-strong")).alias("keep_reason"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("a  word of "), F.col("event_type"))).alias("ocr_text"))
-    v = e.groupBy("video_id").agg(F.slice(F.array_sort(F.collect_list(f)), 1, 9).alias("frames"))
+    v = e.groupBy("video_id").agg(F.array_sort(F.collect_list(f)).alias("frames"))
     part = report.keyframe_markdown(F.when(F.col("video_id") % 9 == 0, F.slice("frames", 1, 0)).otherwise(F.col("frames")), F.when(F.col("video_id") % 2 == 0, F.lit("/out/notes/report.md")), 3)
     return v.select("video_id", report.with_keyframes(F.when(F.col("video_id") % 7 == 0, F.lit("# R\n\n## 关键截图\n")).otherwise("# R \n"), part).alias("markdown"))
 

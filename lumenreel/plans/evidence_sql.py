@@ -124,12 +124,12 @@ sp0 AS (
 )"""
 
 _WORDS = f"""{LINES}, wl AS (
-  SELECT doc_id, unnest(range(least(len(lines), 12)))::INT AS line_num, unnest(lines[1:12]) AS line FROM d
+  SELECT doc_id, unnest(range(len(lines)))::INT AS line_num, unnest(lines) AS line FROM d
 ), wa AS (
   SELECT doc_id, line_num, unnest(range(len(string_split(line, ' '))))::INT AS spot, unnest(string_split(line, ' ')) AS text FROM wl
 ), w AS (
-  SELECT doc_id AS video_id, 'r' || (line_num % 2) AS region, line_num * 31 + spot AS pos, trim(text) AS text, ((line_num * 31 + spot) * 37 + doc_id) % 100 AS conf, spot * 40 AS "left", line_num * 22 + spot % 3 AS top, line_num % 2 AS par_num, line_num
-  FROM wa WHERE spot < 30 AND trim(text) <> ''
+  SELECT doc_id AS video_id, 'r' || (line_num % 2) AS region, line_num::BIGINT * 4294967296 + spot AS pos, trim(text) AS text, ((line_num::BIGINT * 31 + spot) * 37 + doc_id) % 100 AS conf, spot * 40 AS "left", line_num * 22 + spot % 3 AS top, line_num % 2 AS par_num, line_num
+  FROM wa WHERE trim(text) <> ''
 )"""
 
 _EVIDENCE = f"""{SEGMENTS}, f AS (

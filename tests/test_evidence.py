@@ -1,6 +1,7 @@
 """Operators that SQL does not express, against plain Python on whole tables; rules, files, pixels and streams by hand."""
 
 import os
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -230,6 +231,44 @@ def test_frame_text_equals_a_plain_loop(spark):
     assert {r["video_id"]: r["text"] for r in evidence.frame_text(spark, SF).collect()} == want
 
 
+@needs_data
+def test_document_extract_equals_plain_loops(spark):
+    """Choice, merging and parts as loops over all frames of all videos; column functions only judge single texts."""
+    d = rank.document_lines(evidence._words(spark, SF), pack=PROSE)
+    score = T.document_score(F.col("lines"), PROSE.document_terms, PROSE.control_terms)
+    shape = [F.round(score, 4).alias("s"), T.document_density(F.col("lines")).alias("d"), T.document_candidate(F.col("lines"), score, 0.05, PROSE).alias("ok"), dedupe.bare(F.array_join(F.slice("lines", 1, 12), "\n")).alias("b")]
+    frames = [r for r in d.select("video_id", "lines", *shape).collect() if r["ok"]]
+    texts = sorted({t for r in frames for t in r["lines"]})
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("f", T.document_fragment(F.col("t"), PROSE))
+    judged = {r["t"]: r for r in rows.select("t", "f", dedupe.bare(F.col("t")).alias("b"), T.count(F.col("f"), T.USEFUL).alias("n")).collect()}
+    want, spared = {}, 0
+    for v in {r["video_id"] % 25 for r in frames}:
+        chosen = []
+        for r in sorted((r for r in frames if r["video_id"] % 25 == v), key=lambda r: (-r["s"], -r["d"], -len(r["lines"]), r["video_id"])):
+            if len(chosen) < 8 and not any(alike(r["b"], c["b"], 0.9, 30) for c in chosen):
+                chosen.append(r)
+        merged, parts, part = [], {k: [] for k in PROSE.part_headings}, "source"
+        for t in (t for r in sorted(chosen, key=lambda r: r["video_id"]) for t in r["lines"]):
+            if not t or any(alike(judged[t]["b"], judged[x]["b"], 0.9, 8) for x in merged[-12:]):
+                spared += 1
+                continue
+            merged.append(t)
+            x = judged[t]["f"]
+            if judged[t]["n"] < 6:
+                continue
+            part = next((k for k, words in PROSE.part_triggers if any(w in x for w in words)), part)
+            if part == "review":
+                x = f"### {x.rstrip('：')}" if x.endswith("：") else f"- {x}" if re.search(PROSE.review_item, x) else x
+            elif part == "rules":
+                x = f"- `{x}`" if re.search(PROSE.rule_code, x) else f"- {x}" if re.search(PROSE.rule_item, x) else x
+            parts[part].append(x)
+        body = [report.DOCUMENT_TITLE, ""] + [y for k, h in PROSE.part_headings.items() if parts[k] for y in [h, "", *(z for x in parts[k] for z in (x, ""))]]
+        want[v] = "\n".join(body).strip()
+    polished = spark.createDataFrame(list(want.items()), "v long, t string").select("v", T.document_polish(F.col("t"), PROSE).alias("t")).collect()
+    assert {r["video_id"]: r["markdown"] for r in evidence.document_extract(spark, SF).collect()} == {r["v"]: r["t"] for r in polished}
+    assert spared and len(want) == 25
+
+
 @needs_data
 def test_extracted_documents_hold_lines_of_their_frames(spark):
     got = evidence.document_extract(spark, SF).collect()
