@@ -111,6 +111,30 @@ _READ = ["ts", "grid", "edge_grid", "row_profile", "col_profile", "brightness_me
 _DIFFS = ["grid_diff", "edge_diff", "row_profile_diff", "col_profile_diff", "brightness_diff", "edge_strength_diff", "combined_score"]
 
 
+_ARRAYS = ("grid", "edge_grid", "row_profile", "col_profile")
+
+
+def rules_on(layout: float, title_gap: float, title: bool, nav: bool, presenter: bool, dedupe: bool) -> dict:
+    return {"layout": layout, "support": thresholds(layout), "title_gap": title_gap, "title": title, "nav": nav, "presenter": presenter, "dedupe": dedupe}
+
+
+def frame_of(values) -> dict:
+    """A frame from the values of its columns in the order of _READ; its arrays as whole numbers."""
+    row = dict(zip(_READ, values))
+    for k in _ARRAYS:
+        row[k] = np.asarray(row[k], float).astype(np.int64)
+    return row
+
+
+def judged(last: dict, row: dict, on: dict) -> tuple:
+    """(keep_reason, kept, title_difference, differences) of a frame against the one kept last."""
+    from lumenreel.operators.dedupe import title_difference
+
+    gap = title_difference(_Titles(last), _Titles(row)) if on["title"] and last["title_meaningful"] and row["title_meaningful"] else 0.0
+    reason, diffs = _verdict(last, row, gap, on)
+    return reason, reason.startswith("kept"), gap, *diffs
+
+
 def change_filter(frames: DataFrame, video: str = "video_id", layout: float = rules.LAYOUT_THRESHOLD, title_gap: float = rules.TITLE_THRESHOLD, title: bool = False, nav: bool = False, presenter: bool = False, dedupe: bool = False) -> DataFrame:
     """(video, ts, last_ts, keep_reason, kept, title_difference and the parts of the difference): each frame against the
     last one kept, whose time is last_ts.
@@ -119,30 +143,22 @@ def change_filter(frames: DataFrame, video: str = "video_id", layout: float = ru
     frame kept last (signals, steady navigation, transitions, which frame is the last) comes as columns made
     before. The fold streams over partitions sorted by video and time; its state is one frame.
     """
-    from lumenreel.operators.dedupe import title_difference
-
-    on = {"layout": layout, "support": thresholds(layout), "title_gap": title_gap, "title": title, "nav": nav, "presenter": presenter, "dedupe": dedupe}
+    on = rules_on(layout, title_gap, title, nav, presenter, dedupe)
     final = F.lead("ts").over(Window.partitionBy(video).orderBy("ts")).isNull()
     ready = frames.select(video, *_READ).withColumn("__final", final).repartition(video).sortWithinPartitions(video, "ts")
-    arrays = {"grid", "edge_grid", "row_profile", "col_profile"}
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, last = None, None
         for pdf in parts:
             out = []
             for values in zip(*(pdf[c] for c in (video, "__final", *_READ))):
-                row = dict(zip(_READ, values[2:]))
-                for k in arrays:
-                    row[k] = np.asarray(row[k], float).astype(np.int64)
-                end = values[1]
+                row, end = frame_of(values[2:]), values[1]
                 if last is None or values[0] != now:
                     now, last, end = values[0], None, True
                 if end:
                     out.append((now, row["ts"], last and last["ts"], "kept-anchor", True, 0.0, *[0.0] * 7))
                 else:
-                    gap = title_difference(_Titles(last), _Titles(row)) if on["title"] and last["title_meaningful"] and row["title_meaningful"] else 0.0
-                    reason, diffs = _verdict(last, row, gap, on)
-                    out.append((now, row["ts"], last["ts"], reason, reason.startswith("kept"), gap, *diffs))
+                    out.append((now, row["ts"], last["ts"], *judged(last, row, on)))
                 if out[-1][4]:
                     last = row
             yield pd.DataFrame(out, columns=[video, "ts", "last_ts", "keep_reason", "kept", "title_difference", *_DIFFS])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumenreel.functions import rules
 from lumenreel.functions import text as T
 from lumenreel.functions.rules import RulePack
-from lumenreel.operators import align, dedupe, layout, rank, report, speech, timeline
+from lumenreel.operators import align, dedupe, layout, longchange, rank, report, speech, timeline
 from lumenreel.plans.tables import EVENTS, LINES, MOST, SAMPLE, SEGMENTS, doc_lines, events, read, segments
 from lumenreel.sources import landing
 
@@ -371,12 +371,20 @@ def change_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.diagnostics(f, layout.change_filter(f, presenter=True, **on), **on)
 
 
+def long_change_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts of `change_filter`, each video in parts that fold side by side."""
+    from lumenreel.plans.catalogue import change_frames
+
+    out = longchange.change_filter(change_frames(spark, sf_dir), title=True, nav=True, presenter=True, dedupe=True)
+    return out.select("video_id", "ts", "keep_reason", "kept", F.round("combined_score", 9).alias("combined_score"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         source_resolution, source_help, cookie_jar, resolved_sources, chosen_devices, chosen_models, scene_logs, filled_timeline, video_timeline, uniform_timeline,
         all_changes_timeline, spaced_segments, speech_markdown, speech_sentences, term_repairs, confident_text, document_rows, document_lines,
         document_candidates, structured_document, literal_document, document_extract, frame_text, report_sections, local_report, prompts, long_transcripts,
-        front_matter, keyframe_files, keyframe_facts, frame_flags, nav_signals, title_blocks, region_boxes, ocr_languages, change_diagnostics,
+        front_matter, keyframe_files, keyframe_facts, frame_flags, nav_signals, title_blocks, region_boxes, ocr_languages, change_diagnostics, long_change_filter,
     )
 }
