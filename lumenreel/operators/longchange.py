@@ -13,6 +13,7 @@ its entry on to the next at once, so a picture that stands still for hours takes
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from lumenreel.functions import rules
 from lumenreel.operators.layout import _DIFFS, _READ, frame_of, judged, rules_on
 
-#: Seconds of a part. A task holds the frames of one part.
+#: Seconds of a part.
 SPAN = 600.0
 
 
@@ -37,27 +38,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _part(pdf: pd.DataFrame) -> list[dict]:
-    pdf = pdf.sort_values(["ts", "__tie"], kind="stable")
-    return [frame_of(values) for values in zip(*(pdf[c] for c in _READ))]
-
-
-def _refold(rows: list[dict], entry: dict, first: set[int], on: dict) -> int | None:
-    """Place of the frame that a part leaves when it is entered with `entry`, None if it keeps none; `first`: the places
-    that its own fold keeps."""
-    last, out = entry, None
-    for i, row in enumerate(rows):
-        if judged(last, row, on)[1]:
-            if i in first:
-                return max(first)
-            last, out = row, i
-    return out
-
-
 def _ids(frame: Column) -> Column:
     return F.struct(frame["ts"], frame["__tie"])
 
 
+def in_order(dealt: DataFrame, video: str, told: DataFrame | None = None) -> DataFrame:
+    """Frames part by part in order of time, each part after the row that tells about it. Folds stream over this."""
+    rows = dealt.withColumn("__told", F.lit(False))
+    if told is not None:
+        rows = rows.unionByName(told.withColumn("__told", F.lit(True)), allowMissingColumns=True)
+    return rows.repartition(video, "__part").sortWithinPartitions(video, "__part", F.desc("__told"), "ts", "__tie")
+
+
 def entered_parts(frames: DataFrame, on: dict, video: str = "video_id", span: float = SPAN) -> tuple[DataFrame, DataFrame, int]:
     """(frames by parts, a row for each part with the frame it is entered with and whether it is the first or last of its
     video, number of rounds)."""
@@ -67,29 +59,55 @@ def entered_parts(frames: DataFrame, on: dict, video: str = "video_id", span: fl
     key, held = [video, "__part"], [*_READ, "__tie"]
     typed = lambda names, mark="": ", ".join(f"`{mark}{c}` {kind[c]}" for c in names)
 
-    def left(pdf: pd.DataFrame, place: int | None) -> dict:
-        """The frame at a place as columns of one row."""
-        frame = pdf.sort_values(["ts", "__tie"], kind="stable").iloc[place] if place is not None else None
-        return {f"x_{c}": [None if frame is None else frame[c]] for c in held}
-
-    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _part(pdf)
-        kept, last = [0], rows[0]
-        for i, row in enumerate(rows[1:], 1):
-            if judged(last, row, on)[1]:
-                kept.append(i)
-                last = row
-        return pd.DataFrame({video: [pdf[video].iloc[0]], "__part": [pdf["__part"].iloc[0]], "kept": [kept], **left(pdf, kept[-1])})
-
-    def again(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        one = told.iloc[0]
-        place = _refold(_part(pdf), frame_of([one[f"e_{c}"] for c in _READ]), set(one["kept"]), on)
-        return pd.DataFrame({video: [one[video]], "__part": [one["__part"]], **left(pdf, place)})
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each part the places that it keeps when its first frame is kept, and the last frame kept."""
+        now = last = raw = None
+        kept, n, names = [], 0, [*key, "kept", "n", *(f"x_{c}" for c in held)]
+        for pdf in batches:
+            out = []
+            for v, part, tie, *values in zip(*(pdf[c] for c in (*key, "__tie", *_READ))):
+                if now != (v, part):
+                    if now:
+                        out.append((*now, kept, n, *raw))
+                    now, last, kept, n = (v, part), None, [], 0
+                row = frame_of(values)
+                if last is None or judged(last, row, on)[1]:
+                    kept.append(n)
+                    last, raw = row, (*values, tie)
+                n += 1
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if now:
+            yield pd.DataFrame([(*now, kept, n, *raw)], columns=names)
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The frame that each part leaves when it is entered with the frame told; no row for a part that keeps none."""
+        now = last = raw = first = None
+        n, met, names = 0, False, [*key, *(f"x_{c}" for c in held)]
+        for pdf in batches:
+            out = []
+            for v, part, told, kept, tie, *values in zip(*(pdf[c] for c in (*key, "__told", "kept", "__tie", *_READ))):
+                if told:
+                    if raw:
+                        out.append((*now, *raw))
+                    now, last, raw, first, n, met = (v, part), frame_of(values), None, set(kept), 0, False
+                    continue
+                if not met:
+                    row = frame_of(values)
+                    if judged(last, row, on)[1]:
+                        last, raw, met = row, (*values, tie), n in first
+                elif n in first:
+                    raw = (*values, tie)
+                n += 1
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if raw:
+            yield pd.DataFrame([(*now, *raw)], columns=names)
 
     leaves = F.when(F.col("x_ts").isNotNull(), F.struct(*[F.col(f"x_{c}").alias(c) for c in held])).alias("leaves")
     w = Window.partitionBy(video).orderBy("__part")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    found = dealt.groupBy(*key).applyInPandas(alone, f"{typed(key)}, kept array<int>, {typed(held, 'x_')}").select(*key, "kept", leaves)
+    found = in_order(dealt, video).mapInPandas(alone, f"{typed(key)}, kept array<int>, n int, {typed(held, 'x_')}").select(*key, "kept", "n", leaves)
     ends = {"first": F.lag("kept").over(w).isNull(), "final": F.lead("kept").over(w).isNull()}
     parts = found.withColumns(ends).withColumn("leaves", F.when(F.col("first") | (F.size("kept") > 1), F.col("leaves")))
     parts, rounds = cut(parts.withColumn("used", F.lit(None).cast(parts.schema["leaves"].dataType))), 0
@@ -100,32 +118,37 @@ def entered_parts(frames: DataFrame, on: dict, video: str = "video_id", span: fl
         if moved.isEmpty():
             return dealt, told, rounds
         rounds += 1
-        entries = moved.select(*key, "kept", *[F.col(f"entry.{c}").alias(f"e_{c}") for c in held])
         reread = dealt.join(moved.select(*key), key, "left_semi")
-        fresh = reread.groupBy(*key).cogroup(entries.groupBy(*key)).applyInPandas(again, f"{typed(key)}, {typed(held, 'x_')}").select(*key, leaves)
-        parts = moved.drop("leaves").join(fresh, key).unionByName(told.where("not moved")).withColumn("used", F.col("entry")).drop("entry", "moved")
+        fresh = in_order(reread, video, moved.select(*key, "kept", "entry.*")).mapInPandas(again, f"{typed(key)}, {typed(held, 'x_')}").select(*key, leaves)
+        parts = moved.drop("leaves").join(fresh, key, "left").unionByName(told.where("not moved")).withColumn("used", F.col("entry")).drop("entry", "moved")
 
 
 def change_filter(frames: DataFrame, video: str = "video_id", layout: float = rules.LAYOUT_THRESHOLD, title_gap: float = rules.TITLE_THRESHOLD, title: bool = False, nav: bool = False, presenter: bool = False, dedupe: bool = False, span: float = SPAN) -> DataFrame:
-    """What `layout.change_filter` returns, for videos of any length: a task holds the frames of `span` seconds. Frames
+    """What `layout.change_filter` returns, for videos of any length: a task reads parts of `span` seconds and holds one frame. Frames
     without a video or a time are left out; of frames with one time the order is that of a hash."""
     on = rules_on(layout, title_gap, title, nav, presenter, dedupe)
     dealt, parts, _ = entered_parts(frames, on, video, span)
 
-    def fold(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        one, rows, out = told.iloc[0], _part(pdf), []
-        last = None if one["first"] else frame_of([one[f"e_{c}"] for c in _READ])
-        for i, row in enumerate(rows):
-            if last is None or (one["final"] and i == len(rows) - 1):
-                out.append((one[video], row["ts"], last and last["ts"], "kept-anchor", True, 0.0, *[0.0] * 7))
-            else:
-                out.append((one[video], row["ts"], last["ts"], *judged(last, row, on)))
-            if out[-1][4]:
-                last = row
-        return pd.DataFrame(out, columns=[video, "ts", "last_ts", "keep_reason", "kept", "title_difference", *_DIFFS])
-
-    key = [video, "__part"]
-    entries = parts.select(*key, "first", "final", *[F.col(f"entry.{c}").alias(f"e_{c}") for c in _READ])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, n, end = None, 0, None
+        for pdf in batches:
+            out = []
+            for v, told, first, final, size, *values in zip(*(pdf[c] for c in (video, "__told", "first", "final", "n", *_READ))):
+                if told:
+                    last, n, end = None if first else frame_of(values), 0, size - 1 if final else None
+                    continue
+                row = frame_of(values)
+                if last is None or n == end:
+                    out.append((v, row["ts"], last and last["ts"], "kept-anchor", True, 0.0, *[0.0] * 7))
+                else:
+                    out.append((v, row["ts"], last["ts"], *judged(last, row, on)))
+                if out[-1][4]:
+                    last = row
+                n += 1
+            if out:
+                yield pd.DataFrame(out, columns=[video, "ts", "last_ts", "keep_reason", "kept", "title_difference", *_DIFFS])
+
+    entries = parts.select(video, "__part", "first", "final", "n", "entry.*")
     kind = dealt.schema[video].dataType.simpleString()
     shape = f"`{video}` {kind}, ts double, last_ts double, keep_reason string, kept boolean, title_difference double, " + ", ".join(f"{c} double" for c in _DIFFS)
-    return dealt.groupBy(*key).cogroup(entries.groupBy(*key)).applyInPandas(fold, shape)
+    return in_order(dealt, video, entries).mapInPandas(fold, shape)
