@@ -181,8 +181,9 @@ def term_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All words of each document as boxes; where they stand follows from line and place."""
-    d = doc_lines(spark, sf_dir).select("doc_id", F.posexplode("lines").alias("line_num", "line"))
+    """All words of each document as boxes; where they stand follows from line and place. Documents are dealt by id before they are
+    cut to words, so that what groups words by video or below moves no word again."""
+    d = doc_lines(spark, sf_dir).repartition("doc_id").select("doc_id", F.posexplode("lines").alias("line_num", "line"))
     w = d.select("doc_id", "line_num", F.posexplode(F.split("line", " ")).alias("at", "text"))
     i = F.col("line_num").cast("long") * 31 + F.col("at")
     pos = F.shiftleft(F.col("line_num").cast("long"), 32) + F.col("at")
