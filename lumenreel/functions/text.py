@@ -16,8 +16,9 @@ USEFUL = r"[0-9A-Za-z\x{4e00}-\x{9fff}]"
 
 
 def count(text: Column, pattern: str) -> Column:
-    """How many signs of a class a text holds (the pattern matches one sign): no array of matches is made."""
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    """How many signs of a class a text holds (the pattern matches one sign): no array of matches is made, and signs that
+    follow each other are one match."""
+    return F.length(text) - F.length(F.regexp_replace(text, pattern + "+", ""))
 
 
 def kept(x: Column, keep) -> Column:
@@ -26,6 +27,11 @@ def kept(x: Column, keep) -> Column:
     return F.explode(F.filter(F.array(x), keep))
 
 
+def once(x: Column) -> Column:
+    """A value that is worked out once a row, in a generator of its own, however often later columns use it."""
+    return F.explode(F.array(x))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once, however often it is used; the optimizer does not inline it."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -41,12 +47,37 @@ def strip(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    """Runs of white space as one space, none at the ends."""
+    return strip(one_space(text))
+
+
+def ascii_only(text: Column) -> Column:
+    """Whether a text holds printable ASCII alone: rules of all Unicode's signs can then be left out or made plain."""
+    return ~text.rlike(r"[^\x20-\x7e]")
+
+
+def one_space(text: Column) -> Column:
+    """Each run of white space as one space. A text whose only white space is single spaces is left as it is."""
+    return let(text, lambda t: F.when(ascii_only(t) & ~F.contains(t, F.lit("  ")), t).otherwise(F.regexp_replace(t, r"(?U)\s+", " ")))
+
+
+def no_space(text: Column) -> Column:
+    return let(text, lambda t: F.when(ascii_only(t), F.replace(t, F.lit(" "), F.lit(""))).otherwise(F.regexp_replace(t, r"(?U)\s+", "")))
 
 
 def replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Rules applied one after another, whatever the case."""
-    return reduce(lambda t, p: F.regexp_replace(t, "(?iU)" + p[0], p[1]), pairs, F.coalesce(text, F.lit("")))
+    """Rules applied one after another, whatever the case. On ASCII the classes of all Unicode's signs (but for those written
+    with \\p) and of ASCII's are the same, and the latter are far cheaper."""
+    if not pairs:
+        return F.coalesce(text, F.lit(""))
+    one = lambda t, p: F.regexp_replace(t, "(?iU)" + p[0], p[1])
+
+    def step(t: Column, p: tuple[str, str]) -> Column:
+        if not p[0].isascii() or "\\p" in p[0]:
+            return one(t, p)
+        return let(t, lambda x: F.when(ascii_only(x), F.regexp_replace(x, "(?i)" + p[0], p[1])).otherwise(one(x, p)))
+
+    return reduce(step, pairs, F.coalesce(text, F.lit("")))
 
 
 def known_terms(text: Column, pack: RulePack = PLAIN) -> Column:
@@ -76,20 +107,28 @@ def strip_of(text: Column, signs: str) -> Column:
 
 def title_text(text: Column) -> Column:
     """Lower case, without clock times and am/pm, of letters, digits, CJK and / : _ - only."""
-    t = F.lower(strip(F.coalesce(text, F.lit(""))))
-    t = F.regexp_replace(t, r"(?<!\d)\d{1,2}:\d{2}(?!\d)", " ")
-    t = F.regexp_replace(t, r"\s+", " ")
-    t = F.regexp_replace(t, r"[^0-9a-zA-Z\x{4e00}-\x{9fff} /:_-]+", " ")
-    t = F.regexp_replace(t, r"\b(?:am|pm)\b", " ")
-    return collapse(t)
+    return let(F.lower(strip(F.coalesce(text, F.lit("")))), _title_of_lower)
+
+
+def _title_of_lower(t: Column) -> Column:
+    """Patterns run only on texts that hold what they look for; most words hold nothing of it."""
+    halves = lambda x: F.contains(x, F.lit("am")) | F.contains(x, F.lit("pm"))
+    spaced = lambda x: F.trim(F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " {2,}", " ")).otherwise(x))
+    plain = ~t.rlike("[^0-9a-z /_-]") & ~F.contains(t, F.lit("  ")) & ~halves(t)
+    timeless = F.when(F.contains(t, F.lit(":")), F.regexp_replace(t, r"(?<!\d)\d{1,2}:\d{2}(?!\d)", " ")).otherwise(t)
+    known = F.regexp_replace(timeless, r"[^0-9a-zA-Z\x{4e00}-\x{9fff} /:_-]+", " ")
+    rest = let(known, lambda x: F.when(halves(x), F.regexp_replace(x, r"\b(?:am|pm)\b", " ")).otherwise(x))
+    return F.when(plain, t).otherwise(let(rest, spaced))
 
 
 def title_tokens(normal: Column) -> Column:
     """Tokens with two CJK signs, three letters, or two letters and a digit in four signs."""
-    compact = F.transform(F.filter(F.split(normal, " "), lambda t: t != ""), lambda t: F.regexp_replace(t, r"^[-_/:]+|[-_/:]+$", ""))
-    held = F.transform(compact, lambda t: F.struct(t.alias("t"), count(t, "[a-zA-Z]").alias("alpha")))
-    good = F.filter(held, lambda x: (x["alpha"] >= 3) | ((x["alpha"] >= 2) & (F.length(x["t"]) >= 4) & (count(x["t"], r"\d") >= 1)) | (count(x["t"], CJK) >= 2))
-    return F.transform(good, lambda x: x["t"])
+    compact = F.transform(F.filter(F.split(normal, " "), lambda t: t != ""), lambda t: F.btrim(t, F.lit("-_/:")))
+    return F.filter(compact, lambda t: t.rlike(_GOOD_TOKEN) | ((F.length(t) >= 4) & t.rlike(r"[a-zA-Z][^a-zA-Z]*[a-zA-Z]") & t.rlike(r"\d")))
+
+
+#: Three letters, or two CJK signs.
+_GOOD_TOKEN = rf"[a-zA-Z][^a-zA-Z]*[a-zA-Z][^a-zA-Z]*[a-zA-Z]|{CJK}[^\x{{4e00}}-\x{{9fff}}]*{CJK}"
 
 
 def title_signal(text: Column) -> Column:
@@ -102,15 +141,22 @@ def _signal_of_normal(normal: Column) -> Column:
     facts = F.struct(
         tokens.alias("tokens"), title_tokens(normal).alias("good"), count(normal, CJK).alias("cjk"), count(normal, "[a-zA-Z]").alias("alpha"), count(normal, r"\d").alias("digit"),
     )
-    return let(facts, lambda f: _signal_of_facts(normal, f))
+    return let(facts, lambda f: let(_title_facts(f), lambda k: _signal_of_facts(normal, f, k)))
 
 
-def _signal_of_facts(normal: Column, facts: Column) -> Column:
-    tokens, good, cjk, alpha, digit = (facts[k] for k in ("tokens", "good", "cjk", "alpha", "digit"))
-    n, kinds, held = F.size(tokens), F.size(F.array_distinct(good)), F.size(good)
-    short = F.size(F.filter(tokens, lambda t: F.length(F.regexp_replace(t, r"^[-_/:]+|[-_/:]+$", "")) <= 2))
+def _title_facts(facts: Column) -> Column:
+    """What the score looks at more than once, worked out once."""
+    tokens, good = facts["tokens"], facts["good"]
+    held = F.size(good)
     mean = F.when(held > 0, F.aggregate(good, F.lit(0), lambda a, t: a + F.length(t)) / held).otherwise(F.lit(0.0))
-    heavy = digit > F.greatest(F.lit(4), alpha + cjk)
+    short = F.size(F.filter(tokens, lambda t: F.length(F.btrim(t, F.lit("-_/:"))) <= 2))
+    heavy = facts["digit"] > F.greatest(F.lit(4), facts["alpha"] + facts["cjk"])
+    return F.struct(F.size(tokens).alias("n"), F.size(F.array_distinct(good)).alias("kinds"), held.alias("held"), mean.alias("mean"), short.alias("short"), heavy.alias("heavy"))
+
+
+def _signal_of_facts(normal: Column, facts: Column, more: Column) -> Column:
+    good, cjk, alpha = (facts[k] for k in ("good", "cjk", "alpha"))
+    n, kinds, held, mean, short, heavy = (more[k] for k in ("n", "kinds", "held", "mean", "short", "heavy"))
     size = F.length(normal)
     parts = [
         F.when((cjk >= 2) | (alpha >= 6), 35).otherwise(0),
@@ -123,7 +169,7 @@ def _signal_of_facts(normal: Column, facts: Column) -> Column:
         F.when(heavy, -25).otherwise(0),
     ]
     total = reduce(lambda a, b: a + b, parts)
-    total = F.when(held == 0, F.least(total, F.lit(25))).otherwise(total)
+    total = let(total, lambda x: F.when(held == 0, F.least(x, F.lit(25))).otherwise(x))
     score = F.greatest(F.lit(0), F.least(F.lit(100), total)) / F.lit(100.0)
     out = lambda q: F.struct(normal.alias("normalized_text"), F.array_join(good, " ").alias("meaningful_text"), good.alias("meaningful_tokens"), q.alias("quality_score"), ((q >= 0.55) & (kinds >= 1) & ~heavy).alias("is_meaningful"), n.alias("token_count"), kinds.alias("meaningful_token_count"))
     return let(score, out)
@@ -135,14 +181,15 @@ _EDGE = "| *\t·•-=_,.;:，。；："
 
 def ocr_text(text: Column) -> Column:
     """Lines with white space collapsed and outer marks gone, if two useful signs are left."""
-    lines = F.split(F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"\r\n?", "\n"), "\n")
+    ended = let(strip(F.coalesce(text, F.lit(""))), lambda t: F.when(F.contains(t, F.lit("\r")), F.regexp_replace(t, r"\r\n?", "\n")).otherwise(t))
+    lines = F.split(ended, "\n")
     lines = F.transform(lines, lambda t: F.btrim(collapse(t), F.lit(_EDGE)))
     return F.array_join(F.filter(lines, lambda t: t.rlike(f"(?s){USEFUL}.*?{USEFUL}")), "\n")
 
 
 def ocr_quality(text: Column, terms: list[str] = ()) -> Column:
     """How far a line of recognised text can be trusted, 0 to 1; terms are looked for as substrings."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
+    t = no_space(F.coalesce(text, F.lit("")))
     return let(t, lambda t: let(_line_facts(t, terms), lambda f: _line_score(t, f)))
 
 
@@ -203,10 +250,14 @@ def document_score(lines: Column, doc_terms: list[str], ui_terms: list[str]) ->
 
 
 def document_spacing(text: Column) -> Column:
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?<={CJK})\s+(?={CJK})", "")
-    t = F.regexp_replace(t, r"\s+([，。？！：；、）)])", "$1")
-    t = F.regexp_replace(t, r"([（(])\s+", "$1")
-    return strip(F.regexp_replace(t, r"\s{2,}", " "))
+    def spaced(t: Column) -> Column:
+        t = F.regexp_replace(t, rf"(?<={CJK})\s+(?={CJK})", "")
+        t = F.regexp_replace(t, r"\s+([，。？！：；、）)])", "$1")
+        t = F.regexp_replace(t, r"([（(])\s+", "$1")
+        return F.regexp_replace(t, r"\s{2,}", " ")
+
+    held = lambda t, *signs: any_of(t, list(signs))
+    return strip(let(F.coalesce(text, F.lit("")), lambda t: F.when(ascii_only(t) & ~held(t, "  ", "(", ")"), t).otherwise(spaced(t))))
 
 
 def looks_like_html(text: Column) -> Column:
@@ -273,9 +324,8 @@ def markdown_line(text: Column, pack: RulePack = PLAIN) -> Column:
     """A document's line as Markdown: an item, a numbered item, a heading, or as it is."""
     t = collapse(known_terms(common_terms(ocr_text(text), pack), pack))
     t = replaced(t, pack.line_repairs)
-    t = F.regexp_replace(t, r"(?U)\s+([，。？！：；、])", "$1")
-    t = F.regexp_replace(t, r"(?U)([（(])\s+", "$1")
-    t = F.regexp_replace(t, r"(?U)\s+([）)])", "$1")
+    closed = lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"(?U)\s+([，。？！：；、])", "$1"), r"(?U)([（(])\s+", "$1"), r"(?U)\s+([）)])", "$1")
+    t = let(t, lambda t: F.when(ascii_only(t) & ~F.contains(t, F.lit("(")) & ~F.contains(t, F.lit(")")), t).otherwise(closed(t)))
     return let(t, lambda t: _as_markdown(t, pack))
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -256,27 +257,59 @@ def nav_signals(words: DataFrame, bands: DataFrame, labels: list[str] = rules.NA
     return rows.select(video, "frame_idx", F.when(F.col("brightness") < 45, empty_nav()).when(F.size(found) >= 3, full).otherwise(few).alias("nav"))
 
 
-def merged_boxes(rows: Column, width: Column) -> Column:
-    """Boxes (top, left, width, height, text, conf, score) in order, those that stand below each other at one left edge put
-    together. One fold over a frame's boxes."""
-    kind = "struct<top:int,left:int,width:int,height:int,text:string,conf:double,score:double>"
-    zero = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("open"))
-
-    def joined(c: Column, r: Column) -> Column:
-        left, top = F.least(c["left"], r["left"]), F.least(c["top"], r["top"])
-        right, bottom = F.greatest(c["left"] + c["width"], r["left"] + r["width"]), F.greatest(c["top"] + c["height"], r["top"] + r["height"])
-        return F.struct(top.alias("top"), left.alias("left"), (right - left).alias("width"), (bottom - top).alias("height"), F.trim(F.concat_ws(" ", c["text"], r["text"])).alias("text"), F.greatest(c["conf"], r["conf"]).alias("conf"), F.greatest(c["score"], r["score"]).alias("score")).cast(kind)
-
-    def step(acc: Column, r: Column) -> Column:
-        c = acc["open"]
-        gap = r["top"] - (c["top"] + c["height"])
-        aligned = F.abs(r["left"] - c["left"]) <= F.greatest(F.lit(28), (width * 0.06).cast("int"))
-        close = (gap <= F.greatest(F.lit(18), (c["height"] * 0.7).cast("int"))) | (gap <= F.greatest(F.lit(10), (c["height"] * 0.45).cast("int")))
-        fits = aligned & close
-        done = F.when(c.isNull() | fits, acc["done"]).otherwise(F.array_append(acc["done"], c))
-        return F.struct(done.alias("done"), F.when(c.isNull() | ~fits, r.cast(kind)).otherwise(joined(c, r)).alias("open"))
-
-    return F.aggregate(rows, zero, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+_BOX = ["top", "left", "width", "height", "text", "conf", "score"]
+_BOXES = pa.list_(pa.struct([*[(c, pa.int32()) for c in _BOX[:4]], ("text", pa.string()), ("conf", pa.float64()), ("score", pa.float64())]))
+
+
+def merged_boxes(boxes: DataFrame, video: str = "video_id") -> DataFrame:
+    """(video, frame_idx, w, h, blocks): boxes (w, h, pos and _BOX) of each frame in order, those that stand below each other at
+    one left edge put together.
+
+    A fold over partitions sorted by frame and place; it holds one block, and the blocks of the frame at hand."""
+    order = [video, "frame_idx", "w", "h", "top", "left", "pos"]
+    sized = boxes.withColumns({c: F.col(c).cast("int") for c in _BOX[:4]})
+    dealt = sized.select(*order, "width", "height", "text", "conf", "score").repartition(video, "frame_idx").sortWithinPartitions(*order)
+    kind = boxes.schema[video].dataType.simpleString()
+    kinds = ", ".join(f"{c} {t}" for c, t in [("frame_idx", "int"), ("w", "int"), ("h", "int")])
+    spec = ", ".join(f"{c}:{t}" for c, t in zip(_BOX, ["int"] * 4 + ["string", "double", "double"]))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ends, done, now, c, types = [], [], [], None, None, None
+        for b in batches:
+            types = types or b.schema.types[:4]
+            for *key, top, left, _, width, height, text, conf, score in zip(*(x.to_pylist() for x in b.columns)):
+                if key != now:
+                    if now is not None:
+                        done.append(c)
+                        keys.append(now)
+                        ends.append(len(done))
+                    now, c = key, None
+                    near = max(28, int(key[2] * 0.06))
+                elif left is not None and c[1] is not None and abs(left - c[1]) <= near and top - (c[0] + c[3]) <= max(18, int(c[3] * 0.7)):
+                    right, bottom = max(c[1] + c[2], left + width), max(c[0] + c[3], top + height)
+                    c[0], c[1] = min(c[0], top), min(c[1], left)
+                    c[2], c[3], c[5], c[6] = right - c[1], bottom - c[0], max(c[5], conf), max(c[6], score)
+                    c[4].append(text)
+                    continue
+                else:
+                    done.append(c)
+                c = [top, left, width, height, [text], conf, score]
+            if keys:
+                yield _frames_of(types, keys, ends, done[: ends[-1]])
+                keys, ends, done = [], [], done[ends[-1] :]
+        if now is not None:
+            done.append(c)
+            yield _frames_of(types, [now], [len(done)], done)
+
+    def _frames_of(types, keys, ends, done):
+        cols = list(zip(*done))
+        cols[4] = [" ".join(t).strip(" ") for t in cols[4]]
+        blocks = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(cols, _BOXES.value_type)], fields=list(_BOXES.value_type))
+        heads = [pa.array(x, t) for x, t in zip(zip(*keys), types)]
+        return pa.RecordBatch.from_arrays([*heads, pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), blocks)], names=[video, "frame_idx", "w", "h", "blocks"])
+
+    typed = dealt.withColumns({c: F.col(c).cast("int") for c in ("frame_idx", "w", "h")})
+    return typed.mapInArrow(fold, f"{video} {kind}, {kinds}, blocks array<struct<{spec}>>")
 
 
 def title_blocks(words: DataFrame, bands: DataFrame, video: str = "video_id") -> DataFrame:
@@ -285,10 +318,10 @@ def title_blocks(words: DataFrame, bands: DataFrame, video: str = "video_id") ->
     Words are scored by their text and place, put together to blocks, and blocks scored again; the first of the
     best ones counts, if it is good enough."""
     said = words.where("conf >= 0 and width > 0 and height > 0")
-    rows = said.join(bands.select(video, "frame_idx", F.col("width").alias("w"), F.col("height").alias("h")), [video, "frame_idx"]).where(F.col("top") <= (F.col("h") * 0.72).cast("int"))
+    rows = said.join(bands.select(video, "frame_idx", F.col("width").alias("w"), F.col("height").alias("h")).hint("shuffle_hash"), [video, "frame_idx"]).where(F.col("top") <= (F.col("h") * 0.72).cast("int"))
     rows = rows.withColumn("text", T.kept(T.title_text(F.col("text")), lambda x: x != ""))
     wide, high = F.greatest("w", F.lit(1)), F.greatest("h", F.lit(1))
-    rows = rows.withColumns({"wr": F.col("width") / wide, "hr": F.col("height") / high, "lr": F.col("left") / wide, "rr": (F.col("left") + F.col("width")) / wide, "tr": F.col("top") / high, "s": T.title_signal(F.col("text"))})
+    rows = rows.withColumns({"wr": F.col("width") / wide, "hr": F.col("height") / high, "lr": F.col("left") / wide, "rr": (F.col("left") + F.col("width")) / wide, "tr": F.col("top") / high, "s": T.once(T.title_signal(F.col("text")))})
     c = {k: F.col(k) for k in ("wr", "hr", "lr", "rr", "tr")}
     bonus = (
         F.when(c["tr"] <= 0.26, 0.2).when(c["tr"] <= 0.4, 0.08).otherwise(0.0) + F.when(c["lr"] <= 0.22, 0.12).when(c["lr"] <= 0.4, 0.05).otherwise(0.0)
@@ -296,18 +329,21 @@ def title_blocks(words: DataFrame, bands: DataFrame, video: str = "video_id") ->
         - F.when((F.col("s.meaningful_token_count") <= 1) & (c["hr"] <= 0.03), 0.15).otherwise(0.0) - F.when(F.col("conf") < 25, 0.1).otherwise(0.0)
     )
     rows = rows.withColumn("score", F.col("s.quality_score") + bonus + c["hr"] * 1.2)
-    boxes = F.transform(F.array_sort(F.collect_list(F.struct("top", "left", "pos", "width", "height", "text", "conf", "score"))), lambda b: F.struct(b["top"].cast("int").alias("top"), b["left"].cast("int").alias("left"), b["width"].cast("int").alias("width"), b["height"].cast("int").alias("height"), b["text"].alias("text"), b["conf"].alias("conf"), b["score"].alias("score")))
-    frames = rows.groupBy(video, "frame_idx", "w", "h").agg(boxes.alias("boxes"))
-    blocks = frames.select(video, "frame_idx", "w", "h", F.posexplode(merged_boxes(F.col("boxes"), F.col("w"))).alias("place", "b")).withColumn("s", T.title_signal(F.col("b.text")))
-    wr, hr, lr, tr = F.col("b.width") / wide, F.col("b.height") / high, F.col("b.left") / wide, F.col("b.top") / high
-    score = (
-        F.col("b.score") + F.col("s.quality_score") * 0.7 + F.least(hr * 1.8, F.lit(0.35)) + F.when(tr <= 0.18, 0.18).when(tr <= 0.3, 0.08).otherwise(0.0)
-        + F.when(lr <= 0.18, 0.12).otherwise(0.0) - F.when(wr >= 0.6, 0.2).otherwise(0.0) + F.when(F.col("s.meaningful_token_count") >= 2, 0.08).otherwise(0.0)
-    )
-    like = (tr <= 0.3) & (lr <= 0.3) & (wr <= 0.42) & (hr >= 0.045)
-    title = F.struct(T.title_text(F.col("b.text")).alias("text"), lr.alias("left_ratio"), tr.alias("top_ratio"), wr.alias("width_ratio"), hr.alias("height_ratio"), like.alias("title_block_like"), score.alias("candidate_score"))
-    best = blocks.withColumns({"title": title, "__score": score}).groupBy(video, "frame_idx").agg(F.max_by("title", F.struct("__score", -F.col("place"))).alias("title"))
-    found = bands.select(video, "frame_idx").join(best, [video, "frame_idx"], "left")
+    frames = merged_boxes(rows, video)
+
+    def best(b: Column, place: Column, s: Column) -> Column:
+        wr, hr, lr, tr = b["width"] / wide, b["height"] / high, b["left"] / wide, b["top"] / high
+        score = (
+            b["score"] + s["quality_score"] * 0.7 + F.least(hr * 1.8, F.lit(0.35)) + F.when(tr <= 0.18, 0.18).when(tr <= 0.3, 0.08).otherwise(0.0)
+            + F.when(lr <= 0.18, 0.12).otherwise(0.0) - F.when(wr >= 0.6, 0.2).otherwise(0.0) + F.when(s["meaningful_token_count"] >= 2, 0.08).otherwise(0.0)
+        )
+        like = (tr <= 0.3) & (lr <= 0.3) & (wr <= 0.42) & (hr >= 0.045)
+        title = F.struct(s["normalized_text"].alias("text"), lr.alias("left_ratio"), tr.alias("top_ratio"), wr.alias("width_ratio"), hr.alias("height_ratio"), like.alias("title_block_like"), score.alias("candidate_score"))
+        return F.struct(score.alias("score"), (-place).alias("place"), title.alias("title"))
+
+    rated = F.transform("blocks", lambda b, i: T.let(T.title_signal(b["text"]), lambda s: best(b, i, s)))
+    best_of = frames.select(video, "frame_idx", F.array_max(rated)["title"].alias("title"))
+    found = bands.select(video, "frame_idx").join(best_of, [video, "frame_idx"], "left")
     return found.select(video, "frame_idx", F.when(F.col("title.candidate_score") >= 0.38, F.col("title")).otherwise(empty_title().cast(EMPTY_TITLE)).alias("title"))
 
 

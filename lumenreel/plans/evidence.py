@@ -348,7 +348,9 @@ def nav_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def title_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _words(spark, sf_dir).withColumns({"width": (F.length("text") * 12).cast("int"), "height": (16 + F.col("line_num") % 3 * 20).cast("int")})
-    bands = words.select("video_id", "frame_idx").distinct().withColumns({"width": F.lit(1280), "height": F.lit(400)})
+    # a line holds a word at least, so the frames are known without cutting lines
+    shown = doc_lines(spark, sf_dir).where(F.size("lines") > 0)
+    bands = shown.select(F.col("doc_id").alias("video_id"), (F.col("doc_id") % 3).cast("int").alias("frame_idx")).distinct().withColumns({"width": F.lit(1280), "height": F.lit(400)})
     t = F.col("title")
     return layout.title_blocks(words, bands).select("video_id", t["text"].alias("text"), t["title_block_like"].alias("title_block_like"), F.round(t["candidate_score"], 6).alias("candidate_score"))
 
