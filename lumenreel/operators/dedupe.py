@@ -4,13 +4,13 @@ after equality and containment, which are cheaper."""
 from __future__ import annotations
 
 
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenreel.functions import text as T
@@ -59,65 +59,116 @@ def histograms(texts: list[str]) -> np.ndarray:
     return np.bincount(owner * KINDS + points, minlength=len(texts) * KINDS).reshape(-1, KINDS).astype(np.int32)
 
 
+#: Characters of the grams that bound a ratio.
+GRAM = 3
+
+
+def grams(text: str) -> Counter:
+    """How often each run of GRAM characters stands in a text."""
+    return Counter(map("".join, zip(*(text[i:] for i in range(GRAM)))))
+
+
+def grams_needed(n: int, m: int, least: float) -> int:
+    """How many grams two texts of n and m characters share at least, if their ratio reaches `least`.
+
+    What a sequence match pairs is a common subsequence, so of a text of n characters at most n - L are missing from it and m - L
+    were put in, L being half of least * (n + m). Each missing one takes GRAM grams of the first text with it, each one put in
+    GRAM - 1.
+    """
+    held = int(least * (n + m) / 2)
+    one = lambda x, y: x - GRAM + 1 - GRAM * (x - held) - (GRAM - 1) * (y - held)
+    return max(one(n, m), one(m, n))
+
+
 class Kept:
-    """Texts kept so far, the last `most` of them, with their histograms.
+    """Texts kept so far, the last `most` of them, with their lengths, histograms and grams.
 
     The characters that two texts share, bucket by bucket, are never fewer than those a sequence match can pair, so they
-    bound its ratio from above: the ratio is worked out only where that bound reaches the threshold.
+    bound its ratio from above, and so do the grams they share: the ratio is worked out only where both bounds reach the
+    threshold. Histograms are compared only with those of texts whose lengths allow the ratio.
     """
 
     def __init__(self, least: float, hold: int, most: int | None = None, contained: bool = True):
-        self.least, self.hold, self.contained = least, hold, contained
-        self.texts: deque[str] = deque(maxlen=most)
-        self.counts: deque[np.ndarray] = deque(maxlen=most)
+        self.least, self.hold, self.contained, self.most = least, hold, contained, most
+        self.texts: list[str] = []
+        self.known: Counter = Counter()
+        self.grams: list[Counter | None] = []
+        self.sizes, self.counts, self.n = np.zeros(16, np.int64), np.zeros((16, KINDS), np.int32), 0
 
     def add(self, text: str, count: np.ndarray) -> None:
-        if text:
+        if not text:
+            return
+        if self.n == self.most:  # the newest takes the place of the oldest
+            at = self.next
+            self.next = (at + 1) % self.most
+            self.known[self.texts[at]] -= 1
+            self.texts[at], self.grams[at] = text, None
+        else:
+            at, self.next = self.n, 0
+            if at == len(self.sizes):
+                self.sizes, self.counts = np.resize(self.sizes, 2 * at), np.resize(self.counts, (2 * at, KINDS))
             self.texts.append(text)
-            self.counts.append(count)
+            self.grams.append(None)
+            self.n += 1
+        self.known[text] += 1
+        self.sizes[at], self.counts[at] = len(text), count
 
     def alike(self, text: str, count: np.ndarray) -> bool:
         """Whether a text equals one of these, is inside one or the other way round, or has the ratio with one."""
-        if not text or not self.texts:
+        if not text or not self.n:
             return False
-        if text in self.texts:
+        if self.known[text] > 0:
             return True
-        long = [min(len(text), len(x)) >= self.hold for x in self.texts]
-        if self.contained:
-            if any(ok and (text in x or x in text) for ok, x in zip(long, self.texts)):
+        n = len(text)
+        if self.contained and n >= self.hold and any(len(x) >= self.hold and (text in x or x in text) for x in self.texts):
+            return True
+        sizes = self.sizes[: self.n]
+        near = 2.0 * np.minimum(sizes, n) / (sizes + n) >= self.least
+        if not self.contained:
+            near &= np.minimum(sizes, n) >= self.hold
+        at = np.flatnonzero(near)
+        if not len(at):
+            return False
+        shared = np.minimum(self.counts[at], count).sum(1)
+        own = None
+        for i in at[2.0 * shared / (sizes[at] + n) >= self.least].tolist():
+            other = self.texts[i]
+            need = grams_needed(n, len(other), self.least)
+            if need > 0:
+                own = grams(text) if own is None else own
+                its = self.grams[i] = self.grams[i] or grams(other)
+                if sum(min(c, its[g]) for g, c in own.items() if g in its) < need:
+                    continue
+            if ratio(text, other) >= self.least:
                 return True
-            long = [True] * len(long)
-        size = len(text) + np.array([len(x) for x in self.texts])
-        shared = np.minimum(np.array(self.counts), count).sum(1)
-        return any(ratio(text, self.texts[i]) >= self.least for i in np.flatnonzero(2.0 * shared / size >= self.least) if long[i])
+        return False
 
 
 def bare(column: Column) -> Column:
     """The normal form that is compared: title text without white space."""
-    return F.regexp_replace(T.title_text(column), r"\s+", "")
+    return F.replace(T.title_text(column), F.lit(" "), F.lit(""))
 
 
 def merge_lines(lines: DataFrame, video: str = "video_id", order: str = "pos", line: str = "line") -> DataFrame:
     """Lines in order, without those near one of the twelve lines kept last. Normal forms are made before the
     fold, which streams over partitions sorted by video: its state is twelve lines, however long a video is."""
-    out = lines.schema
     keyed = lines.where(F.col(line) != "").withColumn("__bare", bare(F.col(line)))
-    dealt = keyed.repartition(video).sortWithinPartitions(video, order)
+    dealt, columns = keyed.repartition(video).sortWithinPartitions(video, order), lines.columns
 
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, Kept(0.9, 8, LOOKBACK)
-        for pdf in parts:
-            kept = []
-            for v, b, count in zip(pdf[video], pdf["__bare"], histograms(pdf["__bare"].tolist())):
+        for batch in batches:
+            texts, kept = batch.column("__bare").to_pylist(), []
+            for i, (v, b, count) in enumerate(zip(batch.column(video).to_pylist(), texts, histograms(texts))):
                 if v != now:
                     now, held = v, Kept(0.9, 8, LOOKBACK)
-                fresh = not held.alike(b, count)
-                kept.append(fresh)
-                if fresh:
+                if not held.alike(b, count):
+                    kept.append(i)
                     held.add(b, count)
-            yield pdf[kept].drop(columns="__bare")
+            yield batch.select(columns).take(pa.array(kept, pa.int64()))
 
-    return dealt.mapInPandas(fold, out)
+    bound_batches(lines.sparkSession)
+    return dealt.mapInArrow(fold, lines.schema)
 
 
 def diverse_frames(frames: DataFrame, limit: int = 8, video: str = "video_id") -> DataFrame:
@@ -128,44 +179,56 @@ def diverse_frames(frames: DataFrame, limit: int = 8, video: str = "video_id") -
     it has these, so a video of any number of frames takes no more memory."""
     ready = frames.withColumn("__density", T.document_density(F.col("lines"))).withColumn("__n", F.size("lines"))
     ready = ready.withColumn("__bare", bare(F.array_join(F.slice("lines", 1, 12), "\n")))
+    columns = frames.columns
     dealt = ready.repartition(video).sortWithinPartitions(video, F.desc("score"), F.desc("__density"), F.desc("__n"), "ts")
 
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, n = None, Kept(0.9, 30), 0
-        for pdf in parts:
-            chosen = []
-            for v, b in zip(pdf[video], pdf["__bare"]):
+        for batch in batches:
+            texts, chosen = batch.column("__bare"), []
+            for i, v in enumerate(batch.column(video).to_pylist()):
                 if v != now:
                     now, held, n = v, Kept(0.9, 30), 0
-                fresh = n < limit
-                if fresh:
+                if n < limit:
+                    b = texts[i].as_py()
                     count = histograms([b])[0]
-                    fresh = not held.alike(b, count)
-                chosen.append(fresh)
-                if fresh:
-                    held.add(b, count)
-                    n += 1
-            yield pdf[chosen].drop(columns=["__density", "__bare", "__n"])
+                    if not held.alike(b, count):
+                        chosen.append(i)
+                        held.add(b, count)
+                        n += 1
+            if chosen:
+                yield batch.select(columns).take(pa.array(chosen))
 
-    return dealt.mapInPandas(fold, frames.schema)
+    bound_batches(frames.sparkSession)
+    return dealt.mapInArrow(fold, frames.schema)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches handed to Python are cut by bytes too, so frames of many lines do not fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def region_lines(lines: DataFrame, video: str = "video_id", terms: list[str] = ()) -> DataFrame:
     """Recognised lines (frame_idx, region_no, pos, line) of each frame that are useful and not like any that was kept
-    before, in this region or an earlier one. A frame's lines are few; that is all that meets."""
+    before, in this region or an earlier one. A fold over partitions sorted by frame; it holds the lines of one frame, which are
+    few."""
     ready = lines.where(T.useful_line(F.col("line"), terms)).withColumn("__bare", bare(F.col("line")))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["region_no", "pos"], kind="stable")
-        kept, seen = [], Kept(0.88, 8, contained=False)
-        for b, count in zip(pdf["__bare"], histograms(pdf["__bare"].tolist())):
-            fresh = bool(b) and not seen.alike(b, count)
-            kept.append(fresh)
-            if fresh:
-                seen.add(b, count)
-        return pdf[kept].drop(columns="__bare")
-
-    return ready.groupBy(video, "frame_idx").applyInPandas(fold, lines.schema)
+    dealt, columns = ready.repartition(video, "frame_idx").sortWithinPartitions(video, "frame_idx", "region_no", "pos"), lines.columns
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, None
+        for batch in batches:
+            texts, kept = batch.column("__bare").to_pylist(), []
+            for i, (v, f, b, count) in enumerate(zip(batch.column(video).to_pylist(), batch.column("frame_idx").to_pylist(), texts, histograms(texts))):
+                if (v, f) != now:
+                    now, seen = (v, f), Kept(0.88, 8, contained=False)
+                if b and not seen.alike(b, count):
+                    kept.append(i)
+                    seen.add(b, count)
+            yield batch.select(columns).take(pa.array(kept, pa.int64()))
+
+    bound_batches(lines.sparkSession)
+    return dealt.mapInArrow(fold, lines.schema)
 
 
 def frame_text(texts: DataFrame, video: str = "video_id", pack: RulePack = PLAIN) -> DataFrame:
