@@ -34,7 +34,7 @@ def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five-word similarity 0.8 or more) the document with the smallest id
-    stays, once.
+    stays, once. Candidates come from op1's SimHash components and from MinHash bands; the shingles decide.
 
     Documents without an id come last: one stays only if its component has no id, that with the smallest
     hash. Rows that share an id are one document, of which the row with the smallest hash stays.

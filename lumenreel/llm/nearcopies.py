@@ -1,7 +1,7 @@
-"""Near copies of documents: MinHash over word shingles, banding, exact Jaccard, union-find.
+"""Near copies of documents: SimHash components and MinHash bands over word shingles, exact Jaccard, union-find.
 
-The 64 bits of a SimHash cannot do this: texts at five-word similarity 0.8 differ in about ten of them, and
-no block of a useful width is equal then. Bands find such texts; the sets of shingles decide.
+The components of op1's index hold what differs in at most three of 64 bits. Texts at five-word similarity 0.8 differ in about
+ten of them, and no block of a useful width is equal then: bands find these. The sets of shingles decide on both.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lumenreel.llm.common import Scratch, local_roots, release, signed, text_bytes
 from lumenreel.llm.graph import components, follow
 from lumenreel.llm.lines import _mix, _pairs, _tiles
-from lumenreel.llm.simhash import shingle_hashes
+from lumenreel.llm.simhash import fingerprint_edges, majority, shingle_hashes
 
 #: Words of a shingle, and the least Jaccard similarity of a link.
 WIDTH, SIMILAR = 5, 0.8
@@ -70,23 +70,24 @@ def tile_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(batches):
-    """(doc_id, uid, h, n, keys) of every row: h names the set of shingles."""
-    names = ["doc_id", "uid", "h", "n", "keys"]
+    """(doc_id, uid, h, n, keys, fp) of every row: h names the set of shingles, fp is the text's fingerprint."""
+    names = ["doc_id", "uid", "h", "n", "keys", "fp"]
     for b in batches:
         at, texts = 0, b.column("text")
         while at < b.num_rows:
-            sets: list[np.ndarray] = []
+            hashes: list[np.ndarray] = []
             held = 0
-            while at + len(sets) < b.num_rows and held < SLICE:
-                sets.append(shingles(texts[at + len(sets)].as_py()))
-                held += len(sets[-1])
+            while at + len(hashes) < b.num_rows and held < SLICE:
+                hashes.append(shingle_hashes(texts[at + len(hashes)].as_py(), WIDTH))
+                held += len(hashes[-1])
+            sets = [np.unique(x) for x in hashes]
             part = b.slice(at, len(sets))
             at += len(sets)
             full = [x for x in sets if len(x)]
             found = iter(band_keys(full).view(np.int64) if full else [])
             keys = pa.array([next(found) if len(x) else None for x in sets], pa.list_(pa.int64()))
             h = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("uid"), signed(h), pa.array([len(x) for x in sets], pa.int64()), keys], names=names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("uid"), signed(h), pa.array([len(x) for x in sets], pa.int64()), keys, signed(majority(hashes))], names=names)
     release()
 
 
@@ -131,18 +132,26 @@ def _joined(batches):
     release()
 
 
+def by_fingerprint(scratch: Scratch, prints: DataFrame) -> DataFrame:
+    """(key, h): sets of shingles by the SimHash component of their texts; each component is a bucket as a band's is."""
+    texts = scratch.write(prints.where("n > 0").select("fp", "h").distinct(), "fingerprints")
+    roots = components(scratch, fingerprint_edges(scratch, texts.select("fp").distinct()))
+    own = texts.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    return own.select(F.xxhash64(F.coalesce("root", "fp"), F.lit("simhash")).alias("key"), "h").distinct()
+
+
 def near_copies(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, uid, n, component) of every distinct row: uid hashes the row, n counts it.
 
     Rows are linked at a Jaccard similarity of 0.8 or more of their sets of five-word shingles (fewer words:
     the whole text), exactly compared; equal sets, those without words too, are one node, and so are rows of
-    one id. Candidates share a band of MinHashes. A bucket of more than 16 sets is compared with its lead
+    one id. Candidates share a SimHash component or a band of MinHashes. A bucket of more than 16 sets is compared with its lead
     first; all that are not in one component by then are compared in tiles, so no link of a bucket is lost.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(*docs.columns).alias("uid"), text_bytes(text).alias("text"))
-    prints = scratch.write(rows.mapInArrow(_sketch, "doc_id long, uid long, h long, n long, keys array<long>"), "prints")
+    prints = scratch.write(rows.mapInArrow(_sketch, "doc_id long, uid long, h long, n long, keys array<long>, fp long"), "prints")
     kinds = scratch.write(prints.groupBy("h").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("uid").alias("uid")), "kinds")
-    dealt = kinds.select(F.explode("keys").alias("key"), "h").repartition("key").sortWithinPartitions("key")
+    dealt = kinds.select(F.explode("keys").alias("key"), "h").unionByName(by_fingerprint(scratch, prints)).repartition("key").sortWithinPartitions("key")
     met = scratch.write(dealt.mapInArrow(_pairs, "a long, b long, key long"), "met")
     size = lambda c: kinds.select(F.col("h").alias(c), F.col("n").alias(f"n_{c}"))
     hopeful = met.select("a", "b").distinct().join(size("a"), "a").join(size("b"), "b").where(f"least(n_a, n_b) >= {SIMILAR} * greatest(n_a, n_b) - 1e-9")

@@ -45,6 +45,21 @@ def shingle_hashes(text: bytes, width: int = 3) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n)
 
 
+def majority(group: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each array of hashes."""
+    counts = np.array([len(h) for h in group])
+    hashes = np.concatenate(group)
+    row = np.repeat(np.arange(len(group)) * 256, counts)
+    packed = hashes.view(np.uint8).reshape(-1, 8)
+    bits = np.empty((len(group), 8, 8))
+    for byte in range(8):
+        seen = np.bincount(row + packed[:, byte], minlength=256 * len(group)).reshape(-1, 256)
+        bits[:, byte] = seen @ _BYTE_BITS
+    ones = (2 * bits > counts[:, None, None]).astype(np.uint64)
+    shift = (np.arange(8)[:, None] * 8 + np.arange(8)).astype(np.uint64)
+    return (ones << shift).sum((1, 2), dtype=np.uint64)
+
+
 def fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
     """A bit is 1 if set in over half of a text's hashes. No words: 0."""
     out = np.zeros(len(texts), np.uint64)
@@ -55,17 +70,7 @@ def fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
         while at + len(group) < len(texts) and len(group) < 256 and n < 500_000:
             group.append(shingle_hashes(texts[at + len(group)], width))
             n += len(group[-1])
-        counts = np.array([len(h) for h in group])
-        hashes = np.concatenate(group)
-        row = np.repeat(np.arange(len(group)) * 256, counts)
-        packed = hashes.view(np.uint8).reshape(-1, 8)
-        bits = np.empty((len(group), 8, 8))
-        for byte in range(8):
-            seen = np.bincount(row + packed[:, byte], minlength=256 * len(group)).reshape(-1, 256)
-            bits[:, byte] = seen @ _BYTE_BITS
-        ones = (2 * bits > counts[:, None, None]).astype(np.uint64)
-        shift = (np.arange(8)[:, None] * 8 + np.arange(8)).astype(np.uint64)
-        out[at : at + len(group)] = (ones << shift).sum((1, 2), dtype=np.uint64)
+        out[at : at + len(group)] = majority(group)
         at += len(group)
     return out
 
@@ -191,6 +196,23 @@ def _search(batches):
 _FOUND = "kind int, mask long, pattern long, fp long, a long, b long"
 
 
+def fingerprint_edges(scratch: Scratch, classes: DataFrame) -> DataFrame:
+    """(a, b): a forest with the components of all distinct fingerprints (fp) that differ in at most NEAR bits."""
+    masks = [m for top in children(0) for m in children(top)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    nodes = classes.select(F.explode(F.array(*map(F.lit, masks))).alias("mask"), "fp").select("mask", F.expr("fp & mask").alias("pattern"), "fp")
+    edges = None
+    while True:
+        dealt = nodes.select("mask", "pattern", "fp").repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
+        found = scratch.write(dealt.mapInArrow(_search, _FOUND), "found")
+        more = found.where("kind = 0").select("a", "b")
+        edges = more if edges is None else edges.unionByName(more)
+        nodes = found.where("kind = 1")
+        if nodes.isEmpty():
+            break
+    return edges
+
+
 def simhash_components(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp long, component_id) for every row.
 
@@ -213,18 +235,7 @@ def simhash_components(scratch: Scratch, docs: DataFrame, doc_id: str = "doc_id"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
     prints = scratch.write(rows.mapInArrow(hashed, "doc_id long, fp long"), "prints")
     classes = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    masks = [m for top in children(0) for m in children(top)]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    nodes = classes.select(F.explode(F.array(*map(F.lit, masks))).alias("mask"), "fp").select("mask", F.expr("fp & mask").alias("pattern"), "fp")
-    edges = None
-    while True:
-        dealt = nodes.select("mask", "pattern", "fp").repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
-        found = scratch.write(dealt.mapInArrow(_search, _FOUND), "found")
-        more = found.where("kind = 0").select("a", "b")
-        edges = more if edges is None else edges.unionByName(more)
-        nodes = found.where("kind = 1")
-        if nodes.isEmpty():
-            break
+    edges = fingerprint_edges(scratch, classes)
     # The classes of one id are one component: each is joined to the id's least.
     named = prints.where("doc_id is not null").select("doc_id", "fp")
     several = named.groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").select("doc_id", "b")
