@@ -25,8 +25,11 @@ CODED, COLUMNS = 2_000_000, 8192
 FILTER_SHARE, FILTER_BITS = 16, 27
 #: Parts that the lines of a large bucket are joined to their bucket's counts in.
 SALTS = 16
-#: Lines and characters whose signatures are held at once (a longer line stands alone); hashes a task remembers.
+#: Lines hashed at once, characters of the pairs compared at once (a longer line stands alone); hashes a task remembers.
 SLICE, CHARACTERS, SEEN = 20_000, 1_000_000, 500_000
+#: Characters hashed at once (a longer line stands alone): the arrays stay in the processor's cache, and memory that was given
+#: back isn't asked for anew in each step.
+AT_ONCE = 32_000
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -36,17 +39,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _runs(lines: list[str]):
+    """Slices of lines that are hashed at once."""
+    return runs_of(np.fromiter(map(len, lines), np.int64, len(lines)), AT_ONCE, SLICE)
+
+
+#: Of the polynomial that hashes a shingle's signs.
+PRIME = 0x100000001B3
+
+
 def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of each line, one line after another, and their numbers."""
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     x = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     ends = np.cumsum(lengths)
     n = np.maximum(lengths - SHINGLE + 1, 0)
-    h = np.zeros(max(0, len(x) - SHINGLE + 1), np.uint64)
-    for j in range(SHINGLE):
-        h *= np.uint64(0x100000001B3)
-        h += x[j : j + len(h)]
-    return _mix(h[ragged(ends - lengths, n)]), n
+    h, held = x, 1
+    while held < SHINGLE:  # runs of 1, 2, 4, 6 and 7 signs, each from two shorter ones
+        more = min(held, SHINGLE - held, 2)
+        h = h[: max(0, len(x) - held - more + 1)] * np.uint64(pow(PRIME, more, 1 << 64))
+        h += (x if more == 1 else two)[held : held + len(h)]
+        held += more
+        if held == 2:
+            two = h
+    whole = np.ones(len(h), bool)  # those that reach over a line's end go
+    last = (ends[:, None] - np.arange(1, SHINGLE))[np.arange(1, SHINGLE) <= lengths[:, None]]
+    whole[last[last < len(h)]] = False
+    return _mix(h[whole]), n
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -54,9 +73,8 @@ def signatures(lines: list[str]) -> np.ndarray:
     full one. Lines of fewer characters than a shingle have none: all bins stay empty."""
     bins = BANDS * ROWS
     h, n = _hashed(lines)
-    owner = np.repeat(np.arange(len(lines)), n)
     sig = np.full(len(lines) * bins, _NONE)
-    at = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64) + owner * bins
+    at = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).view(np.int64) + np.repeat(np.arange(len(lines)) * bins, n)
     np.minimum.at(sig, at, h)
     sig = sig.reshape(-1, bins)
     twice = np.tile(np.where(sig == _NONE, 10_000, np.arange(bins)), 2) + np.repeat([0, bins], bins)
@@ -81,6 +99,9 @@ PACKED = 9
 def packed(lines: list[str]) -> list[list]:
     """The shingles of each line in order, as exact numbers where all its characters are below 512, else
     as strings; a line shorter than a shingle is its own."""
+    runs = list(_runs(lines))
+    if len(runs) > 1:
+        return [x for cut in runs for x in packed(lines[cut])]
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     x = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     ends = np.cumsum(lengths)
@@ -130,23 +151,55 @@ def similar(x, of_y: set) -> bool:
     return len(seen) - missed >= SIMILAR * (len(of_y) + missed) - 1e-9
 
 
-#: Low bits of a shingle's hash that give way to its pair's number, and rows of a part.
-PAIR_BITS, PART = 9, 500
+#: Pairs of a part. Slots of a line's map for each of its shingles in the mean, and the most slots of all maps of a part.
+PART, SLOTS, MAPS = 500, 16, 1 << 24
+
+
+def _maps(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A bit map of each line, in which every shingle marks the slot that its hash gives, and the numbers of shingles."""
+    size = max(1, len(lines))
+    wide = max(6, min((SLOTS * sum(map(len, lines)) // size).bit_length(), (MAPS // size).bit_length() - 1))
+    maps, counts = np.zeros((len(lines), 1 << wide >> 3), np.uint8), np.zeros(len(lines), np.int64)
+    for cut in _runs(lines):
+        h, n = _hashed(lines[cut])
+        marks = np.zeros(len(n) << wide, bool)
+        marks[(h >> np.uint64(64 - wide)).view(np.int64) + np.repeat(np.arange(len(n)) << wide, n)] = True
+        maps[cut], counts[cut] = np.packbits(marks).reshape(len(n), -1), n
+    return maps.view(np.uint64), counts
+
+
+def _near(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which pairs of maps allow SIMILAR, n being the numbers of shingles of both lines.
+
+    At a similarity of s the sets x and y differ in at most (1 - s) / (1 + s) (|x| + |y|) shingles. Slots marked in one map
+    only are never more than the shingles in one set only, so no pair that reaches s is left out.
+    """
+    apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return apart <= (1 - SIMILAR) / (1 + SIMILAR) * n + 1e-6
 
 
 def hopeful(xs: list[str], ys: list[str]) -> np.ndarray:
-    """Which pairs may reach SIMILAR: by hashes cut to 55 bits, with room for two collisions in a pair, so that the
-    exact comparison is spared for most others. At most 512 pairs."""
-    low = np.uint64((1 << PAIR_BITS) - 1)
-    cells = []
-    for lines in (xs, ys):
-        h, n = _hashed(lines)
-        z = np.sort((h & ~low) | np.repeat(np.arange(len(lines), dtype=np.uint64), n))
-        cells.append(z[np.r_[True, z[1:] != z[:-1]][: len(z)]])
-    both = np.sort(np.concatenate(cells))
-    shared = both[1:][both[1:] == both[:-1]]
-    common, a, b = (np.bincount((z & low).astype(np.int64), minlength=len(xs)) for z in (shared, *cells))
-    return common + 2 >= SIMILAR * (a + b - common - 2)
+    """Which pairs may reach SIMILAR, so that the exact comparison is spared for most others. Each different line is hashed
+    once, in however many pairs it stands."""
+    own: dict[str, int] = {}
+    code = np.array([own.setdefault(x, len(own)) for x in (*xs, *ys)], np.int64)
+    maps, n = _maps(list(own))
+    i, j = code[: len(xs)], code[len(xs) :]
+    return _near(maps[i], maps[j], n[i] + n[j])
+
+
+def _unlike(lines: list[str], comp: np.ndarray) -> np.ndarray:
+    """The lines of a tile that may reach SIMILAR with one of another component; all of a tile of very long lines."""
+    if sum(map(len, lines)) > CODED:
+        return np.arange(len(lines))
+    maps, n = _maps(lines)
+    some = np.zeros(len(lines), bool)
+    for i in range(len(lines) - 1):
+        j = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+        j = j[_near(maps[i], maps[j], n[i] + n[j])]
+        some[j] = True
+        some[i] |= len(j) > 0
+    return np.flatnonzero(some)
 
 
 def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -175,22 +228,24 @@ def _sketch(batches):
     for batch in batches:
         for b in _parts(batch):
             row, number, code, lines, hashes = _split(b.column("text"))
-            used = np.unique(code)
-            new = np.array([c for c in used.tolist() if int(hashes[c]) not in seen], np.int64)
+            used, first = np.unique(code, return_index=True)
+            new = np.array([x not in seen for x in hashes[used].tolist()], bool)
+            new, first = used[new], first[new]
             if len(seen) > SEEN:
                 seen.clear()
             seen.update(hashes[new].tolist())
-            keys: dict[int, np.ndarray] = {}
+            keys = np.zeros((len(new), BANDS), np.int64)
+            full = np.zeros(len(new), bool)
             lengths = pc.utf8_length(lines.take(pa.array(new))).to_numpy(zero_copy_only=False)
-            for cut in runs_of(lengths, CHARACTERS, SLICE):
-                some = new[cut]
-                sig = signatures(lines.take(pa.array(some)).to_pylist())
-                for c, k, s in zip(some.tolist(), band_keys(sig).view(np.int64), sig[:, 0]):
-                    if s != _NONE:
-                        keys[c] = k
-            bands = [keys.pop(c, None) for c in code.tolist()]
+            for cut in runs_of(lengths, AT_ONCE, SLICE):
+                sig = signatures(lines.take(pa.array(new[cut])).to_pylist())
+                keys[cut], full[cut] = band_keys(sig).view(np.int64), sig[:, 0] != _NONE
+            at = np.zeros(len(code), bool)
+            at[first[full]] = True
+            keys = keys[full][np.argsort(first[full])]
+            bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(at * BANDS)], pa.int32()), pa.array(keys.ravel()), mask=pa.array(~at))
             doc = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(doc), b.column("uid").take(doc), pa.array(number, pa.int32()), signed(hashes[code]), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "uid", "line_no", "h", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(doc), b.column("uid").take(doc), pa.array(number, pa.int32()), signed(hashes[code]), bands], names=["doc_id", "uid", "line_no", "h", "bands"])
         release()
 
 
@@ -320,7 +375,11 @@ def _joined(batches):
 
     def done():
         comp = np.array(comps, np.int64)
-        i, j = tile_links(lines)
+        some = _unlike(lines, comp)
+        if not len(some):
+            return
+        comp = comp[some]
+        i, j = tile_links([lines[k] for k in some.tolist()])
         i, j = i[comp[i] != comp[j]], j[comp[i] != comp[j]]
         if len(i):
             node, root = local_roots(comp[i], comp[j])
