@@ -203,7 +203,8 @@ def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = doc_lines(spark, sf_dir).select("doc_id", F.posexplode("lines").alias("line_no", "line"))
+    """Documents are dealt by id first: a file that is read in one piece would have all its lines cleaned in one task."""
+    lines = doc_lines(spark, sf_dir).repartition("doc_id").select("doc_id", F.posexplode("lines").alias("line_no", "line"))
     return lines.select("doc_id", "line_no", T.document_line(F.col("line"), PROSE).alias("is_document"), T.markdown_line(F.col("line"), PROSE).alias("markdown"), T.document_fragment(F.col("line"), PROSE).alias("fragment"))
 
 

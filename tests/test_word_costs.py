@@ -35,6 +35,12 @@ def test_words_are_moved_with_their_document_only(spark):
         assert re.findall(r"Exchange hashpartitioning\((\w+?)#", plan(df)) == ["doc_id"]
 
 
+def test_lines_are_cleaned_where_documents_are_dealt(spark):
+    """Every task cleans lines, in however few pieces the file is read (before: the tasks that read it)."""
+    df = evidence.document_lines(spark, SF)
+    assert re.findall(r"Exchange hashpartitioning\((\w+?)#", plan(df)) == ["doc_id"]
+
+
 def test_folds_take_bounded_arrow_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     for df in (catalogue.diverse_documents(spark, SF), evidence.frame_text(spark, SF), catalogue.near_dup_lines(spark, SF)):
