@@ -158,21 +158,67 @@ def _signal_of_facts(normal: Column, facts: Column, more: Column) -> Column:
     good, cjk, alpha = (facts[k] for k in ("good", "cjk", "alpha"))
     n, kinds, held, mean, short, heavy = (more[k] for k in ("n", "kinds", "held", "mean", "short", "heavy"))
     size = F.length(normal)
+    total = _title_points((cjk >= 2) | (alpha >= 6), size, n, kinds, mean, short) + F.when(heavy, -25).otherwise(0)
+    score = let(total, lambda x: _share_of_points(x, held))
+    out = lambda q: F.struct(normal.alias("normalized_text"), F.array_join(good, " ").alias("meaningful_text"), good.alias("meaningful_tokens"), q.alias("quality_score"), ((q >= 0.55) & (kinds >= 1) & ~heavy).alias("is_meaningful"), n.alias("token_count"), kinds.alias("meaningful_token_count"))
+    return let(score, out)
+
+
+def _title_points(signs: Column, size: Column, n: Column, kinds: Column, mean: Column, short: Column) -> Column:
+    """Points of a title's length and tokens; signs: whether it holds enough of them."""
     parts = [
-        F.when((cjk >= 2) | (alpha >= 6), 35).otherwise(0),
+        F.when(signs, 35).otherwise(0),
         F.when(kinds >= 2, 25).when((kinds == 1) & (mean >= 4), 12).otherwise(0),
         F.when(mean >= 4, 20).when(mean >= 3, 10).otherwise(0),
         F.when(size.between(6, 80), 15).when(size.between(4, 5) & (kinds >= 1), 5).otherwise(0),
         F.when((n <= 8) & (kinds >= 1), 5).otherwise(0),
         F.when((n >= 6) & (short / F.greatest(n, F.lit(1)) >= 0.55), -25).otherwise(0),
         F.when((n >= 8) & (kinds <= 2), -20).otherwise(0),
-        F.when(heavy, -25).otherwise(0),
     ]
-    total = reduce(lambda a, b: a + b, parts)
-    total = let(total, lambda x: F.when(held == 0, F.least(x, F.lit(25))).otherwise(x))
-    score = F.greatest(F.lit(0), F.least(F.lit(100), total)) / F.lit(100.0)
-    out = lambda q: F.struct(normal.alias("normalized_text"), F.array_join(good, " ").alias("meaningful_text"), good.alias("meaningful_tokens"), q.alias("quality_score"), ((q >= 0.55) & (kinds >= 1) & ~heavy).alias("is_meaningful"), n.alias("token_count"), kinds.alias("meaningful_token_count"))
-    return let(score, out)
+    return reduce(lambda a, b: a + b, parts)
+
+
+def _share_of_points(total: Column, held: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.when(held == 0, 25).otherwise(100), total)) / F.lit(100.0)
+
+
+#: A word of ASCII letters alone.
+LETTERS = r"\A[A-Za-z]+\z"
+
+
+def title_text_of(low: Column, letters: Column) -> Column:
+    """`title_text` of a word that is stripped and in lower case; letters: whether it is known to hold ASCII letters alone. Any other
+    without space, colon, am and pm needs one pattern."""
+    halves = F.contains(low, F.lit("am")) | F.contains(low, F.lit("pm"))
+    hard = F.contains(low, F.lit(":")) | F.contains(low, F.lit(" ")) | halves
+    cleaned = F.trim(F.regexp_replace(low, r"[^0-9a-zA-Z\x{4e00}-\x{9fff} /:_-]+", " "))
+    whole = F.when(low.isin("am", "pm"), "").otherwise(low)
+    return F.when(letters, whole).when(hard, let(low, _title_of_lower)).otherwise(cleaned)
+
+
+def long_tokens(plain: Column) -> Column:
+    """The title tokens, of three letters or more, of a title text of letters and single spaces."""
+    return F.trim(F.regexp_replace(plain, r"\b[a-z]{1,2}\b ?", ""))
+
+
+def token_count(text: Column) -> Column:
+    """How many tokens stand between single spaces."""
+    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
+
+
+def token_kinds(text: Column) -> Column:
+    return F.when(text == "", 0).when(F.contains(text, F.lit(" ")), F.size(F.array_distinct(F.split(text, " ")))).otherwise(1)
+
+
+def plain_quality(size: Column, n: Column, held: Column, kinds: Column, mean: Column) -> Column:
+    """quality_score of `title_signal` for a title text of letters and single spaces: its length, tokens, long tokens, different
+    ones of these and their mean length."""
+    return _share_of_points(_title_points(size - n + 1 >= 6, size, n, kinds, mean, n - held), held)
+
+
+def word_quality(size: Column) -> Column:
+    """The same for a text of one token, by its length."""
+    return F.when(size < 3, 0).when(size < 4, 15).when(size < 6, 42).when(size <= 80, 87).otherwise(72) / F.lit(100.0)
 
 
 #: Marks that stand before or after a recognised line.

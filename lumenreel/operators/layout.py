@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -263,80 +264,166 @@ _BOXES = pa.list_(pa.struct([*[(c, pa.int32()) for c in _BOX[:4]], ("text", pa.s
 
 def merged_boxes(boxes: DataFrame, video: str = "video_id") -> DataFrame:
     """(video, frame_idx, w, h, blocks): boxes (w, h, pos and _BOX) of each frame in order, those that stand below each other at
-    one left edge put together.
+    one left edge put together. If boxes have alone, their worth as a block of one, only the best of a frame's blocks of one
+    stays, the first of equal ones, with all blocks of several.
 
-    A fold over partitions sorted by frame and place; it holds one block, and the blocks of the frame at hand."""
+    A fold over partitions sorted by frame and place; it holds the boxes of the frame at hand."""
     order = [video, "frame_idx", "w", "h", "top", "left", "pos"]
     sized = boxes.withColumns({c: F.col(c).cast("int") for c in _BOX[:4]})
-    dealt = sized.select(*order, "width", "height", "text", "conf", "score").repartition(video, "frame_idx").sortWithinPartitions(*order)
+    alone = ["alone"] if "alone" in boxes.columns else []
+    dealt = sized.select(*order, "width", "height", "text", "conf", "score", *alone).repartition(video, "frame_idx").sortWithinPartitions(*order)
     kind = boxes.schema[video].dataType.simpleString()
     kinds = ", ".join(f"{c} {t}" for c, t in [("frame_idx", "int"), ("w", "int"), ("h", "int")])
     spec = ", ".join(f"{c}:{t}" for c, t in zip(_BOX, ["int"] * 4 + ["string", "double", "double"]))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ends, done, now, c, types = [], [], [], None, None, None
+        held = []
         for b in batches:
-            types = types or b.schema.types[:4]
-            for *key, top, left, _, width, height, text, conf, score in zip(*(x.to_pylist() for x in b.columns)):
-                if key != now:
-                    if now is not None:
-                        done.append(c)
-                        keys.append(now)
-                        ends.append(len(done))
-                    now, c = key, None
-                    near = max(28, int(key[2] * 0.06))
-                elif left is not None and c[1] is not None and abs(left - c[1]) <= near and top - (c[0] + c[3]) <= max(18, int(c[3] * 0.7)):
-                    right, bottom = max(c[1] + c[2], left + width), max(c[0] + c[3], top + height)
-                    c[0], c[1] = min(c[0], top), min(c[1], left)
+            if not b.num_rows:
+                continue
+            before = held[-1].slice(held[-1].num_rows - 1) if held else b.slice(0, 0)
+            starts = np.flatnonzero(_frame_starts(pa.Table.from_batches([before, b]))[before.num_rows :])
+            if held and not len(starts):
+                held.append(b)
+                continue
+            held.append(b.slice(0, starts[-1]))
+            if sum(x.num_rows for x in held):
+                yield _blocks_of_frames(pa.Table.from_batches(held), video)
+            held = [b.slice(starts[-1])]
+        if held:
+            yield _blocks_of_frames(pa.Table.from_batches(held), video)
+
+    typed = dealt.withColumns({c: F.col(c).cast("int") for c in ("frame_idx", "w", "h")}).drop("pos")
+    return typed.mapInArrow(fold, f"{video} {kind}, {kinds}, blocks array<struct<{spec}>>")
+
+
+def _frame_starts(t: pa.Table) -> np.ndarray:
+    """Which rows begin a frame: their first four columns differ from those of the row before."""
+    new = np.ones(t.num_rows, bool)
+    if t.num_rows > 1:
+        new[1:] = False
+        for c in t.columns[:4]:
+            a, b = c.slice(0, t.num_rows - 1), c.slice(1)
+            new[1:] |= pc.fill_null(pc.not_equal(a, b), False).to_numpy() | (pc.is_null(a).to_numpy() != pc.is_null(b).to_numpy())
+    return new
+
+
+def _blocks_of_frames(t: pa.Table, video: str) -> pa.RecordBatch:
+    """Whole frames with their blocks. A box too far right of the one before begins a block, whatever that one belongs to; one
+    after a box that begins a block is compared with that box; only what is left is walked box by box."""
+    t = t.combine_chunks()
+    first = _frame_starts(t)
+    left, top, height, wide = (t[c].cast(pa.float64()).to_numpy() for c in ("left", "top", "height", "w"))
+    near = np.maximum(28, np.trunc(wide * 0.06))
+    begins = first.copy()
+    begins[1:] |= ~(left[1:] <= left[:-1] + near[1:])
+    for _ in range(2):
+        i = np.flatnonzero(~begins)
+        i = i[begins[i - 1]]
+        joins = (np.abs(left[i] - left[i - 1]) <= near[i]) & (top[i] - (top[i - 1] + height[i - 1]) <= np.maximum(18, np.trunc(height[i - 1] * 0.7)))
+        begins[i[~joins]] = True
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], t.num_rows)
+    single, many = ends - starts == 1, []
+    lone = [starts[single]]
+    runs = list(zip(starts[~single].tolist(), ends[~single].tolist()))
+    if runs:
+        rows = np.flatnonzero(np.repeat(~single, ends - starts))
+        boxes = zip(rows.tolist(), near[rows].tolist(), *(t[c].take(pa.array(rows)).to_pylist() for c in _BOX))
+        for s, e in runs:
+            at, _, *c = next(boxes)
+            c[4] = [c[4]]
+            for _ in range(e - s - 1):
+                row, reach, y, x, width, high, text, conf, score = next(boxes)
+                if x is not None and c[1] is not None and abs(x - c[1]) <= reach and y - (c[0] + c[3]) <= max(18, int(c[3] * 0.7)):
+                    right, bottom = max(c[1] + c[2], x + width), max(c[0] + c[3], y + high)
+                    c[0], c[1] = min(c[0], y), min(c[1], x)
                     c[2], c[3], c[5], c[6] = right - c[1], bottom - c[0], max(c[5], conf), max(c[6], score)
                     c[4].append(text)
                     continue
-                else:
-                    done.append(c)
-                c = [top, left, width, height, [text], conf, score]
-            if keys:
-                yield _frames_of(types, keys, ends, done[: ends[-1]])
-                keys, ends, done = [], [], done[ends[-1] :]
-        if now is not None:
-            done.append(c)
-            yield _frames_of(types, [now], [len(done)], done)
-
-    def _frames_of(types, keys, ends, done):
-        cols = list(zip(*done))
-        cols[4] = [" ".join(t).strip(" ") for t in cols[4]]
-        blocks = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(cols, _BOXES.value_type)], fields=list(_BOXES.value_type))
-        heads = [pa.array(x, t) for x, t in zip(zip(*keys), types)]
-        return pa.RecordBatch.from_arrays([*heads, pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), blocks)], names=[video, "frame_idx", "w", "h", "blocks"])
-
-    typed = dealt.withColumns({c: F.col(c).cast("int") for c in ("frame_idx", "w", "h")})
-    return typed.mapInArrow(fold, f"{video} {kind}, {kinds}, blocks array<struct<{spec}>>")
+                many.append((at, c))
+                at, c = row, [y, x, width, high, [text], conf, score]
+            many.append((at, c))
+        lone.append(np.array([at for at, c in many if len(c[4]) == 1], np.int64))
+        many = [(at, c) for at, c in many if len(c[4]) > 1]
+    lone, frame = np.sort(np.concatenate(lone)), np.cumsum(first) - 1
+    if "alone" in t.column_names and len(lone):
+        worth, of = t["alone"].to_numpy()[lone], frame[lone]
+        heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        most = np.repeat(np.maximum.reduceat(worth, heads), np.diff(np.append(heads, len(of))))
+        best = np.flatnonzero(worth == most)
+        lone = lone[best[np.append(True, of[best][1:] != of[best][:-1])]]
+    at = np.concatenate([lone, np.array([a for a, _ in many], np.int64)])
+    place = np.argsort(at, kind="stable")
+    cols = list(zip(*[c for _, c in many])) or [[]] * len(_BOX)
+    cols[4] = [" ".join(x) for x in cols[4]]
+    fields = [pa.concat_arrays([_one(t[f.name].take(pa.array(lone)).cast(f.type)), pa.array(x, f.type)]).take(pa.array(place)) for x, f in zip(cols, _BOXES.value_type)]
+    fields[4] = pc.utf8_trim(fields[4], " ")
+    offsets = np.append(0, np.cumsum(np.bincount(frame[at], minlength=int(first.sum()))))
+    blocks = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_BOXES.value_type)))
+    names = [video, "frame_idx", "w", "h"]
+    return pa.RecordBatch.from_arrays([*[_one(t[c].take(pa.array(np.flatnonzero(first)))) for c in names], blocks], names=[*names, "blocks"])
+
+
+def _one(x: pa.ChunkedArray) -> pa.Array:
+    x = x.combine_chunks()
+    return pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x
+
+
+def _title_words(words: DataFrame) -> DataFrame:
+    """words with their title text, those that have one, and its quality and kinds (meaningful tokens) as `T.title_signal` has
+    them. Steps are columns of their own, so that each is worked out once and in generated code; only a text with signs other
+    than letters and spaces goes through all rules."""
+    raw, text, size = F.col("text"), F.col("text"), F.length("text")
+    rows = words.withColumn("__letters", F.coalesce(raw.rlike(T.LETTERS), F.lit(False)))
+    rows = rows.withColumn("__low", F.when(F.col("__letters"), F.lower(raw)).otherwise(F.lower(T.strip(F.coalesce(raw, F.lit(""))))))
+    rows = rows.withColumn("text", T.title_text_of(F.col("__low"), F.col("__letters"))).drop("__low").withColumn("text", T.once(text)).where(text != "")
+    rows = rows.withColumn("__kind", F.when(F.col("__letters"), 1).when(~text.rlike("^[a-z ]+$"), 3).when(F.contains(text, F.lit(" ")), 2).otherwise(1))
+    one, several = F.col("__kind") == 1, F.col("__kind") == 2
+    rows = rows.withColumns({"__ruled": F.when(F.col("__kind") == 3, T.title_signal(text)), "__long": F.when(several, T.long_tokens(text))})
+    rows = rows.withColumns({"__n": F.when(several, T.token_count(text)), "__held": F.when(several, T.token_count(F.col("__long"))), "__kinds": F.when(several, T.token_kinds(F.col("__long")))})
+    rows = rows.withColumn("__mean", F.when(F.col("__held") > 0, (F.length("__long") - F.col("__held") + 1) / F.col("__held")).otherwise(F.lit(0.0)))
+    quality = T.plain_quality(size, *[F.col(c) for c in ("__n", "__held", "__kinds", "__mean")])
+    rows = rows.withColumns({
+        "quality": F.when(one, T.word_quality(size)).when(several, quality).otherwise(F.col("__ruled.quality_score")),
+        "kinds": F.when(one, (size >= 3).cast("int")).when(several, F.col("__kinds")).otherwise(F.col("__ruled.meaningful_token_count")),
+    })
+    return rows.drop("__letters", "__kind", "__ruled", "__long", "__n", "__held", "__kinds", "__mean")
 
 
 def title_blocks(words: DataFrame, bands: DataFrame, video: str = "video_id") -> DataFrame:
     """(video, frame_idx, title) of bands (width, height), one a frame: the best block among the words of the title band.
 
     Words are scored by their text and place, put together to blocks, and blocks scored again; the first of the
-    best ones counts, if it is good enough."""
+    best ones counts, if it is good enough. A word that stays alone has its score as a block at once, so that only the best of
+    these is looked at again. Words dealt by (video, frame_idx) are not moved."""
     said = words.where("conf >= 0 and width > 0 and height > 0")
     rows = said.join(bands.select(video, "frame_idx", F.col("width").alias("w"), F.col("height").alias("h")).hint("shuffle_hash"), [video, "frame_idx"]).where(F.col("top") <= (F.col("h") * 0.72).cast("int"))
-    rows = rows.withColumn("text", T.kept(T.title_text(F.col("text")), lambda x: x != ""))
+    rows = _title_words(rows)
     wide, high = F.greatest("w", F.lit(1)), F.greatest("h", F.lit(1))
-    rows = rows.withColumns({"wr": F.col("width") / wide, "hr": F.col("height") / high, "lr": F.col("left") / wide, "rr": (F.col("left") + F.col("width")) / wide, "tr": F.col("top") / high, "s": T.once(T.title_signal(F.col("text")))})
+    rows = rows.withColumns({"wr": F.col("width") / wide, "hr": F.col("height") / high, "lr": F.col("left") / wide, "rr": (F.col("left") + F.col("width")) / wide, "tr": F.col("top") / high})
     c = {k: F.col(k) for k in ("wr", "hr", "lr", "rr", "tr")}
     bonus = (
         F.when(c["tr"] <= 0.26, 0.2).when(c["tr"] <= 0.4, 0.08).otherwise(0.0) + F.when(c["lr"] <= 0.22, 0.12).when(c["lr"] <= 0.4, 0.05).otherwise(0.0)
         - F.when((c["rr"] >= 0.9) & (c["wr"] <= 0.22), 0.18).otherwise(0.0) - F.when(c["wr"] >= 0.55, 0.12).otherwise(0.0)
-        - F.when((F.col("s.meaningful_token_count") <= 1) & (c["hr"] <= 0.03), 0.15).otherwise(0.0) - F.when(F.col("conf") < 25, 0.1).otherwise(0.0)
+        - F.when((F.col("kinds") <= 1) & (c["hr"] <= 0.03), 0.15).otherwise(0.0) - F.when(F.col("conf") < 25, 0.1).otherwise(0.0)
     )
-    rows = rows.withColumn("score", F.col("s.quality_score") + bonus + c["hr"] * 1.2)
+
+    def block_score(score: Column, quality: Column, kinds: Column, wr: Column, hr: Column, lr: Column, tr: Column) -> Column:
+        return (
+            score + quality * 0.7 + F.least(hr * 1.8, F.lit(0.35)) + F.when(tr <= 0.18, 0.18).when(tr <= 0.3, 0.08).otherwise(0.0)
+            + F.when(lr <= 0.18, 0.12).otherwise(0.0) - F.when(wr >= 0.6, 0.2).otherwise(0.0) + F.when(kinds >= 2, 0.08).otherwise(0.0)
+        )
+
+    rows = rows.withColumn("score", F.col("quality") + bonus + c["hr"] * 1.2)
+    # blocks are of whole pixels
+    whole = [F.col(k).cast("int") / of for k, of in (("width", wide), ("height", high), ("left", wide), ("top", high))]
+    rows = rows.withColumn("alone", block_score(F.col("score"), F.col("quality"), F.col("kinds"), *whole))
     frames = merged_boxes(rows, video)
 
     def best(b: Column, place: Column, s: Column) -> Column:
         wr, hr, lr, tr = b["width"] / wide, b["height"] / high, b["left"] / wide, b["top"] / high
-        score = (
-            b["score"] + s["quality_score"] * 0.7 + F.least(hr * 1.8, F.lit(0.35)) + F.when(tr <= 0.18, 0.18).when(tr <= 0.3, 0.08).otherwise(0.0)
-            + F.when(lr <= 0.18, 0.12).otherwise(0.0) - F.when(wr >= 0.6, 0.2).otherwise(0.0) + F.when(s["meaningful_token_count"] >= 2, 0.08).otherwise(0.0)
-        )
+        score = block_score(b["score"], s["quality_score"], s["meaningful_token_count"], wr, hr, lr, tr)
         like = (tr <= 0.3) & (lr <= 0.3) & (wr <= 0.42) & (hr >= 0.045)
         title = F.struct(s["normalized_text"].alias("text"), lr.alias("left_ratio"), tr.alias("top_ratio"), wr.alias("width_ratio"), hr.alias("height_ratio"), like.alias("title_block_like"), score.alias("candidate_score"))
         return F.struct(score.alias("score"), (-place).alias("place"), title.alias("title"))

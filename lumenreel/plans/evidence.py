@@ -180,15 +180,17 @@ def term_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- recognised words and documents ------------------------------------------------------------------------------
 
 
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All words of each document as boxes; where they stand follows from line and place. Documents are dealt by id before they are
-    cut to words, so that what groups words by video or below moves no word again."""
-    d = doc_lines(spark, sf_dir).repartition("doc_id").select("doc_id", F.posexplode("lines").alias("line_num", "line"))
-    w = d.select("doc_id", "line_num", F.posexplode(F.split("line", " ")).alias("at", "text"))
+def _words(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """All words of each document as boxes; where they stand follows from line and place. Documents are dealt by id, or by
+    (doc_id, frame_idx), before they are cut to words, so that what groups words by video or below moves no word again."""
+    frame = (F.col("doc_id") % 3).cast("int").alias("frame_idx")
+    d = doc_lines(spark, sf_dir).select("doc_id", *([frame] if "frame_idx" in by else []), "lines").repartition(*by)
+    d = d.select("doc_id", F.col("frame_idx") if "frame_idx" in by else frame, F.posexplode("lines").alias("line_num", "line"))
+    w = d.select("doc_id", "frame_idx", "line_num", F.posexplode(F.split("line", " ")).alias("at", "text"))
     i = F.col("line_num").cast("long") * 31 + F.col("at")
     pos = F.shiftleft(F.col("line_num").cast("long"), 32) + F.col("at")
     return w.select(
-        F.col("doc_id").alias("video_id"), (F.col("doc_id") % 3).cast("int").alias("frame_idx"), F.concat(F.lit("r"), (F.col("line_num") % 2).cast("string")).alias("region"), pos.alias("pos"), "text",
+        F.col("doc_id").alias("video_id"), "frame_idx", F.concat(F.lit("r"), (F.col("line_num") % 2).cast("string")).alias("region"), pos.alias("pos"), "text",
         ((i * 37 + F.col("doc_id")) % 100).cast("double").alias("conf"), (F.col("at") * 40).cast("int").alias("left"), (F.col("line_num") * 22 + F.col("at") % 3).cast("int").alias("top"),
         F.lit(36).alias("width"), F.lit(16).alias("height"), F.lit(1).alias("block_num"), (F.col("line_num") % 2).cast("int").alias("par_num"), "line_num",
     )
@@ -348,9 +350,9 @@ def nav_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _words(spark, sf_dir).withColumns({"width": (F.length("text") * 12).cast("int"), "height": (16 + F.col("line_num") % 3 * 20).cast("int")})
+    words = _words(spark, sf_dir, ("doc_id", "frame_idx")).withColumns({"width": (F.length("text") * 12).cast("int"), "height": (16 + F.col("line_num") % 3 * 20).cast("int")})
     # a line holds a word at least, so the frames are known without cutting lines
-    shown = doc_lines(spark, sf_dir).where(F.size("lines") > 0)
+    shown = read(spark, sf_dir, "documents", "doc_id", "text").where(F.col("text").rlike("[^\n]"))
     bands = shown.select(F.col("doc_id").alias("video_id"), (F.col("doc_id") % 3).cast("int").alias("frame_idx")).distinct().withColumns({"width": F.lit(1280), "height": F.lit(400)})
     t = F.col("title")
     return layout.title_blocks(words, bands).select("video_id", t["text"].alias("text"), t["title_block_like"].alias("title_block_like"), F.round(t["candidate_score"], 6).alias("candidate_score"))
